@@ -43,6 +43,21 @@ def _norm(v):
     return str(v)
 
 
+_SPARK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+          "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMP", "date": "DATE"}
+
+
+def _spark_type(t: str) -> str:
+    return _SPARK.get(t, t.upper())
+
+
+def _duck_family(t: str) -> str:
+    t = (t or "").upper()
+    if t.startswith("DECIMAL"):
+        return "DECIMAL"
+    return {"NUMBER": "DOUBLE", "STRING": "VARCHAR", "BOOL": "BOOLEAN", "DATETIME": "TIMESTAMP"}.get(t, t)
+
+
 def _digest(cols, rows):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     lines = sorted("|".join(_norm(r[i]) for i in order) for r in rows)
@@ -64,6 +79,12 @@ def compare(spark, con, name: str, sf_dir: str) -> dict:
     d_rows = rel.fetchall()
     out["oracle_rows"] = len(d_rows)
     out["oracle_cols"] = sorted(d_cols)
+    s_types = {f.name: _spark_type(f.dataType.simpleString()) for f in sdf.schema.fields}
+    d_types = {d[0]: str(d[1]).upper() for d in rel.description}
+    type_diff = {c: (s_types.get(c), d_types.get(c)) for c in s_types
+                 if c in d_types and s_types.get(c) != _duck_family(d_types.get(c))}
+    if type_diff:
+        out["type_diff"] = type_diff
     sh, sl = _digest(s_cols, s_rows)
     dh, dl = _digest(d_cols, d_rows)
     ok = len(s_rows) == len(d_rows) and sorted(s_cols) == sorted(d_cols) and sh == dh

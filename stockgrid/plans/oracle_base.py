@@ -135,7 +135,7 @@ left join target t on k.Plant = t.Plant and k.Material = t.Material
 VIEWS["grid_pos"] = """
 select *, Unrestricted_On_Hand + Open_PO_Qty as Available_Plus_Incoming,
   Unrestricted_On_Hand + Open_PO_Qty - Customer_Order_Qty as Projected_Balance,
-  0.0 as Manual_Override, '' as Planner_Note
+  cast(0.0 as double) as Manual_Override, '' as Planner_Note
 from grid_base
 """
 
