@@ -53,13 +53,18 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- per-kind measure expressions over `lines` --------------------------------
 
-_LS_F = F.col("l_linestatus") == "F"
-_LS_O = F.col("l_linestatus") == "O"
-_QTY = F.col("l_quantity")
+_KIND_COLUMN_NAMES = {
+    "customer_orders": ["sales_order", "order_qty", "confirmed_qty", "requested_date"],
+    "on_hand": ["batch", "unrestricted", "quality", "blocked", "expiry"],
+    "open_orders": ["po_number", "open_po_qty", "po_qty", "po_request_qty", "inbound_qty", "delivery_date"],
+}
 
 
 def _kind_exprs(kind: str) -> list[tuple[str, Column]]:
     """(name, expression) of a kind's columns, in source order."""
+    _LS_F = F.col("l_linestatus") == "F"
+    _LS_O = F.col("l_linestatus") == "O"
+    _QTY = F.col("l_quantity")
     if kind == "customer_orders":
         return [
             ("sales_order", F.col("l_orderkey")),
@@ -86,7 +91,7 @@ def _kind_exprs(kind: str) -> list[tuple[str, Column]]:
 
 
 _KIND_FLAG = {v: k for k, v in RETURNFLAG_KIND.items()}
-KIND_COLUMNS = {k: ["Plant", "Material"] + [n for n, _ in _kind_exprs(k)] for k in config.KINDS}
+KIND_COLUMNS = {k: ["Plant", "Material"] + _KIND_COLUMN_NAMES[k] for k in config.KINDS}
 
 
 def kind_rows(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
