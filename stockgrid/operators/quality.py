@@ -100,3 +100,8 @@ def reconciliation_gate(variances: DataFrame) -> DataFrame:
         F.coalesce(F.bool_and(ok), F.lit(True)).alias("passed"),
         F.count(F.lit(1)).alias("n_metrics"),
         F.count_if(~ok).alias("n_failing"))
+
+
+def sorted_keys(keys: DataFrame) -> DataFrame:
+    """Key list in report order, null keys first."""
+    return keys.orderBy(F.col("Plant").asc_nulls_first(), F.col("Material").asc_nulls_first())

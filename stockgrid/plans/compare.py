@@ -9,9 +9,12 @@ import datetime as dt
 import decimal
 import hashlib
 import math
+import os
 
 import duckdb
 
+STRICT = bool(os.environ.get("COMPARE_STRICT"))
+
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
@@ -31,11 +34,11 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "NaN"
-        return f"{round(v, 6):.6f}"
+        return repr(v) if STRICT else f"{round(v, 6):.6f}"
     if isinstance(v, decimal.Decimal):
         return f"{float(v):.6f}"
-    if isinstance(v, int):
-        return f"{float(v):.6f}"
+    if isinstance(v, int) and not isinstance(v, bool):
+        return str(v) if STRICT else f"{float(v):.6f}"
     if isinstance(v, (dt.datetime, dt.date)):
         return v.isoformat()
     if isinstance(v, (list, tuple)):

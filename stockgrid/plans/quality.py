@@ -54,18 +54,20 @@ def q_unmatched_by_source(spark, sf_dir):
 _SRC_KEYS = " union ".join(f"select Plant, Material from {k}" for k in config.KINDS)
 
 
-@query("sources_not_in_master", "H2", with_views(
+@query("sources_not_in_master", "H2/G2", with_views(
     f"select Plant, Material from ({_SRC_KEYS}) s except select Plant, Material from target",
     *config.KINDS, "target"))
 def q_sources_not_in_master(spark, sf_dir):
-    return quality.sources_not_in_master(td.source_rows(spark, sf_dir), load_target(spark, sf_dir))
+    return quality.sorted_keys(
+        quality.sources_not_in_master(td.source_rows(spark, sf_dir), load_target(spark, sf_dir)))
 
 
-@query("master_no_activity", "H3", with_views(
+@query("master_no_activity", "H3/G2", with_views(
     f"select Plant, Material from target except select Plant, Material from ({_SRC_KEYS}) s",
     *config.KINDS, "target"))
 def q_master_no_activity(spark, sf_dir):
-    return quality.master_no_activity(td.source_rows(spark, sf_dir), load_target(spark, sf_dir))
+    return quality.sorted_keys(
+        quality.master_no_activity(td.source_rows(spark, sf_dir), load_target(spark, sf_dir)))
 
 
 _VARIANCE_SQL = f"""

@@ -156,3 +156,24 @@ def load_folder(spark: SparkSession, folder: str, sep: str = ",") -> dict[str, D
 
 def _stem_xlsx(name: str) -> str:
     return name.rsplit(".", 1)[0] + ".xlsx"
+
+
+def inspect_exports(spark: SparkSession, folder: str, sep: str = ",") -> DataFrame:
+    """Per upload file: header result with missing / extra names, data
+    row count and the sorted distinct plant values it carries."""
+    loaded = load_folder(spark, folder, sep)
+    plants = None
+    for kind in config.KINDS:
+        if kind in loaded:
+            p = loaded[kind].select(F.col("_source_file").alias("file_name"), "Plant")
+            plants = p if plants is None else plants.unionByName(p)
+    hdr = loaded["headers"].select("file_name", "result", "missing_columns", "extra_columns")
+    if plants is None:
+        return hdr.withColumn("row_count", F.lit(0).cast("long")).withColumn("plants", F.lit(""))
+    per_file = plants.groupBy("file_name").agg(
+        F.count(F.lit(1)).alias("row_count"),
+        F.array_join(F.array_sort(F.collect_set("Plant")), ",").alias("plants"))
+    return hdr.join(per_file, "file_name", "left").select(
+        "file_name", "result", "missing_columns", "extra_columns",
+        F.coalesce("row_count", F.lit(0).cast("long")).alias("row_count"),
+        F.coalesce("plants", F.lit("")).alias("plants"))

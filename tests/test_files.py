@@ -101,3 +101,11 @@ def test_write_csv_round_trip(spark, tmp_dir):
     p = write_csv(df, os.path.join(tmp_dir, "view"))
     back = spark.read.option("header", True).schema("Plant string, q double").csv(p)
     assert sorted(map(tuple, back.collect()), key=str) == sorted([("2910", 1.5), ("2920", None)], key=str)
+
+
+def test_inspect_exports(spark, tmp_dir):
+    write_uploads(tmp_dir)
+    out = {r.file_name: r for r in files.inspect_exports(spark, tmp_dir).collect()}
+    assert out["OR2920.csv"].plants == "2920,2999" and out["OR2920.csv"].row_count == 3
+    assert out["2930Customerorders.csv"].result == "reordered" and out["2930Customerorders.csv"].row_count == 0
+    assert "OR2930.csv" not in out
