@@ -59,10 +59,13 @@ def plant_violations(file_rows: DataFrame) -> DataFrame:
         F.count_if(wrong).alias("violating_rows"))
 
 
-def load_status(required: DataFrame, file_rows: DataFrame) -> DataFrame:
+def load_status(required: DataFrame, file_rows: DataFrame | None = None,
+                per_file: DataFrame | None = None) -> DataFrame:
     """Status of every required (kind, plant) file and the all-valid
-    gate (a missing file counts as not valid)."""
-    per_file = plant_violations(file_rows).withColumnRenamed("expected_plant", "plant")
+    gate (a missing file counts as not valid). ``per_file`` may be a stored
+    ``plant_violations`` result."""
+    per_file = per_file if per_file is not None else plant_violations(file_rows)
+    per_file = per_file.withColumnRenamed("expected_plant", "plant")
     j = required.join(per_file, ["kind", "plant"], "left")
     status = (F.when(F.col("row_count").isNull(), F.lit(STATUS_MISSING))
               .when(F.col("violations") != "", F.lit(STATUS_ERROR))

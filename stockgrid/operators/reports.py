@@ -53,16 +53,21 @@ AUDIT_FILES = "-- File / schema validation --"
 AUDIT_UNMATCHED = "-- Unmatched materials --"
 
 
-def materialize(spark: SparkSession, df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
+def write_table(spark: SparkSession, df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> str:
     """Write ``df`` once as Parquet under the shared checkpoint folder and
-    read it back: cuts lineage, survives executor loss, and later readers
-    get column pruning and partition pruning."""
+    return the path."""
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
-    return spark.read.parquet(path)
+    return path
+
+
+def materialize(spark: SparkSession, df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
+    """Write ``df`` once and read it back: cuts lineage, survives executor
+    loss, and later readers get column pruning and partition pruning."""
+    return spark.read.parquet(write_table(spark, df, name, partition_by))
 
 
 def export_grid(grid: DataFrame) -> DataFrame:
@@ -112,10 +117,11 @@ def _section(df: DataFrame, section: str, item: Column, value: Column) -> DataFr
 
 
 def reconciliation_summary(spark: SparkSession, tagged: DataFrame, grid: DataFrame, target: DataFrame,
-                           required: DataFrame, file_rows: DataFrame,
+                           required: DataFrame, per_file: DataFrame,
                            dup_columns: dict[str, list[str]], null_columns: dict[str, list[str]]) -> DataFrame:
-    """K3: the whole report bundle as (section, item, value) rows."""
-    status = loading.load_status(required, file_rows)
+    """K3: the whole report bundle as (section, item, value) rows.
+    ``per_file`` is the ``plant_violations`` result of the file rows."""
+    status = loading.load_status(required, per_file=per_file)
     item_file = F.concat_ws(":", "kind", "plant")
     variances = quality.reconciliation_variance(tagged, grid)
     nulls = quality.null_counts(spark, tagged, null_columns).groupBy("kind").agg(
@@ -124,7 +130,7 @@ def reconciliation_summary(spark: SparkSession, tagged: DataFrame, grid: DataFra
     parts = [
         _section(status, "row_count", item_file, F.col("row_count")),
         _section(status, "valid", item_file, (F.col("status") == loading.STATUS_VALID).cast("int")),
-        _section(loading.plant_violations(file_rows), "plant_violation_rows",
+        _section(per_file, "plant_violation_rows",
                  F.concat_ws(":", "kind", "expected_plant"), F.col("violating_rows")),
         _section(quality.duplicate_rows(tagged, dup_columns), "duplicate_rows", F.col("kind"),
                  F.col("duplicate_rows")),

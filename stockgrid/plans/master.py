@@ -6,7 +6,7 @@ from stockgrid.functions.normalize import NUMBER_PATTERN
 from stockgrid.operators import master_build as mb
 from stockgrid.plans.oracle_base import with_views
 from stockgrid.plans.registry import query
-from stockgrid.sources.cells import cells
+from stockgrid.sources.cells import cells_table as cells
 
 HR = config.MASTER_HEADER_ROW
 

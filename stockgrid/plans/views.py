@@ -1,8 +1,6 @@
 """Dashboard, supplier-detail and override queries over the grid."""
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from stockgrid.operators import overrides as ov
 from stockgrid.operators import views as v
 from stockgrid.plans.core import GRID_COLS, load_grid
@@ -212,5 +210,3 @@ def q_supplier_recommendation(spark, sf_dir):
 def q_raw_by_plant(spark, sf_dir):
     return v.raw_by_plant(td.on_hand(spark, sf_dir), RAW_PLANT)
 
-
-__all__ = ["dashboard_grid", "latest", "F"]

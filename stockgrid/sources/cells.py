@@ -54,3 +54,18 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     for c in (c1, c2, c3, c4, c5, c6, c7):
         out = out.unionByName(c)
     return out
+
+
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
+def cells_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``cells`` written once per application and input folder as Parquet
+    under the shared checkpoint folder, then read back: the profiling and
+    master-build jobs read a stored table, as they would in production,
+    instead of regenerating it in every plan."""
+    from stockgrid.operators.reports import write_table
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _WRITTEN:
+        _WRITTEN[key] = write_table(spark, cells(spark, sf_dir), "cells")
+    return spark.read.parquet(_WRITTEN[key])
