@@ -110,7 +110,9 @@ def file_rows_of(kind_frame: DataFrame, spark: SparkSession) -> DataFrame:
 
 def manifest(spark: SparkSession, paths, frames: dict[str, DataFrame], headers: DataFrame) -> DataFrame:
     """A3 + A9: per required upload: content hash, bytes, rows, header
-    result, plant violations and status (Missing / Error / Valid)."""
+    result, plant violations and status (Missing / Error / Valid). A file
+    with content but no header line is 'unreadable' (Error); Spark's file
+    sources skip zero-byte files, so an empty upload reports as Missing."""
     blobs = spark.read.format("binaryFile").load(paths).select(
         F.element_at(F.split("path", "/"), -1).alias("_f"), F.col("length").alias("bytes"),
         F.sha2("content", 256).alias("sha256"))
@@ -127,12 +129,13 @@ def manifest(spark: SparkSession, paths, frames: dict[str, DataFrame], headers:
     out = (routing(spark).join(blobs.drop("_f"), "file_name", "left")
            .join(hdr, "file_name", "left").join(per_file, "file_name", "left"))
     status = (F.when(F.col("sha256").isNull(), F.lit(loading.STATUS_MISSING))
-              .when(F.col("result") != "ok", F.lit(loading.STATUS_ERROR))
+              .when(F.coalesce(F.col("result"), F.lit("unreadable")) != "ok", F.lit(loading.STATUS_ERROR))
               .when(F.coalesce(F.col("violations"), F.lit("")) != "", F.lit(loading.STATUS_ERROR))
               .otherwise(F.lit(loading.STATUS_VALID)))
     return out.select("file_name", "kind", "plant", "sha256", "bytes",
                       F.coalesce("row_count", F.lit(0).cast("long")).alias("row_count"),
-                      F.coalesce("result", F.lit("")).alias("header_result"),
+                      F.when(F.col("sha256").isNull(), F.lit("")).otherwise(
+                          F.coalesce("result", F.lit("unreadable"))).alias("header_result"),
                       F.coalesce("violations", F.lit("")).alias("violations"), status.alias("status"))
 
 

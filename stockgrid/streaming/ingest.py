@@ -43,7 +43,11 @@ def ingest_drop_folder(spark: SparkSession, folder: str, kind: str, table_path:
     batches = []
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("append").partitionBy("Plant").parquet(table_path)
+        # foreachBatch is at-least-once: a replayed batch overwrites its own
+        # batch_id partitions (dynamic overwrite) instead of appending twice
+        (batch.withColumn("batch_id", F.lit(batch_id).cast("long"))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("batch_id", "Plant").parquet(table_path))
         batches.append(batch_id)
 
     q = (typed.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
@@ -69,7 +73,10 @@ def stream_overrides(spark: SparkSession, source_dir: str, log_path: str, checkp
     batches = []
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(batch_id).cast("long")).write.mode("append").parquet(log_path)
+        # replays of a batch rewrite the same _batch partition (idempotent)
+        (batch.withColumn("_batch", F.lit(batch_id).cast("long"))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("_batch").parquet(log_path))
         batches.append(batch_id)
 
     q = (latest.writeStream.outputMode("update").foreachBatch(sink)
@@ -78,9 +85,17 @@ def stream_overrides(spark: SparkSession, source_dir: str, log_path: str, checkp
     return len(batches)
 
 
+LOG_SCHEMA = StructType([
+    StructField("Plant", StringType()), StructField("Material", StringType()),
+    StructField("ts", TimestampNTZType()), StructField("event_id", LongType()),
+    StructField("Manual_Override", DoubleType()), StructField("Planner_Note", StringType()),
+    StructField("_batch", LongType()),
+])
+
+
 def latest_from_log(spark: SparkSession, log_path: str) -> DataFrame:
     """Current override table: newest logged row per key."""
-    log = spark.read.parquet(log_path)
+    log = spark.read.schema(LOG_SCHEMA).parquet(log_path)
     best = log.groupBy("Plant", "Material").agg(
         F.max_by(F.struct("Manual_Override", "Planner_Note"), F.struct("_batch", "ts", "event_id")).alias("w"))
     return best.select("Plant", "Material", "w.Manual_Override", "w.Planner_Note")
@@ -89,7 +104,8 @@ def latest_from_log(spark: SparkSession, log_path: str) -> DataFrame:
 def kind_table_schema(spark: SparkSession, kind: str) -> StructType:
     """Schema of an ingested kind table (typed columns + ``_source_file``)."""
     empty = spark.createDataFrame([], files._string_schema(kind))
-    return empty.select(*files.typed_columns(kind), F.lit(None).cast("string").alias("_source_file")).schema
+    return empty.select(*files.typed_columns(kind), F.lit(None).cast("string").alias("_source_file"),
+                        F.lit(None).cast("long").alias("batch_id")).schema
 
 
 def read_kind_table(spark: SparkSession, table_path: str, kind: str) -> DataFrame:

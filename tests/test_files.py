@@ -49,11 +49,14 @@ def write_uploads(folder):
 
 def test_load_folder_headers_types_manifest(spark, tmp_dir):
     write_uploads(tmp_dir)
+    with open(os.path.join(tmp_dir, "OR2930.csv"), "w") as fh:  # content but no header line
+        fh.write("\n\n")
     out = files.load_folder(spark, tmp_dir)
     hdr = {r.file_name: r.result for r in out["headers"].collect()}
     assert hdr["2930Customerorders.csv"] == "reordered" and hdr["OH20.csv"] == "ok"
     man = {r.file_name: r for r in out["manifest"].collect()}
-    assert man["OR2930.xlsx"].status == "Missing"
+    assert man["OR2930.xlsx"].status == "Error" and man["OR2930.xlsx"].header_result == "unreadable"
+    assert man["2910Customerorders.xlsx"].status == "Valid"
     assert man["2930Customerorders.xlsx"].status == "Error"
     assert man["OR2920.xlsx"].status == "Error" and man["OR2920.xlsx"].violations == "2999"
     assert man["OH20.xlsx"].status == "Valid" and man["OH20.xlsx"].row_count == 3
@@ -109,3 +112,9 @@ def test_inspect_exports(spark, tmp_dir):
     assert out["OR2920.csv"].plants == "2920,2999" and out["OR2920.csv"].row_count == 3
     assert out["2930Customerorders.csv"].result == "reordered" and out["2930Customerorders.csv"].row_count == 0
     assert "OR2930.csv" not in out
+
+
+def test_missing_upload_is_reported(spark, tmp_dir):
+    write_uploads(tmp_dir)
+    man = {r.file_name: r for r in files.load_folder(spark, tmp_dir)["manifest"].collect()}
+    assert man["OR2930.xlsx"].status == "Missing" and man["OR2930.xlsx"].row_count == 0

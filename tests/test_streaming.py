@@ -27,6 +27,8 @@ def test_drop_folder_reads_each_file_once(spark, tmp_dir):
     ingest_drop_folder(spark, drop, "on_hand", table, ckpt)   # only the new file
     t = read_kind_table(spark, table, "on_hand")
     assert t.count() == 6 and {r.Plant for r in t.select("Plant").distinct().collect()} == {"2910", "2930"}
+    ingest_drop_folder(spark, drop, "on_hand", table, ckpt)   # nothing new: no change
+    assert read_kind_table(spark, table, "on_hand").count() == 6
 
 
 def test_override_stream_matches_batch(spark, tmp_dir):
