@@ -118,3 +118,24 @@ def test_missing_upload_is_reported(spark, tmp_dir):
     write_uploads(tmp_dir)
     man = {r.file_name: r for r in files.load_folder(spark, tmp_dir)["manifest"].collect()}
     assert man["OR2930.xlsx"].status == "Missing" and man["OR2930.xlsx"].row_count == 0
+
+
+def test_refresh_end_to_end(spark, tmp_dir):
+    from stockgrid.refresh import UploadsInvalid, refresh
+    up = os.path.join(tmp_dir, "up")
+    os.makedirs(up)
+    write_uploads(up)
+    master = os.path.join(tmp_dir, "master.csv")
+    with open(master, "w") as fh:
+        fh.write("Supplier,Plant,Material,TOL_Material,Description,Latest_Forecast_Qty,Forecast_Source_Column\n")
+        fh.write("Alimentias,2910,10000,0,P,40,Forecast AS400\nCows,2910,10000,0,P,n/a,\n,2920,10001,1,Q,5,\n")
+    try:
+        refresh(spark, up, master)
+        raise AssertionError("invalid uploads must stop the refresh")
+    except UploadsInvalid:
+        pass
+    res = refresh(spark, up, master, os.path.join(tmp_dir, "out"), allow_invalid=True)
+    g = {(r.Plant, r.Material): r for r in res["grid"].collect()}
+    assert g[("2910", "10000")].Supplier == "Alimentias" and g[("2910", "10000")].Target_Stock == 40
+    assert g[("2920", "10001")].Risk_Status == "Review"  # master row without supplier
+    assert "ordering_dashboard" in res["written"]
