@@ -7,7 +7,6 @@ a file's header width or by the number of distinct plant values.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 STATUS_MISSING = "Missing"
@@ -61,8 +60,8 @@ def plant_violations(file_rows: DataFrame) -> DataFrame:
 
 def load_status(required: DataFrame, file_rows: DataFrame | None = None,
                 per_file: DataFrame | None = None) -> DataFrame:
-    """Status of every required (kind, plant) file and the all-valid
-    gate (a missing file counts as not valid). ``per_file`` may be a stored
+    """Status of every required (kind, plant) file: Missing, Error
+    (plant values of another plant) or Valid. ``per_file`` may be a stored
     ``plant_violations`` result."""
     per_file = per_file if per_file is not None else plant_violations(file_rows)
     per_file = per_file.withColumnRenamed("expected_plant", "plant")
@@ -70,9 +69,13 @@ def load_status(required: DataFrame, file_rows: DataFrame | None = None,
     status = (F.when(F.col("row_count").isNull(), F.lit(STATUS_MISSING))
               .when(F.col("violations") != "", F.lit(STATUS_ERROR))
               .otherwise(F.lit(STATUS_VALID)))
-    out = j.select("kind", "plant", status.alias("status"),
-                   F.coalesce(F.col("row_count"), F.lit(0).cast("long")).alias("row_count"),
-                   F.coalesce(F.col("violations"), F.lit("")).alias("violations"))
-    # the required-file dimension is small and fixed (kinds x plants)
-    everything = Window.partitionBy()
-    return out.withColumn("all_valid", F.min(F.col("status") == STATUS_VALID).over(everything))
+    return j.select("kind", "plant", status.alias("status"),
+                    F.coalesce(F.col("row_count"), F.lit(0).cast("long")).alias("row_count"),
+                    F.coalesce(F.col("violations"), F.lit("")).alias("violations"))
+
+
+def load_gate(status: DataFrame) -> DataFrame:
+    """A9 gate: every required upload valid (a missing one is not)."""
+    valid = F.col("status") == STATUS_VALID
+    return status.agg(F.count(F.lit(1)).alias("n_required"), F.count_if(valid).alias("n_valid"),
+                      F.coalesce(F.bool_and(valid), F.lit(False)).alias("all_valid"))

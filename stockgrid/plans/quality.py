@@ -142,17 +142,27 @@ def q_plant_violations(spark, sf_dir):
     return loading.plant_violations(td.file_rows(spark, sf_dir))
 
 
-@query("load_status", "A9", with_views(f"""
-select kind, plant, status, row_count, violations, bool_and(status = 'Valid') over () as all_valid from (
-  select r.kind, r.plant,
-    case when p.row_count is null then 'Missing' when p.violations <> '' then 'Error' else 'Valid' end as status,
-    coalesce(p.row_count, 0) as row_count, coalesce(p.violations, '') as violations
-  from required_files r left join ({_PLANT_SQL}) p on r.kind = p.kind and r.plant = p.expected_plant) z
-""", "required_files", "file_rows"))
+_LOAD_SQL = f"""
+select r.kind, r.plant,
+  case when p.row_count is null then 'Missing' when p.violations <> '' then 'Error' else 'Valid' end as status,
+  coalesce(p.row_count, 0) as row_count, coalesce(p.violations, '') as violations
+from required_files r left join ({_PLANT_SQL}) p on r.kind = p.kind and r.plant = p.expected_plant
+"""
+
+
+@query("load_status", "A9", with_views(_LOAD_SQL, "required_files", "file_rows"))
 def q_load_status(spark, sf_dir):
     return loading.load_status(td.required_files(spark), td.file_rows(spark, sf_dir))
 
 
+@query("load_gate", "A9", with_views(
+    "select count(*) as n_required, count(*) filter (where status = 'Valid') as n_valid, "
+    f"coalesce(bool_and(status = 'Valid'), false) as all_valid from ({_LOAD_SQL}) s",
+    "required_files", "file_rows"))
+def q_load_gate(spark, sf_dir):
+    return loading.load_gate(loading.load_status(td.required_files(spark), td.file_rows(spark, sf_dir)))
+
+
 _WS = r"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
 
 

@@ -8,7 +8,7 @@ from stockgrid.operators import loading, quality, reports
 from stockgrid.plans.core import load_target
 from stockgrid.plans.oracle_base import with_views
 from stockgrid.plans.quality import (
-    _DUP_SQL, _NULL_SQL, _PLANT_SQL, _SRC_KEYS, _UNMATCHED_SQL, _VARIANCE_SQL, DUP_COLUMNS,
+    _DUP_SQL, _LOAD_SQL, _NULL_SQL, _PLANT_SQL, _SRC_KEYS, _UNMATCHED_SQL, _VARIANCE_SQL, DUP_COLUMNS,
 )
 from stockgrid.plans.registry import query
 from stockgrid.plans.views import _KPI_SQL, dashboard_grid
@@ -77,13 +77,6 @@ def q_unmatched_report(spark, sf_dir):
     return reports.unmatched_report(td.source_rows(spark, sf_dir), load_target(spark, sf_dir))
 
 
-_LOAD_SQL = f"""
-select r.kind, r.plant,
-  case when p.row_count is null then 'Missing' when p.violations <> '' then 'Error' else 'Valid' end as status,
-  coalesce(p.row_count, 0) as row_count, coalesce(p.violations, '') as violations
-from required_files r left join ({_PLANT_SQL}) p on r.kind = p.kind and r.plant = p.expected_plant
-"""
-
 _SUMMARY_SQL = f"""
 select 'row_count' as section, kind || ':' || plant as item, cast(row_count as double) as value from ({_LOAD_SQL}) a
 union all select 'valid', kind || ':' || plant, cast(status = 'Valid' as int) from ({_LOAD_SQL}) b
