@@ -49,21 +49,18 @@ def target_lookup(master: DataFrame, cleaned: bool = False) -> DataFrame:
 
 
 def master_duplicates(master: DataFrame, cleaned: bool = False) -> DataFrame:
-    """Master rows that lose the per-key ranking (every row but the winner).
-
-    Identical rows are first counted (map-side combined), then each distinct
-    row is emitted as many times as it lost: its count, or count - 1 for the
-    winning row.
+    """master rows that lose the per-key ranking (every row but one
+    winner per key, identical copies included).
+
+    Each row gets an identity at the scan (``monotonically_increasing_id``
+    is stable for a file scan's fixed splits); the winner per key is the
+    ``min_by`` of that identity over (rank, identity), and the losers are
+    the rows joined to their key's winner with a different identity. Copies
+    of a row stay where they were read: nothing is re-expanded from a count.
     """
-    m = master if cleaned else clean_master(master)
-    distinct_rows = m.groupBy(*MASTER_COLUMNS).agg(F.count(F.lit(1)).alias("_n"))
-    winners = m.groupBy(*KEY).agg(F.min_by(_payload(), _rank()).alias("_w"))
-    j = distinct_rows.join(winners, KEY, "inner")
-    is_winner = _payload().eqNullSafe(F.col("_w"))
-    losses = F.when(is_winner, F.col("_n") - 1).otherwise(F.col("_n"))
-    out = j.withColumn("_losses", losses).filter(F.col("_losses") > 0)
-    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_losses"))))
-    return out.select(*MASTER_COLUMNS)
+    m = (master if cleaned else clean_master(master)).withColumn("_rid", F.monotonically_increasing_id())
+    winners = m.groupBy(*KEY).agg(F.min_by("_rid", F.struct(_rank(), F.col("_rid"))).alias("_win"))
+    return m.join(winners, KEY, "inner").filter(F.col("_rid") != F.col("_win")).select(*MASTER_COLUMNS)
 
 
 def normalize_master_keys(master: DataFrame) -> DataFrame:
