@@ -160,6 +160,14 @@ def formula_survey(cells: DataFrame) -> DataFrame:
         F.count_if(is_formula & f.contains("#REF!")).alias("ref_error_count"))
 
 
+def workbook_totals(cells: DataFrame) -> DataFrame:
+    """M9 totals in one row: sheets, formulas and '#REF!' formulas."""
+    f = shown()
+    is_formula = f.startswith("=")
+    return cells.agg(F.count_distinct("sheet").alias("sheets"), F.count_if(is_formula).alias("formulas"),
+                     F.count_if(is_formula & f.contains("#REF!")).alias("ref_errors"))
+
+
 def broken_formula_samples(cells: DataFrame, k: int = config.BROKEN_FORMULA_SAMPLES,
                            chars: int = config.BROKEN_FORMULA_CHARS) -> DataFrame:
     """The first k '#REF!' formulas of each sheet in row, column order

@@ -51,6 +51,10 @@ AUDIT_VARIANCES = "-- Grand total variances --"
 AUDIT_DUPLICATES = "-- Duplicate row counts (preserved, not deleted) --"
 AUDIT_FILES = "-- File / schema validation --"
 AUDIT_UNMATCHED = "-- Unmatched materials --"
+AUDIT_WORKBOOK = "-- Reference workbook audit --"
+AUDIT_WB_SHEETS = "  Sheets: "
+AUDIT_WB_FORMULAS = "  Formulas: "
+AUDIT_WB_REF = "  #REF! error formulas (never translated into dashboard logic): "
 
 
 def write_table(spark: SparkSession, df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> str:
@@ -164,8 +168,11 @@ def _lines(df: DataFrame, section_no: int, line_no: Column, line: Column) -> Dat
 
 
 def audit_lines(spark: SparkSession, variances: DataFrame, duplicates: DataFrame, status: DataFrame,
-                unmatched_counts: DataFrame, no_activity_count: DataFrame, refreshed: str) -> DataFrame:
-    """The audit report as ordered (section_no, line_no, line) rows."""
+                unmatched_counts: DataFrame, no_activity_count: DataFrame, refreshed: str,
+                workbook_totals: DataFrame | None = None) -> DataFrame:
+    """The audit report as ordered (section_no, line_no, line) rows.
+    ``workbook_totals`` (one row: sheets, formulas, ref_errors) adds the
+    workbook-audit section."""
     gate = quality.reconciliation_gate(variances)
     head = spark.createDataFrame([(0, 0, AUDIT_TITLE), (0, 1, f"Refreshed: {refreshed}")],
                                  "section_no int, line_no int, line string")
@@ -199,7 +206,16 @@ def audit_lines(spark: SparkSession, variances: DataFrame, duplicates: DataFrame
     master_line = _lines(no_activity_count, 4, F.lit(5), F.concat(
         F.lit("  product_master: "), F.col("n").cast("string"),
         F.lit(" material(s) with no current SAP activity")))
+    parts = [verdict, fixed, var_lines, dup_lines, file_lines, unm_lines, master_line]
+    if workbook_totals is not None:
+        wb = workbook_totals
+        parts += [
+            spark.createDataFrame([(5, 0, ""), (5, 1, AUDIT_WORKBOOK)], "section_no int, line_no int, line string"),
+            _lines(wb, 5, F.lit(2), F.concat(F.lit(AUDIT_WB_SHEETS), F.col("sheets").cast("string"))),
+            _lines(wb, 5, F.lit(3), F.concat(F.lit(AUDIT_WB_FORMULAS), F.col("formulas").cast("string"))),
+            _lines(wb, 5, F.lit(4), F.concat(F.lit(AUDIT_WB_REF), F.col("ref_errors").cast("string"))),
+        ]
     out = head
-    for p in (verdict, fixed, var_lines, dup_lines, file_lines, unm_lines, master_line):
+    for p in parts:
         out = out.unionByName(p)
     return out

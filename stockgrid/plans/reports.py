@@ -139,11 +139,17 @@ union all select 4, {_KIND_NO_SQL} + 1, '  ' || kind || ': ' || cast(n as varcha
   || ' material(s) in source not in product master' from ({_UNMATCHED_COUNTS_SQL}) u
 union all select 4, 5, '  product_master: ' || cast(count(*) as varchar)
   || ' material(s) with no current SAP activity' from ({_MASTER_NO_ACT_SQL}) m
+union all select 5, 0, ''
+union all select 5, 1, '{reports.AUDIT_WORKBOOK}'
+union all select 5, 2, '{reports.AUDIT_WB_SHEETS}' || cast(count(distinct sheet) as varchar) from cells
+union all select 5, 3, '{reports.AUDIT_WB_FORMULAS}' || cast(count(*) filter (where starts_with(coalesce(formula, value), '=')) as varchar) from cells
+union all select 5, 4, '{reports.AUDIT_WB_REF}' || cast(count(*) filter (where starts_with(coalesce(formula, value), '=')
+  and contains(coalesce(formula, value), '#REF!')) as varchar) from cells
 """
 
 
 @query("audit_lines", "L6", with_views(_AUDIT_SQL, *config.KINDS, "grid", "target", "required_files",
-                                        "file_rows"))
+                                        "file_rows", "cells"))
 def q_audit_lines(spark, sf_dir):
     tagged, target, grid, per_file = _report_inputs(spark, sf_dir)
     variances = quality.reconciliation_variance(tagged, grid)
@@ -153,6 +159,8 @@ def q_audit_lines(spark, sf_dir):
         "kind", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
     no_act = quality.master_no_activity(tagged, target).agg(F.count(F.lit(1)).alias("n"))
     status = loading.load_status(td.required_files(spark), per_file=per_file)
+    from stockgrid.operators.master_build import workbook_totals
+    from stockgrid.sources.cells import cells_table
     return reports.audit_lines(spark, variances, quality.duplicate_rows(tagged, DUP_COLUMNS), status,
-                               unmatched_counts, no_act, REFRESHED)
+                               unmatched_counts, no_act, REFRESHED, workbook_totals(cells_table(spark, sf_dir)))
 
