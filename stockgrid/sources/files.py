@@ -13,6 +13,7 @@
 """
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,9 +24,6 @@ from stockgrid import config
 from stockgrid.functions import coerce_numeric, coerce_timestamp, normalize_identifier
 from stockgrid.operators import loading
 
-MAX_HEADER_WIDTH = 256
-
-
 def routing(spark: SparkSession) -> DataFrame:
     """A2: upload file name -> (kind, plant); a fixed 9-row dimension."""
     rows = [(f, k, p) for f, (k, p) in config.UPLOAD_FILE_MAP.items()]
@@ -37,6 +35,15 @@ def _csv_name(file_name):
     return F.regexp_replace(file_name, r"\.[A-Za-z0-9]+$", ".xlsx")
 
 
+def _split_csv_line(line, sep: str):
+    """Fields of one CSV line (RFC 4180 quoting, no embedded newlines):
+    split on separators outside quotes, then unquote. No width limit."""
+    sep_re = re.escape(sep)
+    parts = F.split(line, f'{sep_re}(?=(?:[^"]*"[^"]*")*[^"]*$)')
+    return F.transform(parts, lambda x: F.regexp_replace(
+        F.regexp_replace(x, r'^\s*"|"\s*$', ""), '""', '"'))
+
+
 def header_rows(spark: SparkSession, paths: Sequence[str] | str, sep: str = ",") -> DataFrame:
     """(file_name, ordinal, name) of every file's header line."""
     text = spark.read.text(paths).select(
@@ -44,12 +51,9 @@ def header_rows(spark: SparkSession, paths: Sequence[str] | str, sep: str = ",")
         F.col("_metadata.file_block_start").alias("_block"))
     first = (text.filter(F.col("_block") == 0).withColumn("_id", F.monotonically_increasing_id())
              .groupBy("file_name").agg(F.min_by("value", "_id").alias("line")))
-    wide = ", ".join(f"c{i} STRING" for i in range(MAX_HEADER_WIDTH))
-    parsed = first.select("file_name", F.from_csv("line", wide, {"sep": sep}).alias("h"))
-    cells = parsed.select("file_name", F.posexplode(F.array(*[F.col(f"h.c{i}") for i in range(MAX_HEADER_WIDTH)]))
-                          .alias("pos", "name"))
-    return cells.filter(F.col("name").isNotNull()).select(
-        "file_name", (F.col("pos") + 1).alias("ordinal"), "name")
+    cells = first.select("file_name", F.posexplode(_split_csv_line(F.col("line"), sep)).alias("pos", "name"))
+    # a blank line has no header (the file is reported unreadable)
+    return cells.filter(F.col("name") != "").select("file_name", (F.col("pos") + 1).alias("ordinal"), "name")
 
 
 def validate_headers(spark: SparkSession, paths, sep: str = ",") -> DataFrame:

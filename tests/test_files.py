@@ -139,3 +139,11 @@ def test_refresh_end_to_end(spark, tmp_dir):
     assert g[("2910", "10000")].Supplier == "Alimentias" and g[("2910", "10000")].Target_Stock == 40
     assert g[("2920", "10001")].Risk_Status == "Review"  # master row without supplier
     assert "ordering_dashboard" in res["written"]
+
+
+def test_header_parse_quotes_and_width(spark, tmp_dir):
+    names = [f"Col {i}" for i in range(400)] + ['Quoted, with comma', 'Has ""quote""']
+    with open(os.path.join(tmp_dir, "wide.csv"), "w") as fh:
+        fh.write(",".join(names[:400]) + ',"Quoted, with comma","Has ""quote"""\n1,2\n')
+    rows = files.header_rows(spark, os.path.join(tmp_dir, "wide.csv")).orderBy("ordinal").collect()
+    assert len(rows) == 402 and rows[400].name == "Quoted, with comma" and rows[401].name == 'Has "quote"'
