@@ -3,34 +3,45 @@
 Double addition depends on the order rows reach an aggregate, so a
 distributed total would drift with partitioning and break the zero-variance
 gate. Each quantity is rounded to six places (the variance precision) and
-summed as a 64-bit count of millionths: integer addition is exact and
-associative, runs in whole-stage codegen with a fixed-width buffer (a
-DECIMAL(28,6) sum would carry a BigDecimal per group), and an overflow
-raises under ANSI mode instead of wrapping. NaN / infinite / out-of-range
+split into whole units and millionths; the two parts are summed as 64-bit
+integers, which is exact, associative and runs in whole-stage codegen with
+fixed-width buffers (a DECIMAL sum would carry a BigDecimal per group).
+Whole units overflow only beyond ~9.2e18 and millionths (each < 1e6) only
+beyond ~9.2e12 rows, so totals over 100 TB of order lines stay exact. The two
+sums are recombined once per group through DECIMAL(38,6) and returned as
+double (correctly rounded). NaN, infinite and out-of-range (|x| >= 9e18)
 values count as missing, like a failed decimal cast.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType
+from pyspark.sql.types import DecimalType, DoubleType, LongType
 
 SCALE = 1_000_000  # six decimal places
+LIMIT = 9.0e18     # whole units must fit a long
 
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def micro_units(c) -> Column:
-    """Value as a whole number of millionths, nearest (ties to even);
-    null when not finite or out of range."""
-    return F.rint(_col(c).cast(DoubleType()) * F.lit(float(SCALE))).try_cast(LongType())
+def whole_and_millionths(c) -> tuple[Column, Column]:
+    """(floor(x), round((x - floor(x)) * 1e6)) as longs; null when x is
+    missing, not finite or out of range."""
+    x = _col(c).cast(DoubleType())
+    ok = F.abs(x) < F.lit(LIMIT)
+    whole = F.floor(x)
+    return (F.when(ok, whole).cast(LongType()),
+            F.when(ok, F.rint((x - whole) * F.lit(float(SCALE)))).cast(LongType()))
 
 
 def exact_total(c) -> Column:
     """Exact sum to six places; null when no value is present."""
-    return F.sum(micro_units(c)).cast(DoubleType()) / F.lit(float(SCALE))
+    whole, micro = whole_and_millionths(c)
+    total_micro = (F.sum(whole).cast(DecimalType(38, 0)) * F.lit(SCALE)
+                   + F.sum(micro).cast(DecimalType(38, 0)))
+    return (total_micro / F.lit(SCALE)).cast(DoubleType())
 
 
 def exact_sum(c) -> Column:

@@ -105,3 +105,15 @@ def test_header_validation_cases(spark):
     assert out[4].missing_columns == "Material" and out[4].extra_columns == "Material Number"
     assert out[5].reordered and not out[5].ok
     assert out[6].duplicated_columns == "Material" and not out[6].reordered
+
+
+def test_exact_sums_do_not_overflow_and_are_order_free(spark):
+    from stockgrid.functions import exact_sum
+    big = 4.0e12  # 4e12 units: 4e18 millionths would overflow one 64-bit sum after 3 rows
+    rows = [(big + 0.123456,), (big,), (big,), (-0.5,), (1.0e-7,), (float("nan"),), (None,)]
+    df = spark.createDataFrame(rows, "x double")
+    a = df.agg(exact_sum("x").alias("s")).first().s
+    b = df.repartition(5).sortWithinPartitions(F.rand(3)).agg(exact_sum("x").alias("s")).first().s
+    assert a == b == 3 * big + 0.123456 - 0.5
+    empty = spark.createDataFrame([(None,)], "x double").agg(exact_sum("x").alias("s")).first().s
+    assert empty == 0.0
