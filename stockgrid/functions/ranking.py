@@ -7,8 +7,8 @@ helpers keep each window partition bounded:
 * ``row_number_within`` range-partitions on (group, order), numbers rows
   locally per (partition, group), and adds each slice's offset from a small
   per-slice count table (its size is bounded by partitions + groups).
-* ``top_k_within`` ranks inside hash-salted sub-groups first, so the final
-  per-group window sees at most ``k * salt_buckets`` candidates.
+* ``top_k_within`` is ``row_number() <= k``, which Spark plans with a
+  partial per-task group limit before the shuffle.
 """
 from __future__ import annotations
 
@@ -34,15 +34,16 @@ def row_number_within(df: DataFrame, group_cols: Sequence[str], order_cols: Sequ
         .drop("_slice", "_local", "_offset")
 
 
-def top_k_within(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence, k: int,
-                 salt_buckets: int = 64) -> DataFrame:
+def top_k_within(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence, k: int) -> DataFrame:
     """The first ``k`` rows of each group by ``order_cols`` (total order),
-    with a ``rank`` column 1..k."""
+    with a ``rank`` column 1..k.
+
+    Written as ``row_number() <= k``: Spark's optimizer turns this into a
+    WindowGroupLimit that keeps the top ``k`` per group inside every map task
+    before the shuffle (and again after it), so a group ships at most ``k``
+    rows per task however large it is. ``k`` must stay within
+    ``spark.sql.optimizer.windowGroupLimitThreshold`` (1000 by default).
+    """
     order_exprs = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    salt = F.pmod(F.xxhash64(*order_exprs), F.lit(salt_buckets))
-    salted = df.withColumn("_salt", salt)
-    w1 = Window.partitionBy(*group_cols, "_salt").orderBy(*order_exprs)
-    candidates = salted.withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") <= k)
-    w2 = Window.partitionBy(*group_cols).orderBy(*order_exprs)
-    return (candidates.withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= k)
-            .drop("_salt", "_r1"))
+    w = Window.partitionBy(*group_cols).orderBy(*order_exprs)
+    return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -171,7 +171,7 @@ def workbook_totals(cells: DataFrame) -> DataFrame:
 def broken_formula_samples(cells: DataFrame, k: int = config.BROKEN_FORMULA_SAMPLES,
                            chars: int = config.BROKEN_FORMULA_CHARS) -> DataFrame:
     """The first k '#REF!' formulas of each sheet in row, column order
-    (salted two-stage top-k, no whole-sheet window)."""
+    (a per-task group limit before the shuffle, no whole-sheet window)."""
     f = shown()
     broken = cells.filter(f.startswith("=") & f.contains("#REF!")).select(
         "sheet", "row_no", "col_no", F.substring(f, 1, chars).alias("formula"))

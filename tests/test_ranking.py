@@ -24,7 +24,9 @@ def test_row_number_within_matches_window(spark):
 
 def test_top_k_within_matches_window(spark):
     df = _skewed(spark)
-    ours = top_k_within(df, ["g"], ["k"], 3, salt_buckets=8)
+    ours = top_k_within(df, ["g"], ["k"], 3)
+    plan = ours._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan  # per-task top-k before the shuffle
     ref = (df.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy("k")))
            .filter("rank <= 3"))
     assert sorted(map(tuple, ours.select("g", "k", "rank").collect())) == \
