@@ -15,7 +15,8 @@ SF_ORACLE = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     from stockgrid.session import build_session
-    s = build_session("local[4]", app_name="stockgrid-tests", shuffle_partitions=8)
+    s = build_session("local[4]", app_name="stockgrid-tests", shuffle_partitions=8,
+                      extra={"spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="stockgrid-wh-")})
     yield s
     s.stop()
 
