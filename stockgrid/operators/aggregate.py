@@ -27,6 +27,15 @@ def allocation_source(field_by_plant: dict[str, str] | None = None) -> Column:
     return expr if expr is not None else F.lit(None).cast("double")
 
 
+def allocation_source_sql(field_by_plant: dict[str, str] | None = None) -> str:
+    """``allocation_source`` as SQL text (for one-call expression building)."""
+    field_by_plant = field_by_plant or config.ALLOCATION_FIELD_BY_PLANT
+    if not field_by_plant:
+        return "CAST(NULL AS DOUBLE)"
+    arms = " ".join(f"WHEN `Plant` = '{p}' THEN `{f}`" for p, f in field_by_plant.items())
+    return f"CASE {arms} END"
+
+
 def on_hand_measures() -> list[Column]:
     return [
         exact_sum("unrestricted").alias("Unrestricted_On_Hand"),
@@ -49,7 +58,7 @@ def open_order_measures(field_by_plant: dict[str, str] | None = None) -> list[Co
         exact_sum("po_request_qty").alias("PO_Request_Qty"),
         exact_sum("inbound_qty").alias("Inbound_Delivery_Qty"),
         F.min("delivery_date").alias("Next_PO_Delivery_Date"),
-        exact_sum(allocation_source(field_by_plant)).alias("Allocation_Qty"),
+        exact_sum(allocation_source_sql(field_by_plant)).alias("Allocation_Qty"),
     ]
 
 
@@ -80,7 +89,7 @@ def agg_allocation(open_orders: DataFrame, field_by_plant: dict[str, str] | None
     """Allocation per key of configured plants only, one pass."""
     field_by_plant = field_by_plant or config.ALLOCATION_FIELD_BY_PLANT
     return (open_orders.filter(F.col("Plant").isin(*field_by_plant.keys()))
-            .groupBy(*KEY).agg(exact_sum(allocation_source(field_by_plant)).alias("Allocation_Qty")))
+            .groupBy(*KEY).agg(exact_sum(allocation_source_sql(field_by_plant)).alias("Allocation_Qty")))
 
 
 def tag_sources(customer_orders: DataFrame | None, on_hand: DataFrame | None,

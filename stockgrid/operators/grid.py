@@ -40,41 +40,46 @@ GRID_COLUMNS = [
 
 def with_position(grid: DataFrame) -> DataFrame:
     """Quantities default to 0; available + incoming; balance."""
-    out = grid
-    for c in QTY_COLUMNS:
-        out = out.withColumn(c, F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
-    out = out.withColumn("Available_Plus_Incoming", F.col("Unrestricted_On_Hand") + F.col("Open_PO_Qty"))
-    return out.withColumn("Projected_Balance", F.col("Available_Plus_Incoming") - F.col("Customer_Order_Qty"))
+    qty = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in QTY_COLUMNS}
+    available = qty["Unrestricted_On_Hand"] + qty["Open_PO_Qty"]
+    others = [F.col(c) for c in grid.columns
+              if c not in qty and c not in ("Available_Plus_Incoming", "Projected_Balance")]
+    return grid.select(*others, *[e.alias(c) for c, e in qty.items()],
+                       available.alias("Available_Plus_Incoming"),
+                       (available - qty["Customer_Order_Qty"]).alias("Projected_Balance"))
 
 
-def with_recommendation(grid: DataFrame, pct: float = config.SAFETY_STOCK_PCT) -> DataFrame:
-    """E4-E7 from Target_Stock, position, Unconfirmed_Qty and Manual_Override.
+def recommendation_columns(pct: float = config.SAFETY_STOCK_PCT) -> list:
+    """E4-E7 as expressions over Target_Stock, position, Unconfirmed_Qty,
+    Manual_Override and Supplier.
 
     Suggested = ceil(max(target - available + unconfirmed + override, 0)),
     null without a target; safety = target * pct; status tested in the
     order Review, Critical, At Risk, Covered.
     """
-    has_target = F.col("Target_Stock").isNotNull()
-    raw = (F.col("Target_Stock") - F.col("Available_Plus_Incoming")
-           + F.col("Unconfirmed_Qty") + F.col("Manual_Override"))
+    target = F.col("Target_Stock")
+    has_target = target.isNotNull()
+    raw = (target - F.col("Available_Plus_Incoming") + F.col("Unconfirmed_Qty") + F.col("Manual_Override"))
     suggested = F.when(has_target, F.ceil(F.greatest(raw, F.lit(0.0))).cast("double"))
-    safety = F.when(has_target, F.col("Target_Stock") * F.lit(float(pct)))
+    safety = F.when(has_target, target * F.lit(float(pct)))
     balance = F.col("Projected_Balance")
     risk = (F.when(F.col("Supplier").isNull() | ~has_target, F.lit(config.RISK_REVIEW))
             .when(balance < 0, F.lit(config.RISK_CRITICAL))
-            .when(balance < F.col("Safety_Stock"), F.lit(config.RISK_AT_RISK))
+            .when(balance < safety, F.lit(config.RISK_AT_RISK))
             .otherwise(F.lit(config.RISK_COVERED)))
-    return (grid.withColumn("Has_Target", has_target)
-            .withColumn("Suggested_Order_Qty", suggested)
-            .withColumn("Safety_Stock", safety)
-            .withColumn("Risk_Status", risk))
+    return [has_target.alias("Has_Target"), suggested.alias("Suggested_Order_Qty"),
+            safety.alias("Safety_Stock"), risk.alias("Risk_Status")]
+
+
+def with_recommendation(grid: DataFrame, pct: float = config.SAFETY_STOCK_PCT) -> DataFrame:
+    """E4-E7 appended to (or replacing) the grid's recommendation columns."""
+    derived = {"Has_Target", "Suggested_Order_Qty", "Safety_Stock", "Risk_Status"}
+    return grid.select(*[F.col(c) for c in grid.columns if c not in derived], *recommendation_columns(pct))
 
 
 def _finish(keyed: DataFrame, target: DataFrame, pct: float) -> DataFrame:
-    grid = keyed.join(target.select(*TARGET_COLUMNS), on=KEY, how="left")
-    grid = with_position(grid)
-    grid = (grid.withColumn("Manual_Override", F.lit(0.0))
-            .withColumn("Planner_Note", F.lit("")))
+    grid = with_position(keyed.join(target.select(*TARGET_COLUMNS), on=KEY, how="left"))
+    grid = grid.select("*", F.lit(0.0).alias("Manual_Override"), F.lit("").alias("Planner_Note"))
     return with_recommendation(grid, pct).select(*GRID_COLUMNS)
 
 
@@ -113,5 +118,4 @@ def grid_join_form(customer_orders: DataFrame, on_hand: DataFrame, open_orders:
 def recompute(grid: DataFrame, pct: float = config.SAFETY_STOCK_PCT) -> DataFrame:
     """Re-derive Has_Target, suggestion, safety and status on a stored
     grid (e.g. after overrides) without re-aggregating."""
-    return with_recommendation(grid.drop("Has_Target", "Suggested_Order_Qty", "Safety_Stock", "Risk_Status"),
-                               pct).select(*GRID_COLUMNS)
+    return with_recommendation(grid, pct).select(*GRID_COLUMNS)

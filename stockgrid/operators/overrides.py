@@ -31,7 +31,7 @@ def apply_overrides(grid: DataFrame, overrides: DataFrame,
     o = overrides.select(*KEY, F.col("Manual_Override").cast("double").alias("_new_override"),
                          F.col("Planner_Note").alias("_new_note"))
     j = grid.join(o, KEY, "left")
-    j = (j.withColumn("Manual_Override", F.coalesce("_new_override", "Manual_Override"))
-          .withColumn("Planner_Note", F.coalesce("_new_note", "Planner_Note"))
-          .drop("_new_override", "_new_note"))
-    return recompute(j.select(*GRID_COLUMNS), pct)
+    merged = {"Manual_Override": F.coalesce("_new_override", "Manual_Override"),
+              "Planner_Note": F.coalesce("_new_note", "Planner_Note")}
+    j = j.select(*[merged[c].alias(c) if c in merged else F.col(c) for c in GRID_COLUMNS])
+    return recompute(j, pct)

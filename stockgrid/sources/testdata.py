@@ -19,8 +19,20 @@ from stockgrid import config
 RETURNFLAG_KIND = {"N": "customer_orders", "R": "on_hand", "A": "open_orders"}
 
 
+_READERS: dict[tuple[str, str], DataFrame] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """One shared (read-only) table. The scan definition is made once per
+    application and path, so repeated queries skip file listing and footer
+    reads at planning time; each query still plans its own column pruning
+    and filters over it."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    df = _READERS.get(key)
+    if df is None or df.sparkSession is not spark:
+        df = _READERS[key] = spark.read.parquet(path)
+    return df
 
 
 def plant_of(key: Column) -> Column:
