@@ -22,12 +22,12 @@ REFRESHED = "2026-08-19 12:00:00 EDT"
 def _report_inputs(spark, sf_dir):
     """Inputs many report sections read. The tagged sources (a full
     lineitem scan and join to orders, read by most sections in different
-    shapes) are written once under the shared checkpoint folder, partitioned
-    by kind. The per-file plant statistics feed two sections through the
-    same aggregate, which Spark's exchange reuse computes once; key-level
-    results (target, grid) stay lazy."""
+    shapes) are checkpointed once to the shared checkpoint folder, which
+    cuts their lineage: every section reads the stored rows, and a lost
+    executor does not re-run the scan and join. Key-level results (target,
+    grid, per-file statistics) stay lazy."""
     from stockgrid.operators.grid import ordering_grid
-    tagged = reports.materialize(spark, td.source_rows(spark, sf_dir), "source_rows", partition_by=["kind"])
+    tagged = td.source_rows(spark, sf_dir).checkpoint(eager=True)
     target = load_target(spark, sf_dir)
     grid = ordering_grid(tagged, target)
     per_file = loading.plant_violations(td.file_rows(spark, sf_dir))

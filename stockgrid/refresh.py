@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockgrid import config
-from stockgrid.operators import loading, quality, reports
+from stockgrid.operators import loading, quality
 from stockgrid.operators.aggregate import tag_sources
 from stockgrid.operators.grid import ordering_grid
 from stockgrid.operators.overrides import apply_overrides
@@ -50,7 +50,7 @@ def refresh(spark: SparkSession, uploads: str, master: str, out_dir: str | None
         raise UploadsInvalid("not every required upload is valid; see the manifest")
     kinds = {k: loaded[k] for k in config.KINDS if k in loaded}
     tagged = tag_sources(kinds.get("customer_orders"), kinds.get("on_hand"), kinds.get("open_orders"))
-    tagged = reports.materialize(spark, tagged, "refresh-sources", partition_by=["kind"])
+    tagged = tagged.checkpoint(eager=True)  # parsed once; lineage cut in the shared checkpoint folder
     target = target_lookup(read_master_csv(spark, master))
     grid = ordering_grid(tagged, target)
     dashboard = grid
