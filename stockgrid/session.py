@@ -37,21 +37,33 @@ def build_session(master: str | None = None, app_name: str = "stockgrid",
     return spark
 
 
+def app_id(spark: SparkSession) -> str:
+    """The application's id (works for classic and Connect sessions)."""
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # Spark Connect: no SparkContext on the client
+        return spark.conf.get("spark.app.id", None) or str(id(spark))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
     A cluster sets ``spark.checkpoint.dir`` to shared storage; we only pick a
     folder of our own when it is unset (local runs and tests).
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if configured:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(configured)
-        return spark.sparkContext.getCheckpointDir() or configured
-    local = tempfile.mkdtemp(prefix="stockgrid-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
-    return spark.sparkContext.getCheckpointDir() or local
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the server owns the context
+        sc = None
+    configured = spark.conf.get("spark.checkpoint.dir", None) or (sc.getCheckpointDir() if sc else None)
+    if not configured:
+        configured = tempfile.mkdtemp(prefix="stockgrid-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        spark.conf.set("spark.checkpoint.dir", configured)
+    if sc is None:
+        return configured
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(configured)
+    return sc.getCheckpointDir() or configured
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockgrid.functions.ranking import row_number_within
+from stockgrid.session import app_id
 from stockgrid.sources.testdata import read_table
 
 # header labels of the generated sheets (col_no, label)
@@ -65,7 +66,7 @@ def cells_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     master-build jobs read a stored table, as they would in production,
     instead of regenerating it in every plan."""
     from stockgrid.operators.reports import write_table
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    key = (app_id(spark), sf_dir.rstrip("/"))
     if key not in _WRITTEN:
         _WRITTEN[key] = write_table(spark, cells(spark, sf_dir), "cells")
     return spark.read.parquet(_WRITTEN[key])

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockgrid import config
+from stockgrid.session import app_id
 
 RETURNFLAG_KIND = {"N": "customer_orders", "R": "on_hand", "A": "open_orders"}
 
@@ -28,7 +29,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     reads at planning time; each query still plans its own column pruning
     and filters over it."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (spark.sparkContext.applicationId, path)
+    key = (app_id(spark), path)
     df = _READERS.get(key)
     if df is None or df.sparkSession is not spark:
         df = _READERS[key] = spark.read.parquet(path)
