@@ -32,22 +32,44 @@ OVERRIDE_EVENT_SCHEMA = StructType([
 
 
 def ingest_drop_folder(spark: SparkSession, folder: str, kind: str, table_path: str,
-                       checkpoint: str, sep: str = ",") -> int:
+                       checkpoint: str, sep: str = ",", max_files_per_trigger: int = 64) -> int:
     """Drain new files of one kind into ``table_path``; returns the
-    number of micro-batches run."""
+    number of micro-batches run.
+
+    Each micro-batch checks the header of its own files (at most
+    ``max_files_per_trigger``) against the kind's contract, appends rows of
+    the files that pass, and records every file with its header result and
+    row count in ``<table_path>_manifest``. Both writes overwrite only the
+    batch's own partition, so a replayed batch is idempotent.
+    """
+    from stockgrid import config
+    from stockgrid.operators.loading import header_validation
     schema = files._string_schema(kind)
     stream = (spark.readStream.schema(schema).option("header", True).option("sep", sep)
-              .option("maxFilesPerTrigger", 64).csv(folder)
-              .withColumn("_source_file", F.col("_metadata.file_name")))
-    typed = stream.select(*files.typed_columns(kind), "_source_file")
+              .option("maxFilesPerTrigger", max_files_per_trigger).csv(folder)
+              .withColumn("_source_file", F.col("_metadata.file_name"))
+              .withColumn("_source_path", F.col("_metadata.file_path")))
+    typed = stream.select(*files.typed_columns(kind), "_source_file", "_source_path")
     batches = []
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        # foreachBatch is at-least-once: a replayed batch overwrites its own
-        # batch_id partitions (dynamic overwrite) instead of appending twice
-        (batch.withColumn("batch_id", F.lit(batch_id).cast("long"))
+        # the batch's file list is bounded by maxFilesPerTrigger
+        paths = [r[0] for r in batch.select("_source_path").distinct().collect()]
+        if not paths:
+            return
+        checked = header_validation(files.header_rows(spark, paths, sep), config.HEADERS_BY_KIND[kind],
+                                    file_col="file_name").select(F.col("file_name").alias("_source_file"), "result")
+        rows = batch.join(F.broadcast(checked), "_source_file", "left")
+        good = rows.filter(F.col("result") == "ok").drop("result", "_source_path")
+        (good.withColumn("batch_id", F.lit(batch_id).cast("long"))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("batch_id", "Plant").parquet(table_path))
+        manifest = (rows.groupBy("_source_file").agg(
+            F.coalesce(F.first("result", ignorenulls=True), F.lit("unreadable")).alias("header_result"),
+            F.count(F.lit(1)).alias("row_count"))
+            .withColumn("batch_id", F.lit(batch_id).cast("long")))
+        (manifest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("batch_id").parquet(table_path.rstrip("/") + "_manifest"))
         batches.append(batch_id)
 
     q = (typed.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)

@@ -29,6 +29,16 @@ def test_drop_folder_reads_each_file_once(spark, tmp_dir):
     assert t.count() == 6 and {r.Plant for r in t.select("Plant").distinct().collect()} == {"2910", "2930"}
     ingest_drop_folder(spark, drop, "on_hand", table, ckpt)   # nothing new: no change
     assert read_kind_table(spark, table, "on_hand").count() == 6
+    # a file with a wrong header is recorded and its rows are kept out
+    with open(os.path.join(uploads, "OH2930.csv")) as fh:
+        lines = fh.read().splitlines()
+    with open(os.path.join(drop, "OH_bad.csv"), "w") as fh:
+        fh.write("\n".join(["Material Number" + lines[0][len("Material"):]] + lines[1:]) + "\n")
+    ingest_drop_folder(spark, drop, "on_hand", table, ckpt)
+    assert read_kind_table(spark, table, "on_hand").count() == 6
+    man = {r._source_file: r for r in spark.read.parquet(table + "_manifest").collect()}
+    assert man["OH_bad.csv"].header_result == "mismatch" and man["OH_bad.csv"].row_count == 3
+    assert man["OH2910.csv"].header_result == "ok"
 
 
 def test_override_stream_matches_batch(spark, tmp_dir):
