@@ -38,3 +38,17 @@ def test_plan_shape(at_scale, name):
             assert "SinglePartition" not in lines[i + 1], line
     if "BroadcastExchange" in plan:
         assert name in FIXED_DIMENSION_BROADCASTS
+
+
+def test_flagship_shape(at_scale):
+    """ordering_grid at scale: map-side partial aggregation before the single
+    key exchange of the grid side, and lineitem/orders each shuffled once."""
+    plan = catalog.REGISTRY["ordering_grid"].build(at_scale, SF_SMALL)._jdf.queryExecution() \
+        .executedPlan().toString()
+    exchanges = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    key_exchanges = [line for line in exchanges if "Plant" in line and "Material" in line]
+    assert len(key_exchanges) == 2          # grid side + target side, each once
+    assert sum("l_orderkey" in line for line in exchanges) == 1
+    assert sum("o_orderkey" in line for line in exchanges) == 1
+    assert "partial_sum" in plan and "partial_min" in plan
+    assert "SortMergeJoin [Plant" in plan   # grid joins the target on the already-partitioned key
