@@ -4,9 +4,10 @@ A ``Window.partitionBy(group)`` puts every row of a group in one task; a
 group holding a third of the data would then be one task's work. These
 helpers keep each window partition bounded:
 
-* ``row_number_within`` range-partitions on (group, order), numbers rows
-  locally per (partition, group), and adds each slice's offset from a small
-  per-slice count table (its size is bounded by partitions + groups).
+* ``row_number_within`` range-partitions on (group, order), checkpoints the
+  slice assignment, numbers rows locally per (slice, group), and adds each
+  slice's offset from a small per-slice count table (its size is bounded by
+  partitions + groups).
 * ``top_k_within`` is ``row_number() <= k``, which Spark plans with a
   partial per-task group limit before the shuffle.
 """
@@ -23,7 +24,14 @@ def row_number_within(df: DataFrame, group_cols: Sequence[str], order_cols: Sequ
     """Dense 1-based row number per group, ordered by ``order_cols``
     (which must make the order total within a group)."""
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *group_cols, *order_cols).withColumn("_slice", F.spark_partition_id())
+    # Range bounds come from sampling, and each evaluation of the exchange
+    # samples anew, so a row's slice is only stable within one evaluation.
+    # The slice-tagged rows are checkpointed once (to the shared checkpoint
+    # folder); local ranks and slice offsets both read that stored
+    # assignment, however many times the result is consumed.
+    ranged = (df.repartitionByRange(n, *group_cols, *order_cols)
+              .withColumn("_slice", F.spark_partition_id())
+              .checkpoint(eager=True))
     local_w = Window.partitionBy("_slice", *group_cols).orderBy(*order_cols)
     local = ranged.withColumn("_local", F.row_number().over(local_w))
     sizes = ranged.groupBy("_slice", *group_cols).agg(F.count(F.lit(1)).alias("_n"))
