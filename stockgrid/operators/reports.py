@@ -101,8 +101,8 @@ def supplier_sections(spark: SparkSession, grid: DataFrame, suppliers: Sequence[
     dim = spark.createDataFrame([(i + 1, s) for i, s in enumerate(suppliers)], "ordinal int, supplier string")
     counts = (grid.filter(F.col("Supplier").isin(*suppliers))
               .groupBy(F.col("Supplier").alias("supplier")).agg(F.count(F.lit(1)).alias("n_rows")))
-    # the dimension is the configured list (fixed size); counts has at most as many rows
-    return (F.broadcast(dim).join(counts, "supplier", "left")
+    # both sides are bounded by the configured list (a left join keeps every section)
+    return (dim.join(counts, "supplier", "left")
             .select("ordinal", "supplier", F.coalesce("n_rows", F.lit(0).cast("long")).alias("n_rows")))
 
 

@@ -155,7 +155,7 @@ def q_audit_lines(spark, sf_dir):
     variances = quality.reconciliation_variance(tagged, grid)
     kinds = spark.createDataFrame([(k,) for k in config.KINDS], "kind string")
     counts = quality.unmatched_by_source(tagged, target).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-    unmatched_counts = F.broadcast(kinds).join(counts, "kind", "left").select(
+    unmatched_counts = kinds.join(counts, "kind", "left").select(
         "kind", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
     no_act = quality.master_no_activity(tagged, target).agg(F.count(F.lit(1)).alias("n"))
     status = loading.load_status(td.required_files(spark), per_file=per_file)
