@@ -91,3 +91,50 @@ def test_exact_sum_equals_decimal_sum(spark, values):
     expected = float(sum((Decimal(repr(float(v))).quantize(Decimal("0.000001")) for v in values if v is not None),
                          Decimal(0)))
     assert df.agg(exact_sum("x").alias("s")).first().s == expected
+
+
+GRID_SCHEMA = ("Plant string, Material string, Supplier string, Description string, Risk_Status string, "
+               "Next_PO_Delivery_Date timestamp_ntz")
+PATTERNS = ["ring|bolt", "10(0|1)", "a.c", "^M", "RED"]
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(rows=st.lists(st.tuples(st.sampled_from([None, "2910", "2920"]),
+                               st.sampled_from([None, "1001", "100999", "M1", "abc"]),
+                               st.sampled_from([None, "S1", "S2", "S3"]),
+                               st.sampled_from([None, "Red Ring", "blue bolt", "x", "A-C plate"]),
+                               st.sampled_from(["Critical", "At Risk", "Review", "Covered"]), day),
+                     min_size=1, max_size=12),
+       plant=st.sampled_from([None, "2910", "2920"]),
+       suppliers=st.one_of(st.none(), st.lists(st.sampled_from(["S1", "S2", "S3"]), min_size=1, max_size=2)),
+       mpat=st.one_of(st.none(), st.sampled_from(PATTERNS)),
+       dpat=st.one_of(st.none(), st.sampled_from(PATTERNS)),
+       action=st.booleans(),
+       months=st.one_of(st.none(), st.lists(st.sampled_from(["2026-01", "2026-02", "2026-03"]), min_size=1,
+                                               max_size=2)))
+def test_filters_match_brute_force(spark, rows, plant, suppliers, mpat, dpat, action, months):
+    import re
+
+    from stockgrid.operators.views import filter_grid
+    df = spark.createDataFrame(rows, GRID_SCHEMA)
+    got = sorted(map(tuple, filter_grid(df, plant=plant, suppliers=suppliers, material_pattern=mpat,
+                                        description_pattern=dpat, action_only=action,
+                                        months=months).collect()), key=repr)
+
+    def keep(r):
+        p, m, s, d, risk, when = r
+        if plant and p != plant:
+            return False
+        if suppliers and s not in suppliers:
+            return False
+        if mpat and not (m is not None and re.search(mpat, m, re.IGNORECASE)):
+            return False
+        if dpat and not (d is not None and re.search(dpat, d, re.IGNORECASE)):
+            return False
+        if action and risk not in ("Critical", "At Risk", "Review"):
+            return False
+        if months and not (when is not None and when.strftime("%Y-%m") in months):
+            return False
+        return True
+
+    assert got == sorted((r for r in rows if keep(r)), key=repr)
