@@ -23,7 +23,7 @@ def load_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.ordering_grid(td.source_rows(spark, sf_dir), load_target(spark, sf_dir))
 
 
-@query("ordering_grid", "E9", with_views(f"select {GRID_COLS} from grid", "grid"))
+@query("ordering_grid", "E9/C2/C3", with_views(f"select {GRID_COLS} from grid", "grid"))
 def q_ordering_grid(spark, sf_dir):
     return load_grid(spark, sf_dir)
 
