@@ -86,12 +86,14 @@ def filter_grid(grid: DataFrame, plant: str | None = None, suppliers: Sequence[s
 
 
 def facets(grid: DataFrame) -> DataFrame:
-    """Distinct non-null suppliers, plants and delivery months."""
-    sup = grid.select(F.lit("supplier").alias("facet"), F.col("Supplier").alias("value"))
-    pla = grid.select(F.lit("plant").alias("facet"), F.col("Plant").alias("value"))
-    mon = grid.select(F.lit("month").alias("facet"), month_of(F.col("Next_PO_Delivery_Date")).alias("value"))
-    return sup.unionByName(pla).unionByName(mon).filter(F.col("value").isNotNull()).distinct() \
-        .orderBy("facet", "value")
+    """Distinct non-null suppliers, plants and delivery months, from
+    one pass over the grid (each row yields its three (facet, value) pairs)."""
+    pairs = F.array(
+        F.struct(F.lit("supplier").alias("facet"), F.col("Supplier").alias("value")),
+        F.struct(F.lit("plant").alias("facet"), F.col("Plant").alias("value")),
+        F.struct(F.lit("month").alias("facet"), month_of(F.col("Next_PO_Delivery_Date")).alias("value")))
+    return (grid.select(F.explode(pairs).alias("p")).select("p.facet", "p.value")
+            .filter(F.col("value").isNotNull()).distinct().orderBy("facet", "value"))
 
 
 def kpis(grid: DataFrame) -> DataFrame:
