@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockgrid import config
-from stockgrid.operators import loading, quality, views
+from stockgrid.functions import exact_sum
+from stockgrid.operators import loading, quality
 from stockgrid.session import scratch_path
 
 KEY = ["Plant", "Material"]
@@ -79,20 +80,34 @@ def export_grid(grid: DataFrame) -> DataFrame:
     return grid.select(*[F.col(c).alias(label) for c, label in EXPORT_COLUMNS])
 
 
-def _kv(df_one_row: DataFrame, pairs, section: str) -> DataFrame:
-    """One-row wide frame -> (section, ordinal, label, value) rows."""
-    stack = ", ".join(f"{i}, '{label}', cast(`{c}` as double)" for i, (c, label) in enumerate(pairs))
-    return df_one_row.select(F.lit(section).alias("section"),
-                             F.expr(f"stack({len(pairs)}, {stack}) as (ordinal, label, value)"))
-
-
 def executive_summary(grid: DataFrame) -> DataFrame:
-    """L4: KPI (label, value) rows, then rows per risk status."""
-    k = _kv(views.kpis(grid), KPI_LABELS, "KPI")
-    s = views.status_counts(grid).select(
-        F.lit(STATUS_SECTION).alias("section"), F.lit(0).alias("ordinal"),
-        F.col("Risk_Status").alias("label"), F.col("n_rows").cast("double").alias("value"))
-    return k.unionByName(s)
+    """L4: KPI (label, value) rows, then rows per risk status.
+
+    One pass over the grid: ``rollup(Risk_Status)`` gives the per-status
+    rows and the grand-total row in one aggregation; the total row expands
+    to the eight KPI rows and each status row to its count row."""
+    at_risk = F.col("Risk_Status").isin(*config.AT_RISK_STATUSES)
+    measures = {
+        "active_materials": F.count_distinct(F.struct("Plant", "Material")),
+        "total_unrestricted_on_hand": exact_sum("Unrestricted_On_Hand"),
+        "total_open_po_qty": exact_sum("Open_PO_Qty"),
+        "total_customer_order_qty": exact_sum("Customer_Order_Qty"),
+        "total_confirmed_qty": exact_sum("Confirmed_Qty"),
+        "total_unconfirmed_qty": exact_sum("Unconfirmed_Qty"),
+        "materials_at_risk": F.count_if(at_risk),
+        "total_suggested_order_qty": exact_sum("Suggested_Order_Qty"),
+    }
+    agg = grid.rollup("Risk_Status").agg(F.grouping_id().alias("_total"), F.count(F.lit(1)).alias("_n"),
+                                         *[e.alias(k) for k, e in measures.items()])
+
+    def row(section, ordinal, label, value):
+        return F.struct(F.lit(section).alias("section"), F.lit(ordinal).alias("ordinal"),
+                        label.alias("label"), value.cast("double").alias("value"))
+
+    kpi_rows = F.array(*[row("KPI", i, F.lit(label), F.col(c)) for i, (c, label) in enumerate(KPI_LABELS)])
+    status_row = F.array(row(STATUS_SECTION, 0, F.col("Risk_Status"), F.col("_n")))
+    out = agg.select(F.explode(F.when(F.col("_total") == 1, kpi_rows).otherwise(status_row)).alias("r"))
+    return out.select("r.section", "r.ordinal", "r.label", "r.value")
 
 
 def supplier_sections(spark: SparkSession, grid: DataFrame, suppliers: Sequence[str]) -> DataFrame:

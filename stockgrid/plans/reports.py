@@ -74,7 +74,10 @@ union all
 select 'product_master', Plant, Material, '{reports.REASON_MASTER}' from ({_MASTER_NO_ACT_SQL}) m
 """, *config.KINDS, "target"))
 def q_unmatched_report(spark, sf_dir):
-    return reports.unmatched_report(td.source_rows(spark, sf_dir), load_target(spark, sf_dir))
+    # both parts read the distinct source keys: checkpoint that key-level set
+    # once instead of scanning and joining the sources twice
+    keys = td.source_rows(spark, sf_dir).select("kind", "Plant", "Material").distinct().checkpoint(eager=True)
+    return reports.unmatched_report(keys, load_target(spark, sf_dir))
 
 
 _SUMMARY_SQL = f"""
