@@ -175,9 +175,13 @@ def supplier_view(slice_: DataFrame, view: str) -> DataFrame:
     return slice_.select(*SUPPLIER_VIEWS[view])
 
 
-def supplier_recommendation(slice_: DataFrame, overrides: DataFrame) -> DataFrame:
+def supplier_recommendation(slice_: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     """B12 recommendation tab: suggestion and status with the key's saved
-    override and note (0 and '' when none)."""
+    override and note (0 and '' when none). A slice of the dashboard grid
+    already carries the merged override and note; ``overrides`` is only
+    needed for a slice of a grid without them."""
+    if overrides is None:
+        return slice_.select(*KEY, "Suggested_Order_Qty", "Risk_Status", "Manual_Override", "Planner_Note")
     o = overrides.select(*KEY, F.col("Manual_Override").alias("_o"), F.col("Planner_Note").alias("_n"))
     j = slice_.select(*KEY, "Suggested_Order_Qty", "Risk_Status").join(o, KEY, "left")
     return j.select(*KEY, "Suggested_Order_Qty", "Risk_Status",

@@ -203,7 +203,7 @@ from {_SLICE_SQL} left join latest_overrides o on s.Plant = o.Plant and s.Materi
 """, "latest_overrides"))
 def q_supplier_recommendation(spark, sf_dir):
     slice_ = v.supplier_slice(dashboard_grid(spark, sf_dir), SUPPLIER, SUPPLIER_PLANTS)
-    return v.supplier_recommendation(slice_, latest(spark, sf_dir))
+    return v.supplier_recommendation(slice_)
 
 
 @query("raw_by_plant", "B14", with_views(f"select * from on_hand where Plant = '{RAW_PLANT}'", "on_hand"))
