@@ -57,3 +57,26 @@ def test_override_stream_matches_batch(spark, tmp_dir):
     batch = latest_overrides(spark.createDataFrame(b1 + b2, OVERRIDE_EVENT_SCHEMA))
     assert got == sorted(map(tuple, batch.collect()), key=repr)
     assert dict(((p, m), n) for p, m, _, n in got)[("2910", "A")] == "latest"
+
+
+def test_refresh_applies_streamed_overrides(spark, tmp_dir):
+    from stockgrid.refresh import refresh
+    up = os.path.join(tmp_dir, "up")
+    os.makedirs(up)
+    write_uploads(up)
+    master = os.path.join(tmp_dir, "master.csv")
+    with open(master, "w") as fh:
+        fh.write("Supplier,Plant,Material,TOL_Material,Description,Latest_Forecast_Qty,Forecast_Source_Column\n")
+        fh.write("Alimentias,2910,10000,0,P,40,Forecast AS400\n")
+    src = os.path.join(tmp_dir, "events")
+    t0 = dt.datetime(2026, 1, 1)
+    spark.createDataFrame([(1, t0, "2910", "10000", 25.0, "push"), (2, t0 - dt.timedelta(days=1), "2910", "10000",
+                                                                   -99.0, "old")],
+                          OVERRIDE_EVENT_SCHEMA).write.parquet(src)
+    log = os.path.join(tmp_dir, "log")
+    stream_overrides(spark, src, log, os.path.join(tmp_dir, "ck"))
+    base = refresh(spark, up, master, allow_invalid=True)["grid"].filter("Plant = '2910' and Material = '10000'").first()
+    res = refresh(spark, up, master, overrides=log, allow_invalid=True)["grid"]
+    r = res.filter("Plant = '2910' and Material = '10000'").first()
+    assert (r.Manual_Override, r.Planner_Note) == (25.0, "push")
+    assert r.Suggested_Order_Qty == base.Suggested_Order_Qty + 25
