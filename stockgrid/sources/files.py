@@ -24,6 +24,9 @@ from stockgrid import config
 from stockgrid.functions import coerce_numeric, coerce_timestamp, normalize_identifier
 from stockgrid.operators import loading
 
+BLANK_HEADER = "(blank)"
+
+
 def routing(spark: SparkSession) -> DataFrame:
     """A2: upload file name -> (kind, plant); a fixed 9-row dimension."""
     rows = [(f, k, p) for f, (k, p) in config.UPLOAD_FILE_MAP.items()]
@@ -51,9 +54,12 @@ def header_rows(spark: SparkSession, paths: Sequence[str] | str, sep: str = ",")
         F.col("_metadata.file_block_start").alias("_block"))
     first = (text.filter(F.col("_block") == 0).withColumn("_id", F.monotonically_increasing_id())
              .groupBy("file_name").agg(F.min_by("value", "_id").alias("line")))
+    # a blank first line means no header (the file is reported unreadable);
+    # an empty field inside a header is an unnamed column, kept as "(blank)"
+    first = first.filter(F.trim(F.col("line")) != "")
     cells = first.select("file_name", F.posexplode(_split_csv_line(F.col("line"), sep)).alias("pos", "name"))
-    # a blank line has no header (the file is reported unreadable)
-    return cells.filter(F.col("name") != "").select("file_name", (F.col("pos") + 1).alias("ordinal"), "name")
+    name = F.when(F.trim(F.col("name")) == "", F.lit(BLANK_HEADER)).otherwise(F.col("name"))
+    return cells.select("file_name", (F.col("pos") + 1).alias("ordinal"), name.alias("name"))
 
 
 def validate_headers(spark: SparkSession, paths, sep: str = ",") -> DataFrame:

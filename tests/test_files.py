@@ -147,3 +147,13 @@ def test_header_parse_quotes_and_width(spark, tmp_dir):
         fh.write(",".join(names[:400]) + ',"Quoted, with comma","Has ""quote"""\n1,2\n')
     rows = files.header_rows(spark, os.path.join(tmp_dir, "wide.csv")).orderBy("ordinal").collect()
     assert len(rows) == 402 and rows[400].name == "Quoted, with comma" and rows[401].name == 'Has "quote"'
+
+
+def test_blank_header_field_is_rejected(spark, tmp_dir):
+    from stockgrid.operators.loading import header_validation
+    hdr = list(config.HEADERS_BY_KIND["on_hand"])
+    with open(os.path.join(tmp_dir, "OH2910.csv"), "w") as fh:
+        fh.write(hdr[0] + ",," + ",".join(hdr[1:]) + "\n")
+    h = files.header_rows(spark, os.path.join(tmp_dir, "OH2910.csv"))
+    r = header_validation(h, hdr, file_col="file_name").first()
+    assert r.result == "mismatch" and r.extra_columns == "(blank)"
