@@ -56,7 +56,8 @@ def header_rows(spark: SparkSession, paths: Sequence[str] | str, sep: str = ",")
              .groupBy("file_name").agg(F.min_by("value", "_id").alias("line")))
     # a blank first line means no header (the file is reported unreadable);
     # an empty field inside a header is an unnamed column, kept as "(blank)"
-    first = first.filter(F.trim(F.col("line")) != "")
+    first = (first.withColumn("line", F.regexp_replace("line", "^\ufeff", ""))  # byte-order mark
+             .filter(F.trim(F.col("line")) != ""))
     cells = first.select("file_name", F.posexplode(_split_csv_line(F.col("line"), sep)).alias("pos", "name"))
     name = F.when(F.trim(F.col("name")) == "", F.lit(BLANK_HEADER)).otherwise(F.col("name"))
     return cells.select("file_name", (F.col("pos") + 1).alias("ordinal"), name.alias("name"))

@@ -157,3 +157,13 @@ def test_blank_header_field_is_rejected(spark, tmp_dir):
     h = files.header_rows(spark, os.path.join(tmp_dir, "OH2910.csv"))
     r = header_validation(h, hdr, file_col="file_name").first()
     assert r.result == "mismatch" and r.extra_columns == "(blank)"
+
+
+def test_header_with_byte_order_mark(spark, tmp_dir):
+    from stockgrid.operators.loading import header_validation
+    hdr = list(config.HEADERS_BY_KIND["on_hand"])
+    with open(os.path.join(tmp_dir, "OH2910.csv"), "w", encoding="utf-8-sig") as fh:
+        fh.write(",".join(hdr) + "\n1,2\n")
+    r = header_validation(files.header_rows(spark, os.path.join(tmp_dir, "OH2910.csv")), hdr,
+                          file_col="file_name").first()
+    assert r.result == "ok"
