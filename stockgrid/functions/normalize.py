@@ -7,9 +7,12 @@ from pyspark.sql.types import DoubleType
 
 # plain decimal / scientific number, after trimming
 NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-# date must start with yyyy-MM-dd (bare numbers such as '45000' are not dates)
+# dates are ISO (yyyy-MM-dd...) or month-first (M/d/yyyy...); bare numbers
+# such as '45000' are not dates
 DATE_SHAPE_PATTERN = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"
 DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd")
+US_DATE_SHAPE_PATTERN = r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}"
+US_DATE_FORMATS = ("M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy")
 
 
 def _col(c) -> Column:
@@ -35,7 +38,10 @@ def coerce_numeric(c) -> Column:
 
 
 def coerce_timestamp(c) -> Column:
-    """Text -> timestamp_ntz over a fixed format list; the rest -> null."""
+    """Text -> timestamp_ntz over fixed ISO and month-first format lists;
+    anything else (including impossible dates) -> null."""
     s = strip_ws(c)
-    parsed = F.coalesce(*[F.try_to_timestamp(s, F.lit(fmt)) for fmt in DATE_FORMATS])
-    return F.when(s.rlike(DATE_SHAPE_PATTERN), parsed.cast("timestamp_ntz"))
+    iso = F.coalesce(*[F.try_to_timestamp(s, F.lit(fmt)) for fmt in DATE_FORMATS])
+    us = F.coalesce(*[F.try_to_timestamp(s, F.lit(fmt)) for fmt in US_DATE_FORMATS])
+    return (F.when(s.rlike(DATE_SHAPE_PATTERN), iso.cast("timestamp_ntz"))
+            .when(s.rlike(US_DATE_SHAPE_PATTERN), us.cast("timestamp_ntz")))

@@ -192,7 +192,10 @@ def q_coerce_numeric(spark, sf_dir):
 select p_partkey, date_text,
   case when regexp_matches(s, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}')
        then coalesce(try_strptime(s, '%Y-%m-%d %H:%M:%S'), try_strptime(s, '%Y-%m-%dT%H:%M:%S'),
-                     try_strptime(s, '%Y-%m-%d %H:%M'), try_strptime(s, '%Y-%m-%d')) end as value
+                     try_strptime(s, '%Y-%m-%d %H:%M'), try_strptime(s, '%Y-%m-%d'))
+       when regexp_matches(s, '^[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}')
+       then coalesce(try_strptime(s, '%m/%d/%Y %H:%M:%S'), try_strptime(s, '%m/%d/%Y %H:%M'),
+                     try_strptime(s, '%m/%d/%Y')) end as value
 from (select p_partkey, date_text, {_WS.format(c='date_text')} as s from raw_text) x
 """, "raw_text"))
 def q_coerce_dates(spark, sf_dir):

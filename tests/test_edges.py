@@ -53,6 +53,9 @@ def test_text_coercion_rules(spark):
     assert [r.i for r in out] == ["10013700", None, None, "PO-2026-001", "12.05"]
     assert [r.n for r in out] == [None, None, None, 12.0, 1000.0]
     assert [r.t for r in out][:3] == [None, None, None] and out[3].t.year == 2026 and out[4].t is None
+    us = spark.createDataFrame([("09/01/2026",), ("9/1/2026 13:05",), ("13/01/2026",), ("02/30/2026",)], "t string")
+    got = [r.t for r in us.select(coerce_timestamp("t").alias("t")).collect()]
+    assert got[0].month == 9 and got[0].day == 1 and got[1].hour == 13 and got[2:] == [None, None]
 
 
 def test_duplicate_pairs_count_every_member(spark):
