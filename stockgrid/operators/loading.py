@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# FIXED VALUES: load status labels
 STATUS_MISSING = "Missing"
 STATUS_VALID = "Valid"
 STATUS_ERROR = "Error"

@@ -15,7 +15,7 @@ from stockgrid.functions import exact_sum
 
 KEY = ["Plant", "Material"]
 
-# which physical columns each reconciled metric sums: (metric, kind, source column)
+# FIXED VALUES: reconciled metrics, in report order: (metric, kind, source column)
 RECONCILED_METRICS = (
     ("Unrestricted_On_Hand", "on_hand", "unrestricted"),
     ("Customer_Order_Qty", "customer_orders", "order_qty"),

@@ -44,7 +44,7 @@ KPI_LABELS = (
 )
 STATUS_SECTION = "Materials by Risk / Status"
 
-# FIXED VALUES: unmatched-report reasons and audit text
+# FIXED VALUES: unmatched-report reasons and audit report text
 REASON_SOURCE = "In SAP source, not in product master"
 REASON_MASTER = "In product master, no current SAP activity"
 AUDIT_TITLE = "ORDERING DASHBOARD -- AUDIT REPORT"
@@ -56,6 +56,15 @@ AUDIT_WORKBOOK = "-- Reference workbook audit --"
 AUDIT_WB_SHEETS = "  Sheets: "
 AUDIT_WB_FORMULAS = "  Formulas: "
 AUDIT_WB_REF = "  #REF! error formulas (never translated into dashboard logic): "
+AUDIT_REFRESHED = "Refreshed: "
+AUDIT_RECONCILIATION = "Reconciliation: "
+AUDIT_PASS = "PASS"
+AUDIT_FAIL = "FAIL"
+AUDIT_PLANT_ERROR_HEAD = " -- Plant column contains unexpected value(s) ["
+AUDIT_PLANT_ERROR_TAIL = "] for a file mapped to plant "
+AUDIT_UNMATCHED_LINE = " material(s) in source not in product master"
+AUDIT_NO_ACTIVITY_HEAD = "  product_master: "
+AUDIT_NO_ACTIVITY_LINE = " material(s) with no current SAP activity"
 
 
 def write_table(spark: SparkSession, df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> str:
@@ -189,10 +198,10 @@ def audit_lines(spark: SparkSession, variances: DataFrame, duplicates: DataFrame
     ``workbook_totals`` (one row: sheets, formulas, ref_errors) adds the
     workbook-audit section."""
     gate = quality.reconciliation_gate(variances)
-    head = spark.createDataFrame([(0, 0, AUDIT_TITLE), (0, 1, f"Refreshed: {refreshed}")],
+    head = spark.createDataFrame([(0, 0, AUDIT_TITLE), (0, 1, AUDIT_REFRESHED + refreshed)],
                                  "section_no int, line_no int, line string")
-    verdict = _lines(gate, 0, F.lit(2), F.concat(F.lit("Reconciliation: "),
-                                                F.when(F.col("passed"), "PASS").otherwise("FAIL")))
+    verdict = _lines(gate, 0, F.lit(2), F.concat(F.lit(AUDIT_RECONCILIATION),
+                                                F.when(F.col("passed"), AUDIT_PASS).otherwise(AUDIT_FAIL)))
     fixed = spark.createDataFrame(
         [(0, 3, ""), (1, 0, AUDIT_VARIANCES), (2, 0, ""), (2, 1, AUDIT_DUPLICATES),
          (3, 0, ""), (3, 1, AUDIT_FILES), (4, 0, ""), (4, 1, AUDIT_UNMATCHED)],
@@ -210,17 +219,16 @@ def audit_lines(spark: SparkSession, variances: DataFrame, duplicates: DataFrame
         F.lit("  "), F.col("kind"), F.lit(": "), F.col("duplicate_rows").cast("string")))
     plant_no = F.when(F.col("plant") == "2910", 1).when(F.col("plant") == "2920", 2).otherwise(3)
     error = F.when(F.col("violations") != "", F.concat(
-        F.lit(" -- Plant column contains unexpected value(s) ['"),
+        F.lit(AUDIT_PLANT_ERROR_HEAD + "'"),
         F.array_join(F.split(F.col("violations"), ","), "', '"),
-        F.lit("'] for a file mapped to plant "), F.col("plant"), F.lit("."))).otherwise(F.lit(""))
+        F.lit("'" + AUDIT_PLANT_ERROR_TAIL), F.col("plant"), F.lit("."))).otherwise(F.lit(""))
     file_lines = _lines(status, 3, kind_no * 3 + plant_no - 2, F.concat(
         F.lit("  "), _file_name(F.col("kind"), F.col("plant")), F.lit(": "), F.col("status"), error))
     unm_lines = _lines(unmatched_counts, 4, kind_no + 1, F.concat(
         F.lit("  "), F.col("kind"), F.lit(": "), F.col("n").cast("string"),
-        F.lit(" material(s) in source not in product master")))
+        F.lit(AUDIT_UNMATCHED_LINE)))
     master_line = _lines(no_activity_count, 4, F.lit(5), F.concat(
-        F.lit("  product_master: "), F.col("n").cast("string"),
-        F.lit(" material(s) with no current SAP activity")))
+        F.lit(AUDIT_NO_ACTIVITY_HEAD), F.col("n").cast("string"), F.lit(AUDIT_NO_ACTIVITY_LINE)))
     parts = [verdict, fixed, var_lines, dup_lines, file_lines, unm_lines, master_line]
     if workbook_totals is not None:
         wb = workbook_totals

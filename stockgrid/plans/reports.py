@@ -120,9 +120,9 @@ left join (select kind, count(*) as n from ({_UNMATCHED_SQL}) x group by kind) u
 
 _AUDIT_SQL = f"""
 select 0 as section_no, 0 as line_no, '{reports.AUDIT_TITLE}' as line
-union all select 0, 1, 'Refreshed: {REFRESHED}'
-union all select 0, 2, 'Reconciliation: ' || case when coalesce(bool_and(abs(variance) < 1e-6), true)
-  then 'PASS' else 'FAIL' end from ({_VARIANCE_SQL}) v
+union all select 0, 1, '{reports.AUDIT_REFRESHED}{REFRESHED}'
+union all select 0, 2, '{reports.AUDIT_RECONCILIATION}' || case when coalesce(bool_and(abs(variance) < 1e-6), true)
+  then '{reports.AUDIT_PASS}' else '{reports.AUDIT_FAIL}' end from ({_VARIANCE_SQL}) v
 union all select 0, 3, ''
 union all select 1, 0, '{reports.AUDIT_VARIANCES}'
 union all select 2, 0, ''
@@ -136,12 +136,12 @@ union all select 1, {_METRIC_NO_SQL}, '  ' || metric || ': source=' || {_fmt('so
 union all select 2, {_KIND_NO_SQL} + 1, '  ' || kind || ': ' || cast(duplicate_rows as varchar) from ({_DUP_SQL}) d
 union all select 3, {_KIND_NO_SQL} * 3 + case plant when '2910' then 1 when '2920' then 2 else 3 end - 2,
   '  ' || {_FILE_NAME_SQL} || ': ' || status || case when violations <> '' then
-  ' -- Plant column contains unexpected value(s) [''' || replace(violations, ',', ''', ''') ||
-  '''] for a file mapped to plant ' || plant || '.' else '' end from ({_LOAD_SQL}) l
+  '{reports.AUDIT_PLANT_ERROR_HEAD}''' || replace(violations, ',', ''', ''') ||
+  '''{reports.AUDIT_PLANT_ERROR_TAIL}' || plant || '.' else '' end from ({_LOAD_SQL}) l
 union all select 4, {_KIND_NO_SQL} + 1, '  ' || kind || ': ' || cast(n as varchar)
-  || ' material(s) in source not in product master' from ({_UNMATCHED_COUNTS_SQL}) u
-union all select 4, 5, '  product_master: ' || cast(count(*) as varchar)
-  || ' material(s) with no current SAP activity' from ({_MASTER_NO_ACT_SQL}) m
+  || '{reports.AUDIT_UNMATCHED_LINE}' from ({_UNMATCHED_COUNTS_SQL}) u
+union all select 4, 5, '{reports.AUDIT_NO_ACTIVITY_HEAD}' || cast(count(*) as varchar)
+  || '{reports.AUDIT_NO_ACTIVITY_LINE}' from ({_MASTER_NO_ACT_SQL}) m
 union all select 5, 0, ''
 union all select 5, 1, '{reports.AUDIT_WORKBOOK}'
 union all select 5, 2, '{reports.AUDIT_WB_SHEETS}' || cast(count(distinct sheet) as varchar) from cells
