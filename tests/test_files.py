@@ -138,7 +138,10 @@ def test_refresh_end_to_end(spark, tmp_dir):
     g = {(r.Plant, r.Material): r for r in res["grid"].collect()}
     assert g[("2910", "10000")].Supplier == "Alimentias" and g[("2910", "10000")].Target_Stock == 40
     assert g[("2920", "10001")].Risk_Status == "Review"  # master row without supplier
-    assert "ordering_dashboard" in res["written"]
+    assert "ordering_dashboard" in res["written"] and "audit" in res["written"]
+    text = "\n".join(r.value for r in spark.read.text(res["written"]["audit"]).collect())
+    assert "AUDIT REPORT" in text and "Reconciliation: PASS" in text
+    assert "OR2930.xlsx: Missing" in text and "2999" in text
 
 
 def test_header_parse_quotes_and_width(spark, tmp_dir):
