@@ -17,18 +17,9 @@ from stockgrid.functions import exact_sum
 KEY = ["Plant", "Material"]
 
 
-def allocation_source(field_by_plant: dict[str, str] | None = None) -> Column:
-    """The plant's configured open-order field; null for other plants."""
-    field_by_plant = field_by_plant or config.ALLOCATION_FIELD_BY_PLANT
-    expr = None
-    for plant, field in field_by_plant.items():
-        cond = F.col("Plant") == plant
-        expr = F.when(cond, F.col(field)) if expr is None else expr.when(cond, F.col(field))
-    return expr if expr is not None else F.lit(None).cast("double")
-
-
 def allocation_source_sql(field_by_plant: dict[str, str] | None = None) -> str:
-    """``allocation_source`` as SQL text (for one-call expression building)."""
+    """The plant's configured open-order field (null for other plants), as
+    SQL text so the exact sum over it is built in one call."""
     field_by_plant = field_by_plant or config.ALLOCATION_FIELD_BY_PLANT
     if not field_by_plant:
         return "CAST(NULL AS DOUBLE)"

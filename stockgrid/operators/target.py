@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
-from stockgrid.functions import coerce_numeric, normalize_identifier
+from stockgrid.functions import coerce_numeric
 
 KEY = ["Plant", "Material"]
 MASTER_COLUMNS = ["Plant", "Material", "Supplier", "TOL_Material", "Description", "Latest_Forecast_Qty"]
@@ -65,7 +65,3 @@ def master_duplicates(master: DataFrame, cleaned: bool = False) -> DataFrame:
     winners = m.groupBy(*KEY).agg(F.min_by("_rid", F.struct(_rank(), F.col("_rid"))).alias("_win"))
     return m.join(winners, KEY, "inner").filter(F.col("_rid") != F.col("_win")).select(*MASTER_COLUMNS)
 
-
-def normalize_master_keys(master: DataFrame) -> DataFrame:
-    return master.withColumn("Plant", normalize_identifier("Plant")) \
-        .withColumn("Material", normalize_identifier("Material"))
