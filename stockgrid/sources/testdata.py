@@ -131,7 +131,12 @@ def source_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     Columns: kind, Plant, Material and every kind's columns; a column of
     another kind is null on a row, which every aggregate ignores.
     """
-    src = lines(spark, sf_dir).filter(F.col("l_returnflag").isin(*RETURNFLAG_KIND))
+    return source_rows_from(lines(spark, sf_dir))
+
+
+def source_rows_from(lines_df: DataFrame) -> DataFrame:
+    """``source_rows`` over an already joined ``lines`` frame."""
+    src = lines_df.filter(F.col("l_returnflag").isin(*RETURNFLAG_KIND))
     flag = F.col("l_returnflag")
     kind = F.when(flag == "N", "customer_orders").when(flag == "R", "on_hand").otherwise("open_orders")
     cols = [kind.alias("kind"), F.col("Plant"), F.col("Material")]
@@ -217,7 +222,11 @@ def file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per source line: the file it came in (kind, expected plant)
     and the plant value it carries. Open orders of plant 2930 never arrive
     (a missing file) and some on-hand rows of 2920 carry plant 2999."""
-    src = lines(spark, sf_dir)
+    return file_rows_from(lines(spark, sf_dir))
+
+
+def file_rows_from(src: DataFrame) -> DataFrame:
+    """``file_rows`` over an already joined ``lines`` frame."""
     flag = F.col("l_returnflag")
     kind = (F.when(flag == "N", "customer_orders").when(flag == "R", "on_hand")
             .otherwise("open_orders"))
