@@ -86,7 +86,12 @@ join (select 'Unrestricted_On_Hand' as metric, {xsum('Unrestricted_On_Hand')} as
 
 @query("reconciliation_variance", "D10/K1/C6", with_views(_VARIANCE_SQL, *config.KINDS, "grid"))
 def q_reconciliation_variance(spark, sf_dir):
-    return quality.reconciliation_variance(td.source_rows(spark, sf_dir), load_grid(spark, sf_dir))
+    # the source totals and the grid both read the sources: one checkpointed
+    # scan and join instead of two
+    from stockgrid.operators.grid import ordering_grid
+    from stockgrid.plans.core import load_target
+    tagged = td.source_rows(spark, sf_dir).checkpoint(eager=True)
+    return quality.reconciliation_variance(tagged, ordering_grid(tagged, load_target(spark, sf_dir)))
 
 
 @query("reconciliation_gate", "K2", with_views(
