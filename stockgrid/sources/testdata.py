@@ -66,51 +66,41 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- per-kind measure expressions over `lines` --------------------------------
 
-_KIND_COLUMN_NAMES = {
-    "customer_orders": ["sales_order", "order_qty", "confirmed_qty", "requested_date"],
-    "on_hand": ["batch", "unrestricted", "quality", "blocked", "expiry"],
-    "open_orders": ["po_number", "open_po_qty", "po_qty", "po_request_qty", "inbound_qty", "delivery_date"],
+# The fixture rule of each kind's columns, as SQL over `lines` (parsed once
+# on the JVM side per use instead of a py4j call per expression node).
+_KIND_SQL = {
+    "customer_orders": [
+        ("sales_order", "l_orderkey"),
+        ("order_qty", "l_quantity"),
+        ("confirmed_qty", "CASE WHEN l_linestatus = 'F' THEN l_quantity END"),
+        ("requested_date", "l_shipdate"),
+    ],
+    "on_hand": [
+        ("batch", "l_orderkey"),
+        ("unrestricted", "CASE WHEN l_linestatus = 'F' THEN l_quantity ELSE CAST(0 AS DOUBLE) END"),
+        ("quality", "CASE WHEN l_linestatus = 'O' AND o_orderstatus = 'P' THEN l_quantity END"),
+        ("blocked", "CASE WHEN l_linestatus = 'O' AND o_orderstatus = 'O' THEN l_quantity END"),
+        ("expiry", "CASE WHEN l_linenumber <> 1 THEN l_shipdate END"),
+    ],
+    "open_orders": [
+        ("po_number", "l_orderkey"),
+        ("open_po_qty", "CASE WHEN l_linestatus = 'O' THEN l_quantity ELSE CAST(0 AS DOUBLE) END"),
+        ("po_qty", "l_quantity"),
+        ("po_request_qty", "CAST(FLOOR(l_quantity * 0.75D) AS DOUBLE)"),
+        ("inbound_qty", "CASE WHEN o_orderstatus = 'P' THEN l_quantity END"),
+        ("delivery_date", "l_shipdate"),
+    ],
 }
 
 
-def _kind_exprs(kind: str) -> list[tuple[str, Column]]:
-    """(name, expression) of a kind's columns, in source order."""
-    _LS_F = F.col("l_linestatus") == "F"
-    _LS_O = F.col("l_linestatus") == "O"
-    _QTY = F.col("l_quantity")
-    if kind == "customer_orders":
-        return [
-            ("sales_order", F.col("l_orderkey")),
-            ("order_qty", _QTY),
-            ("confirmed_qty", F.when(_LS_F, _QTY)),
-            ("requested_date", F.col("l_shipdate")),
-        ]
-    if kind == "on_hand":
-        return [
-            ("batch", F.col("l_orderkey")),
-            ("unrestricted", F.when(_LS_F, _QTY).otherwise(F.lit(0.0))),
-            ("quality", F.when(_LS_O & (F.col("o_orderstatus") == "P"), _QTY)),
-            ("blocked", F.when(_LS_O & (F.col("o_orderstatus") == "O"), _QTY)),
-            ("expiry", F.when(F.col("l_linenumber") != 1, F.col("l_shipdate"))),
-        ]
-    return [
-        ("po_number", F.col("l_orderkey")),
-        ("open_po_qty", F.when(_LS_O, _QTY).otherwise(F.lit(0.0))),
-        ("po_qty", _QTY),
-        ("po_request_qty", F.floor(_QTY * 0.75).cast("double")),
-        ("inbound_qty", F.when(F.col("o_orderstatus") == "P", _QTY)),
-        ("delivery_date", F.col("l_shipdate")),
-    ]
-
-
 _KIND_FLAG = {v: k for k, v in RETURNFLAG_KIND.items()}
-KIND_COLUMNS = {k: ["Plant", "Material"] + _KIND_COLUMN_NAMES[k] for k in config.KINDS}
+KIND_COLUMNS = {k: ["Plant", "Material"] + [n for n, _ in _KIND_SQL[k]] for k in config.KINDS}
 
 
 def kind_rows(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """One source kind as its own frame (Plant, Material + kind columns)."""
     src = lines(spark, sf_dir).filter(F.col("l_returnflag") == _KIND_FLAG[kind])
-    return src.select("Plant", "Material", *[e.alias(n) for n, e in _kind_exprs(kind)])
+    return src.selectExpr("Plant", "Material", *[f"{e} AS {n}" for n, e in _KIND_SQL[kind]])
 
 
 def customer_orders(spark, sf_dir):
@@ -137,12 +127,11 @@ def source_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def source_rows_from(lines_df: DataFrame) -> DataFrame:
     """``source_rows`` over an already joined ``lines`` frame."""
     src = lines_df.filter(F.col("l_returnflag").isin(*RETURNFLAG_KIND))
-    flag = F.col("l_returnflag")
-    kind = F.when(flag == "N", "customer_orders").when(flag == "R", "on_hand").otherwise("open_orders")
-    cols = [kind.alias("kind"), F.col("Plant"), F.col("Material")]
+    kind = "CASE " + " ".join(f"WHEN l_returnflag = '{f}' THEN '{k}'" for f, k in RETURNFLAG_KIND.items()) + " END"
+    cols = [f"{kind} AS kind", "Plant", "Material"]
     for k in config.KINDS:
-        cols += [F.when(flag == _KIND_FLAG[k], e).alias(n) for n, e in _kind_exprs(k)]
-    return src.select(*cols)
+        cols += [f"CASE WHEN l_returnflag = '{_KIND_FLAG[k]}' THEN {e} END AS {n}" for n, e in _KIND_SQL[k]]
+    return src.selectExpr(*cols)
 
 
 # --- product master, overrides ------------------------------------------------
