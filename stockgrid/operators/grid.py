@@ -40,41 +40,41 @@ GRID_COLUMNS = [
 
 def with_position(grid: DataFrame) -> DataFrame:
     """Quantities default to 0; available + incoming; balance."""
-    qty = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in QTY_COLUMNS}
-    available = qty["Unrestricted_On_Hand"] + qty["Open_PO_Qty"]
-    others = [F.col(c) for c in grid.columns
+    qty = {c: f"COALESCE(CAST(`{c}` AS DOUBLE), 0.0D)" for c in QTY_COLUMNS}
+    available = f"({qty['Unrestricted_On_Hand']} + {qty['Open_PO_Qty']})"
+    others = [f"`{c}`" for c in grid.columns
               if c not in qty and c not in ("Available_Plus_Incoming", "Projected_Balance")]
-    return grid.select(*others, *[e.alias(c) for c, e in qty.items()],
-                       available.alias("Available_Plus_Incoming"),
-                       (available - qty["Customer_Order_Qty"]).alias("Projected_Balance"))
+    return grid.selectExpr(*others, *[f"{e} AS `{c}`" for c, e in qty.items()],
+                           f"{available} AS Available_Plus_Incoming",
+                           f"{available} - {qty['Customer_Order_Qty']} AS Projected_Balance")
 
 
-def recommendation_columns(pct: float = config.SAFETY_STOCK_PCT) -> list:
-    """E4-E7 as expressions over Target_Stock, position, Unconfirmed_Qty,
-    Manual_Override and Supplier.
+def recommendation_sql(pct: float = config.SAFETY_STOCK_PCT) -> list[str]:
+    """E4-E7 over Target_Stock, position, Unconfirmed_Qty, Manual_Override
+    and Supplier.
 
     Suggested = ceil(max(target - available + unconfirmed + override, 0)),
     null without a target; safety = target * pct; status tested in the
     order Review, Critical, At Risk, Covered.
     """
-    target = F.col("Target_Stock")
-    has_target = target.isNotNull()
-    raw = (target - F.col("Available_Plus_Incoming") + F.col("Unconfirmed_Qty") + F.col("Manual_Override"))
-    suggested = F.when(has_target, F.ceil(F.greatest(raw, F.lit(0.0))).cast("double"))
-    safety = F.when(has_target, target * F.lit(float(pct)))
-    balance = F.col("Projected_Balance")
-    risk = (F.when(F.col("Supplier").isNull() | ~has_target, F.lit(config.RISK_REVIEW))
-            .when(balance < 0, F.lit(config.RISK_CRITICAL))
-            .when(balance < safety, F.lit(config.RISK_AT_RISK))
-            .otherwise(F.lit(config.RISK_COVERED)))
-    return [has_target.alias("Has_Target"), suggested.alias("Suggested_Order_Qty"),
-            safety.alias("Safety_Stock"), risk.alias("Risk_Status")]
+    p = f"{float(pct)!r}D"
+    has_target = "`Target_Stock` IS NOT NULL"
+    raw = "`Target_Stock` - `Available_Plus_Incoming` + `Unconfirmed_Qty` + `Manual_Override`"
+    return [
+        f"({has_target}) AS Has_Target",
+        f"CASE WHEN {has_target} THEN CAST(CEIL(GREATEST({raw}, 0.0D)) AS DOUBLE) END AS Suggested_Order_Qty",
+        f"CASE WHEN {has_target} THEN `Target_Stock` * {p} END AS Safety_Stock",
+        f"CASE WHEN `Supplier` IS NULL OR NOT ({has_target}) THEN '{config.RISK_REVIEW}'"
+        f" WHEN `Projected_Balance` < 0 THEN '{config.RISK_CRITICAL}'"
+        f" WHEN `Projected_Balance` < `Target_Stock` * {p} THEN '{config.RISK_AT_RISK}'"
+        f" ELSE '{config.RISK_COVERED}' END AS Risk_Status",
+    ]
 
 
 def with_recommendation(grid: DataFrame, pct: float = config.SAFETY_STOCK_PCT) -> DataFrame:
     """E4-E7 appended to (or replacing) the grid's recommendation columns."""
     derived = {"Has_Target", "Suggested_Order_Qty", "Safety_Stock", "Risk_Status"}
-    return grid.select(*[F.col(c) for c in grid.columns if c not in derived], *recommendation_columns(pct))
+    return grid.selectExpr(*[f"`{c}`" for c in grid.columns if c not in derived], *recommendation_sql(pct))
 
 
 def _finish(keyed: DataFrame, target: DataFrame, pct: float) -> DataFrame:
