@@ -36,12 +36,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
-def plant_of(key: Column) -> Column:
-    """Fixture rule: supplier key -> plant code, one in 33 keys without plant."""
-    return (F.when(key % 33 == 7, F.lit(None).cast("string"))
-            .when(key % 3 == 0, F.lit("2910"))
-            .when(key % 3 == 1, F.lit("2920"))
-            .otherwise(F.lit("2930")))
+# fixture rule: supplier key -> plant code, one in 33 keys without plant
+PLANT_OF_SUPPKEY_SQL = ("CASE WHEN l_suppkey % 33 = 7 THEN CAST(NULL AS STRING) WHEN l_suppkey % 3 = 0 THEN '2910' "
+                        "WHEN l_suppkey % 3 = 1 THEN '2920' ELSE '2930' END")
 
 
 def plant_by_mod3(key: Column) -> Column:
@@ -60,8 +57,8 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_returnflag", "l_linestatus", "l_shipdate")
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
     joined = li.join(orders, li.l_orderkey == orders.o_orderkey, "inner").drop("o_orderkey")
-    return (joined.withColumn("Plant", plant_of(F.col("l_suppkey")))
-            .withColumn("Material", material_of(F.col("l_partkey"))))
+    return joined.selectExpr("*", f"{PLANT_OF_SUPPKEY_SQL} AS Plant",
+                             "concat('100', CAST(l_partkey AS STRING)) AS Material")
 
 
 # --- per-kind measure expressions over `lines` --------------------------------
