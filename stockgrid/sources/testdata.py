@@ -137,25 +137,16 @@ def product_master(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Master rows: every sized part at three plants plus an alternate
     supplier for every seventh part at plant 2910 (duplicate keys)."""
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")
-    pk = F.col("p_partkey")
-    main = (part.filter(F.col("p_size") % 10 != 0)
-            .withColumn("Plant", F.explode(F.array(*[F.lit(p) for p in config.PLANTS])))
-            .select(
-                "Plant",
-                material_of(pk).alias("Material"),
-                F.col("p_brand").alias("Supplier"),
-                pk.cast("string").alias("TOL_Material"),
-                F.col("p_name").alias("Description"),
-                F.when(F.col("p_size") % 10 == 1, F.lit(None).cast("double"))
-                 .otherwise((F.col("p_size") * 4.5).cast("double")).alias("Latest_Forecast_Qty")))
-    alt = (part.filter(pk % 7 == 0)
-           .select(
-               F.lit("2910").alias("Plant"),
-               material_of(pk).alias("Material"),
-               F.lit("Brand#ALT").alias("Supplier"),
-               pk.cast("string").alias("TOL_Material"),
-               F.col("p_name").alias("Description"),
-               (F.col("p_size") * 3.0).cast("double").alias("Latest_Forecast_Qty")))
+    plants = "array(" + ", ".join(f"'{p}'" for p in config.PLANTS) + ")"
+    main = part.filter("p_size % 10 <> 0").selectExpr(
+        f"explode({plants}) AS Plant", "concat('100', CAST(p_partkey AS STRING)) AS Material",
+        "p_brand AS Supplier", "CAST(p_partkey AS STRING) AS TOL_Material", "p_name AS Description",
+        "CASE WHEN p_size % 10 = 1 THEN CAST(NULL AS DOUBLE) ELSE CAST(p_size * 4.5D AS DOUBLE) END"
+        " AS Latest_Forecast_Qty")
+    alt = part.filter("p_partkey % 7 = 0").selectExpr(
+        "'2910' AS Plant", "concat('100', CAST(p_partkey AS STRING)) AS Material", "'Brand#ALT' AS Supplier",
+        "CAST(p_partkey AS STRING) AS TOL_Material", "p_name AS Description",
+        "CAST(p_size * 3.0D AS DOUBLE) AS Latest_Forecast_Qty")
     return main.unionByName(alt)
 
 
