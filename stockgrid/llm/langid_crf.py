@@ -122,63 +122,67 @@ def posteriors(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray,
 
     Exact forward-backward in time that doesn't depend on the longest text: texts are cut into segments, the product of
     each segment's transfer matrices carries the forward and backward messages across it, and the words inside all
-    segments are then filled in side by side."""
+    segments are then filled in side by side. Arrays are language x segment, the words at one place of all segments
+    lying together."""
     k = scores.shape[1]
     t = np.exp(transitions - transitions.max())
-    e_all = np.exp(scores - scores.max(axis=1, keepdims=True))
     pieces = -(-lengths // segment)
+    base = np.cumsum(pieces) - pieces
     text = np.repeat(np.arange(len(lengths)), pieces)
-    number = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    number = np.arange(len(text)) - base[text]
     size = np.minimum(segment, lengths[text] - number * segment)
-    start = (np.cumsum(lengths) - lengths)[text] + number * segment
     order = np.argsort(-size, kind="stable")
     place = np.empty_like(order)
     place[order] = np.arange(len(order))
-    size, start, first = size[order], start[order], number[order] == 0
-    n, most = len(order), int(size[0])
-    live = [int(np.searchsorted(-size, -i, side="left")) for i in range(most)]  # segments with a word at i come first
+    start = ((np.cumsum(lengths) - lengths)[text] + number * segment)[order]
+    size, first, n = size[order], number[order] == 0, len(order)
+    most = int(size[0])
+    live = np.searchsorted(-size, -np.arange(most), side="left")  # segments with a word at i come first
+    begin = np.cumsum(live) - live
+    words = np.concatenate([start[:m] + i for i, m in enumerate(live)])
+    e = np.ascontiguousarray(scores[words].T)
+    e = np.exp(e - e.max(axis=0))
+    at = [slice(b, b + m) for b, m in zip(begin, live)]
     cut = np.flatnonzero(pieces[text[order]] > 1)  # only texts of several segments need transfer matrices
     spot = np.zeros(n, np.int64)
     spot[cut] = np.arange(len(cut))
-    product = np.broadcast_to(np.eye(k), (len(cut), k, k)).copy()
+    product = np.repeat(np.eye(k)[:, :, None], len(cut), axis=2)  # to, from, segment
     for i in range(most if len(cut) else 0):
         m = int(np.searchsorted(cut, live[i]))
-        p = (product[:m].reshape(-1, k) @ t).reshape(m, k, k)
+        p = (t.T @ product[:, :, :m].reshape(k, -1)).reshape(k, k, m)
         if i == 0:
-            p[first[cut[:m]]] = product[:m][first[cut[:m]]]
-        p *= e_all[start[cut[:m]] + i][:, None, :]
-        product[:m] = p / p.sum(axis=(1, 2), keepdims=True)
-    into, after = np.ones((n, k)), np.ones((n, k))
+            p[:, :, first[cut[:m]]] = product[:, :, :m][:, :, first[cut[:m]]]
+        p *= e[:, at[i]][:, None, cut[:m]]
+        product[:, :, :m] = p / p.sum(axis=(0, 1))
+    into, after = np.ones((k, n)), np.ones((k, n))
     longest = int(pieces.max())
-    base = np.cumsum(pieces) - pieces
     for j in range(1, longest):
         some = np.flatnonzero(pieces > j)
         a, b = place[base[some] + j - 1], place[base[some] + j]
-        x = np.einsum("nk,nkl->nl", into[a], product[spot[a]])
-        into[b] = x / x.sum(axis=1, keepdims=True)
+        x = np.einsum("kn,lkn->ln", into[:, a], product[:, :, spot[a]])
+        into[:, b] = x / x.sum(axis=0)
     for j in range(longest - 1, 0, -1):
         some = np.flatnonzero(pieces > j)
         a, b = place[base[some] + j - 1], place[base[some] + j]
-        x = np.einsum("nkl,nl->nk", product[spot[b]], after[b])
-        after[a] = x / x.sum(axis=1, keepdims=True)
-    out = np.empty_like(e_all)
+        x = np.einsum("lkn,ln->kn", product[:, :, spot[b]], after[:, b])
+        after[:, a] = x / x.sum(axis=0)
+    out = np.empty_like(e)
     current = into
-    for i in range(most):
-        m = live[i]
-        x = current[:m] @ t
+    for i, m in enumerate(live):
+        x = t.T @ current[:, :m]
         if i == 0:
-            x[first[:m]] = 1.0
-        x *= e_all[start[:m] + i]
-        current = x / x.sum(axis=1, keepdims=True)
-        out[start[:m] + i] = current
+            x[:, first[:m]] = 1.0
+        x *= e[:, at[i]]
+        out[:, at[i]] = current = x / x.sum(axis=0)
     current = after.copy()
     for i in range(most - 1, -1, -1):
         m = live[i]
-        at = start[:m] + i
-        out[at] *= current[:m]
-        x = (current[:m] * e_all[at]) @ t.T
-        current[:m] = x / x.sum(axis=1, keepdims=True)
-    return out / out.sum(axis=1, keepdims=True)
+        out[:, at[i]] *= current[:, :m]
+        x = t @ (current[:, :m] * e[:, at[i]])
+        current[:, :m] = x / x.sum(axis=0)
+    gamma = np.empty_like(scores, dtype=np.float64)
+    gamma[words] = (out / out.sum(axis=0)).T
+    return gamma
 
 
 def train(samples: list[tuple[str, list[str]]], sequences: int = 1200, length: int = 32, rounds: int = 30,
