@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stockgrid.llm import langid_crf, simhash
+from stockgrid.llm import byte_bpe, langid_crf, mixing, secret_scan, simhash
 from stockgrid.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,7 +15,16 @@ def _documents(operator: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: operator(table(spark, sf_dir, "documents"))
 
 
+def _byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return byte_bpe.byte_bpe(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Query] = {
+    "op1_secret_scan": _documents(secret_scan.secret_scan),
+    "op5_byte_bpe": _byte_bpe,
+    "op6_mixing": _documents(mixing.mix_report),
     "op7_simhash_near_dedup": _documents(simhash.simhash_near_dedup),
     "op9_language_id": _documents(langid_crf.language_id),
 }
