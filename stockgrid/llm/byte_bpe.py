@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from stockgrid.llm.common import documents, split_count
-from stockgrid.llm.dictionary import Numbered, answered, bodies, dictionaries, pack, rejoined, unpack
+from stockgrid.llm.dictionary import answered, bodies, dictionaries, merged, pack, rejoined, unpack
 
 LONG = 400
 
@@ -122,9 +122,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     def tokens(text: str) -> list[str]:
         return pre_tokens(text, written)
 
-    def answer(lists: list[list[str]]) -> list[list[bytes]]:
-        at = Numbered()
-        numbers = [np.fromiter(map(at.__getitem__, ws), np.int64, len(ws)) for ws in lists]
+    def answer(lists: list[list[str]], _: list) -> list[list[bytes]]:
+        at, numbers = merged(lists)
         table = shared.value
         ids = [encode_word(w.encode("utf-8", "surrogatepass"), table) for w in at]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))

@@ -153,18 +153,24 @@ def bodies(docs: DataFrame, tokens: Tokens, buckets: int, size: int = CHUNK) ->
     return docs.mapInArrow(run, "chunk binary, ids array<long>, sizes binary, numbers binary, places binary")
 
 
-def answered(dicts: DataFrame, answer: Callable[[list[list]], list[list[bytes]]], columns: int, as_bytes: bool) -> DataFrame:
-    """Run ``answer`` on each bucket: it gets the word lists of all chunks and returns, for each list, ``columns``
-    packed columns. Result: ``chunk``, ``bucket``, ``a0``, ``a1``, ..."""
+def merged(lists: list[list]) -> tuple[Numbered, list[np.ndarray]]:
+    """Distinct words of all lists, and each list as numbers of them."""
+    at = Numbered()
+    return at, [np.fromiter(map(at.__getitem__, ws), np.int64, len(ws)) for ws in lists]
+
+
+def answered(dicts: DataFrame, answer: Callable[[list[list], list], list[list[bytes]]], columns: int, as_bytes: bool) -> DataFrame:
+    """Run ``answer`` on each bucket: it gets the word lists (and packed counts) of all chunks and returns, for each
+    list, ``columns`` packed columns. Result: ``chunk``, ``bucket``, ``a0``, ``a1``, ..."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         lists = [unpack_words(t, n, as_bytes) for t, n in zip(frame["words"], frame["lengths"])]
-        out = answer(lists)
+        out = answer(lists, list(frame["counts"]))
         made = {"chunk": frame["chunk"], "bucket": frame["bucket"]}
         return pd.DataFrame(made | {f"a{j}": [o[j] for o in out] for j in range(columns)})
 
     schema = "chunk binary, bucket int, " + ", ".join(f"a{j} binary" for j in range(columns))
-    return dicts.select("chunk", "bucket", "words", "lengths").groupBy("bucket").applyInPandas(run, schema)
+    return dicts.groupBy("bucket").applyInPandas(run, schema)
 
 
 def rejoined(body: DataFrame, answers: DataFrame, columns: int, finish, schema: str) -> DataFrame:

@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stockgrid.llm import byte_bpe, langid_crf, mixing, secret_scan, simhash
+from stockgrid.llm import byte_bpe, langid_crf, lattice_lm, mixing, secret_scan, sharding, simhash
 from stockgrid.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,8 +21,16 @@ def _byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.byte_bpe(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def _lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    pieces = lattice_lm.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    return lattice_lm.score(table(spark, sf_dir, "documents"), pieces)
+
+
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": _documents(secret_scan.secret_scan),
+    "op3_sharding": _documents(sharding.sharding),
+    "op4_lattice_lm": _lattice_lm,
     "op5_byte_bpe": _byte_bpe,
     "op6_mixing": _documents(mixing.mix_report),
     "op7_simhash_near_dedup": _documents(simhash.simhash_near_dedup),
