@@ -5,7 +5,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stockgrid.llm import byte_bpe, langid_crf, lattice_lm, mixing, secret_scan, sharding, simhash
+from stockgrid.llm import (byte_bpe, fingerprints, langid_crf, lattice_lm, mixing, pivot_topk, secret_scan, sharding,
+                           simhash)
 from stockgrid.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,12 +30,14 @@ def _lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": _documents(secret_scan.secret_scan),
+    "op2_fingerprints": _documents(fingerprints.fingerprints),
     "op3_sharding": _documents(sharding.sharding),
     "op4_lattice_lm": _lattice_lm,
     "op5_byte_bpe": _byte_bpe,
     "op6_mixing": _documents(mixing.mix_report),
     "op7_simhash_near_dedup": _documents(simhash.simhash_near_dedup),
     "op9_language_id": _documents(langid_crf.language_id),
+    "op10_pivot_topk": lambda spark, sf_dir: pivot_topk.top_k(table(spark, sf_dir, "embeddings")),
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_pivot_topk": pivot_topk.TOP_K_SQL}
