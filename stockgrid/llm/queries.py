@@ -5,8 +5,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stockgrid.llm import (byte_bpe, fingerprints, langid_crf, lattice_lm, mixing, pivot_topk, secret_scan, sharding,
-                           simhash)
+from stockgrid.llm import (byte_bpe, fingerprints, langid_crf, lattice_lm, mixing, pivot_topk, quality_knn, secret_scan,
+                           sharding, simhash)
 from stockgrid.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,7 @@ QUERIES: dict[str, Query] = {
     "op5_byte_bpe": _byte_bpe,
     "op6_mixing": _documents(mixing.mix_report),
     "op7_simhash_near_dedup": _documents(simhash.simhash_near_dedup),
+    "op8_quality_knn": lambda spark, sf_dir: quality_knn.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op9_language_id": _documents(langid_crf.language_id),
     "op10_pivot_topk": lambda spark, sf_dir: pivot_topk.top_k(table(spark, sf_dir, "embeddings")),
 }
