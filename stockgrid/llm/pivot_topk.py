@@ -66,7 +66,7 @@ def inner(m: np.ndarray, q: np.ndarray) -> np.ndarray | list[int]:
     if max(np.abs(m).max(initial=0), np.abs(q).max(initial=0)) <= SAFE and m.shape[1] <= 1 << 12:
         return (m @ q).astype(np.int64)
     whole = [int(x) for x in q]
-    return np.array([max(-LONG - 1, min(LONG, sum(int(a) * b for a, b in zip(row, whole)))) for row in m], dtype=np.int64)
+    return np.array([max(-LONG, min(LONG, sum(int(a) * b for a, b in zip(row, whole)))) for row in m], dtype=np.int64)
 
 
 def search(q: np.ndarray, q_id: int, q_twin: int, q_table: np.ndarray, ids: np.ndarray, twins: np.ndarray, m: np.ndarray,
