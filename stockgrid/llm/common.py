@@ -26,10 +26,21 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 
 def documents(df: DataFrame, *more: str) -> DataFrame:
     """``doc_id`` (long) and ``text`` with nulls read as empty, plus further named columns."""
-    d = pick(df, "doc_id", "text", *more)
+    d = pick(small_batches(df), "doc_id", "text", *more)
     return d.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.coalesce("text", F.lit("")))
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """Hold this session's Arrow batches to ``rows`` rows and 16 MB, unless it asks for fewer rows: texts are long, and a
+    batch of them is what a Python worker holds at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, str(rows))
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    return df
+
+
 def remainder(modulus: int) -> Column:
     """crc32 of ``doc_id`` as text, modulo ``modulus`` (a null id counts as the empty text)."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)

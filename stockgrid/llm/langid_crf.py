@@ -22,8 +22,9 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
-from stockgrid.llm.common import pick, remainder, slices
+from stockgrid.llm.common import pick, remainder, slices, small_batches
 
 LETTERS = re.compile(r"[^\W\d_]+")  # runs of letters and, rarely, of numerals that are no digits: see letter_words
 SLOTS = 1 << 16
@@ -31,6 +32,8 @@ UNDETERMINED = "und"
 SPANS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string()),
                    ("words", pa.int64())])
 
+FOUND = StructType().add("lang_pred", "string").add("score", "double")
+
 
 def letter_words(text: str | None) -> list[str]:
     """Lower-cased runs of letters."""
@@ -273,7 +276,7 @@ class Numbered(dict):
 class Scorer:
     """Word scores of a model, computed once per distinct word; the cache is emptied when it exceeds ``most`` words."""
 
-    def __init__(self, model: LangModel, most: int = 400_000):
+    def __init__(self, model: LangModel, most: int = 150_000):
         self.model, self.most = model, most
         self.at = Numbered()
         self.rows = np.zeros((0, len(model.langs)))
@@ -283,7 +286,7 @@ class Scorer:
             self.at, self.rows = Numbered(), self.rows[:0]
         ids = [np.fromiter(map(self.at.__getitem__, ws), np.int64, len(ws)) for ws in texts]
         new = list(islice(self.at, len(self.rows), None))
-        parts = [self.model.emissions(new[i:i + 20_000]) for i in range(0, len(new), 20_000)]
+        parts = [self.model.emissions(new[i:i + 4_000]) for i in range(0, len(new), 4_000)]
         self.rows = np.concatenate([self.rows, *parts])
         return ids
 
@@ -298,27 +301,27 @@ class Scorer:
                 yield i, gamma[end - n:end]
 
 
-def predict(docs: DataFrame, model: LangModel) -> DataFrame:
-    """``doc_id``, ``lang_pred``, ``score`` (mean posterior of the winning language over the words), one row a row,
-    plus the passed ``__keep`` columns if the frame has any."""
-    carried = [c for c in docs.columns if c.startswith("__keep")]
-    d = pick(docs, "doc_id", "text", *carried)
+def predict(docs: DataFrame, model: LangModel, whole: bool = False) -> DataFrame:
+    """One row a row: ``doc_id``, ``lang_pred`` and ``score``, the mean posterior of the winning language over the words.
+    With ``whole``, every column of ``docs`` (names must be unique) comes before the two."""
+    d = small_batches(docs) if whole else pick(small_batches(docs), "doc_id", "text")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # slots x languages numbers: a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, langs = Scorer(shared.value), shared.value.langs
-        for part in slices(batches, 4_000_000):
+        for part in slices(batches, 2_000_000):
             pred, score = [UNDETERMINED] * len(part), np.zeros(len(part))
             if langs:
                 texts = [letter_words(t) for t in part.column("text").to_pylist()]
                 for i, gamma in scorer.posteriors(texts):
                     mean = gamma.mean(axis=0)
                     pred[i], score[i] = langs[int(mean.argmax())], float(min(1.0, mean.max()))
-            kept = part.drop_columns(["text"])
+            kept = part if whole else part.drop_columns(["text"])
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(pred, pa.string()), pa.array(score)],
                                              names=[*kept.schema.names, "lang_pred", "score"])
 
-    return d.mapInArrow(run, d.drop("text").schema.add("lang_pred", "string").add("score", "double"))
+    schema = d.schema if whole else d.drop("text").schema
+    return d.mapInArrow(run, StructType([*schema.fields, *FOUND.fields]))
 
 
 def label_spans(docs: DataFrame, model: LangModel) -> DataFrame:
@@ -356,8 +359,7 @@ def keep_identified(docs: DataFrame, model: LangModel, least: float = 0.5) -> Da
     """The rows of ``docs``, all columns, whose text has letters and a language with mean posterior of ``least`` or
     more. The columns travel through the same single pass."""
     names = docs.columns
-    plain = docs.toDF(*[f"__keep{i}" for i in range(len(names))])
-    at = {n: f"__keep{i}" for i, n in reversed(list(enumerate(names)))}
-    passed = predict(plain.withColumns({"doc_id": F.col(at["doc_id"]), "text": F.col(at["text"])}), model)
+    unique = [n if n == "text" else f"__{i}" for i, n in enumerate(names)]
+    passed = predict(docs.toDF(*unique), model, whole=True)
     passed = passed.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
-    return passed.select(*[f"__keep{i}" for i in range(len(names))]).toDF(*names)
+    return passed.select(*unique).toDF(*names)
