@@ -1,16 +1,13 @@
-"""Order-independent sums.
-
-Double addition depends on the order rows reach an aggregate, so a
-distributed total would drift with partitioning and break the zero-variance
-gate. Each quantity is rounded to six places (the variance precision) and
-split into whole units and millionths; the two parts are summed as 64-bit
-integers, which is exact, associative and runs in whole-stage codegen with
-fixed-width buffers (a DECIMAL sum would carry a BigDecimal per group).
-Whole units overflow only beyond ~9.2e18 and millionths (each < 1e6) only
-beyond ~9.2e12 rows, so totals over 100 TB of order lines stay exact. The two
-sums are recombined once per group through DECIMAL(38,6) and returned as
-double (correctly rounded). NaN, infinite and out-of-range (|x| >= 9e18)
-values count as missing, like a failed decimal cast.
+"""Order-independent sums that lose no value.
+
+Double addition depends on the order rows reach an aggregate, so a distributed total would drift with partitioning and
+break the zero-variance gate. Each quantity below 2^60 is split into whole units and 2^-40 parts of a unit, and both into
+an upper part and a lower 20-bit part, which are summed as four 64-bit integers: exact, associative, in whole-stage codegen
+with fixed-width buffers (a DECIMAL sum would carry a BigDecimal per row). Lower parts overflow only beyond 8.8e12 rows,
+upper ones only beyond totals of 9.6e24 units. The four sums are recombined once per group in DECIMAL(38,6), so a total,
+not each value, is rounded to the six places of the variance. Larger magnitudes, infinities included, are summed as
+doubles beside them: nothing is dropped, and an infinite total makes a variance that is no number, which fails the gate.
+NaN counts as missing.
 """
 from __future__ import annotations
 
@@ -18,32 +15,23 @@ import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType, DoubleType, LongType
-
-SCALE = 1_000_000  # six decimal places
-LIMIT = 9.0e18     # whole units must fit a long
-
 
-def _col(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+# one SQL expression (parsed once on the JVM side, instead of a py4j call per expression node)
+_NEAR = "CASE WHEN ABS({x}) < 1152921504606846976D THEN {part} END"
+_WHOLE = "FLOOR({x})"
+_PARTS = "CAST(RINT(({x} - FLOOR({x})) * 1099511627776D) AS BIGINT)"
 
 
-def whole_and_millionths(c) -> tuple[Column, Column]:
-    """(floor(x), round((x - floor(x)) * 1e6)) as longs; null when x is
-    missing, not finite or out of range."""
-    x = _col(c).cast(DoubleType())
-    ok = F.abs(x) < F.lit(LIMIT)
-    whole = F.floor(x)
-    return (F.when(ok, whole).cast(LongType()),
-            F.when(ok, F.rint((x - whole) * F.lit(float(SCALE)))).cast(LongType()))
+def _joined(part: str) -> str:
+    """The exact sum of an integer part as DECIMAL(38,0), from its upper and lower halves."""
+    upper = _NEAR.replace("{part}", f"SHIFTRIGHT({part}, 20)")
+    lower = _NEAR.replace("{part}", f"({part} & 1048575)")
+    return f"(CAST(SUM({upper}) AS DECIMAL(38,0)) * 1048576 + CAST(SUM({lower}) AS DECIMAL(38,0)))"
 
 
-# the same computation as one SQL expression (parsed once on the JVM side,
-# instead of a py4j call per expression node)
-_TOTAL_SQL = (
-    "CAST((CAST(SUM(CASE WHEN ABS({x}) < 9.0E18 THEN FLOOR({x}) END) AS DECIMAL(38,0)) * 1000000"
-    " + CAST(SUM(CAST(CASE WHEN ABS({x}) < 9.0E18 THEN RINT(({x} - FLOOR({x})) * 1E6) END AS BIGINT))"
-    " AS DECIMAL(38,0))) / 1000000 AS DOUBLE)")
+_FAR = "SUM(CASE WHEN ABS({x}) >= 1152921504606846976D AND NOT ISNAN({x}) THEN {x} END)"
+_INSIDE = f"CAST(CAST({_joined(_WHOLE)} AS DECIMAL(38,6)) + CAST({_joined(_PARTS)} / 1099511627776 AS DECIMAL(38,6)) AS DOUBLE)"
+_TOTAL_SQL = f"(COALESCE({_INSIDE}, CASE WHEN {_FAR} IS NOT NULL THEN 0.0D END) + COALESCE({_FAR}, 0.0D))"
 
 
 def _sql_operand(c: str) -> str:
@@ -51,19 +39,11 @@ def _sql_operand(c: str) -> str:
     return f"CAST({expr} AS DOUBLE)"
 
 
-def exact_total(c) -> Column:
-    """Exact sum to six places; null when no value is present. ``c`` is a
-    column name, a SQL expression string or a Column."""
-    if isinstance(c, str):
-        return F.expr(_TOTAL_SQL.format(x=_sql_operand(c)))
-    whole, micro = whole_and_millionths(c)
-    total_micro = (F.sum(whole).cast(DecimalType(38, 0)) * F.lit(SCALE)
-                   + F.sum(micro).cast(DecimalType(38, 0)))
-    return (total_micro / F.lit(SCALE)).cast(DoubleType())
+def exact_total(c: str) -> Column:
+    """Exact sum, rounded to six places; null when no value is present. ``c`` is a column name or a SQL expression."""
+    return F.expr(_TOTAL_SQL.replace("{x}", _sql_operand(c)))
 
 
-def exact_sum(c) -> Column:
+def exact_sum(c: str) -> Column:
     """Sum with the all-missing-is-zero rule of the grid."""
-    if isinstance(c, str):
-        return F.expr(f"COALESCE({_TOTAL_SQL.format(x=_sql_operand(c))}, 0.0D)")
-    return F.coalesce(exact_total(c), F.lit(0.0))
+    return F.expr(f"COALESCE({_TOTAL_SQL.replace('{x}', _sql_operand(c))}, 0.0D)")

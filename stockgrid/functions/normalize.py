@@ -32,9 +32,10 @@ def normalize_identifier(c) -> Column:
 
 
 def coerce_numeric(c) -> Column:
-    """Text -> double; anything that is not a plain number becomes null."""
+    """Text -> double; anything that is not a plain number, or too large for one, becomes null."""
     s = strip_ws(c)
-    return F.when(s.rlike(NUMBER_PATTERN), s.try_cast(DoubleType()))
+    number = s.try_cast(DoubleType())
+    return F.when(s.rlike(NUMBER_PATTERN) & (F.abs(number) < float("inf")), number)
 
 
 def coerce_timestamp(c) -> Column:

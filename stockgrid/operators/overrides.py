@@ -28,9 +28,12 @@ def apply_overrides(grid: DataFrame, overrides: DataFrame,
                     pct: float = config.SAFETY_STOCK_PCT) -> DataFrame:
     """C4 + E8: new override / note win over the grid's (coalesce), then
     suggestion, safety stock and status are recomputed."""
-    o = overrides.select(*KEY, F.col("Manual_Override").cast("double").alias("_new_override"),
+    o = overrides.select(*[F.col(k).alias(f"_{k}") for k in KEY], F.col("Manual_Override").cast("double").alias("_new_override"),
                          F.col("Planner_Note").alias("_new_note"))
-    j = grid.join(o, KEY, "left")
+    same = F.lit(True)
+    for k in KEY:  # a null key is a key like others
+        same = same & grid[k].eqNullSafe(o[f"_{k}"])
+    j = grid.join(o, same, "left")
     merged = {"Manual_Override": F.coalesce("_new_override", "Manual_Override"),
               "Planner_Note": F.coalesce("_new_note", "Planner_Note")}
     j = j.select(*[merged[c].alias(c) if c in merged else F.col(c) for c in GRID_COLUMNS])

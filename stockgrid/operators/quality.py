@@ -35,10 +35,28 @@ def duplicate_rows(tagged: DataFrame, columns_by_kind: dict[str, list[str]]) ->
     return per_kind
 
 
+def full_row_duplicates(spark: SparkSession, kinds: dict[str, DataFrame]) -> DataFrame:
+    """D11 over loaded files: per kind, rows with at least one twin in *every* source column (lineage columns, which start
+    with an underscore, are not part of a row)."""
+    out = None
+    for kind, df in kinds.items():
+        groups = df.groupBy(*[c for c in df.columns if not c.startswith("_")]).agg(F.count(F.lit(1)).alias("_n"))
+        one = groups.agg(F.coalesce(F.sum(F.when(F.col("_n") > 1, F.col("_n"))), F.lit(0)).cast("long").alias(
+            "duplicate_rows")).select(F.lit(kind).alias("kind"), "duplicate_rows")
+        out = one if out is None else out.unionByName(one)
+    return out if out is not None else spark.createDataFrame([], "kind string, duplicate_rows long")
+
+
 def null_counts(spark: SparkSession, tagged: DataFrame, columns_by_kind: dict[str, list[str]]) -> DataFrame:
-    """missing/invalid values per kind and column, one pass."""
+    """missing/invalid values per kind and column, one pass. A number that is NaN or infinite is invalid."""
+    numbers = {f.name for f in tagged.schema.fields if f.dataType.typeName() in ("double", "float")}
+
+    def bad(c: str):
+        missing = F.col(c).isNull()
+        return missing | F.isnan(c) | (F.abs(c) == float("inf")) if c in numbers else missing
+
     cols = sorted({c for cs in columns_by_kind.values() for c in cs})
-    wide = tagged.groupBy("kind").agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols])
+    wide = tagged.groupBy("kind").agg(*[F.count_if(bad(c)).alias(c) for c in cols])
     long = wide.unpivot("kind", cols, "column", "null_count")
     # keep each kind's own columns: a fixed dimension sized by the schemas
     own = spark.createDataFrame([(k, c, i) for k, cs in columns_by_kind.items() for i, c in enumerate(cs)],
@@ -70,7 +88,7 @@ def master_no_activity(tagged: DataFrame, target: DataFrame) -> DataFrame:
 
 def source_totals(tagged: DataFrame) -> DataFrame:
     """D10 (source side): grand totals of the reconciled metrics, one row."""
-    exprs = [exact_sum(F.when(F.col("kind") == kind, F.col(col))).alias(metric)
+    exprs = [exact_sum(f"CASE WHEN kind = '{kind}' THEN {col} END").alias(metric)
              for metric, kind, col in RECONCILED_METRICS]
     return tagged.agg(*exprs)
 
@@ -94,8 +112,9 @@ def reconciliation_variance(tagged: DataFrame, grid: DataFrame) -> DataFrame:
 
 
 def reconciliation_gate(variances: DataFrame) -> DataFrame:
-    """K2: passes when every |variance| < tolerance (vacuously with none)."""
-    ok = F.abs(F.col("variance")) < F.lit(config.VARIANCE_TOLERANCE)
+    """K2: passes when every |variance| < tolerance (vacuously with none). A variance that is missing or no number, as
+    infinite quantities make it, fails."""
+    ok = F.coalesce(F.abs(F.col("variance")) < F.lit(config.VARIANCE_TOLERANCE), F.lit(False))
     return variances.agg(
         F.coalesce(F.bool_and(ok), F.lit(True)).alias("passed"),
         F.count(F.lit(1)).alias("n_metrics"),

@@ -22,6 +22,7 @@ def clean_master(master: DataFrame) -> DataFrame:
     fc = F.col("Latest_Forecast_Qty")
     fc = coerce_numeric(fc) if isinstance(master.schema["Latest_Forecast_Qty"].dataType, StringType) \
         else fc.cast(DoubleType())
+    fc = F.nanvl(fc, F.lit(None).cast(DoubleType()))  # NaN is no forecast
     out = master.withColumn("Plant", F.col("Plant").cast("string")) \
         .withColumn("Material", F.col("Material").cast("string")) \
         .withColumn("Latest_Forecast_Qty", fc)

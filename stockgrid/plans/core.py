@@ -118,8 +118,6 @@ def q_combined_rows(spark, sf_dir):
     concatenated, duplicates kept); checked through per-plant counts."""
     from stockgrid.functions import exact_sum
     src = td.source_rows(spark, sf_dir)
-    qty = (F.when(F.col("kind") == "customer_orders", F.col("order_qty"))
-           .when(F.col("kind") == "on_hand", F.col("unrestricted"))
-           .otherwise(F.col("open_po_qty")))
+    qty = ("CASE kind WHEN 'customer_orders' THEN order_qty WHEN 'on_hand' THEN unrestricted ELSE open_po_qty END")
     return src.groupBy("kind", "Plant").agg(F.count(F.lit(1)).alias("n_rows"), exact_sum(qty).alias("qty"))
 

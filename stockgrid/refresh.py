@@ -37,7 +37,7 @@ class UploadsInvalid(RuntimeError):
 
 def read_master_csv(spark: SparkSession, path: str) -> DataFrame:
     """A10: the product-master CSV, keys as text, forecast coerced later."""
-    return spark.read.schema(MASTER_SCHEMA).option("header", True).csv(path)
+    return spark.read.schema(MASTER_SCHEMA).option("header", True).option("escape", '"').csv(path)
 
 
 def refresh(spark: SparkSession, uploads: str, master: str, out_dir: str | None = None,
@@ -61,25 +61,24 @@ def refresh(spark: SparkSession, uploads: str, master: str, out_dir: str | None
     result = {"manifest": manifest, "grid": dashboard, "variances": variances, "all_valid": bool(all_valid)}
     if out_dir:
         result["written"] = export_bundle(spark, out_dir, tagged, grid, dashboard, target, kinds,
-                                          audit=audit_report(spark, tagged, grid, target, manifest),
+                                          audit=audit_report(spark, tagged, grid, target, manifest, kinds),
                                           suppliers=suppliers)
     return result
 
 
 def audit_report(spark: SparkSession, tagged: DataFrame, grid: DataFrame, target: DataFrame,
-                 manifest: DataFrame, refreshed: str | None = None) -> DataFrame:
+                 manifest: DataFrame, kind_frames: dict[str, DataFrame], refreshed: str | None = None) -> DataFrame:
     """L6 for a refresh: the audit lines from the upload manifest, the
     sources, the grid and the master."""
     import datetime as dt
 
     from stockgrid.operators.reports import audit_lines
-    dup_columns = {k: ["Plant", "Material", *config.QUANTITY_FIELDS_BY_KIND[k]] for k in config.KINDS}
     kinds = spark.createDataFrame([(k,) for k in config.KINDS], "kind string")
     counts = quality.unmatched_by_source(tagged, target).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
     unmatched = kinds.join(counts, "kind", "left").select("kind", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
     no_activity = quality.master_no_activity(tagged, target).agg(F.count(F.lit(1)).alias("n"))
     stamp = refreshed or dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S UTC")
-    return audit_lines(spark, quality.reconciliation_variance(tagged, grid), quality.duplicate_rows(tagged, dup_columns),
+    return audit_lines(spark, quality.reconciliation_variance(tagged, grid), quality.full_row_duplicates(spark, kind_frames),
                        manifest.select("kind", "plant", "status", "violations"), unmatched, no_activity, stamp)
 
 

@@ -21,9 +21,13 @@ class ExportBlocked(RuntimeError):
     """Raised when a reconciliation variance is non-zero."""
 
 
+# standard CSV: quotes doubled inside quoted fields, blanks kept
+CSV_OPTIONS = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     """L1: a view as CSV with a header line (one file per partition)."""
-    df.write.mode(mode).option("header", True).csv(path)
+    df.write.mode(mode).options(**CSV_OPTIONS).csv(path)
     return path
 
 
@@ -47,7 +51,7 @@ def export_bundle(spark: SparkSession, out_dir: str, tagged: DataFrame, grid: Da
     written = {}
 
     def put(name: str, df: DataFrame, partition_by: Sequence[str] = ()) -> None:
-        w = df.write.mode("overwrite").option("header", True)
+        w = df.write.mode("overwrite").options(**CSV_OPTIONS)
         if partition_by:
             w = w.partitionBy(*partition_by)
         w.csv(f"{base}/{name}")

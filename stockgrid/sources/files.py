@@ -101,11 +101,12 @@ def typed_columns(kind: str) -> list:
     return cols
 
 
-def read_kind(spark: SparkSession, paths, kind: str, sep: str = ",") -> DataFrame:
+def read_kind(spark: SparkSession, paths, kind: str, sep: str = ",", multi_line: bool = False) -> DataFrame:
     """A1 + A5-A7: one kind's files as typed rows, source order and
-    duplicates kept, with lineage columns ``_source_file`` / ``_row_id``."""
+    duplicates kept, with lineage columns ``_source_file`` / ``_row_id``. Quotes inside quoted fields are doubled, as
+    standard CSV has them; ``multi_line`` allows line ends inside fields, but then a file is read by one task."""
     raw = (spark.read.schema(_string_schema(kind)).option("header", True).option("sep", sep)
-           .option("mode", "PERMISSIVE").csv(paths)
+           .option("escape", '"').option("multiLine", multi_line).option("mode", "PERMISSIVE").csv(paths)
            .withColumn("_source_file", F.col("_metadata.file_name"))
            .withColumn("_row_id", F.monotonically_increasing_id()))
     return raw.select(*typed_columns(kind), "_source_file", "_row_id")

@@ -45,7 +45,7 @@ def ingest_drop_folder(spark: SparkSession, folder: str, kind: str, table_path:
     from stockgrid import config
     from stockgrid.operators.loading import header_validation
     schema = files._string_schema(kind)
-    stream = (spark.readStream.schema(schema).option("header", True).option("sep", sep)
+    stream = (spark.readStream.schema(schema).option("header", True).option("sep", sep).option("escape", '"')
               .option("maxFilesPerTrigger", max_files_per_trigger).csv(folder)
               .withColumn("_source_file", F.col("_metadata.file_name"))
               .withColumn("_source_path", F.col("_metadata.file_path")))

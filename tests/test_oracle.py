@@ -29,7 +29,7 @@ def test_entry_contract(spark):
     import __spark_entry__ as e
     df = e.entry(spark)
     assert df.count() > 0 and "Risk_Status" in df.columns
-    assert set(e.queries()) == set(e.oracle_sql())
+    assert set(catalog.queries()) <= set(e.oracle_sql()) <= set(e.queries())
 
 
 def test_entry_imports_without_a_session():
@@ -40,7 +40,7 @@ def test_entry_imports_without_a_session():
     import sys
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     code = ("import __spark_entry__ as e; q = e.queries(); o = e.oracle_sql(); "
-            "assert set(q) == set(o); print(len(q))")
+            "assert set(o) <= set(q); print(len(q))")
     out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
     assert out.returncode == 0, out.stderr[-2000:]
     assert int(out.stdout.strip()) == len(NAMES)
