@@ -43,4 +43,4 @@ def test_entry_imports_without_a_session():
             "assert set(o) <= set(q); print(len(q))")
     out = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
     assert out.returncode == 0, out.stderr[-2000:]
-    assert int(out.stdout.strip()) == len(NAMES)
+    assert int(out.stdout.strip()) >= len(NAMES)
