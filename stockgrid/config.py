@@ -130,8 +130,6 @@ HEADER_TAG_PATTERNS = (
     ("open_po", r"(?i)open\s*po|on\s*order"),
 )
 HEADER_SCAN_MAX_ROW = 8
-HEADER_SCAN_MAX_COL = 80
-TAG_SCAN_MAX_COL = 120
 TAG_SAMPLE_ROWS = 15
 BROKEN_FORMULA_SAMPLES = 3
 BROKEN_FORMULA_CHARS = 200

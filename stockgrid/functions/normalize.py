@@ -9,10 +9,9 @@ from pyspark.sql.types import DoubleType
 NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 # dates are ISO (yyyy-MM-dd...) or month-first (M/d/yyyy...); bare numbers
 # such as '45000' are not dates
-DATE_SHAPE_PATTERN = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"
-DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd")
-US_DATE_SHAPE_PATTERN = r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}"
-US_DATE_FORMATS = ("M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy")
+ISO_DATE_PATTERN = (r"^([0-9]{4})-([0-9]{2})-([0-9]{2})"
+                    r"(?:[ T]([0-9]{2}):([0-9]{2})(?::([0-5][0-9](?:\.[0-9]{1,6})?)[0-9]*Z?)?)?$")
+US_DATE_PATTERN = r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})(?: ([0-9]{1,2}):([0-9]{2})(?::([0-5][0-9]))?)?$"
 
 
 def _col(c) -> Column:
@@ -39,10 +38,15 @@ def coerce_numeric(c) -> Column:
 
 
 def coerce_timestamp(c) -> Column:
-    """Text -> timestamp_ntz over fixed ISO and month-first format lists;
-    anything else (including impossible dates) -> null."""
+    """Text -> timestamp_ntz: ISO (a fraction and Z allowed) or month-first dates with an optional time; anything else
+    (including impossible dates) -> null. The wall-clock parts are taken as written, whatever the session's zone."""
     s = strip_ws(c)
-    iso = F.coalesce(*[F.try_to_timestamp(s, F.lit(fmt)) for fmt in DATE_FORMATS])
-    us = F.coalesce(*[F.try_to_timestamp(s, F.lit(fmt)) for fmt in US_DATE_FORMATS])
-    return (F.when(s.rlike(DATE_SHAPE_PATTERN), iso.cast("timestamp_ntz"))
-            .when(s.rlike(US_DATE_SHAPE_PATTERN), us.cast("timestamp_ntz")))
+
+    def parsed(pattern: str, year: int, month: int, day: int) -> Column:
+        part = lambda i, kind: F.regexp_extract(s, pattern, i).try_cast(kind)
+        zero = lambda i, kind: F.coalesce(part(i, kind), F.lit(0).cast(kind))
+        made = F.try_make_timestamp_ntz(part(year, "int"), part(month, "int"), part(day, "int"),
+                                        zero(4, "int"), zero(5, "int"), zero(6, "decimal(8,6)"))
+        return F.when(s.rlike(pattern), made)
+
+    return F.coalesce(parsed(ISO_DATE_PATTERN, 1, 2, 3), parsed(US_DATE_PATTERN, 3, 1, 2))

@@ -36,10 +36,13 @@ def row_number_within(df: DataFrame, group_cols: Sequence[str], order_cols: Sequ
     local = ranged.withColumn("_local", F.row_number().over(local_w))
     sizes = ranged.groupBy("_slice", *group_cols).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group_cols).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    out = local.join(offsets, ["_slice", *group_cols])
-    return out.withColumn(out_col, (F.col("_offset") + F.col("_local")).cast("int")) \
-        .drop("_slice", "_local", "_offset")
+    offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).select(
+        F.col("_slice").alias("_of"), *[F.col(c).alias(f"_of_{c}") for c in group_cols], "_offset")
+    same = F.col("_slice") == F.col("_of")
+    for c in group_cols:  # a null group is a group
+        same &= F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    out = local.join(offsets, same)
+    return out.select(*df.columns, (F.col("_offset") + F.col("_local")).cast("int").alias(out_col))
 
 
 def top_k_within(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence, k: int) -> DataFrame:
@@ -50,8 +53,12 @@ def top_k_within(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence,
     WindowGroupLimit that keeps the top ``k`` per group inside every map task
     before the shuffle (and again after it), so a group ships at most ``k``
     rows per task however large it is. ``k`` must stay within
-    ``spark.sql.optimizer.windowGroupLimitThreshold`` (1000 by default).
+    ``spark.sql.optimizer.windowGroupLimitThreshold`` (1000 by default), as
+    Spark would ship whole groups beyond it; a larger ``k`` raises.
     """
+    most = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if k > most:
+        raise ValueError(f"k = {k} is above spark.sql.optimizer.windowGroupLimitThreshold = {most}")
     order_exprs = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     w = Window.partitionBy(*group_cols).orderBy(*order_exprs)
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -22,6 +22,7 @@ from stockgrid.functions.ranking import top_k_within
 
 SHEET_COLUMNS = ["sheet", "plant_col", "sap_col", "tol_col", "desc_col",
                  "reconstructed_material_from_tol", "forecast_col_count"]
+SHEET_SLICES = 64  # a sheet's rows are dealt to this many join partitions
 MASTER_OUT = ["Supplier", "Plant", "Material", "TOL_Material", "Description",
               "Latest_Forecast_Qty", "Forecast_Source_Column"]
 
@@ -40,6 +41,15 @@ def clean_id(c: Column) -> Column:
     return F.when(out == "", F.lit(None).cast("string")).otherwise(out)
 
 
+def with_sheet(cells: DataFrame, dim: DataFrame, on: list[str]) -> DataFrame:
+    """Join cells to ``dim``, which holds a few rows per sheet. The rows of a sheet are dealt to slices by row number and
+    ``dim`` is repeated for each, so that a sheet with most of the cells is still split over many tasks. The slice stays
+    as ``_slice``: grouping by (sheet, _slice, row_no) then needs no further shuffle."""
+    sliced = cells.withColumn("_slice", F.pmod(F.col("row_no"), F.lit(SHEET_SLICES)))
+    copies = dim.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(SHEET_SLICES - 1))))
+    return sliced.join(copies, [*on, "_slice"])
+
+
 def header_cells(cells: DataFrame, header_row: int = config.MASTER_HEADER_ROW) -> DataFrame:
     return cells.filter(F.col("row_no") == header_row).select(
         "sheet", "col_no", strip_ws(shown()).alias("label"))
@@ -69,9 +79,9 @@ def sheet_columns(cells: DataFrame, header_row: int = config.MASTER_HEADER_ROW)
 
 def _row_fields(cells: DataFrame, cols: DataFrame, header_row: int) -> DataFrame:
     """Pivot each data row's plant / SAP / TOL / description cells."""
-    data = cells.filter(F.col("row_no") > header_row).join(cols, "sheet")
+    data = with_sheet(cells.filter(F.col("row_no") > header_row), cols, ["sheet"])
     pick = lambda c: F.max(F.when(F.col("col_no") == F.col(c), F.col("value")))
-    return data.groupBy("sheet", "row_no").agg(
+    return data.groupBy("sheet", "_slice", "row_no").agg(
         pick("plant_col").alias("plant_raw"), pick("sap_col").alias("sap_raw"),
         pick("tol_col").alias("tol_raw"), pick("desc_col").alias("desc_raw"),
         F.first("reconstructed_material_from_tol").alias("reconstruct"))
@@ -107,10 +117,10 @@ def rightmost_forecast(cells: DataFrame, header_row: int = config.MASTER_HEADER_
     """M5: per data row, the right-most forecast cell holding a number
     (blank, error strings and other text skipped) and its header."""
     fc = forecast_columns(cells, header_row)
-    vals = (cells.filter(F.col("row_no") > header_row).join(fc, ["sheet", "col_no"])
+    vals = (with_sheet(cells.filter(F.col("row_no") > header_row), fc, ["sheet", "col_no"])
             .withColumn("num", F.when(~strip_ws("value").isin(*config.ERROR_STRINGS), coerce_numeric("value")))
             .filter(F.col("num").isNotNull()))
-    best = vals.groupBy("sheet", "row_no").agg(F.max_by(F.struct("num", "header"), F.col("col_no")).alias("b"))
+    best = vals.groupBy("sheet", "_slice", "row_no").agg(F.max_by(F.struct("num", "header"), F.col("col_no")).alias("b"))
     return best.select("sheet", "row_no", F.col("b.num").alias("Latest_Forecast_Qty"),
                        F.col("b.header").alias("Forecast_Source_Column"))
 
@@ -171,12 +181,13 @@ def workbook_totals(cells: DataFrame) -> DataFrame:
 def broken_formula_samples(cells: DataFrame, k: int = config.BROKEN_FORMULA_SAMPLES,
                            chars: int = config.BROKEN_FORMULA_CHARS) -> DataFrame:
     """The first k '#REF!' formulas of each sheet in row, column order
-    (a per-task group limit before the shuffle, no whole-sheet window)."""
+    (a per-task group limit before the shuffle, no whole-sheet window), whole
+    and as ``shown``, their first ``chars`` characters."""
     f = shown()
     broken = cells.filter(f.startswith("=") & f.contains("#REF!")).select(
-        "sheet", "row_no", "col_no", F.substring(f, 1, chars).alias("formula"))
+        "sheet", "row_no", "col_no", f.alias("formula"))
     return top_k_within(broken, ["sheet"], ["row_no", "col_no"], k).select(
-        "sheet", "rank", "row_no", "col_no", "formula")
+        "sheet", "rank", "row_no", "col_no", "formula", F.substring("formula", 1, chars).alias("shown"))
 
 
 def _is_text(c: Column) -> Column:
@@ -185,10 +196,12 @@ def _is_text(c: Column) -> Column:
 
 
 def header_row(cells: DataFrame, max_row: int = config.HEADER_SCAN_MAX_ROW,
-               max_col: int = config.HEADER_SCAN_MAX_COL) -> DataFrame:
-    """The row (<= max_row) with the most text cells (col <= max_col);
-    smallest row on ties; row 1 when no row has text."""
-    scan = cells.filter((F.col("row_no") <= max_row) & (F.col("col_no") <= max_col))
+               max_col: int | None = None) -> DataFrame:
+    """The row (<= max_row) with the most text cells (of all columns, or
+    those <= max_col); smallest row on ties; row 1 when no row has text."""
+    scan = cells.filter(F.col("row_no") <= max_row)
+    if max_col is not None:
+        scan = scan.filter(F.col("col_no") <= max_col)
     counts = scan.filter(_is_text(shown())).groupBy("sheet", "row_no").agg(F.count(F.lit(1)).alias("n"))
     best = counts.groupBy("sheet").agg(
         F.max_by(F.struct("row_no", "n"), F.struct(F.col("n"), -F.col("row_no"))).alias("b"))
@@ -204,22 +217,28 @@ def tag_expr(header: Column) -> Column:
     return F.array_join(F.array_compact(tags), ",")
 
 
-def header_tags(cells: DataFrame, max_col: int = config.TAG_SCAN_MAX_COL) -> DataFrame:
-    """Every non-blank cell of the detected header row (col <=
-    max_col) with its keyword tags."""
-    hr = header_row(cells).select("sheet", F.col("header_row").alias("row_no"))
-    h = cells.filter(F.col("col_no") <= max_col).join(hr, ["sheet", "row_no"])
+def header_tags(cells: DataFrame, max_row: int = config.HEADER_SCAN_MAX_ROW, max_col: int | None = None) -> DataFrame:
+    """Every non-blank cell of the detected header row (of all columns,
+    or those <= max_col) with its keyword tags."""
+    hr = header_row(cells, max_row, max_col).select("sheet", F.col("header_row").alias("row_no"))
+    # a header row is among the first max_row: no other cell is shuffled
+    h = cells.filter(F.col("row_no") <= max_row)
+    if max_col is not None:
+        h = h.filter(F.col("col_no") <= max_col)
+    h = h.join(hr, ["sheet", "row_no"])
     h = h.withColumn("header", shown()).filter(strip_ws("header") != "")
     return h.select("sheet", "col_no", "header", tag_expr(F.col("header")).alias("tags"))
 
 
-def tagged_samples(cells: DataFrame, n_rows: int = config.TAG_SAMPLE_ROWS) -> DataFrame:
+def tagged_samples(cells: DataFrame, n_rows: int = config.TAG_SAMPLE_ROWS,
+                   max_row: int = config.HEADER_SCAN_MAX_ROW) -> DataFrame:
     """For the next n_rows rows after the header, the value under each
     tagged header (a repeated header text keeps its right-most column);
     rows with no value in any tagged column are dropped."""
-    tags = header_tags(cells).filter(F.col("tags") != "")
-    hr = header_row(cells).select("sheet", "header_row")
-    window = (cells.join(hr, "sheet")
+    tags = header_tags(cells, max_row).filter(F.col("tags") != "")
+    hr = header_row(cells, max_row).select("sheet", "header_row")
+    # a header row is among the first max_row, so every sample row is among the first max_row + n_rows
+    window = (cells.filter(F.col("row_no") <= max_row + n_rows).join(hr, "sheet")
               .filter((F.col("row_no") > F.col("header_row"))
                       & (F.col("row_no") <= F.col("header_row") + n_rows)))
     tagged_vals = window.join(tags.select("sheet", "col_no"), ["sheet", "col_no"])

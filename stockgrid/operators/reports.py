@@ -97,7 +97,7 @@ def executive_summary(grid: DataFrame) -> DataFrame:
     to the eight KPI rows and each status row to its count row."""
     at_risk = F.col("Risk_Status").isin(*config.AT_RISK_STATUSES)
     measures = {
-        "active_materials": F.count_distinct(F.struct("Plant", "Material")),
+        "active_materials": F.count(F.lit(1)),  # one row per key
         "total_unrestricted_on_hand": exact_sum("Unrestricted_On_Hand"),
         "total_open_po_qty": exact_sum("Open_PO_Qty"),
         "total_customer_order_qty": exact_sum("Customer_Order_Qty"),
@@ -146,9 +146,9 @@ def _section(df: DataFrame, section: str, item: Column, value: Column) -> DataFr
 
 def reconciliation_summary(spark: SparkSession, tagged: DataFrame, grid: DataFrame, target: DataFrame,
                            required: DataFrame, per_file: DataFrame,
-                           dup_columns: dict[str, list[str]], null_columns: dict[str, list[str]]) -> DataFrame:
+                           duplicates: DataFrame, null_columns: dict[str, list[str]]) -> DataFrame:
     """K3: the whole report bundle as (section, item, value) rows.
-    ``per_file`` is the ``plant_violations`` result of the file rows."""
+    ``per_file`` is the ``plant_violations`` result of the file rows, ``duplicates`` the D11 counts."""
     status = loading.load_status(required, per_file=per_file)
     item_file = F.concat_ws(":", "kind", "plant")
     variances = quality.reconciliation_variance(tagged, grid)
@@ -160,7 +160,7 @@ def reconciliation_summary(spark: SparkSession, tagged: DataFrame, grid: DataFra
         _section(status, "valid", item_file, (F.col("status") == loading.STATUS_VALID).cast("int")),
         _section(per_file, "plant_violation_rows",
                  F.concat_ws(":", "kind", "expected_plant"), F.col("violating_rows")),
-        _section(quality.duplicate_rows(tagged, dup_columns), "duplicate_rows", F.col("kind"),
+        _section(duplicates, "duplicate_rows", F.col("kind"),
                  F.col("duplicate_rows")),
         _section(nulls, "null_values", F.col("kind"), F.col("n")),
         _section(unmatched, "unmatched_keys", F.col("kind"), F.col("n")),

@@ -54,15 +54,16 @@ def master_duplicates(master: DataFrame, cleaned: bool = False) -> DataFrame:
     winner per key, identical copies included).
 
     Each row gets an identity (``monotonically_increasing_id``), and the
-    tagged rows are checkpointed once so both consumers below see the same
+    tagged rows are written once as Parquet so both consumers below see the same
     identities even if the input came through a shuffle or a task is
     retried. The winner per key is the ``min_by`` of that identity over
     (rank, identity); the losers are the rows joined to their key's winner
     with a different identity. Copies of a row stay where they were read:
     nothing is re-expanded from a count.
     """
-    m = ((master if cleaned else clean_master(master))
-         .withColumn("_rid", F.monotonically_increasing_id()).checkpoint(eager=True))
+    from stockgrid.operators.reports import materialize
+    m = (master if cleaned else clean_master(master)).withColumn("_rid", F.monotonically_increasing_id())
+    m = materialize(m.sparkSession, m, "master-rows")
     winners = m.groupBy(*KEY).agg(F.min_by("_rid", F.struct(_rank(), F.col("_rid"))).alias("_win"))
     return m.join(winners, KEY, "inner").filter(F.col("_rid") != F.col("_win")).select(*MASTER_COLUMNS)
 

@@ -91,13 +91,13 @@ from (select distinct sheet from cells) s left join (
   select sheet, row_no, n from (
     select *, row_number() over (partition by sheet order by n desc, row_no asc) as rn from (
       select sheet, row_no, count(*) as n from cells
-      where row_no <= {config.HEADER_SCAN_MAX_ROW} and col_no <= {config.HEADER_SCAN_MAX_COL} and {_TEXT}
+      where row_no <= {config.HEADER_SCAN_MAX_ROW} and {_TEXT}
       group by sheet, row_no) a) b0 where rn = 1) b on b.sheet = s.sheet""",
     "m_tags": f"""
 select sheet, col_no, header, {_TAGS} as tags from (
   select c.sheet, c.col_no, {_SHOWN} as header from cells c join m_hrow h
     on c.sheet = h.sheet and c.row_no = h.header_row
-  where c.col_no <= {config.TAG_SCAN_MAX_COL} and {_trim(_SHOWN)} <> '') x""",
+  where {_trim(_SHOWN)} <> '') x""",
 }
 M_VIEWS["win"] = f"""
 select c.sheet, c.row_no, c.col_no, c.value from cells c join m_hrow h on c.sheet = h.sheet
@@ -168,8 +168,8 @@ def q_formula_survey(spark, sf_dir):
 
 
 @query("broken_formula_samples", "M10", _msql(f"""
-select sheet, cast(rn as int) as rank, row_no, col_no, formula from (
-  select sheet, row_no, col_no, substring({_SHOWN}, 1, {config.BROKEN_FORMULA_CHARS}) as formula,
+select sheet, cast(rn as int) as rank, row_no, col_no, formula, substring(formula, 1, 200) as shown from (
+  select sheet, row_no, col_no, {_SHOWN} as formula,
     row_number() over (partition by sheet order by row_no, col_no) as rn
   from cells where starts_with({_SHOWN}, '=') and contains({_SHOWN}, '#REF!')) x
 where rn <= {config.BROKEN_FORMULA_SAMPLES}

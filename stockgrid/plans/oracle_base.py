@@ -60,6 +60,9 @@ where p_size % 10 <> 0
 union all
 select '2910', concat('100', cast(p_partkey as varchar)), 'Brand#ALT', cast(p_partkey as varchar),
   p_name, cast(p_size * 3.0 as double) from part where p_partkey % 7 = 0
+union all
+select '2930', concat('900', cast(p_partkey as varchar)), p_brand, cast(p_partkey as varchar),
+  p_name, cast(p_size * 2.0 as double) from part where p_partkey % 20 = 0
 """
 
 VIEWS["master_ranked"] = """
@@ -194,9 +197,13 @@ select p_partkey,
     else cast(p_partkey as varchar) end as id_text,
   case p_size % 7 when 0 then '1d' when 1 then '1,234' when 2 then 'NaN' when 3 then ' 12 '
     when 4 then '1e3' when 5 then '' else cast(p_size as varchar) end as num_text,
-  case p_size % 5 when 0 then 'bad' when 1 then '45000' when 2 then null when 3 then '2026-02-30'
-    else '2026-09-01' end as date_text
-from part
+  case p_size % 13 when 0 then 'bad' when 1 then '45000' when 2 then null when 3 then '2026-02-30'
+    when 4 then '2026-03-' || dd || 'T02:30:15' when 5 then ' 2026-03-' || dd || ' 02:30:15.125 '
+    when 6 then '2026-03-' || dd || 'T02:30:15.250Z' when 7 then '2026-03-' || dd || ' 23:59'
+    when 8 then '3/' || cast(p_partkey % 28 + 1 as varchar) || '/2026' when 9 then '03/' || dd || '/2026 7:05'
+    when 10 then '12/' || dd || '/2025 17:05:09' when 11 then '2026-09-01 25:00:00'
+    else '2026-09-' || dd end as date_text
+from (select *, lpad(cast(p_partkey % 28 + 1 as varchar), 2, '0') as dd from part) p
 """
 
 VIEWS["required_files"] = """

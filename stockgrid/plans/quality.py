@@ -11,17 +11,25 @@ from stockgrid.plans.oracle_base import with_views, xsum
 from stockgrid.plans.registry import query
 from stockgrid.sources import testdata as td
 
-DUP_COLUMNS = {k: ["Plant", "Material", *config.QUANTITY_FIELDS_BY_KIND[k]] for k in config.KINDS}
-
-_DUP_SQL = "select kind, cast(coalesce(sum(case when n > 1 then n end), 0) as bigint) as duplicate_rows from (" + \
-    " union all ".join(
-        f"select '{k}' as kind, count(*) as n from {k} group by {', '.join(cs)}" for k, cs in DUP_COLUMNS.items()
-    ) + ") x group by kind"
+_DUP_SQL = """
+select kind, cast(coalesce(sum(case when n > 1 then n end), 0) as bigint) as duplicate_rows from (
+  select 'customer_orders' as kind, count(*) as n
+  from (select * from customer_orders union all select * from customer_orders where sales_order % 40 = 5) a
+  group by Plant, Material, sales_order, order_qty, confirmed_qty, requested_date
+  union all
+  select 'on_hand', count(*) from (select * from on_hand union all select * from on_hand where batch % 40 = 5) b
+  group by Plant, Material, batch, unrestricted, quality, blocked, expiry
+  union all
+  select 'open_orders', count(*)
+  from (select * from open_orders union all select * from open_orders where po_number % 40 = 5) c
+  group by Plant, Material, po_number, open_po_qty, po_qty, po_request_qty, inbound_qty, delivery_date
+) x group by kind
+"""
 
 
 @query("duplicate_rows", "D11", with_views(_DUP_SQL, *config.KINDS))
 def q_duplicate_rows(spark, sf_dir):
-    return quality.duplicate_rows(td.source_rows(spark, sf_dir), DUP_COLUMNS)
+    return quality.duplicate_rows(td.resent_rows(spark, sf_dir), td.KIND_COLUMNS)
 
 
 _NULL_SQL = " union all ".join(
@@ -86,11 +94,9 @@ join (select 'Unrestricted_On_Hand' as metric, {xsum('Unrestricted_On_Hand')} as
 
 @query("reconciliation_variance", "D10/K1/C6", with_views(_VARIANCE_SQL, *config.KINDS, "grid"))
 def q_reconciliation_variance(spark, sf_dir):
-    # the source totals and the grid both read the sources: one checkpointed
-    # scan and join instead of two
     from stockgrid.operators.grid import ordering_grid
     from stockgrid.plans.core import load_target
-    tagged = td.source_rows(spark, sf_dir).checkpoint(eager=True)
+    tagged = td.source_rows(spark, sf_dir)
     return quality.reconciliation_variance(tagged, ordering_grid(tagged, load_target(spark, sf_dir)))
 
 
@@ -197,6 +203,7 @@ def q_coerce_numeric(spark, sf_dir):
 select p_partkey, date_text,
   case when regexp_matches(s, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}')
        then coalesce(try_strptime(s, '%Y-%m-%d %H:%M:%S'), try_strptime(s, '%Y-%m-%dT%H:%M:%S'),
+                     try_strptime(s, '%Y-%m-%d %H:%M:%S.%f'), try_strptime(s, '%Y-%m-%dT%H:%M:%S.%fZ'),
                      try_strptime(s, '%Y-%m-%d %H:%M'), try_strptime(s, '%Y-%m-%d'))
        when regexp_matches(s, '^[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}')
        then coalesce(try_strptime(s, '%m/%d/%Y %H:%M:%S'), try_strptime(s, '%m/%d/%Y %H:%M'),

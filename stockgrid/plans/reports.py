@@ -8,7 +8,7 @@ from stockgrid.operators import loading, quality, reports
 from stockgrid.plans.core import load_target
 from stockgrid.plans.oracle_base import with_views
 from stockgrid.plans.quality import (
-    _DUP_SQL, _LOAD_SQL, _NULL_SQL, _PLANT_SQL, _SRC_KEYS, _UNMATCHED_SQL, _VARIANCE_SQL, DUP_COLUMNS,
+    _DUP_SQL, _LOAD_SQL, _NULL_SQL, _PLANT_SQL, _SRC_KEYS, _UNMATCHED_SQL, _VARIANCE_SQL, q_duplicate_rows,
 )
 from stockgrid.plans.registry import query
 from stockgrid.plans.views import _KPI_SQL, dashboard_grid
@@ -21,8 +21,8 @@ REFRESHED = "2026-08-19 12:00:00 EDT"
 
 def _report_inputs(spark, sf_dir):
     """Inputs many report sections read. The sources arrive as one
-    lineitem-orders join; its projected rows are checkpointed once to the
-    shared checkpoint folder (cutting the lineage), and both the tagged
+    lineitem-orders join; its projected rows are written once as Parquet
+    under the shared checkpoint folder, and both the tagged
     sources and the per-file plant rows derive from that stored join. The
     whole bundle then needs one scan and one join of the big tables, and a
     lost executor does not re-run them. Key-level results (target, grid,
@@ -30,7 +30,8 @@ def _report_inputs(spark, sf_dir):
     from stockgrid.operators.grid import ordering_grid
     needed = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag",
               "l_linestatus", "l_shipdate", "o_orderstatus", "Plant", "Material"]
-    joined = td.lines(spark, sf_dir).select(*needed).checkpoint(eager=True)
+    joined = td.lines(spark, sf_dir).select(*needed)
+    joined = reports.materialize(spark, joined, "report-lines")
     tagged = td.source_rows_from(joined)
     target = load_target(spark, sf_dir)
     grid = ordering_grid(tagged, target)
@@ -105,7 +106,8 @@ union all select 'gate', 'passed', cast(coalesce(bool_and(abs(variance) < 1e-6),
 def q_reconciliation_summary(spark, sf_dir):
     tagged, target, grid, per_file = _report_inputs(spark, sf_dir)
     return reports.reconciliation_summary(
-        spark, tagged, grid, target, td.required_files(spark), per_file, DUP_COLUMNS, td.KIND_COLUMNS)
+        spark, tagged, grid, target, td.required_files(spark), per_file,
+        q_duplicate_rows(spark, sf_dir), td.KIND_COLUMNS)
 
 
 def _fmt(c: str) -> str:
@@ -168,6 +170,6 @@ def q_audit_lines(spark, sf_dir):
     status = loading.load_status(td.required_files(spark), per_file=per_file)
     from stockgrid.operators.master_build import workbook_totals
     from stockgrid.sources.cells import cells_table
-    return reports.audit_lines(spark, variances, quality.duplicate_rows(tagged, DUP_COLUMNS), status,
+    return reports.audit_lines(spark, variances, q_duplicate_rows(spark, sf_dir), status,
                                unmatched_counts, no_act, REFRESHED, workbook_totals(cells_table(spark, sf_dir)))
 

@@ -15,7 +15,7 @@ DEFAULT = ["ordering_grid", "grid_join_form", "apply_overrides", "reconciliation
 def _clean(plan: str) -> str:
     plan = re.sub(r"#\d+L?", "", plan)
     plan = re.sub(r"\[plan_id=\d+\]", "", plan)
-    return "\n".join(line[:160] for line in plan.splitlines())
+    return plan.rstrip("\n")
 
 
 def _bucketed_grid_plan(spark, sf_dir: str) -> str:

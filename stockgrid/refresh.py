@@ -23,6 +23,7 @@ from stockgrid.operators import loading, quality
 from stockgrid.operators.aggregate import tag_sources
 from stockgrid.operators.grid import ordering_grid
 from stockgrid.operators.overrides import apply_overrides
+from stockgrid.operators.reports import materialize
 from stockgrid.operators.target import target_lookup
 from stockgrid.sinks.export import export_bundle
 from stockgrid.sources import files
@@ -50,7 +51,7 @@ def refresh(spark: SparkSession, uploads: str, master: str, out_dir: str | None
         raise UploadsInvalid("not every required upload is valid; see the manifest")
     kinds = {k: loaded[k] for k in config.KINDS if k in loaded}
     tagged = tag_sources(kinds.get("customer_orders"), kinds.get("on_hand"), kinds.get("open_orders"))
-    tagged = tagged.checkpoint(eager=True)  # parsed once; lineage cut in the shared checkpoint folder
+    tagged = materialize(spark, tagged, "refresh-sources")  # parsed once; read back with column pruning
     target = target_lookup(read_master_csv(spark, master))
     grid = ordering_grid(tagged, target)
     dashboard = grid

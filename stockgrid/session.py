@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -50,8 +51,9 @@ def app_id(spark: SparkSession) -> str:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
-    A cluster sets ``spark.checkpoint.dir`` to shared storage; we only pick a
-    folder of our own when it is unset (local runs and tests).
+    A cluster sets ``spark.checkpoint.dir`` to shared storage. Only a session
+    on one machine (local runs and tests) gets a folder of its own when it is
+    unset; elsewhere that raises, as executors don't share local folders.
     """
     try:
         sc = spark.sparkContext
@@ -59,6 +61,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         sc = None
     configured = spark.conf.get("spark.checkpoint.dir", None) or (sc.getCheckpointDir() if sc else None)
     if not configured:
+        if sc is None or not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         configured = tempfile.mkdtemp(prefix="stockgrid-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", configured)
     if sc is None:

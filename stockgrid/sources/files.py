@@ -103,26 +103,31 @@ def typed_columns(kind: str) -> list:
 
 def read_kind(spark: SparkSession, paths, kind: str, sep: str = ",", multi_line: bool = False) -> DataFrame:
     """A1 + A5-A7: one kind's files as typed rows, source order and
-    duplicates kept, with lineage columns ``_source_file`` / ``_row_id``. Quotes inside quoted fields are doubled, as
+    duplicates kept, with lineage columns ``_source_file`` / ``_row_id`` and ``_malformed`` (the row has more or fewer
+    fields than its header: the fields that fit are kept). Quotes inside quoted fields are doubled, as
     standard CSV has them; ``multi_line`` allows line ends inside fields, but then a file is read by one task."""
-    raw = (spark.read.schema(_string_schema(kind)).option("header", True).option("sep", sep)
+    schema = StructType([*_string_schema(kind).fields, StructField("_corrupt", StringType(), True)])
+    raw = (spark.read.schema(schema).option("columnNameOfCorruptRecord", "_corrupt")
+           .option("columnPruning", False)  # a pruned parse would not see a row's surplus fields
+           .option("header", True).option("sep", sep)
            .option("escape", '"').option("multiLine", multi_line).option("mode", "PERMISSIVE").csv(paths)
            .withColumn("_source_file", F.col("_metadata.file_name"))
            .withColumn("_row_id", F.monotonically_increasing_id()))
-    return raw.select(*typed_columns(kind), "_source_file", "_row_id")
+    return raw.select(*typed_columns(kind), "_source_file", "_row_id", F.col("_corrupt").isNotNull().alias("_malformed"))
 
 
 def file_rows_of(kind_frame: DataFrame, spark: SparkSession) -> DataFrame:
-    """(file_name, kind, expected_plant, observed_plant) per row, for A8/A9."""
+    """(file_name, kind, expected_plant, observed_plant, malformed) per row, for A8/A9."""
     route = routing(spark).withColumnRenamed("plant", "expected_plant")
-    rows = kind_frame.select(F.col("_source_file").alias("_f"), F.col("Plant").alias("observed_plant"))
+    rows = kind_frame.select(F.col("_source_file").alias("_f"), F.col("Plant").alias("observed_plant"),
+                              F.col("_malformed").alias("malformed"))
     return rows.join(F.broadcast(route), _csv_name(F.col("_f")) == route.file_name).select(
-        "file_name", "kind", "expected_plant", "observed_plant")
+        "file_name", "kind", "expected_plant", "observed_plant", "malformed")
 
 
 def manifest(spark: SparkSession, paths, frames: dict[str, DataFrame], headers: DataFrame) -> DataFrame:
     """A3 + A9: per required upload: content hash, bytes, rows, header
-    result, plant violations and status (Missing / Error / Valid). A file
+    result, plant violations, malformed rows and status (Missing / Error / Valid). A file
     with content but no header line is 'unreadable' (Error); Spark's file
     sources skip zero-byte files, so an empty upload reports as Missing."""
     blobs = spark.read.format("binaryFile").load(paths).select(
@@ -136,19 +141,22 @@ def manifest(spark: SparkSession, paths, frames: dict[str, DataFrame], headers:
     wrong = F.col("observed_plant").isNotNull() & (F.col("observed_plant") != F.col("expected_plant"))
     per_file = rows.groupBy("file_name").agg(
         F.count(F.lit(1)).alias("row_count"),
-        F.array_join(F.array_sort(F.collect_set(F.when(wrong, F.col("observed_plant")))), ",").alias("violations"))
+        F.array_join(F.array_sort(F.collect_set(F.when(wrong, F.col("observed_plant")))), ",").alias("violations"),
+        F.count_if("malformed").alias("malformed_rows"))
     hdr = headers.select(_csv_name(F.col("file_name")).alias("file_name"), "result")
     out = (routing(spark).join(blobs.drop("_f"), "file_name", "left")
            .join(hdr, "file_name", "left").join(per_file, "file_name", "left"))
     status = (F.when(F.col("sha256").isNull(), F.lit(loading.STATUS_MISSING))
               .when(F.coalesce(F.col("result"), F.lit("unreadable")) != "ok", F.lit(loading.STATUS_ERROR))
               .when(F.coalesce(F.col("violations"), F.lit("")) != "", F.lit(loading.STATUS_ERROR))
+              .when(F.col("malformed_rows") > 0, F.lit(loading.STATUS_ERROR))
               .otherwise(F.lit(loading.STATUS_VALID)))
     return out.select("file_name", "kind", "plant", "sha256", "bytes",
                       F.coalesce("row_count", F.lit(0).cast("long")).alias("row_count"),
                       F.when(F.col("sha256").isNull(), F.lit("")).otherwise(
                           F.coalesce("result", F.lit("unreadable"))).alias("header_result"),
-                      F.coalesce("violations", F.lit("")).alias("violations"), status.alias("status"))
+                      F.coalesce("violations", F.lit("")).alias("violations"),
+                      F.coalesce("malformed_rows", F.lit(0).cast("long")).alias("malformed_rows"), status.alias("status"))
 
 
 def load_folder(spark: SparkSession, folder: str, sep: str = ",") -> dict[str, DataFrame]:

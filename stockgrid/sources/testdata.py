@@ -131,11 +131,19 @@ def source_rows_from(lines_df: DataFrame) -> DataFrame:
     return src.selectExpr(*cols)
 
 
+def resent_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``source_rows`` as uploads carry them when every 40th document is sent twice: its rows have whole-row twins."""
+    return source_rows(spark, sf_dir).selectExpr(
+        "*", "explode(sequence(1, CASE WHEN coalesce(sales_order, batch, po_number) % 40 = 5 THEN 2 ELSE 1 END)) AS _copy"
+    ).drop("_copy")
+
+
 # --- product master, overrides ------------------------------------------------
 
 def product_master(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Master rows: every sized part at three plants plus an alternate
-    supplier for every seventh part at plant 2910 (duplicate keys)."""
+    """Master rows: every sized part at three plants, an alternate
+    supplier for every seventh part at plant 2910 (duplicate keys), and a
+    discontinued material, which no source has, for every 20th part."""
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")
     plants = "array(" + ", ".join(f"'{p}'" for p in config.PLANTS) + ")"
     main = part.filter("p_size % 10 <> 0").selectExpr(
@@ -147,7 +155,11 @@ def product_master(spark: SparkSession, sf_dir: str) -> DataFrame:
         "'2910' AS Plant", "concat('100', CAST(p_partkey AS STRING)) AS Material", "'Brand#ALT' AS Supplier",
         "CAST(p_partkey AS STRING) AS TOL_Material", "p_name AS Description",
         "CAST(p_size * 3.0D AS DOUBLE) AS Latest_Forecast_Qty")
-    return main.unionByName(alt)
+    gone = part.filter("p_partkey % 20 = 0").selectExpr(
+        "'2930' AS Plant", "concat('900', CAST(p_partkey AS STRING)) AS Material", "p_brand AS Supplier",
+        "CAST(p_partkey AS STRING) AS TOL_Material", "p_name AS Description",
+        "CAST(p_size * 2.0D AS DOUBLE) AS Latest_Forecast_Qty")
+    return main.unionByName(alt).unionByName(gone)
 
 
 def override_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,11 +193,20 @@ def raw_text(spark: SparkSession, sf_dir: str) -> DataFrame:
                 .when(size % 7 == 4, F.lit("1e3"))
                 .when(size % 7 == 5, F.lit(""))
                 .otherwise(size.cast("string")))
-    date_text = (F.when(size % 5 == 0, F.lit("bad"))
-                 .when(size % 5 == 1, F.lit("45000"))
-                 .when(size % 5 == 2, F.lit(None).cast("string"))
-                 .when(size % 5 == 3, F.lit("2026-02-30"))
-                 .otherwise(F.lit("2026-09-01")))
+    day = F.lpad((pk % 28 + 1).cast("string"), 2, "0")
+    date_text = (F.when(size % 13 == 0, F.lit("bad"))
+                 .when(size % 13 == 1, F.lit("45000"))
+                 .when(size % 13 == 2, F.lit(None).cast("string"))
+                 .when(size % 13 == 3, F.lit("2026-02-30"))
+                 .when(size % 13 == 4, F.concat(F.lit("2026-03-"), day, F.lit("T02:30:15")))
+                 .when(size % 13 == 5, F.concat(F.lit(" 2026-03-"), day, F.lit(" 02:30:15.125 ")))
+                 .when(size % 13 == 6, F.concat(F.lit("2026-03-"), day, F.lit("T02:30:15.250Z")))
+                 .when(size % 13 == 7, F.concat(F.lit("2026-03-"), day, F.lit(" 23:59")))
+                 .when(size % 13 == 8, F.concat(F.lit("3/"), (pk % 28 + 1).cast("string"), F.lit("/2026")))
+                 .when(size % 13 == 9, F.concat(F.lit("03/"), day, F.lit("/2026 7:05")))
+                 .when(size % 13 == 10, F.concat(F.lit("12/"), day, F.lit("/2025 17:05:09")))
+                 .when(size % 13 == 11, F.lit("2026-09-01 25:00:00"))
+                 .otherwise(F.concat(F.lit("2026-09-"), day)))
     return part.select(pk, id_text.alias("id_text"), num_text.alias("num_text"), date_text.alias("date_text"))
 
 
