@@ -82,13 +82,27 @@ def ordinals(df: DataFrame, by: str, key: Column, order: list[Column], out: str,
         out, (F.col("__o") + F.col("__r")).cast("long")).drop("__b", "__bb", "__by", "__o", "__r")
 
 
+def give_back() -> None:
+    """Return this Python worker's freed memory to the system: Spark keeps workers for later stages, and what each has
+    freed but still holds would add up."""
+    import ctypes
+
+    import pyarrow as pa
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def slices(batches, chars: int = 8_000_000):
     """Arrow batches cut so that their ``text`` column holds about ``chars`` bytes at most (one row at least)."""
     import numpy as np
     import pyarrow.compute as pc
+    give_back()
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         cut = np.cumsum(sizes) // chars
         starts = [0, *(np.flatnonzero(np.diff(cut)) + 1), len(cut)] if len(cut) else [0]
         for a, b in zip(starts, starts[1:]):
             yield batch.slice(a, b - a)
+    give_back()

@@ -25,6 +25,8 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 
+from stockgrid.llm.common import give_back
+
 CHUNK = 8 << 20
 Tokens = Callable[[str], list]
 
@@ -63,6 +65,7 @@ def unpack_words(text: bytes, lengths: bytes, as_bytes: bool) -> list:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[dict[str, list]]:
+    give_back()
     held: dict[str, list] = {}
     bytes_held = 0
     for batch in batches:
@@ -164,6 +167,7 @@ def answered(dicts: DataFrame, answer: Callable[[list[list], list], list[list[by
     list, ``columns`` packed columns. Result: ``chunk``, ``bucket``, ``a0``, ``a1``, ..."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         lists = [unpack_words(t, n, as_bytes) for t, n in zip(frame["words"], frame["lengths"])]
         out = answer(lists, list(frame["counts"]))
         made = {"chunk": frame["chunk"], "bucket": frame["bucket"]}
