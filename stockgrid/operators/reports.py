@@ -140,6 +140,11 @@ def unmatched_report(tagged: DataFrame, target: DataFrame) -> DataFrame:
     return src.unionByName(master)
 
 
+def stored_keys(spark: SparkSession, tagged: DataFrame) -> DataFrame:
+    """The distinct (kind, key) of the sources, written once: every key-set check reads them."""
+    return materialize(spark, tagged.select("kind", *KEY).distinct(), "source-keys")
+
+
 def _section(df: DataFrame, section: str, item: Column, value: Column) -> DataFrame:
     return df.select(F.lit(section).alias("section"), item.alias("item"), value.cast("double").alias("value"))
 
@@ -148,13 +153,16 @@ def reconciliation_summary(spark: SparkSession, tagged: DataFrame, grid: DataFra
                            required: DataFrame, per_file: DataFrame,
                            duplicates: DataFrame, null_columns: dict[str, list[str]]) -> DataFrame:
     """K3: the whole report bundle as (section, item, value) rows.
-    ``per_file`` is the ``plant_violations`` result of the file rows, ``duplicates`` the D11 counts."""
+    ``per_file`` is the ``plant_violations`` result of the file rows, ``duplicates`` the D11 counts. What
+    several sections read is stored first: the source keys, the variances, the per-file statistics."""
+    keys = stored_keys(spark, tagged)
+    per_file = materialize(spark, per_file, "file-stats")
     status = loading.load_status(required, per_file=per_file)
     item_file = F.concat_ws(":", "kind", "plant")
-    variances = quality.reconciliation_variance(tagged, grid)
+    variances = materialize(spark, quality.reconciliation_variance(tagged, grid), "variances")
     nulls = quality.null_counts(spark, tagged, null_columns).groupBy("kind").agg(
         F.sum("null_count").alias("n"))
-    unmatched = quality.unmatched_by_source(tagged, target).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    unmatched = quality.unmatched_by_source(keys, target).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
     parts = [
         _section(status, "row_count", item_file, F.col("row_count")),
         _section(status, "valid", item_file, (F.col("status") == loading.STATUS_VALID).cast("int")),
@@ -164,9 +172,9 @@ def reconciliation_summary(spark: SparkSession, tagged: DataFrame, grid: DataFra
                  F.col("duplicate_rows")),
         _section(nulls, "null_values", F.col("kind"), F.col("n")),
         _section(unmatched, "unmatched_keys", F.col("kind"), F.col("n")),
-        _section(quality.sources_not_in_master(tagged, target).agg(F.count(F.lit(1)).alias("n")),
+        _section(quality.sources_not_in_master(keys, target).agg(F.count(F.lit(1)).alias("n")),
                  "keys_not_in_master", F.lit("all"), F.col("n")),
-        _section(quality.master_no_activity(tagged, target).agg(F.count(F.lit(1)).alias("n")),
+        _section(quality.master_no_activity(keys, target).agg(F.count(F.lit(1)).alias("n")),
                  "master_keys_no_activity", F.lit("all"), F.col("n")),
         _section(variances, "variance", F.col("metric"), F.col("variance")),
         _section(quality.reconciliation_gate(variances), "gate", F.lit("passed"), F.col("passed").cast("int")),
@@ -197,6 +205,7 @@ def audit_lines(spark: SparkSession, variances: DataFrame, duplicates: DataFrame
     """The audit report as ordered (section_no, line_no, line) rows.
     ``workbook_totals`` (one row: sheets, formulas, ref_errors) adds the
     workbook-audit section."""
+    variances = materialize(spark, variances, "variances")  # its lines and the verdict read it
     gate = quality.reconciliation_gate(variances)
     head = spark.createDataFrame([(0, 0, AUDIT_TITLE), (0, 1, AUDIT_REFRESHED + refreshed)],
                                  "section_no int, line_no int, line string")
@@ -231,12 +240,12 @@ def audit_lines(spark: SparkSession, variances: DataFrame, duplicates: DataFrame
         F.lit(AUDIT_NO_ACTIVITY_HEAD), F.col("n").cast("string"), F.lit(AUDIT_NO_ACTIVITY_LINE)))
     parts = [verdict, fixed, var_lines, dup_lines, file_lines, unm_lines, master_line]
     if workbook_totals is not None:
-        wb = workbook_totals
+        texts = ((AUDIT_WB_SHEETS, "sheets"), (AUDIT_WB_FORMULAS, "formulas"), (AUDIT_WB_REF, "ref_errors"))
+        rows = workbook_totals.select(F.posexplode(F.array(
+            *[F.concat(F.lit(t), F.col(c).cast("string")) for t, c in texts])).alias("i", "text"))
         parts += [
             spark.createDataFrame([(5, 0, ""), (5, 1, AUDIT_WORKBOOK)], "section_no int, line_no int, line string"),
-            _lines(wb, 5, F.lit(2), F.concat(F.lit(AUDIT_WB_SHEETS), F.col("sheets").cast("string"))),
-            _lines(wb, 5, F.lit(3), F.concat(F.lit(AUDIT_WB_FORMULAS), F.col("formulas").cast("string"))),
-            _lines(wb, 5, F.lit(4), F.concat(F.lit(AUDIT_WB_REF), F.col("ref_errors").cast("string"))),
+            _lines(rows, 5, F.col("i") + 2, F.col("text")),
         ]
     out = head
     for p in parts:

@@ -25,15 +25,15 @@ def _report_inputs(spark, sf_dir):
     under the shared checkpoint folder, and both the tagged
     sources and the per-file plant rows derive from that stored join. The
     whole bundle then needs one scan and one join of the big tables, and a
-    lost executor does not re-run them. Key-level results (target, grid,
-    per-file statistics) stay lazy."""
+    lost executor does not re-run them. The target, which the grid and the key
+    checks read, is stored too; the grid and the per-file statistics stay lazy."""
     from stockgrid.operators.grid import ordering_grid
     needed = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag",
               "l_linestatus", "l_shipdate", "o_orderstatus", "Plant", "Material"]
     joined = td.lines(spark, sf_dir).select(*needed)
     joined = reports.materialize(spark, joined, "report-lines")
     tagged = td.source_rows_from(joined)
-    target = load_target(spark, sf_dir)
+    target = reports.materialize(spark, load_target(spark, sf_dir), "target")
     grid = ordering_grid(tagged, target)
     per_file = loading.plant_violations(td.file_rows_from(joined))
     return tagged, target, grid, per_file
@@ -79,9 +79,7 @@ union all
 select 'product_master', Plant, Material, '{reports.REASON_MASTER}' from ({_MASTER_NO_ACT_SQL}) m
 """, *config.KINDS, "target"))
 def q_unmatched_report(spark, sf_dir):
-    # both parts read the distinct source keys: checkpoint that key-level set
-    # once instead of scanning and joining the sources twice
-    keys = td.source_rows(spark, sf_dir).select("kind", "Plant", "Material").distinct().checkpoint(eager=True)
+    keys = reports.stored_keys(spark, td.source_rows(spark, sf_dir))  # both parts read them
     return reports.unmatched_report(keys, load_target(spark, sf_dir))
 
 
@@ -163,10 +161,11 @@ def q_audit_lines(spark, sf_dir):
     tagged, target, grid, per_file = _report_inputs(spark, sf_dir)
     variances = quality.reconciliation_variance(tagged, grid)
     kinds = spark.createDataFrame([(k,) for k in config.KINDS], "kind string")
-    counts = quality.unmatched_by_source(tagged, target).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    keys = reports.stored_keys(spark, tagged)
+    counts = quality.unmatched_by_source(keys, target).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
     unmatched_counts = kinds.join(counts, "kind", "left").select(
         "kind", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
-    no_act = quality.master_no_activity(tagged, target).agg(F.count(F.lit(1)).alias("n"))
+    no_act = quality.master_no_activity(keys, target).agg(F.count(F.lit(1)).alias("n"))
     status = loading.load_status(td.required_files(spark), per_file=per_file)
     from stockgrid.operators.master_build import workbook_totals
     from stockgrid.sources.cells import cells_table

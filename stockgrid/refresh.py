@@ -73,11 +73,12 @@ def audit_report(spark: SparkSession, tagged: DataFrame, grid: DataFrame, target
     sources, the grid and the master."""
     import datetime as dt
 
-    from stockgrid.operators.reports import audit_lines
+    from stockgrid.operators.reports import audit_lines, stored_keys
     kinds = spark.createDataFrame([(k,) for k in config.KINDS], "kind string")
-    counts = quality.unmatched_by_source(tagged, target).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    keys = stored_keys(spark, tagged)
+    counts = quality.unmatched_by_source(keys, target).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
     unmatched = kinds.join(counts, "kind", "left").select("kind", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
-    no_activity = quality.master_no_activity(tagged, target).agg(F.count(F.lit(1)).alias("n"))
+    no_activity = quality.master_no_activity(keys, target).agg(F.count(F.lit(1)).alias("n"))
     stamp = refreshed or dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S UTC")
     return audit_lines(spark, quality.reconciliation_variance(tagged, grid), quality.full_row_duplicates(spark, kind_frames),
                        manifest.select("kind", "plant", "status", "violations"), unmatched, no_activity, stamp)
