@@ -355,11 +355,12 @@ def language_id(docs: DataFrame, held_out_modulus: int = 5) -> DataFrame:
     return out.select("doc_id", (remainder(held_out_modulus) == 0).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, model: LangModel, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has letters and a language with mean posterior of ``least`` or
-    more. The columns travel through the same single pass."""
+def keep_identified(docs: DataFrame, model: LangModel) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has letters. The score is no ground to drop a text: in a code-switched
+    one it is about the winner's share of the words, however sure the model is of each word. The columns travel through
+    the same single pass."""
     names = docs.columns
     unique = [n if n == "text" else f"__{i}" for i, n in enumerate(names)]
     passed = predict(docs.toDF(*unique), model, whole=True)
-    passed = passed.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
+    passed = passed.where(F.col("lang_pred") != UNDETERMINED)
     return passed.select(*unique).toDF(*names)

@@ -38,3 +38,15 @@ def test_run_on_the_small_table(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     rows = out.select("doc_id", "n_tokens").collect()
     assert 0 < len(rows) <= 400 and max(Counter(r["doc_id"] for r in rows).values()) <= 2
+
+
+def test_mixed_language_documents_stay(spark):
+    words = {"en": "the cat and the dog are in the house with the man", "de": "der hund und die katze sind in dem haus mit dem mann",
+             "fr": "le chien et la souris sont dans la maison avec les enfants"}
+    learn = [(100 + 10 * i + j, " ".join([t] * 5), g, "a", 0) for i, (g, t) in enumerate(words.items()) for j in range(10)]
+    two, three = [" ".join(" ".join([words[g]] * 2) for g in some) for some in (("en", "de"), ("en", "de", "fr"))]
+    rows = [(1, two, None, "a", 0), (2, three, None, "a", 0), (3, "in die la", None, "a", 0), (4, "12 - 34", None, "a", 0),
+            (5, None, None, "a", 0)]
+    docs = spark.createDataFrame(learn + rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.language_id(spark, docs, None).collect()}
+    assert kept == {r[0]: r[1] for r in learn + rows[:3]}
