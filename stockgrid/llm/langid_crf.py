@@ -7,6 +7,8 @@ words together, and forward-backward gives every word a posterior, so code-switc
   ``words_per_doc`` consecutive words; these two bounds are the only sampling. Training sequences splice runs from
   different documents, so transitions between languages are learned too.
 * Predict: one streaming pass over whole texts, no shuffle. Memory is one Arrow batch and a bounded word cache.
+* A run of over ``LONGEST`` letters (scripts without blanks) is several places of the chain, pieces of at most ``PIECE``
+  letters: every letter is read, n-grams reach across the cuts, and the language may switch inside the run.
 
 Null or letterless texts: ``und`` with score 0. Repeated rows are predicted alike. An empty training set gives ``und``
 for everything. Ties go to the language that sorts first. Other columns are never read.
@@ -28,6 +30,8 @@ from stockgrid.llm.common import pick, remainder, slices, small_batches
 
 LETTERS = re.compile(r"[^\W\d_]+")  # runs of letters and, rarely, of numerals that are no digits: see letter_words
 SLOTS = 1 << 16
+LONGEST, PIECE = 40, 10  # letters
+CUT = "-"                # never a letter: marks the ends of a piece that are cuts
 UNDETERMINED = "und"
 SPANS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string()),
                    ("words", pa.int64())])
@@ -36,9 +40,24 @@ FOUND = StructType().add("lang_pred", "string").add("score", "double")
 
 
 def letter_words(text: str | None) -> list[str]:
-    """Lower-cased runs of letters."""
+    """Lower-cased runs of letters, long ones in pieces."""
     found = LETTERS.findall(text.lower()) if text else []
-    return found if "".join(found).isalpha() else [w for w in found if any(c.isalpha() for c in w)]
+    if not "".join(found).isalpha():
+        found = [w for w in found if any(c.isalpha() for c in w)]
+    if max(map(len, found), default=0) <= LONGEST:
+        return found
+    return [p for w in found for p in ([w] if len(w) <= LONGEST else [piece(w, a, b) for a, b in cuts(len(w))])]
+
+
+def cuts(n: int) -> list[tuple[int, int]]:
+    """Even pieces of a run of ``n`` letters, one if it is not long."""
+    k = -(-n // PIECE) if n > LONGEST else 1
+    return [(n * i // k, n * (i + 1) // k) for i in range(k)]
+
+
+def piece(run: str, a: int, b: int) -> str:
+    """Letters ``a`` to ``b`` of a run: ``CUT`` before them if others precede, ``CUT`` and the next two if others follow."""
+    return (CUT if a else "") + run[a:b] + (CUT + run[b:b + 2] if b < len(run) else "")
 
 
 @dataclass(frozen=True)
@@ -52,11 +71,20 @@ class LangModel:
         return summed(self.weights, *feature_slots(new_words, self.lexicon))
 
 
-def feature_slots(words: list[str], lexicon: dict[str, int], width: int = 40) -> tuple[np.ndarray, np.ndarray]:
+def feature_slots(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """Slots of all words' features, flat, and how many each word has: prefixes and suffixes of 1 to 3 letters, 2- and
-    3-grams with word ends, and for lexicon words the word and its languages. Letters after ``width`` play no part."""
+    3-grams with word ends, and for lexicon words the word and its languages. A piece of a long run has the n-grams that
+    start in it, and prefixes or suffixes only where the run itself begins or ends."""
     n = len(words)
-    letters = np.array(words, dtype=f"U{width}").view(np.uint32).reshape(n, width).astype(np.uint64)
+    opens, ahead = np.ones(n, bool), np.zeros(n, np.int64)
+    plain = words
+    if any(CUT in x for x in words):
+        opens = np.fromiter((x[0] != CUT for x in words), bool, n)
+        ahead = np.fromiter((len(x) - 1 - x.rindex(CUT) if CUT in x[1:] else 0 for x in words), np.int64, n)
+        plain = [x.replace(CUT, "") for x in words]
+    closes = ahead == 0
+    width = max(map(len, plain))
+    letters = np.array(plain, dtype=f"U{width}").view(np.uint32).reshape(n, width).astype(np.uint64)
     size = (letters != 0).sum(axis=1)
     w = int(size.max())
     m = np.zeros((n, w + 2), np.uint64)
@@ -75,15 +103,17 @@ def feature_slots(words: list[str], lexicon: dict[str, int], width: int = 40) ->
 
     at = np.arange(w + 2)[None, :]
     cols = [mixed(1, m[:, :-1], m[:, 1:]), mixed(2, m[:, :-2], m[:, 1:-1], m[:, 2:])]
-    live = [at[:, :-1] <= size[:, None], at[:, :-2] < size[:, None]]
+    first, last = ~opens[:, None], (size - ahead)[:, None]  # n-grams start at a place of the piece itself
+    live = [(at[:, :-1] >= first) & (at[:, :-1] <= last), (at[:, :-2] >= first) & np.where(
+        closes[:, None], at[:, :-2] < last, at[:, :-2] <= last)]
     for k in (1, 2, 3):
         cols.append(mixed(2 + k, *[m[:, min(i + 1, w)] for i in range(k)])[:, None])
         cols.append(mixed(5 + k, *[m[rows, np.maximum(size - i, 0)] for i in range(k)])[:, None])
-        live += [(size >= k)[:, None]] * 2
+        live += [((size >= k) & opens)[:, None], ((size >= k) & closes)[:, None]]
     sets = np.fromiter((lexicon.get(x, 0) for x in words), np.int64, n)
     whole = np.zeros(n, np.uint64)
     for i in range(w):
-        whole = whole * three + letters[:, i]
+        whole = np.where(i < size, whole * three + letters[:, i], whole)  # the same whatever the widest word beside it
     cols += [mixed(9, sets.astype(np.uint64))[:, None], mixed(10, whole)[:, None]]
     live += [(sets != 0)[:, None]] * 2
     mask = np.concatenate(live, axis=1)
@@ -326,7 +356,7 @@ def predict(docs: DataFrame, model: LangModel, whole: bool = False) -> DataFrame
 
 def label_spans(docs: DataFrame, model: LangModel) -> DataFrame:
     """Runs of words of one language in each text: ``doc_id``, ``start``, ``end`` (code points, end exclusive),
-    ``lang``, ``words``. Texts without letters have no row."""
+    ``lang``, ``words`` (pieces of long runs count as words). Texts without letters have no row."""
     d = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -334,14 +364,15 @@ def label_spans(docs: DataFrame, model: LangModel) -> DataFrame:
         scorer, langs = Scorer(shared.value), shared.value.langs
         for part in slices(batches, 4_000_000):
             ids = part.column("doc_id").to_pylist()
-            found = [[(m.start(), m.end(), m.group()) for m in LETTERS.finditer(t or "") if any(c.isalpha() for c in m.group())]
+            found = [[(m.start() + a, m.start() + b, piece(m.group(), a, b)) for m in LETTERS.finditer(t or "")
+                      if any(c.isalpha() for c in m.group()) for a, b in cuts(m.end() - m.start())]
                      for t in part.column("text").to_pylist()]
             out = []
             for i, gamma in scorer.posteriors([[w.lower() for *_, w in f] for f in found]) if langs else ():
                 best = gamma.argmax(axis=1)
-                cuts = [0, *(np.flatnonzero(np.diff(best)) + 1), len(best)]
+                turns = [0, *(np.flatnonzero(np.diff(best)) + 1), len(best)]
                 out += [(ids[i], found[i][a][0], found[i][b - 1][1], langs[best[a]], int(b - a))
-                        for a, b in zip(cuts, cuts[1:])]
+                        for a, b in zip(turns, turns[1:])]
             yield pa.RecordBatch.from_pylist([dict(zip(SPANS.names, r)) for r in out], SPANS)
 
     return d.mapInArrow(run, "doc_id long, start long, end long, lang string, words long")

@@ -396,6 +396,33 @@ def test_language_edges_and_spans(spark):
     assert {r["lang_pred"] for r in rows_of(langid_crf.predict(frame(spark), empty))} == {"und"}
 
 
+def test_every_letter_of_a_long_run_is_read(spark):
+    en, de = "the cat and the dog are in the house with the man".split(), "der hund und die katze sind in dem haus mit dem mann".split()
+    model = langid_crf.train([("en", en * 5), ("de", de * 5)], sequences=200, rounds=15)
+    a, b = "".join(en), "".join(de)
+    rows = [(1, a * 2 + b * 2, None, None), (2, a + b * 3000, None, None), (3, "İ" * 41 + b, None, None)]
+    spans = rows_of(langid_crf.label_spans(frame(spark, rows), model))
+    one = [r for r in spans if r["doc_id"] == 1]
+    assert [r["lang"] for r in one] == ["en", "de"] and (one[0]["start"], one[1]["end"]) == (0, len(a * 2 + b * 2))
+    assert abs(one[0]["end"] - len(a * 2)) <= langid_crf.PIECE and one[0]["end"] == one[1]["start"]
+    out = {r["doc_id"]: r for r in rows_of(langid_crf.predict(frame(spark, rows), model))}
+    assert out[2]["lang_pred"] == "de" and out[2]["score"] > 0.9 and 0.3 < out[1]["score"] < 0.7
+    run = "abcdefghijklmnopqrstuvwxyz" * 3
+    pieces = langid_crf.letter_words(run)
+    assert "".join(p.lstrip("-").split("-")[0] for p in pieces) == run
+
+    def features(words):
+        slots, sizes = langid_crf.feature_slots(words, {})
+        return Counter(slots.tolist()), sizes
+
+    whole, sizes = features([run])  # the same n-grams, prefixes and suffixes as the run in one piece
+    cut, each = features(pieces)
+    assert cut == whole and each.sum() == sizes[0] and (each > 0).all()
+    lexicon = {"the": 1}
+    short = langid_crf.feature_slots(["the"], lexicon)[0]
+    assert langid_crf.feature_slots(["the", "househouse"], lexicon)[0][:len(short)].tolist() == short.tolist()
+
+
 def test_segmented_posteriors_are_exact():
     rng = np.random.default_rng(0)
     lengths = np.array([1, 5, 23, 64, 200, 7])
