@@ -368,6 +368,31 @@ def test_quality_on_held_out_rows(spark):
     assert np.mean([r["predicted"] == r["quality"] for r in held]) > 0.97
 
 
+def worded(vocabularies, n=300, words=40, seed=4):
+    """Texts of one shape: even ids take half their words from one vocabulary, odd ids from another, the rest is shared."""
+    rng = random.Random(seed)
+    own, shared = vocabularies[:2], vocabularies[2]
+    return [(i, " ".join(rng.choice(own[i % 2] if rng.random() < 0.5 else shared) for _ in range(words)), "en", "a")
+            for i in range(n)]
+
+
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "的一是不了人我在有他这中大来上国"])
+def test_quality_tells_wordings_of_one_shape_apart(spark, letters):
+    rng = random.Random(1)
+    vocabularies = [["".join(rng.choice(letters) for _ in range(5)) for _ in range(60)] for _ in range(3)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int")
+    out = rows_of(quality_knn.quality(frame(spark, worded(vocabularies)), labels, threshold=0.5))
+    held = [r for r in out if r["held_out"]]
+    assert len(held) > 30 and np.mean([r["predicted"] == r["doc_id"] % 2 for r in held]) > 0.95
+
+
+def test_terms_are_words_and_trigrams():
+    one, two = quality_knn.terms("Ab, ab cd"), quality_knn.terms("ab")
+    assert one[:quality_knn.TERMS].sum() == 3 and one[quality_knn.TERMS:].sum() == 6 and (one >= 2 * two).all()
+    assert not quality_knn.terms("").any() and not quality_knn.terms(" ,\n").any()
+    assert quality_knn.terms("ab")[:quality_knn.TERMS].argmax() != quality_knn.terms("ba")[:quality_knn.TERMS].argmax()
+
+
 def test_quality_edges(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (9, 0), (None, 1), (8, None)], "doc_id long, quality int")
     out = rows_of(quality_knn.quality(frame(spark), labels))
