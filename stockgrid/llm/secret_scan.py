@@ -4,11 +4,13 @@ Parts (code point spans, end exclusive), found in every whole text, leftmost and
 
 * base kinds, always reported: ``assign`` (a secret assigned to a telling name), ``access`` (AKIA identifiers), ``hex``;
 * weak kinds, reported only when a complementary part lies in the same scope: ``ident`` (user or client names, other
-  access identifiers), ``opaque`` (long mixed-class tokens), ``endpoint`` (URLs, host assignments, IPv4 addresses).
-  A weak span that overlaps a base span is dropped.
+  access identifiers), ``opaque`` (long mixed-class tokens), ``endpoint`` (URLs, host assignments, IPv4 addresses),
+  ``token`` (other long tokens: upper-case hex, base32, base36, long words). What base spans cover of a weak span is cut
+  out of it; each rest that has a letter or digit is a part.
 
-Roles are identifier (access, ident), secret (assign, hex, opaque) and endpoint. Secrets complement identifiers and
-endpoints; two parts are linked if at most ``scope`` code points lie between them. The join is on (document, cell), a
+Roles are identifier (access, ident), secret (assign, hex, opaque), token and endpoint. Secrets complement identifiers and
+endpoints; tokens, which may be plain words or paths, only identifiers that they don't overlap. Two parts are linked if
+at most ``scope`` code points lie between them. The join is on (document, cell), a
 cell being ``scope`` code points of the text, so a key has a bounded number of parts however long the text is or however
 many parts it has; nothing is capped.
 
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +31,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from stockgrid.llm.common import documents, slices, stored
 
-KINDS = ["assign", "access", "hex", "ident", "opaque", "endpoint"]
+KINDS = ["assign", "access", "hex", "ident", "opaque", "endpoint", "token"]
 BASE = 3
 ROLE = {"assign": "secret", "access": "identifier", "hex": "secret", "ident": "identifier", "opaque": "secret",
-        "endpoint": "endpoint"}
+        "endpoint": "endpoint", "token": "token"}
 SCOPE = 240
 
 
@@ -69,12 +72,44 @@ def _mixed(token: str) -> bool:
 
 
 def weak_parts(text: str, base: list[Part]) -> list[Part]:
-    """Weak candidates. Without a secret, base or opaque, none can have a complement that matters."""
-    opaque = [(4, *m.span()) for m in OPAQUE.finditer(text) if _mixed(m.group())]
-    if not opaque and not base:
+    """Weak candidates. Without a secret, base or opaque, or a token and an identifier, none can have a complement that
+    matters."""
+    long = [(4 if _mixed(m.group()) else 6, *m.span()) for m in OPAQUE.finditer(text) if _has_value(m.group())]
+    if not long and not base:
         return []
-    weak = [(3, *m.span()) for m in IDENT.finditer(text)] + opaque + [(5, *m.span()) for m in ENDPOINT.finditer(text)]
-    return [p for p in weak if not any(p[1] < b[2] and b[1] < p[2] for b in base)]
+    ident = [(3, *m.span()) for m in IDENT.finditer(text)]
+    if not ident and not any(k == 1 for k, *_ in base):
+        long = [p for p in long if p[0] == 4]
+        if not long and not base:
+            return []
+    weak = ident + long + [(5, *m.span()) for m in ENDPOINT.finditer(text)]
+    return list(_cut_out(text, weak, base)) if base else weak
+
+
+def _has_value(span: str) -> bool:
+    return any(c.isalnum() for c in span)
+
+
+def _cut_out(text: str, weak: list[Part], base: list[Part]) -> Iterator[Part]:
+    """What is left of weak spans outside base spans (which come by start)."""
+    merged: list[list[int]] = []
+    for _, a, b in base:
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    starts = [a for a, _ in merged]
+    for kind, a, b in weak:
+        i = max(0, bisect_right(starts, a) - 1)
+        rest = []
+        while i < len(merged) and merged[i][0] < b:
+            if merged[i][1] > a:
+                rest.append((a, merged[i][0]))
+                a = merged[i][1]
+            i += 1
+        for x, y in [*rest, (a, b)]:
+            if x < y and (not rest or _has_value(text[x:y])):
+                yield kind, x, y
 
 
 def parts(docs: DataFrame) -> DataFrame:
@@ -115,13 +150,15 @@ def links(found: DataFrame, scope: int = SCOPE) -> DataFrame:
     each = each.withColumn("role", roles[F.col("kind")])
     cell = lambda c: F.floor(c / F.lit(scope))
     reach = F.sequence(cell(F.greatest(F.col("start") - scope, F.lit(0))), cell(F.col("end") + scope))
-    secrets = each.where("role = 'secret'").select(
-        F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), F.col("kind").alias("secret_kind"),
+    secrets = each.where("role in ('secret', 'token')").select(
+        F.col("role").alias("secret_role"), F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), F.col("kind").alias("secret_kind"),
         F.col("start").alias("secret_start"), F.col("end").alias("secret_end"), F.explode(reach).alias("c"))
-    others = each.where("role != 'secret'").withColumn("c", F.explode(F.sequence(cell(F.col("start")), cell(F.col("end")))))
+    others = each.where("role in ('identifier', 'endpoint')").withColumn("c", F.explode(F.sequence(cell(F.col("start")), cell(F.col("end")))))
     gap = F.greatest(F.col("secret_start") - F.col("end"), F.col("start") - F.col("secret_end"), F.lit(0))
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))
-    pairs = others.join(secrets, same & (others.c == secrets.c) & (gap <= scope)).select(
+    apart = (F.col("secret_start") >= F.col("end")) | (F.col("start") >= F.col("secret_end"))
+    fits = (F.col("secret_role") == "secret") | ((F.col("role") == "identifier") & apart)
+    pairs = others.join(secrets, same & (others.c == secrets.c) & (gap <= scope) & fits).select(
         "doc_id", "text_hash", "secret_kind", "secret_start", "secret_end", "kind", "start", "end", gap.alias("gap"))
     return pairs.distinct()
 
