@@ -16,6 +16,9 @@ idempotent.
 """
 from __future__ import annotations
 
+import json
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
@@ -31,6 +34,27 @@ OVERRIDE_EVENT_SCHEMA = StructType([
 ])
 
 
+def _batch_paths(spark: SparkSession, checkpoint: str, batch_id: int) -> list[str]:
+    """The files of one micro-batch, with those that hold no rows, from the file source's own log: entries after the
+    offset of the batch before, up to this batch's. At most ``maxFilesPerTrigger``."""
+    def lines(path: str) -> list[str]:
+        return [r["value"] for r in spark.read.text(path).collect()]
+
+    def offset(n: int) -> int:
+        found = [json.loads(x) for x in lines(f"{checkpoint}/offsets/{n}") if x.startswith("{")]
+        return next(int(x["logOffset"]) for x in found if "logOffset" in x)
+
+    checkpoint = checkpoint.rstrip("/")
+    first = offset(batch_id - 1) + 1 if batch_id else 0
+    out = []
+    for n in range(first, offset(batch_id) + 1):
+        log = spark.read.text(f"{checkpoint}/sources/0/{{{n},{n}.compact}}").where(F.col("value").startswith("{"))
+        entry = F.from_json("value", "path string, batchId long")
+        out += [r["path"] for r in log.select(entry.alias("e")).where(F.col("e.batchId") == n)
+                .select("e.path").distinct().collect()]
+    return sorted(set(out))
+
+
 def ingest_drop_folder(spark: SparkSession, folder: str, kind: str, table_path: str,
                        checkpoint: str, sep: str = ",", max_files_per_trigger: int = 64) -> int:
     """Drain new files of one kind into ``table_path``; returns the
@@ -38,37 +62,43 @@ def ingest_drop_folder(spark: SparkSession, folder: str, kind: str, table_path:
 
     Each micro-batch checks the header of its own files (at most
     ``max_files_per_trigger``) against the kind's contract, appends rows of
-    the files that pass, and records every file with its header result and
-    row count in ``<table_path>_manifest``. Both writes overwrite only the
+    the files that pass and have no malformed row (more or fewer fields than
+    the header), and records every file, also one without rows, with its header
+    result, row count and malformed rows in ``<table_path>_manifest``. Both writes overwrite only the
     batch's own partition, so a replayed batch is idempotent.
     """
     from stockgrid import config
     from stockgrid.operators.loading import header_validation
-    schema = files._string_schema(kind)
+    schema = StructType([*files._string_schema(kind).fields, StructField("_corrupt", StringType(), True)])
     stream = (spark.readStream.schema(schema).option("header", True).option("sep", sep).option("escape", '"')
+              .option("columnNameOfCorruptRecord", "_corrupt")
+              .option("columnPruning", False)  # as in files.read_kind: a pruned parse would not see surplus fields
               .option("maxFilesPerTrigger", max_files_per_trigger).csv(folder)
-              .withColumn("_source_file", F.col("_metadata.file_name"))
-              .withColumn("_source_path", F.col("_metadata.file_path")))
-    typed = stream.select(*files.typed_columns(kind), "_source_file", "_source_path")
+              .withColumn("_source_file", F.col("_metadata.file_name")))
+    typed = stream.select(*files.typed_columns(kind), "_source_file",
+                          F.col("_corrupt").isNotNull().alias("_malformed"))
     batches = []
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         # the batch's file list is bounded by maxFilesPerTrigger
-        paths = [r[0] for r in batch.select("_source_path").distinct().collect()]
+        paths = _batch_paths(spark, checkpoint, batch_id)  # percent-encoded, as names in _metadata are
         if not paths:
             return
-        checked = header_validation(files.header_rows(spark, paths, sep), config.HEADERS_BY_KIND[kind],
+        listed = spark.createDataFrame([(p.rsplit("/", 1)[-1],) for p in paths], "_source_file string")
+        checked = header_validation(files.header_rows(spark, [unquote(p) for p in paths], sep), config.HEADERS_BY_KIND[kind],
                                     file_col="file_name").select(F.col("file_name").alias("_source_file"), "result")
-        rows = batch.join(F.broadcast(checked), "_source_file", "left")
-        good = rows.filter(F.col("result") == "ok").drop("result", "_source_path")
+        counts = batch.groupBy("_source_file").agg(F.count(F.lit(1)).alias("row_count"),
+                                                   F.count_if("_malformed").alias("malformed_rows"))
+        none = F.lit(0).cast("long")
+        per_file = listed.join(checked, "_source_file", "left").join(counts, "_source_file", "left").select(
+            "_source_file", F.coalesce("result", F.lit("unreadable")).alias("header_result"),
+            F.coalesce("row_count", none).alias("row_count"), F.coalesce("malformed_rows", none).alias("malformed_rows"))
+        whole = per_file.filter("header_result = 'ok' and malformed_rows = 0").select("_source_file")
+        good = batch.join(F.broadcast(whole), "_source_file", "left_semi").drop("_malformed")
         (good.withColumn("batch_id", F.lit(batch_id).cast("long"))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("batch_id", "Plant").parquet(table_path))
-        manifest = (rows.groupBy("_source_file").agg(
-            F.coalesce(F.first("result", ignorenulls=True), F.lit("unreadable")).alias("header_result"),
-            F.count(F.lit(1)).alias("row_count"))
-            .withColumn("batch_id", F.lit(batch_id).cast("long")))
-        (manifest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        (per_file.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("batch_id").parquet(table_path.rstrip("/") + "_manifest"))
         batches.append(batch_id)
 

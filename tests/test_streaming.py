@@ -41,6 +41,38 @@ def test_drop_folder_reads_each_file_once(spark, tmp_dir):
     assert man["OH2910.csv"].header_result == "ok"
 
 
+def test_drop_folder_holds_back_malformed_files_and_records_empty_ones(spark, tmp_dir):
+    uploads, drop = os.path.join(tmp_dir, "uploads"), os.path.join(tmp_dir, "drop")
+    os.makedirs(uploads)
+    os.makedirs(drop)
+    write_uploads(uploads)
+    with open(os.path.join(uploads, "OH2910.csv")) as fh:
+        lines = fh.read().splitlines()
+    table, ckpt = os.path.join(tmp_dir, "t"), os.path.join(tmp_dir, "ck")
+
+    def put(name, rows):
+        with open(os.path.join(drop, name), "w") as fh:
+            fh.write("\n".join(rows) + "\n")
+
+    put("only header.csv", lines[:1])   # alone in its batch, with a blank in its name
+    ingest_drop_folder(spark, drop, "on_hand", table, ckpt)
+    put("long.csv", lines + [lines[1] + ",surplus"])
+    put("short.csv", lines[:2] + [lines[2].split(",")[0]])
+    put("good one.csv", lines)
+    put("header.csv", lines[:1])
+    ingest_drop_folder(spark, drop, "on_hand", table, ckpt, max_files_per_trigger=3)
+    for i in range(12):                 # past the compaction of the source's log
+        put(f"g{i:02}.csv", lines[:2])
+        ingest_drop_folder(spark, drop, "on_hand", table, ckpt)
+    man = {r._source_file.replace("%20", " "): (r.header_result, r.row_count, r.malformed_rows)
+           for r in spark.read.parquet(table + "_manifest").collect()}
+    n = len(lines) - 1
+    assert man == {"only header.csv": ("ok", 0, 0), "header.csv": ("ok", 0, 0), "long.csv": ("ok", n + 1, 1),
+                   "short.csv": ("ok", 2, 1), "good one.csv": ("ok", n, 0), **{f"g{i:02}.csv": ("ok", 1, 0) for i in range(12)}}
+    got = {r._source_file.replace("%20", " "): r["count"] for r in read_kind_table(spark, table, "on_hand").groupBy("_source_file").count().collect()}
+    assert got == {"good one.csv": n, **{f"g{i:02}.csv": 1 for i in range(12)}}
+
+
 def test_override_stream_matches_batch(spark, tmp_dir):
     src = os.path.join(tmp_dir, "events")
     t0 = dt.datetime(2026, 1, 1)
