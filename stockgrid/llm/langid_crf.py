@@ -4,8 +4,9 @@ Affix, character n-gram and lexicon features give each word a score per language
 words together, and forward-backward gives every word a posterior, so code-switched texts get a language per word.
 
 * Fit: at most ``per_lang`` labelled documents per language, chosen by hash of ``doc_id``, and of each at most
-  ``words_per_doc`` consecutive words; these two bounds are the only sampling. Training sequences splice runs from
-  different documents, so transitions between languages are learned too.
+  ``words_per_doc`` consecutive words. Of these, training draws ``per_lang_sequences`` sequences of 32 words for each
+  language, 1,200 at least; the three bounds are the only sampling. Sequences splice runs from different
+  documents, so transitions between languages are learned too.
 * Predict: one streaming pass over whole texts, no shuffle. Memory is one Arrow batch and a bounded word cache.
 * A run of over ``LONGEST`` letters (scripts without blanks) is several places of the chain, pieces of at most ``PIECE``
   letters: every letter is read, n-grams reach across the cuts, and the language may switch inside the run.
@@ -218,14 +219,16 @@ def posteriors(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray,
     return gamma
 
 
-def train(samples: list[tuple[str, list[str]]], sequences: int = 1200, length: int = 32, rounds: int = 30,
-          lexicon_size: int = 150, seed: int = 7) -> LangModel:
-    """Fit by AdaGrad on the conditional likelihood of spliced sequences drawn from (language, words) samples."""
+def train(samples: list[tuple[str, list[str]]], sequences: int | None = None, length: int = 32, rounds: int = 30,
+          lexicon_size: int = 150, seed: int = 7, per_lang_sequences: int = 300) -> LangModel:
+    """Fit by AdaGrad on the conditional likelihood of spliced sequences drawn from (language, words) samples.
+    Without ``sequences``, ``per_lang_sequences`` for each language and 1,200 at least are drawn."""
     samples = [(g, ws) for g, ws in samples if ws]
     langs = tuple(sorted({g for g, _ in samples}))
     k = len(langs)
     if k == 0:
         return LangModel((), np.zeros((SLOTS, 0), np.float32), np.zeros((0, 0)), {})
+    sequences = sequences or max(1200, per_lang_sequences * k)
     lexicon: dict[str, int] = {}
     for j, g in enumerate(langs):
         counts = Counter(w for h, ws in samples if h == g for w in ws)
@@ -254,12 +257,19 @@ def train(samples: list[tuple[str, list[str]]], sequences: int = 1200, length: i
     np.add.at(observed, (ids.ravel(), gold.ravel()), 1)
     steps = np.zeros((k, k))
     np.add.at(steps, (gold[:, :-1].ravel(), gold[:, 1:].ravel()), 1)
+    ends = np.cumsum(sizes)  # many languages: words and sequences are taken in blocks of bounded memory
+    parts = [(i, ends[i] - sizes[i], ends[min(i + 4_000, len(ends)) - 1]) for i in range(0, len(ends), 4_000)]
+    block = max(1, 4_000_000 // (length * k * k))
     for _ in range(rounds):
-        gamma, pairs = forward_backward(summed(weights, flat, sizes)[ids], lengths, transitions, pairs=True)
-        expected = np.zeros_like(observed)
-        np.add.at(expected, ids.ravel(), gamma.reshape(-1, k))
-        per_word = np.repeat(observed - expected, sizes, axis=0)
-        grad = np.stack([np.bincount(flat, per_word[:, j], SLOTS) for j in range(k)], axis=1) - 0.5 * weights
+        scores = np.concatenate([summed(weights, flat[a:b], sizes[i:i + 4_000]) for i, a, b in parts])
+        expected, pairs = np.zeros_like(observed), np.zeros_like(steps)
+        for i in range(0, sequences, block):
+            some = ids[i:i + block]
+            gamma, moves = forward_backward(scores[some], lengths[i:i + block], transitions, pairs=True)
+            np.add.at(expected, some.ravel(), gamma.reshape(-1, k))
+            pairs += moves
+        rest = observed - expected
+        grad = np.stack([np.bincount(flat, np.repeat(rest[:, j], sizes), SLOTS) for j in range(k)], axis=1) - 0.5 * weights
         tgrad = steps - pairs - 0.5 * transitions
         gw += grad ** 2
         gt += tgrad ** 2
@@ -268,7 +278,7 @@ def train(samples: list[tuple[str, list[str]]], sequences: int = 1200, length: i
     return LangModel(langs, weights.astype(np.float32), transitions, lexicon)
 
 
-def fit(docs: DataFrame, per_lang: int = 120, words_per_doc: int = 400) -> LangModel:
+def fit(docs: DataFrame, per_lang: int = 120, words_per_doc: int = 400, per_lang_sequences: int = 300) -> LangModel:
     """Train on rows of ``docs`` (doc_id, text, lang) with a non-null language.
 
     The sample is taken by hash threshold per language from exact counts, so no window or sort over a language is
@@ -292,7 +302,7 @@ def fit(docs: DataFrame, per_lang: int = 120, words_per_doc: int = 400) -> LangM
         if taken[r["lang"]] <= per_lang:
             ws = letter_words(r["run"])
             samples.append((r["lang"], ws[1:-1][:words_per_doc] or ws))
-    return train(samples)
+    return train(samples, per_lang_sequences=per_lang_sequences)
 
 
 class Numbered(dict):

@@ -479,6 +479,20 @@ def test_every_letter_of_a_long_run_is_read(spark):
     assert langid_crf.feature_slots(["the", "househouse"], lexicon)[0][:len(short)].tolist() == short.tolist()
 
 
+def test_training_words_grow_with_the_languages(monkeypatch):
+    seen, inner = [], langid_crf.forward_backward
+
+    def spy(scores, *args, **kw):
+        seen.append(len(scores))
+        return inner(scores, *args, **kw)
+
+    monkeypatch.setattr(langid_crf, "forward_backward", spy)
+    for k in (2, 4, 12):
+        seen.clear()
+        langid_crf.train([(f"l{j:02}", [f"{chr(97 + j)}{chr(97 + i)}" for i in range(20)]) for j in range(k)], rounds=1)
+        assert sum(seen) == max(1200, 300 * k)
+
+
 def test_segmented_posteriors_are_exact():
     rng = np.random.default_rng(0)
     lengths = np.array([1, 5, 23, 64, 200, 7])
