@@ -5,8 +5,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stockgrid.llm import (byte_bpe, fingerprints, langid_crf, lattice_lm, mixing, pivot_topk, quality_knn, secret_scan,
-                           sharding, simhash)
+from stockgrid.llm import (byte_bpe, conversation_repair, filter_audit, fingerprints, langid_crf, lattice_lm, license_scan,
+                           mixing, pivot_topk, quality_knn, secret_scan, sharding, simhash)
 from stockgrid.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,11 @@ QUERIES: dict[str, Query] = {
     "op8_quality_knn": lambda spark, sf_dir: quality_knn.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op9_language_id": _documents(langid_crf.language_id),
     "op10_pivot_topk": lambda spark, sf_dir: pivot_topk.top_k(table(spark, sf_dir, "embeddings")),
+    "op11_filter_audit": lambda spark, sf_dir: filter_audit.filter_audit(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
+    "op12_conversation_repair": lambda spark, sf_dir: conversation_repair.conversation_repair(
+        table(spark, sf_dir, "conversations")),
+    "op13_license_scan": _documents(license_scan.license_scan),
 }
 
-ORACLE_SQL: dict[str, str] = {"op10_pivot_topk": pivot_topk.TOP_K_SQL}
+ORACLE_SQL: dict[str, str] = {"op10_pivot_topk": pivot_topk.TOP_K_SQL, "op11_filter_audit": filter_audit.AUDIT_SQL}
