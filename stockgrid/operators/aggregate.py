@@ -1,7 +1,7 @@
 """Per-kind aggregates by the composite key (Plant, Material).
 
-Null keys are real groups (``groupBy`` keeps them). Sums go through
-``exact_sum`` so a key whose values are all missing sums to 0 and totals do
+Null keys are real groups (``groupBy`` keeps them). Sums are exact
+(``functions.exact``), so a key whose values are all missing sums to 0 and totals do
 not depend on partitioning. Every aggregate here is partial/final: rows are
 combined map-side before the shuffle, so a hot key costs one row per
 partition on the wire.
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockgrid import config
-from stockgrid.functions import exact_sum
+from stockgrid.functions import grouped
 
 KEY = ["Plant", "Material"]
 
@@ -27,30 +27,16 @@ def allocation_source_sql(field_by_plant: dict[str, str] | None = None) -> str:
     return f"CASE {arms} END"
 
 
-def on_hand_measures() -> list[Column]:
-    return [
-        exact_sum("unrestricted").alias("Unrestricted_On_Hand"),
-        exact_sum("quality").alias("Quality_Inspection_Qty"),
-        exact_sum("blocked").alias("Blocked_Stock_Qty"),
-        F.min("expiry").alias("Earliest_Expiry_Date"),
-    ]
+# totals and earliest dates of each kind, by output column
+ON_HAND_SUMS = {"Unrestricted_On_Hand": "unrestricted", "Quality_Inspection_Qty": "quality", "Blocked_Stock_Qty": "blocked"}
+ON_HAND_DATES = {"Earliest_Expiry_Date": "min(expiry)"}
+CUSTOMER_ORDER_SUMS = {"Customer_Order_Qty": "order_qty", "Confirmed_Qty": "confirmed_qty"}
+OPEN_ORDER_DATES = {"Next_PO_Delivery_Date": "min(delivery_date)"}
 
 
-def customer_order_measures() -> list[Column]:
-    return [
-        exact_sum("order_qty").alias("Customer_Order_Qty"),
-        exact_sum("confirmed_qty").alias("Confirmed_Qty"),
-    ]
-
-
-def open_order_measures(field_by_plant: dict[str, str] | None = None) -> list[Column]:
-    return [
-        exact_sum("open_po_qty").alias("Open_PO_Qty"),
-        exact_sum("po_request_qty").alias("PO_Request_Qty"),
-        exact_sum("inbound_qty").alias("Inbound_Delivery_Qty"),
-        F.min("delivery_date").alias("Next_PO_Delivery_Date"),
-        exact_sum(allocation_source_sql(field_by_plant)).alias("Allocation_Qty"),
-    ]
+def open_order_sums(field_by_plant: dict[str, str] | None = None) -> dict[str, str]:
+    return {"Open_PO_Qty": "open_po_qty", "PO_Request_Qty": "po_request_qty", "Inbound_Delivery_Qty": "inbound_qty",
+            "Allocation_Qty": allocation_source_sql(field_by_plant)}
 
 
 def unconfirmed() -> Column:
@@ -59,12 +45,11 @@ def unconfirmed() -> Column:
 
 
 def agg_on_hand(on_hand: DataFrame) -> DataFrame:
-    return on_hand.groupBy(*KEY).agg(*on_hand_measures())
+    return grouped(on_hand, KEY, ON_HAND_SUMS, ON_HAND_DATES)
 
 
 def agg_customer_orders(customer_orders: DataFrame) -> DataFrame:
-    return (customer_orders.groupBy(*KEY).agg(*customer_order_measures())
-            .withColumn("Unconfirmed_Qty", unconfirmed()))
+    return grouped(customer_orders, KEY, CUSTOMER_ORDER_SUMS).withColumn("Unconfirmed_Qty", unconfirmed())
 
 
 def agg_open_orders(open_orders: DataFrame, field_by_plant: dict[str, str] | None = None) -> DataFrame:
@@ -72,15 +57,15 @@ def agg_open_orders(open_orders: DataFrame, field_by_plant: dict[str, str] | Non
     configured field (the grid turns it into 0)."""
     field_by_plant = field_by_plant or config.ALLOCATION_FIELD_BY_PLANT
     configured = F.col("Plant").isin(*field_by_plant.keys())
-    out = open_orders.groupBy(*KEY).agg(*open_order_measures(field_by_plant))
+    out = grouped(open_orders, KEY, open_order_sums(field_by_plant), OPEN_ORDER_DATES)
     return out.withColumn("Allocation_Qty", F.when(configured, F.col("Allocation_Qty")))
 
 
 def agg_allocation(open_orders: DataFrame, field_by_plant: dict[str, str] | None = None) -> DataFrame:
     """Allocation per key of configured plants only, one pass."""
     field_by_plant = field_by_plant or config.ALLOCATION_FIELD_BY_PLANT
-    return (open_orders.filter(F.col("Plant").isin(*field_by_plant.keys()))
-            .groupBy(*KEY).agg(exact_sum(allocation_source_sql(field_by_plant)).alias("Allocation_Qty")))
+    return grouped(open_orders.filter(F.col("Plant").isin(*field_by_plant.keys())), KEY,
+                   {"Allocation_Qty": allocation_source_sql(field_by_plant)})
 
 
 def tag_sources(customer_orders: DataFrame | None, on_hand: DataFrame | None,

@@ -16,12 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockgrid import config
+from stockgrid.functions import grouped
 from stockgrid.operators.aggregate import (
-    KEY, agg_customer_orders, agg_on_hand, agg_open_orders, customer_order_measures,
-    on_hand_measures, open_order_measures, unconfirmed,
+    CUSTOMER_ORDER_SUMS, KEY, ON_HAND_DATES, ON_HAND_SUMS, OPEN_ORDER_DATES, agg_customer_orders, agg_on_hand,
+    agg_open_orders, open_order_sums, unconfirmed,
 )
 from stockgrid.operators.target import TARGET_COLUMNS
 
+# FIXED VALUES: quantity columns and the grid's columns in order
 QTY_COLUMNS = [
     "Unrestricted_On_Hand", "Quality_Inspection_Qty", "Blocked_Stock_Qty",
     "Customer_Order_Qty", "Confirmed_Qty", "Unconfirmed_Qty",
@@ -85,9 +87,8 @@ def _finish(keyed: DataFrame, target: DataFrame, pct: float) -> DataFrame:
 
 def key_measures(tagged: DataFrame, field_by_plant: dict[str, str] | None = None) -> DataFrame:
     """All per-key measures of the three kinds in one aggregation."""
-    agg = tagged.groupBy(*KEY).agg(
-        *on_hand_measures(), *customer_order_measures(), *open_order_measures(field_by_plant))
-    return agg.withColumn("Unconfirmed_Qty", unconfirmed())
+    sums = ON_HAND_SUMS | CUSTOMER_ORDER_SUMS | open_order_sums(field_by_plant)
+    return grouped(tagged, KEY, sums, ON_HAND_DATES | OPEN_ORDER_DATES).withColumn("Unconfirmed_Qty", unconfirmed())
 
 
 def ordering_grid(tagged: DataFrame, target: DataFrame,

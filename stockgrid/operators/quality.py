@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockgrid import config
-from stockgrid.functions import exact_sum
+from stockgrid.functions import grouped
 
 KEY = ["Plant", "Material"]
 
@@ -88,14 +88,12 @@ def master_no_activity(tagged: DataFrame, target: DataFrame) -> DataFrame:
 
 def source_totals(tagged: DataFrame) -> DataFrame:
     """D10 (source side): grand totals of the reconciled metrics, one row."""
-    exprs = [exact_sum(f"CASE WHEN kind = '{kind}' THEN {col} END").alias(metric)
-             for metric, kind, col in RECONCILED_METRICS]
-    return tagged.agg(*exprs)
+    return grouped(tagged, [], {metric: f"CASE WHEN kind = '{kind}' THEN {col} END" for metric, kind, col in RECONCILED_METRICS})
 
 
 def grid_totals(grid: DataFrame) -> DataFrame:
     """D10 (grid side): the same metrics summed over the grid, one row."""
-    return grid.agg(*[exact_sum(metric).alias(metric) for metric, _, _ in RECONCILED_METRICS])
+    return grouped(grid, [], {metric: metric for metric, _, _ in RECONCILED_METRICS})
 
 
 def _long(totals: DataFrame, value_name: str) -> DataFrame:

@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockgrid import config
-from stockgrid.functions import exact_sum
+from stockgrid.functions.exact import states, total_sql, with_parts
 from stockgrid.operators import loading, quality
+from stockgrid.operators.views import KPI_SUMS
 from stockgrid.session import scratch_path
 
 KEY = ["Plant", "Material"]
@@ -96,18 +97,11 @@ def executive_summary(grid: DataFrame) -> DataFrame:
     rows and the grand-total row in one aggregation; the total row expands
     to the eight KPI rows and each status row to its count row."""
     at_risk = F.col("Risk_Status").isin(*config.AT_RISK_STATUSES)
-    measures = {
-        "active_materials": F.count(F.lit(1)),  # one row per key
-        "total_unrestricted_on_hand": exact_sum("Unrestricted_On_Hand"),
-        "total_open_po_qty": exact_sum("Open_PO_Qty"),
-        "total_customer_order_qty": exact_sum("Customer_Order_Qty"),
-        "total_confirmed_qty": exact_sum("Confirmed_Qty"),
-        "total_unconfirmed_qty": exact_sum("Unconfirmed_Qty"),
-        "materials_at_risk": F.count_if(at_risk),
-        "total_suggested_order_qty": exact_sum("Suggested_Order_Qty"),
-    }
-    agg = grid.rollup("Risk_Status").agg(F.grouping_id().alias("_total"), F.count(F.lit(1)).alias("_n"),
-                                         *[e.alias(k) for k, e in measures.items()])
+    agg = with_parts(grid, KPI_SUMS).rollup("Risk_Status").agg(
+        F.grouping_id().alias("_total"), F.count(F.lit(1)).alias("_n"), F.count_if(at_risk).alias("materials_at_risk"),
+        *states(KPI_SUMS))
+    agg = agg.selectExpr("Risk_Status", "_total", "_n", "_n AS active_materials", "materials_at_risk",
+                         *[f"{total_sql(c)} AS `{c}`" for c in KPI_SUMS])  # one row per key
 
     def row(section, ordinal, label, value):
         return F.struct(F.lit(section).alias("section"), F.lit(ordinal).alias("ordinal"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockgrid import config
-from stockgrid.functions import exact_sum
+from stockgrid.functions import grouped
 
 KEY = ["Plant", "Material"]
 
@@ -25,7 +25,14 @@ DISPLAY_LABELS = (
     ("Earliest_Expiry_Date", "Earliest Expiry Date"),
 )
 
-# supplier detail tabs: id columns + the tab's measures
+# FIXED VALUES: totals among the dashboard's KPIs
+KPI_SUMS = {
+    "total_unrestricted_on_hand": "Unrestricted_On_Hand", "total_open_po_qty": "Open_PO_Qty",
+    "total_customer_order_qty": "Customer_Order_Qty", "total_confirmed_qty": "Confirmed_Qty",
+    "total_unconfirmed_qty": "Unconfirmed_Qty", "total_suggested_order_qty": "Suggested_Order_Qty",
+}
+
+# FIXED VALUES: supplier detail tabs, id columns + the tab's measures
 SUPPLIER_VIEWS = {
     "identification": ["Plant", "Material", "TOL_Material", "Description"],
     "forecast": ["Plant", "Material", "Target_Stock", "Safety_Stock"],
@@ -98,24 +105,14 @@ def facets(grid: DataFrame) -> DataFrame:
 
 def kpis(grid: DataFrame) -> DataFrame:
     """The eight dashboard KPIs in one global aggregate. The grid has one row per key, so keys are counted as rows."""
-    at_risk = F.col("Risk_Status").isin(*config.AT_RISK_STATUSES)
-    return grid.agg(
-        F.count(F.lit(1)).alias("active_materials"),
-        exact_sum("Unrestricted_On_Hand").alias("total_unrestricted_on_hand"),
-        exact_sum("Open_PO_Qty").alias("total_open_po_qty"),
-        exact_sum("Customer_Order_Qty").alias("total_customer_order_qty"),
-        exact_sum("Confirmed_Qty").alias("total_confirmed_qty"),
-        exact_sum("Unconfirmed_Qty").alias("total_unconfirmed_qty"),
-        F.count_if(at_risk).alias("materials_at_risk"),
-        exact_sum("Suggested_Order_Qty").alias("total_suggested_order_qty"),
-    )
+    at_risk = "Risk_Status IN (" + ", ".join(f"'{x}'" for x in config.AT_RISK_STATUSES) + ")"
+    totals = grouped(grid, [], KPI_SUMS, {"active_materials": "count(1)", "materials_at_risk": f"count_if({at_risk})"})
+    return totals.select("active_materials", *list(KPI_SUMS)[:5], "materials_at_risk", "total_suggested_order_qty")
 
 
 def plant_metrics(grid: DataFrame) -> DataFrame:
     """On hand vs customer demand per plant (null plant is a group)."""
-    return grid.groupBy("Plant").agg(
-        exact_sum("Unrestricted_On_Hand").alias("On_Hand"),
-        exact_sum("Customer_Order_Qty").alias("Customer_Demand"))
+    return grouped(grid, ["Plant"], {"On_Hand": "Unrestricted_On_Hand", "Customer_Demand": "Customer_Order_Qty"})
 
 
 def plant_metrics_long(grid: DataFrame) -> DataFrame:
@@ -127,13 +124,13 @@ def plant_metrics_long(grid: DataFrame) -> DataFrame:
 def open_po_by_month(grid: DataFrame) -> DataFrame:
     """Open PO quantity by month of each key's next delivery."""
     dated = grid.filter(F.col("Next_PO_Delivery_Date").isNotNull())
-    return (dated.groupBy(month_of(F.col("Next_PO_Delivery_Date")).alias("Month"))
-            .agg(exact_sum("Open_PO_Qty").alias("Open_PO_Qty")).orderBy("Month"))
+    dated = dated.withColumn("Month", month_of(F.col("Next_PO_Delivery_Date")))
+    return grouped(dated, ["Month"], {"Open_PO_Qty": "Open_PO_Qty"}).orderBy("Month")
 
 
 def suggested_by_supplier(grid: DataFrame) -> DataFrame:
     """Suggested quantity per supplier, kept when > 0, largest first."""
-    return (grid.groupBy("Supplier").agg(exact_sum("Suggested_Order_Qty").alias("Suggested_Order_Qty"))
+    return (grouped(grid, ["Supplier"], {"Suggested_Order_Qty": "Suggested_Order_Qty"})
             .filter(F.col("Suggested_Order_Qty") > 0)
             .orderBy(F.col("Suggested_Order_Qty").desc(), F.col("Supplier").asc_nulls_first()))
 

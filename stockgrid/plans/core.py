@@ -116,8 +116,8 @@ def q_risk_status(spark, sf_dir):
 def q_combined_rows(spark, sf_dir):
     """H1: the union-all of the kinds keeps every row (per-plant files
     concatenated, duplicates kept); checked through per-plant counts."""
-    from stockgrid.functions import exact_sum
+    from stockgrid.functions import grouped
     src = td.source_rows(spark, sf_dir)
     qty = ("CASE kind WHEN 'customer_orders' THEN order_qty WHEN 'on_hand' THEN unrestricted ELSE open_po_qty END")
-    return src.groupBy("kind", "Plant").agg(F.count(F.lit(1)).alias("n_rows"), exact_sum(qty).alias("qty"))
+    return grouped(src, ["kind", "Plant"], {"qty": qty}, {"n_rows": "count(1)"})
 
