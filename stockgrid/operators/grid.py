@@ -12,7 +12,9 @@ union, three ``<=>`` joins) as an independent cross-check.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockgrid import config
@@ -79,10 +81,15 @@ def with_recommendation(grid: DataFrame, pct: float = config.SAFETY_STOCK_PCT) -
     return grid.selectExpr(*[f"`{c}`" for c in grid.columns if c not in derived], *recommendation_sql(pct))
 
 
-def _finish(keyed: DataFrame, target: DataFrame, pct: float) -> DataFrame:
-    grid = with_position(keyed.join(target.select(*TARGET_COLUMNS), on=KEY, how="left"))
+def finished(joined: DataFrame, pct: float = config.SAFETY_STOCK_PCT, extra: Sequence[Column] = ()) -> DataFrame:
+    """The grid's columns from measures joined with the target, and ``extra`` columns."""
+    grid = with_position(joined)
     grid = grid.select("*", F.lit(0.0).alias("Manual_Override"), F.lit("").alias("Planner_Note"))
-    return with_recommendation(grid, pct).select(*GRID_COLUMNS)
+    return with_recommendation(grid, pct).select(*GRID_COLUMNS, *extra)
+
+
+def _finish(keyed: DataFrame, target: DataFrame, pct: float) -> DataFrame:
+    return finished(keyed.join(target.select(*TARGET_COLUMNS), on=KEY, how="left"), pct)
 
 
 def key_measures(tagged: DataFrame, field_by_plant: dict[str, str] | None = None) -> DataFrame:

@@ -49,6 +49,13 @@ def header_validation(headers: DataFrame, expected: list[str] | tuple[str, ...],
          .alias("result"))
 
 
+def violation_rows(file_rows: DataFrame) -> DataFrame:
+    """A8 as rows: each wrong plant value of a file with the rows that carry it. Values are free text, so they stay rows
+    that are combined before the shuffle, not a set in one row."""
+    wrong = file_rows.filter(F.col("observed_plant").isNotNull() & (F.col("observed_plant") != F.col("expected_plant")))
+    return wrong.groupBy("kind", "expected_plant", "observed_plant").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def plant_violations(file_rows: DataFrame) -> DataFrame:
     """Per arriving file, sorted distinct non-null plants that differ
     from the file's plant, and how many rows carry them."""

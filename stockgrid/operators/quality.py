@@ -7,8 +7,11 @@ are global exact sums.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable, Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from stockgrid import config
 from stockgrid.functions import grouped
@@ -24,15 +27,37 @@ RECONCILED_METRICS = (
 )
 
 
-def duplicate_rows(tagged: DataFrame, columns_by_kind: dict[str, list[str]]) -> DataFrame:
-    """Per kind, rows that have at least one identical twin (every
-    member of a duplicate group counts). One aggregation for all kinds:
-    each kind's own columns, others are null on its rows."""
+def row_hash(columns: Sequence[str], schema: StructType) -> Column:
+    """A 64-bit hash of a row. Spark's hash skips nulls, so it also reads which columns are null; -0.0 counts as 0.0, as it
+    does in a grouping."""
+    numbers = {f.name for f in schema.fields if f.dataType.typeName() in ("double", "float")}
+    values = [f"`{c}` + 0.0D" if c in numbers else f"`{c}`" for c in columns]
+    nulls = [" + ".join(f"IF(`{c}` IS NULL, {1 << i}L, 0L)" for i, c in enumerate(columns[at:at + 60]))
+             for at in range(0, len(columns), 60)]
+    return F.expr(f"xxhash64({', '.join(values + nulls)})")
+
+
+def duplicate_rows(tagged: DataFrame, columns_by_kind: Mapping[str, Sequence[str]],
+                   hashed_by: Callable[[Sequence[str], StructType], Column] = row_hash) -> DataFrame:
+    """Per kind, rows that have at least one twin in every column of the kind (every member of a duplicate group
+    counts; other kinds' columns are null on its rows).
+
+    First, rows are counted by a hash: only hashes and counts are shuffled, combined before it. Then just the rows whose
+    hash repeats are compared whole, so equal hashes of different rows count for nothing. The repeating hashes are written
+    to the shared scratch folder, from where Spark decides by their size how the rows meet them."""
+    from stockgrid.operators.reports import materialize
+    spark = tagged.sparkSession
     cols = sorted({c for cs in columns_by_kind.values() for c in cs})
-    groups = tagged.groupBy("kind", *cols).agg(F.count(F.lit(1)).alias("_n"))
-    per_kind = groups.groupBy("kind").agg(
-        F.coalesce(F.sum(F.when(F.col("_n") > 1, F.col("_n"))), F.lit(0)).cast("long").alias("duplicate_rows"))
-    return per_kind
+    hashed = tagged.select("kind", *cols, hashed_by(["kind", *cols], tagged.schema).alias("_h"))
+    repeating = hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_h")
+    repeating = materialize(spark, repeating, "repeating-hashes")
+    groups = hashed.join(repeating, "_h", "left_semi").groupBy("kind", *cols).agg(F.count(F.lit(1)).alias("_n"))
+    # one row a kind of the contracts, also without twins; the arrays are as long as the contracts
+    found = groups.where("_n > 1").groupBy("kind").agg(F.sum("_n").alias("n")).agg(
+        F.map_from_entries(F.collect_list(F.struct("kind", "n"))).alias("found"))
+    kinds = F.array(*[F.lit(k) for k in columns_by_kind])
+    return found.select(F.explode(kinds).alias("kind"), "found").select(
+        "kind", F.coalesce(F.col("found")[F.col("kind")], F.lit(0)).cast("long").alias("duplicate_rows"))
 
 
 def full_row_duplicates(spark: SparkSession, kinds: dict[str, DataFrame]) -> DataFrame:
@@ -40,23 +65,24 @@ def full_row_duplicates(spark: SparkSession, kinds: dict[str, DataFrame]) -> Dat
     with an underscore, are not part of a row)."""
     out = None
     for kind, df in kinds.items():
-        groups = df.groupBy(*[c for c in df.columns if not c.startswith("_")]).agg(F.count(F.lit(1)).alias("_n"))
-        one = groups.agg(F.coalesce(F.sum(F.when(F.col("_n") > 1, F.col("_n"))), F.lit(0)).cast("long").alias(
-            "duplicate_rows")).select(F.lit(kind).alias("kind"), "duplicate_rows")
+        columns = [c for c in df.columns if not c.startswith("_")]
+        one = duplicate_rows(df.withColumn("kind", F.lit(kind)), {kind: columns})
         out = one if out is None else out.unionByName(one)
     return out if out is not None else spark.createDataFrame([], "kind string, duplicate_rows long")
 
 
+def missing(c: str, number: bool) -> Column:
+    """A value is missing or invalid: null, or a number that is NaN or infinite."""
+    null = F.col(c).isNull()
+    return null | F.isnan(c) | (F.abs(c) == float("inf")) if number else null
+
+
 def null_counts(spark: SparkSession, tagged: DataFrame, columns_by_kind: dict[str, list[str]]) -> DataFrame:
     """missing/invalid values per kind and column, one pass. A number that is NaN or infinite is invalid."""
     numbers = {f.name for f in tagged.schema.fields if f.dataType.typeName() in ("double", "float")}
 
-    def bad(c: str):
-        missing = F.col(c).isNull()
-        return missing | F.isnan(c) | (F.abs(c) == float("inf")) if c in numbers else missing
-
     cols = sorted({c for cs in columns_by_kind.values() for c in cs})
-    wide = tagged.groupBy("kind").agg(*[F.count_if(bad(c)).alias(c) for c in cols])
+    wide = tagged.groupBy("kind").agg(*[F.count_if(missing(c, c in numbers)).alias(c) for c in cols])
     long = wide.unpivot("kind", cols, "column", "null_count")
     # keep each kind's own columns: a fixed dimension sized by the schemas
     own = spark.createDataFrame([(k, c, i) for k, cs in columns_by_kind.items() for i, c in enumerate(cs)],

@@ -1,14 +1,12 @@
 """Export-side report queries."""
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from stockgrid import config
-from stockgrid.operators import loading, quality, reports
+from stockgrid.operators import onepass, quality, reports
 from stockgrid.plans.core import load_target
 from stockgrid.plans.oracle_base import with_views
 from stockgrid.plans.quality import (
-    _DUP_SQL, _LOAD_SQL, _NULL_SQL, _PLANT_SQL, _SRC_KEYS, _UNMATCHED_SQL, _VARIANCE_SQL, q_duplicate_rows,
+    _DUP_SQL, _LOAD_SQL, _NULL_SQL, _PLANT_SQL, _SRC_KEYS, _UNMATCHED_SQL, _VARIANCE_SQL,
 )
 from stockgrid.plans.registry import query
 from stockgrid.plans.views import _KPI_SQL, dashboard_grid
@@ -19,24 +17,24 @@ FIXTURE_SUPPLIERS = ("Brand#1", "Brand#ALT", "Brand#13", "Brand#99", "Brand#7")
 REFRESHED = "2026-08-19 12:00:00 EDT"
 
 
-def _report_inputs(spark, sf_dir):
-    """Inputs many report sections read. The sources arrive as one
-    lineitem-orders join; its projected rows are written once as Parquet
-    under the shared checkpoint folder, and both the tagged
-    sources and the per-file plant rows derive from that stored join. The
-    whole bundle then needs one scan and one join of the big tables, and a
-    lost executor does not re-run them. Key-level results (target, grid,
-    per-file statistics) stay lazy."""
-    from stockgrid.operators.grid import ordering_grid
-    needed = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag",
-              "l_linestatus", "l_shipdate", "o_orderstatus", "Plant", "Material"]
-    joined = td.lines(spark, sf_dir).select(*needed)
-    joined = reports.materialize(spark, joined, "report-lines")
-    tagged = td.source_rows_from(joined)
-    target = load_target(spark, sf_dir)
-    grid = ordering_grid(tagged, target)
-    per_file = loading.plant_violations(td.file_rows_from(joined))
-    return tagged, target, grid, per_file
+REQUIRED = [(k, p) for k in config.KINDS for p in config.PLANTS]
+_LINE_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus",
+                 "l_shipdate", "o_orderstatus", "Plant", "Material"]
+
+
+def _stored(spark, sf_dir, lists: bool = False):
+    """The lineitem-orders join written once; from it the metrics with the key table (written too where ``lists`` are read
+    from it) and, beside them, the duplicates (D11) of the rows as uploads carry them."""
+    lines = reports.materialize(spark, td.lines(spark, sf_dir).select(*_LINE_COLUMNS), "report-lines")
+    rows = td.rows_with_files(lines)
+
+    def metrics() -> onepass.Stored:
+        keys = onepass.key_table(rows, load_target(spark, sf_dir))
+        if lists:
+            keys = reports.materialize(spark, keys, "report-keys")
+        return onepass.store(rows, keys, td.KIND_COLUMNS, REQUIRED)
+
+    return onepass.together(metrics, lambda: quality.duplicate_rows(td.resent(rows), td.KIND_COLUMNS))
 
 
 _EXPORT_SQL = ", ".join(f'{c} as "{label}"' for c, label in reports.EXPORT_COLUMNS)
@@ -104,10 +102,37 @@ union all select 'gate', 'passed', cast(coalesce(bool_and(abs(variance) < 1e-6),
 @query("reconciliation_summary", "K3", with_views(_SUMMARY_SQL, *config.KINDS, "grid", "target",
                                                     "required_files", "file_rows"))
 def q_reconciliation_summary(spark, sf_dir):
-    tagged, target, grid, per_file = _report_inputs(spark, sf_dir)
-    return reports.reconciliation_summary(
-        spark, tagged, grid, target, td.required_files(spark), per_file,
-        q_duplicate_rows(spark, sf_dir), td.KIND_COLUMNS)
+    return onepass.summary(*_stored(spark, sf_dir))
+
+
+_TEXT, _NONE = "cast(null as varchar)", "cast(null as double)"
+_FILE_SQL = """
+select r.kind, r.plant, count(f.kind) as n_rows,
+  count(*) filter (where f.observed_plant is not null and f.observed_plant <> f.expected_plant) as n_wrong
+from required_files r left join file_rows f on f.kind = r.kind and f.expected_plant = r.plant group by r.kind, r.plant
+"""
+_REPORT_SQL = f"""
+select 'file' as section, kind as source, plant as plant, {_TEXT} as material, {_TEXT} as item, cast(n_rows as double) as value,
+  case when n_rows = 0 then 'Missing' when n_wrong > 0 then 'Error' else 'Valid' end as note from ({_FILE_SQL}) a
+union all select 'plant_violation', kind, expected_plant, null, observed_plant, count(*), null from file_rows
+  where observed_plant is not null and observed_plant <> expected_plant group by kind, expected_plant, observed_plant
+union all select 'duplicate_rows', kind, null, null, null, duplicate_rows, null from ({_DUP_SQL}) b
+union all select 'missing_values', kind, null, null, "column", null_count, null from ({_NULL_SQL}) c
+union all select 'unmatched_key', kind, Plant, Material, null, null, null from ({_UNMATCHED_SQL}) d
+union all select 'not_in_master', null, Plant, Material, null, null, null from
+  (select Plant, Material from ({_SRC_KEYS}) s except select Plant, Material from target) e
+union all select 'no_activity', null, Plant, Material, null, null, null from ({_MASTER_NO_ACT_SQL}) f
+union all select 'source_total', null, null, null, metric, source_total, null from ({_VARIANCE_SQL}) g
+union all select 'dashboard_total', null, null, null, metric, dashboard_total, null from ({_VARIANCE_SQL}) h
+union all select 'variance', null, null, null, metric, variance, null from ({_VARIANCE_SQL}) i
+union all select 'gate', null, null, null, null, cast(bool_and(abs(variance) < 0.000001) as int),
+  case when bool_and(abs(variance) < 0.000001) then 'PASS' else 'FAIL' end from ({_VARIANCE_SQL}) j
+"""
+
+
+@query("reconciliation_report", "K3", with_views(_REPORT_SQL, *config.KINDS, "grid", "target", "required_files", "file_rows"))
+def q_reconciliation_report(spark, sf_dir):
+    return onepass.report(*_stored(spark, sf_dir, lists=True))
 
 
 def _fmt(c: str) -> str:
@@ -160,16 +185,9 @@ union all select 5, 4, '{reports.AUDIT_WB_REF}' || cast(count(*) filter (where s
 @query("audit_lines", "L6", with_views(_AUDIT_SQL, *config.KINDS, "grid", "target", "required_files",
                                         "file_rows", "cells"))
 def q_audit_lines(spark, sf_dir):
-    tagged, target, grid, per_file = _report_inputs(spark, sf_dir)
-    variances = quality.reconciliation_variance(tagged, grid)
-    kinds = spark.createDataFrame([(k,) for k in config.KINDS], "kind string")
-    counts = quality.unmatched_by_source(tagged, target).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-    unmatched_counts = kinds.join(counts, "kind", "left").select(
-        "kind", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
-    no_act = quality.master_no_activity(tagged, target).agg(F.count(F.lit(1)).alias("n"))
-    status = loading.load_status(td.required_files(spark), per_file=per_file)
     from stockgrid.operators.master_build import workbook_totals
     from stockgrid.sources.cells import cells_table
-    return reports.audit_lines(spark, variances, q_duplicate_rows(spark, sf_dir), status,
-                               unmatched_counts, no_act, REFRESHED, workbook_totals(cells_table(spark, sf_dir)))
-
+    s, duplicates = _stored(spark, sf_dir)
+    no_activity = s.metrics.selectExpr("no_activity AS n")
+    return reports.audit_lines(spark, onepass.variances(s), duplicates, onepass.status_with_values(s),
+                               onepass.unmatched_counts(s), no_activity, REFRESHED, workbook_totals(cells_table(spark, sf_dir)))

@@ -11,6 +11,8 @@ The per-kind frames are filters of the same join.
 """
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,19 +123,34 @@ def source_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_rows_from(lines(spark, sf_dir))
 
 
-def source_rows_from(lines_df: DataFrame) -> DataFrame:
-    """``source_rows`` over an already joined ``lines`` frame."""
+def source_rows_from(lines_df: DataFrame, more: Sequence[str] = ()) -> DataFrame:
+    """``source_rows`` over an already joined ``lines`` frame, with ``more`` of its columns."""
     src = lines_df.filter(F.col("l_returnflag").isin(*RETURNFLAG_KIND))
     kind = "CASE " + " ".join(f"WHEN l_returnflag = '{f}' THEN '{k}'" for f, k in RETURNFLAG_KIND.items()) + " END"
     cols = [f"{kind} AS kind", "Plant", "Material"]
     for k in config.KINDS:
         cols += [f"CASE WHEN l_returnflag = '{_KIND_FLAG[k]}' THEN {e} END AS {n}" for n, e in _KIND_SQL[k]]
-    return src.selectExpr(*cols)
+    return src.selectExpr(*cols, *more)
+
+
+def rows_with_files(lines_df: DataFrame) -> DataFrame:
+    """``source_rows`` with the plant a row's file is for and the plant value it carries there (null for rows of the file
+    that never arrives, as in ``file_rows``)."""
+    arrived = "NOT (l_returnflag NOT IN ('N', 'R') AND l_suppkey % 3 = 2)"
+    expected = "CASE WHEN l_suppkey % 3 = 0 THEN '2910' WHEN l_suppkey % 3 = 1 THEN '2920' ELSE '2930' END"
+    observed = "CASE WHEN l_returnflag = 'R' AND l_suppkey % 3 = 1 AND l_partkey % 40 = 0 THEN '2999' ELSE Plant END"
+    with_file = lines_df.selectExpr("*", f"CASE WHEN {arrived} THEN {expected} END AS expected_plant",
+                                    f"CASE WHEN {arrived} THEN {observed} END AS observed_plant")
+    return source_rows_from(with_file, ["expected_plant", "observed_plant"])
 
 
 def resent_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``source_rows`` as uploads carry them when every 40th document is sent twice: its rows have whole-row twins."""
-    return source_rows(spark, sf_dir).selectExpr(
+    return resent(source_rows(spark, sf_dir))
+
+
+def resent(rows: DataFrame) -> DataFrame:
+    return rows.selectExpr(
         "*", "explode(sequence(1, CASE WHEN coalesce(sales_order, batch, po_number) % 40 = 5 THEN 2 ELSE 1 END)) AS _copy"
     ).drop("_copy")
 

@@ -10,7 +10,7 @@ from conftest import SF_SMALL
 from stockgrid.plans import catalog
 
 # queries whose explicit broadcast is a fixed dimension (per-kind column list)
-FIXED_DIMENSION_BROADCASTS = {"null_counts", "null_counts_nonzero", "reconciliation_summary"}
+FIXED_DIMENSION_BROADCASTS = {"null_counts", "null_counts_nonzero"}
 
 
 @pytest.fixture(scope="module")
@@ -26,8 +26,6 @@ def at_scale(spark):
 
 @pytest.mark.parametrize("name", sorted(catalog.REGISTRY))
 def test_plan_shape(at_scale, name):
-    if name in ("reconciliation_summary", "audit_lines"):
-        pytest.skip("writes its inputs first; sections are covered by their own queries")
     df = catalog.REGISTRY[name].build(at_scale, SF_SMALL)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan
@@ -52,3 +50,23 @@ def test_flagship_shape(at_scale):
     assert sum("o_orderkey" in line for line in exchanges) == 1
     assert "partial_sum" in plan and "partial_min" in plan
     assert "SortMergeJoin [Plant" in plan   # grid joins the target on the already-partitioned key
+
+
+def exchanges(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_reports_read_stored_results(at_scale):
+    """What is left for the report queries once sources, keys and metrics are there, and the jobs that gave them."""
+    from stockgrid.operators import onepass
+    from stockgrid.plans.core import load_target
+    from stockgrid.plans.reports import REQUIRED
+    from stockgrid.sources import testdata as td
+    assert exchanges(catalog.REGISTRY["reconciliation_summary"].build(at_scale, SF_SMALL)) <= 6
+    assert exchanges(catalog.REGISTRY["audit_lines"].build(at_scale, SF_SMALL)) <= 14   # three of them over the workbook's cells
+    assert exchanges(catalog.REGISTRY["reconciliation_report"].build(at_scale, SF_SMALL)) <= 12
+    rows = td.rows_with_files(td.lines(at_scale, SF_SMALL))
+    assert exchanges(onepass.source_metrics(rows, td.KIND_COLUMNS, REQUIRED)) == 3      # the join, the total
+    keys = onepass.key_table(rows, load_target(at_scale, SF_SMALL))
+    assert exchanges(keys) == 4      # the join, one aggregation by key on each side; the full join adds none
+    assert exchanges(onepass.key_metrics(keys)) == 5
