@@ -25,7 +25,7 @@ from pyspark.sql.types import (
     DoubleType, LongType, StringType, StructField, StructType, TimestampNTZType,
 )
 
-from stockgrid.sources import files
+from stockgrid.sources import files, snapshots
 
 OVERRIDE_EVENT_SCHEMA = StructType([
     StructField("event_id", LongType()), StructField("ts", TimestampNTZType()),
@@ -56,7 +56,8 @@ def _batch_paths(spark: SparkSession, checkpoint: str, batch_id: int) -> list[st
 
 
 def ingest_drop_folder(spark: SparkSession, folder: str, kind: str, table_path: str,
-                       checkpoint: str, sep: str = ",", max_files_per_trigger: int = 64) -> int:
+                       checkpoint: str, sep: str = ",", max_files_per_trigger: int = 64,
+                       states_path: str | None = None) -> int:
     """Drain new files of one kind into ``table_path``; returns the
     number of micro-batches run.
 
@@ -65,9 +66,11 @@ def ingest_drop_folder(spark: SparkSession, folder: str, kind: str, table_path:
     the files that pass and have no malformed row (more or fewer fields than
     the header), and records every file, also one without rows, with its header
     result, row count and malformed rows in ``<table_path>_manifest``. Both writes overwrite only the
-    batch's own partition, so a replayed batch is idempotent.
+    batch's own partition, so a replayed batch is idempotent. With ``states_path`` the batch's key states are stored the
+    same way, from which ``operators.incremental`` merges the grid.
     """
     from stockgrid import config
+    from stockgrid.operators.incremental import write_states
     from stockgrid.operators.loading import header_validation
     schema = StructType([*files._string_schema(kind).fields, StructField("_corrupt", StringType(), True)])
     stream = (spark.readStream.schema(schema).option("header", True).option("sep", sep).option("escape", '"')
@@ -95,6 +98,8 @@ def ingest_drop_folder(spark: SparkSession, folder: str, kind: str, table_path:
             F.coalesce("row_count", none).alias("row_count"), F.coalesce("malformed_rows", none).alias("malformed_rows"))
         whole = per_file.filter("header_result = 'ok' and malformed_rows = 0").select("_source_file")
         good = batch.join(F.broadcast(whole), "_source_file", "left_semi").drop("_malformed")
+        if states_path is not None:
+            write_states(good, kind, batch_id, states_path)
         (good.withColumn("batch_id", F.lit(batch_id).cast("long"))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("batch_id", "Plant").parquet(table_path))
@@ -145,12 +150,24 @@ LOG_SCHEMA = StructType([
 ])
 
 
-def latest_from_log(spark: SparkSession, log_path: str) -> DataFrame:
-    """Current override table: newest logged row per key."""
-    log = spark.read.schema(LOG_SCHEMA).parquet(log_path)
+def _newest(log: DataFrame) -> DataFrame:
+    """The newest logged row of each key: a batch's row already is the latest edit by (ts, event_id) of all events up to it,
+    so late events change nothing that a later batch has not seen."""
     best = log.groupBy("Plant", "Material").agg(
-        F.max_by(F.struct("Manual_Override", "Planner_Note"), F.struct("_batch", "ts", "event_id")).alias("w"))
-    return best.select("Plant", "Material", "w.Manual_Override", "w.Planner_Note")
+        F.max(F.struct("_batch", "ts", "event_id", "Manual_Override", "Planner_Note")).alias("w"))
+    return best.select("Plant", "Material", "w.*")
+
+
+def latest_from_log(spark: SparkSession, log_path: str) -> DataFrame:
+    """Current override table: newest logged row per key, from the log's snapshot and the batches after it."""
+    log = snapshots.read(spark, log_path, LOG_SCHEMA, "_batch")
+    return _newest(log).select("Plant", "Material", "Manual_Override", "Planner_Note")
+
+
+def compact_overrides(spark: SparkSession, log_path: str) -> int:
+    """Reduce the log to its newest row per key as a new snapshot, so that reading costs keys, not batches; returns the
+    snapshot's version (0: nothing new). The stream may go on meanwhile and may replay batches that the snapshot holds."""
+    return snapshots.compact(spark, log_path, LOG_SCHEMA, "_batch", _newest)
 
 
 def kind_table_schema(spark: SparkSession, kind: str) -> StructType:
