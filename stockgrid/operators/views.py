@@ -189,3 +189,8 @@ def supplier_recommendation(slice_: DataFrame, overrides: DataFrame | None = Non
 def raw_by_plant(kind_rows: DataFrame, plant: str) -> DataFrame:
     """One kind's raw rows of one plant (null / other plants excluded)."""
     return kind_rows.filter(F.col("Plant") == plant)
+
+
+def raw_slices(tagged: DataFrame, plants: Sequence[str] = config.PLANTS) -> DataFrame:
+    """B14 for every kind and configured plant at once: the slices are told apart by ``kind`` and ``Plant``."""
+    return tagged.filter(F.col("Plant").isin(*plants))

@@ -1,7 +1,7 @@
 """Import every query module so the registry is complete."""
 from __future__ import annotations
 
-from stockgrid.plans import core, master, quality, reports, views  # noqa: F401
+from stockgrid.plans import core, incremental, master, quality, reports, views  # noqa: F401
 from stockgrid.plans.registry import REGISTRY  # noqa: F401
 
 

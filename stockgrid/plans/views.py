@@ -1,9 +1,13 @@
 """Dashboard, supplier-detail and override queries over the grid."""
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from stockgrid import config
 from stockgrid.operators import overrides as ov
+from stockgrid.operators import supplier as sp
 from stockgrid.operators import views as v
-from stockgrid.plans.core import GRID_COLS, load_grid
+from stockgrid.plans.core import GRID_COLS, load_grid, load_target
 from stockgrid.plans.oracle_base import with_views, xsum
 from stockgrid.plans.registry import query
 from stockgrid.sources import testdata as td
@@ -18,7 +22,6 @@ COMBINED = dict(plant="2910", description_pattern="ring", action_only=True,
                 months=("1995-03", "1995-04", "1995-05", "1996-01", "1997-12"))
 SUPPLIER = "Brand#12"
 SUPPLIER_PLANTS = ("2910", "2930")
-RAW_PLANT = "2920"
 
 G = "grid_ovr"
 
@@ -32,6 +35,10 @@ def dashboard_grid(spark, sf_dir):
     return ov.apply_overrides(load_grid(spark, sf_dir), latest(spark, sf_dir))
 
 
+def _of_suppliers(spark, sf_dir, suppliers, plants=None):
+    return sp.supplier_grid(td.source_rows(spark, sf_dir), load_target(spark, sf_dir), suppliers, plants, td.override_log(spark, sf_dir))
+
+
 def _gsql(body: str, *more: str) -> str:
     return with_views(body, G, *more)
 
@@ -63,7 +70,7 @@ def q_filter_plant(spark, sf_dir):
 
 @query("filter_supplier", "B4", _gsql(f"select {GRID_COLS} from grid_ovr where Supplier in ({_in(SUPPLIERS)})"))
 def q_filter_supplier(spark, sf_dir):
-    return v.filter_grid(dashboard_grid(spark, sf_dir), suppliers=SUPPLIERS)
+    return _of_suppliers(spark, sf_dir, SUPPLIERS)
 
 
 @query("search_material", "B5", _gsql(
@@ -180,7 +187,7 @@ _SLICE_SQL = f"(select * from grid_ovr where Supplier = '{SUPPLIER}' and Plant i
 
 @query("supplier_slice", "B11", _gsql(f"select {GRID_COLS} from {_SLICE_SQL}"))
 def q_supplier_slice(spark, sf_dir):
-    return v.supplier_slice(dashboard_grid(spark, sf_dir), SUPPLIER, SUPPLIER_PLANTS)
+    return _of_suppliers(spark, sf_dir, [SUPPLIER], SUPPLIER_PLANTS)
 
 
 def _supplier_view_query(view: str):
@@ -188,7 +195,7 @@ def _supplier_view_query(view: str):
 
     @query(f"supplier_{view}", "B12", _gsql(f"select {cols} from {_SLICE_SQL}"))
     def q(spark, sf_dir):
-        return v.supplier_view(v.supplier_slice(dashboard_grid(spark, sf_dir), SUPPLIER, SUPPLIER_PLANTS), view)
+        return v.supplier_view(_of_suppliers(spark, sf_dir, [SUPPLIER], SUPPLIER_PLANTS), view)
     return q
 
 
@@ -202,11 +209,47 @@ select s.Plant, s.Material, s.Suggested_Order_Qty, s.Risk_Status,
 from {_SLICE_SQL} left join latest_overrides o on s.Plant = o.Plant and s.Material = o.Material
 """, "latest_overrides"))
 def q_supplier_recommendation(spark, sf_dir):
-    slice_ = v.supplier_slice(dashboard_grid(spark, sf_dir), SUPPLIER, SUPPLIER_PLANTS)
-    return v.supplier_recommendation(slice_)
+    return v.supplier_recommendation(_of_suppliers(spark, sf_dir, [SUPPLIER], SUPPLIER_PLANTS))
 
 
-@query("raw_by_plant", "B14", with_views(f"select * from on_hand where Plant = '{RAW_PLANT}'", "on_hand"))
-def q_raw_by_plant(spark, sf_dir):
-    return v.raw_by_plant(td.on_hand(spark, sf_dir), RAW_PLANT)
+_PAGE_COLUMNS = {**v.SUPPLIER_VIEWS, "recommendation": ["Plant", "Material", "Suggested_Order_Qty", "Risk_Status", "Manual_Override", "Planner_Note"]}
+_TEXT_COLUMNS = ("TOL_Material", "Description", "Risk_Status", "Planner_Note")
+_DATE_COLUMNS = ("Earliest_Expiry_Date", "Next_PO_Delivery_Date")
+
+
+def _page_cell(view: str, c: str) -> str:
+    text = c if c in _TEXT_COLUMNS else f"strftime({c}, '%Y-%m-%d')" if c in _DATE_COLUMNS else "cast(null as varchar)"
+    number = "cast(null as double)" if c in _TEXT_COLUMNS + _DATE_COLUMNS else c
+    return f"select '{view}' as view, Plant, Material, '{c}' as item, {number} as number, {text} as text from {_SLICE_SQL}"
+
 
+@query("supplier_pages", "B12", _gsql(" union all ".join(
+    _page_cell(view, c) for view, cs in _PAGE_COLUMNS.items() for c in cs if c not in ("Plant", "Material"))))
+def q_supplier_pages(spark, sf_dir):
+    """All seven tabs from one stored slice, a row for each cell."""
+    out = None
+    for view, page in sp.supplier_pages(_of_suppliers(spark, sf_dir, [SUPPLIER], SUPPLIER_PLANTS)).items():
+        types = dict(page.dtypes)
+        cells = [F.struct(F.lit(c).alias("item"), (F.col(c) if types[c] == "double" else F.lit(None).cast("double")).alias("number"),
+                          (F.lit(None) if types[c] == "double" else F.col(c) if types[c] == "string"
+                           else F.date_format(c, "yyyy-MM-dd")).cast("string").alias("text"))
+                 for c in page.columns if c not in ("Plant", "Material")]
+        one = page.select(F.lit(view).alias("view"), "Plant", "Material", F.explode(F.array(*cells)).alias("c")).select(
+            "view", "Plant", "Material", "c.item", "c.number", "c.text")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_RAW_COLUMNS = list(dict.fromkeys(c for k in config.KINDS for c in td.KIND_COLUMNS[k]))
+
+
+def _raw_select(kind: str) -> str:
+    own = set(td.KIND_COLUMNS[kind])
+    columns = ", ".join(c if c in own else f"null as {c}" for c in _RAW_COLUMNS)
+    return f"select '{kind}' as kind, {columns} from {kind} where Plant in ({_in(config.PLANTS)})"
+
+
+@query("raw_by_plant", "B14", with_views(" union all ".join(_raw_select(k) for k in config.KINDS), *config.KINDS))
+def q_raw_by_plant(spark, sf_dir):
+    """All nine slices of the raw rows, kind by plant, with each kind's own columns."""
+    return v.raw_slices(td.source_rows(spark, sf_dir)).select("kind", *_RAW_COLUMNS)

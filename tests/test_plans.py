@@ -70,3 +70,23 @@ def test_reports_read_stored_results(at_scale):
     keys = onepass.key_table(rows, load_target(at_scale, SF_SMALL))
     assert exchanges(keys) == 4      # the join, one aggregation by key on each side; the full join adds none
     assert exchanges(onepass.key_metrics(keys)) == 5
+
+
+def test_supplier_keys_reduce_the_sources(at_scale):
+    """The semi join with the supplier's keys stands below the partial aggregation of the sources and of the override log."""
+    for name in ("filter_supplier", "supplier_slice", "supplier_orders"):
+        plan = catalog.REGISTRY[name].build(at_scale, SF_SMALL)._jdf.queryExecution().executedPlan().toString().split("\n")
+        partial = next(i for i, line in enumerate(plan) if "partial_sum" in line)
+        depth = plan[partial].index("HashAggregate")
+        below = [line for line in plan[partial + 1:] if "LeftSemi" in line and line.index("SortMergeJoin") > depth]
+        assert below, name
+
+
+def test_supplier_pages_share_one_slice(spark):
+    from stockgrid.operators.supplier import supplier_pages
+    from stockgrid.plans.views import SUPPLIER, SUPPLIER_PLANTS, _of_suppliers
+    pages = supplier_pages(_of_suppliers(spark, SF_SMALL, [SUPPLIER], SUPPLIER_PLANTS))
+    assert len(pages) == 7
+    for page in pages.values():
+        plan = page._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and plan.count("FileScan") == 1
