@@ -58,7 +58,7 @@ def write_states(rows: DataFrame, kind: str, batch_id: int, path: str, **how) ->
     """Store the states of one batch; the same batch again replaces them. Rows are sorted by bucket, so that readers of few
     buckets skip most row groups."""
     out = key_states(rows, kind, **how).withColumn("batch_id", F.lit(batch_id).cast("long"))
-    snapshots.write_batch(out.sortWithinPartitions("bucket", *KEY), path, ["kind", "batch_id"])
+    snapshots.write_batch(out.sortWithinPartitions("kind", "batch_id", "bucket", *KEY), path, ["kind", "batch_id"])
 
 
 def withdraw(spark: SparkSession, path: str, kind: str, file: str, through_batch: int) -> None:

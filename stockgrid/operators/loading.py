@@ -6,6 +6,8 @@ a file's header width or by the number of distinct plant values.
 """
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,17 +16,38 @@ STATUS_MISSING = "Missing"
 STATUS_VALID = "Valid"
 STATUS_ERROR = "Error"
 
+# FIXED VALUES: header check messages
+MESSAGE_MISMATCH = "Schema mismatch -- "
+MESSAGE_REORDERED = "Columns present but reordered relative to the expected schema."
+MESSAGE_OK = "Schema OK."
+
+# error texts of a load, beside the header messages; the plant text is a fixed value
+ERROR_UNREADABLE = "The file has no header line."
+ERROR_PLANT_HEAD = "Plant column contains unexpected value(s) ["
+ERROR_PLANT_TAIL = "] for a file mapped to plant "
+ERROR_MALFORMED = " row(s) have more or fewer fields than the header."
+
 
 def _joined(arr) -> F.Column:
     return F.array_join(F.array_sort(arr), ",")
 
 
+def header_message(bad: F.Column) -> F.Column:
+    def part(label: str, c: str) -> F.Column:
+        return F.when(F.size(c) > 0, F.concat(F.lit(f"{label} columns: ['"), F.array_join(c, "', '"), F.lit("']")))
+
+    parts = F.concat_ws("; ", part("missing", "_missing"), part("unexpected", "_surplus"), part("duplicated", "_dup"))
+    return F.when(bad, F.concat(F.lit(MESSAGE_MISMATCH), parts)).when(~F.col("_same"), MESSAGE_REORDERED).otherwise(MESSAGE_OK)
+
+
 def header_validation(headers: DataFrame, expected: list[str] | tuple[str, ...],
                       file_col: str = "file_id") -> DataFrame:
     """A4: per file, missing / extra / duplicated names, reordered flag.
 
     Missing, extra or duplicated is reported before (and instead of) a
-    reorder, which is only flagged when the name sets agree.
+    reorder, which is only flagged when the name sets agree. ``message`` says
+    what differs, naming columns in header order; ``received`` and ``expected``
+    list both headers for a side-by-side view.
     """
     exp = F.array(*[F.lit(n) for n in expected])
     per_file = headers.groupBy(file_col).agg(
@@ -32,11 +55,12 @@ def header_validation(headers: DataFrame, expected: list[str] | tuple[str, ...],
     received = F.transform(F.col("_cols"), lambda x: x["name"])
     missing = F.array_except(exp, received)
     extra = F.array_except(received, exp)
+    surplus = F.filter(received, lambda x: ~F.array_contains(exp, x))  # repeats kept
     dup = F.array_distinct(F.filter(received, lambda x: F.size(F.filter(received, lambda y: y == x)) > 1))
     out = per_file.select(
         file_col,
-        missing.alias("_missing"), extra.alias("_extra"), dup.alias("_dup"),
-        (received == exp).alias("_same"))
+        missing.alias("_missing"), extra.alias("_extra"), F.array_sort(dup).alias("_dup"), surplus.alias("_surplus"),
+        received.alias("received"), (received == exp).alias("_same"))
     bad = (F.size("_missing") > 0) | (F.size("_extra") > 0) | (F.size("_dup") > 0)
     return out.select(
         file_col,
@@ -46,14 +70,15 @@ def header_validation(headers: DataFrame, expected: list[str] | tuple[str, ...],
         (~bad & ~F.col("_same")).alias("reordered"),
         (~bad & F.col("_same")).alias("ok"),
         F.when(bad, F.lit("mismatch")).when(~F.col("_same"), F.lit("reordered")).otherwise(F.lit("ok"))
-         .alias("result"))
+         .alias("result"),
+        header_message(bad).alias("message"), "received", exp.alias("expected"))
 
 
-def violation_rows(file_rows: DataFrame) -> DataFrame:
+def violation_rows(file_rows: DataFrame, by: Sequence[str] = ("kind", "expected_plant")) -> DataFrame:
     """A8 as rows: each wrong plant value of a file with the rows that carry it. Values are free text, so they stay rows
     that are combined before the shuffle, not a set in one row."""
     wrong = file_rows.filter(F.col("observed_plant").isNotNull() & (F.col("observed_plant") != F.col("expected_plant")))
-    return wrong.groupBy("kind", "expected_plant", "observed_plant").agg(F.count(F.lit(1)).alias("n_rows"))
+    return wrong.groupBy(*by, "observed_plant").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 def plant_violations(file_rows: DataFrame) -> DataFrame:

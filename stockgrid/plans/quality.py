@@ -136,7 +136,57 @@ left join (select file_id, string_agg(name, ',' order by name) as v from
 
 @query("header_validation", "A4", with_views(_HEADER_SQL, "headers"))
 def q_header_validation(spark, sf_dir):
-    return loading.header_validation(td.headers(spark, sf_dir), config.ON_HAND_HEADERS)
+    return loading.header_validation(td.headers(spark, sf_dir), config.ON_HAND_HEADERS).drop("message", "received", "expected")
+
+
+_CONTRACT_VALUES = ", ".join(f"('{k}', {i + 1}, '{n}')" for k in config.KINDS for i, n in enumerate(config.HEADERS_BY_KIND[k]))
+_KIND_HEADERS_SQL = f"""
+select c.kind, p_partkey as file_id, case when p_partkey % 5 = 3 and c.i <= 2 then 3 - c.i else c.i end as ordinal,
+  case when p_partkey % 5 = 2 and c.i = 1 then c.n || ' No.' else c.n end as name
+from part cross join (values {_CONTRACT_VALUES}) c(kind, i, n)
+where not (p_partkey % 5 = 1 and c.i = case c.kind when 'on_hand' then 11 when 'open_orders' then 28 else 31 end)
+union all select k.kind, p_partkey, 32, 'Material' from part
+  cross join (values ('customer_orders'), ('on_hand'), ('open_orders')) k(kind) where p_partkey % 5 = 4
+"""
+_QUOTED = "'[''' || array_to_string({c}, ''', ''') || ''']'"
+_CONTRACTS_SQL = f"""
+select * from (
+with contract as (
+  select k as kind, i, n as name from (values {_CONTRACT_VALUES}) c(k, i, n)
+), expected as (
+  select kind, list(name order by i) as names from contract group by kind
+), received as (
+  select kind, file_id, list(name order by ordinal, name) as names from kind_headers group by kind, file_id
+), parts as (
+  select r.kind, r.file_id, r.names as received, e.names as expected,
+    list_filter(e.names, lambda x: not list_contains(r.names, x)) as miss,
+    list_filter(r.names, lambda x: not list_contains(e.names, x)) as extra,
+    (select coalesce(list(d.n order by d.n), []) from (select u.n from (select unnest(r.names) as n) u group by u.n having count(*) > 1) d) as dup
+  from received r join expected e on e.kind = r.kind
+)
+select kind, file_id, case when len(miss) + len(extra) + len(dup) > 0 then 'mismatch'
+    when received <> expected then 'reordered' else 'ok' end as result,
+  case when len(miss) + len(extra) + len(dup) > 0 then 'Schema mismatch -- ' || concat_ws('; ',
+      case when len(miss) > 0 then 'missing columns: ' || {_QUOTED.format(c='miss')} end,
+      case when len(extra) > 0 then 'unexpected columns: ' || {_QUOTED.format(c='extra')} end,
+      case when len(dup) > 0 then 'duplicated columns: ' || {_QUOTED.format(c='dup')} end)
+    when received <> expected then 'Columns present but reordered relative to the expected schema.'
+    else 'Schema OK.' end as message,
+  array_to_string(received, '|') as received, array_to_string(expected, '|') as expected
+from parts) c
+"""
+
+
+@query("header_contracts", "A4", with_views(_CONTRACTS_SQL, "kind_headers", extra={"kind_headers": _KIND_HEADERS_SQL}))
+def q_header_contracts(spark, sf_dir):
+    """Every file's header against the contract of its kind, with the message and both headers."""
+    headers, out = td.kind_headers(spark, sf_dir), None
+    for kind in config.KINDS:
+        one = loading.header_validation(headers.where(F.col("kind") == kind), config.HEADERS_BY_KIND[kind]).select(
+            F.lit(kind).alias("kind"), "file_id", "result", "message", F.array_join("received", "|").alias("received"),
+            F.array_join("expected", "|").alias("expected"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 _PLANT_SQL = """
@@ -153,6 +203,13 @@ def q_plant_violations(spark, sf_dir):
     return loading.plant_violations(td.file_rows(spark, sf_dir))
 
 
+@query("plant_violation_rows", "A8", with_views(
+    "select kind, expected_plant, observed_plant, count(*) as n_rows from file_rows where observed_plant is not null "
+    "and observed_plant <> expected_plant group by kind, expected_plant, observed_plant", "file_rows"))
+def q_plant_violation_rows(spark, sf_dir):
+    return loading.violation_rows(td.file_rows(spark, sf_dir))
+
+
 _LOAD_SQL = f"""
 select r.kind, r.plant,
   case when p.row_count is null then 'Missing' when p.violations <> '' then 'Error' else 'Valid' end as status,

@@ -1,15 +1,13 @@
 """Loading ERP export files (CSV) as Spark jobs.
 
-* Headers: the first line of every file, found with file-source metadata
-  (``_metadata.file_block_start == 0`` and the smallest row id of the
-  split), parsed with ``from_csv`` -> (file, ordinal, name) rows that feed
-  ``header_validation``. Duplicate header names survive, which Spark's own
-  header handling would rename.
+* Headers: the first line of every file (``sources.blocks``), split into
+  (file, ordinal, name) rows that feed ``header_validation``. Duplicate
+  header names survive, which Spark's own header handling would rename.
 * Data: every column read as text with the kind's header contract applied
   by position (the header line of each file is skipped), then identifiers,
   dates and quantities are coerced with column expressions.
-* Manifest: a content hash per file (``binaryFile`` + ``sha2``) joined with
-  its row count, expected (kind, plant) and load status.
+* Manifest: a content hash per file (a tree over its blocks) joined with
+  its row count, expected (kind, plant), load status and error text.
 """
 from __future__ import annotations
 
@@ -23,6 +21,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from stockgrid import config
 from stockgrid.functions import coerce_numeric, coerce_timestamp, normalize_identifier
 from stockgrid.operators import loading
+from stockgrid.sources import blocks
 
 BLANK_HEADER = "(blank)"
 
@@ -48,12 +47,8 @@ def _split_csv_line(line, sep: str):
 
 
 def header_rows(spark: SparkSession, paths: Sequence[str] | str, sep: str = ",") -> DataFrame:
-    """(file_name, ordinal, name) of every file's header line."""
-    text = spark.read.text(paths).select(
-        "value", F.col("_metadata.file_name").alias("file_name"),
-        F.col("_metadata.file_block_start").alias("_block"))
-    first = (text.filter(F.col("_block") == 0).withColumn("_id", F.monotonically_increasing_id())
-             .groupBy("file_name").agg(F.min_by("value", "_id").alias("line")))
+    """(file_name, ordinal, name) of every file's header line; only the first bytes of a file are read."""
+    first = blocks.first_lines(spark, paths).select("file_name", "line")
     # a blank first line means no header (the file is reported unreadable);
     # an empty field inside a header is an unnamed column, kept as "(blank)"
     first = (first.withColumn("line", F.regexp_replace("line", "^\ufeff", ""))  # byte-order mark
@@ -127,36 +122,54 @@ def file_rows_of(kind_frame: DataFrame, spark: SparkSession) -> DataFrame:
 
 def manifest(spark: SparkSession, paths, frames: dict[str, DataFrame], headers: DataFrame) -> DataFrame:
     """A3 + A9: per required upload: content hash, bytes, rows, header
-    result, plant violations, malformed rows and status (Missing / Error / Valid). A file
-    with content but no header line is 'unreadable' (Error); Spark's file
-    sources skip zero-byte files, so an empty upload reports as Missing."""
-    blobs = spark.read.format("binaryFile").load(paths).select(
-        F.element_at(F.split("path", "/"), -1).alias("_f"), F.col("length").alias("bytes"),
-        F.sha2("content", 256).alias("sha256"))
-    blobs = blobs.withColumn("file_name", _csv_name(F.col("_f")))
+    result, plant violations, malformed rows, status (Missing / Error / Valid) and the error's text. A file
+    with content but no header line is 'unreadable' (Error); Spark lists no
+    empty files, so an empty upload is Missing."""
+    found = blocks.content_hashes(spark, paths).select(
+        _csv_name(F.col("file_name")).alias("file_name"), F.col("length").alias("bytes"), "content_hash")
     rows = None
     for kind, df in frames.items():
         fr = file_rows_of(df, spark)
         rows = fr if rows is None else rows.unionByName(fr)
-    wrong = F.col("observed_plant").isNotNull() & (F.col("observed_plant") != F.col("expected_plant"))
-    per_file = rows.groupBy("file_name").agg(
-        F.count(F.lit(1)).alias("row_count"),
-        F.array_join(F.array_sort(F.collect_set(F.when(wrong, F.col("observed_plant")))), ",").alias("violations"),
-        F.count_if("malformed").alias("malformed_rows"))
-    hdr = headers.select(_csv_name(F.col("file_name")).alias("file_name"), "result")
-    out = (routing(spark).join(blobs.drop("_f"), "file_name", "left")
-           .join(hdr, "file_name", "left").join(per_file, "file_name", "left"))
-    status = (F.when(F.col("sha256").isNull(), F.lit(loading.STATUS_MISSING))
-              .when(F.coalesce(F.col("result"), F.lit("unreadable")) != "ok", F.lit(loading.STATUS_ERROR))
-              .when(F.coalesce(F.col("violations"), F.lit("")) != "", F.lit(loading.STATUS_ERROR))
-              .when(F.col("malformed_rows") > 0, F.lit(loading.STATUS_ERROR))
+    hdr = headers.select(_csv_name(F.col("file_name")).alias("file_name"), "result", "message")
+    out = routing(spark).join(found, "file_name", "left").join(hdr, "file_name", "left")
+    if rows is not None:
+        # one row a plant value first: values are free text, and a file may hold many rows of each
+        values = rows.groupBy("file_name", "expected_plant", "observed_plant").agg(
+            F.count(F.lit(1)).alias("n"), F.count_if("malformed").alias("m"))
+        other = F.col("observed_plant").isNotNull() & (F.col("observed_plant") != F.col("expected_plant"))
+        out = out.join(values.groupBy("file_name").agg(
+            F.sum("n").alias("row_count"), F.sum("m").alias("malformed_rows"),
+            F.array_sort(F.collect_list(F.when(other, F.col("observed_plant")))).alias("_wrong")), "file_name", "left")
+    else:
+        out = out.selectExpr("*", "CAST(NULL AS BIGINT) AS row_count", "CAST(NULL AS BIGINT) AS malformed_rows",
+                             "CAST(NULL AS ARRAY<STRING>) AS _wrong")
+    absent = F.col("content_hash").isNull()
+    header = F.coalesce(F.col("result"), F.lit("unreadable"))
+    error = (F.when(absent, F.lit(None).cast("string"))
+             .when(header == "unreadable", F.lit(loading.ERROR_UNREADABLE))
+             .when(header != "ok", F.col("message"))
+             .when(F.size("_wrong") > 0, F.concat(F.lit(loading.ERROR_PLANT_HEAD + "'"), F.array_join("_wrong", "', '"),
+                                                  F.lit("'" + loading.ERROR_PLANT_TAIL), F.col("plant"), F.lit(".")))
+             .when(F.col("malformed_rows") > 0, F.concat(F.col("malformed_rows").cast("string"), F.lit(loading.ERROR_MALFORMED))))
+    status = (F.when(absent, F.lit(loading.STATUS_MISSING)).when(F.col("error").isNotNull(), F.lit(loading.STATUS_ERROR))
               .otherwise(F.lit(loading.STATUS_VALID)))
-    return out.select("file_name", "kind", "plant", "sha256", "bytes",
-                      F.coalesce("row_count", F.lit(0).cast("long")).alias("row_count"),
-                      F.when(F.col("sha256").isNull(), F.lit("")).otherwise(
-                          F.coalesce("result", F.lit("unreadable"))).alias("header_result"),
-                      F.coalesce("violations", F.lit("")).alias("violations"),
-                      F.coalesce("malformed_rows", F.lit(0).cast("long")).alias("malformed_rows"), status.alias("status"))
+    return out.withColumn("error", error).select(
+        "file_name", "kind", "plant", "content_hash", "bytes", F.coalesce("row_count", F.lit(0).cast("long")).alias("row_count"),
+        F.when(absent, F.lit("")).otherwise(header).alias("header_result"),
+        F.coalesce(F.array_join("_wrong", ","), F.lit("")).alias("violations"),
+        F.coalesce("malformed_rows", F.lit(0).cast("long")).alias("malformed_rows"), status.alias("status"), "error")
+
+
+def plant_violations(spark: SparkSession, frames: dict[str, DataFrame]) -> DataFrame:
+    """A8 over loaded files: (file_name, kind, expected_plant, observed_plant, n_rows)."""
+    rows = None
+    for df in frames.values():
+        fr = file_rows_of(df, spark)
+        rows = fr if rows is None else rows.unionByName(fr)
+    if rows is None:
+        return spark.createDataFrame([], "file_name string, kind string, expected_plant string, observed_plant string, n_rows long")
+    return loading.violation_rows(rows, ["file_name", "kind", "expected_plant"])
 
 
 def load_folder(spark: SparkSession, folder: str, sep: str = ",") -> dict[str, DataFrame]:
@@ -182,21 +195,28 @@ def _stem_xlsx(name: str) -> str:
 
 
 def inspect_exports(spark: SparkSession, folder: str, sep: str = ",") -> DataFrame:
-    """Per upload file: header result with missing / extra names, data
-    row count and the sorted distinct plant values it carries."""
-    loaded = load_folder(spark, folder, sep)
-    plants = None
-    for kind in config.KINDS:
-        if kind in loaded:
-            p = loaded[kind].select(F.col("_source_file").alias("file_name"), "Plant")
-            plants = p if plants is None else plants.unionByName(p)
-    hdr = loaded["headers"].select("file_name", "result", "missing_columns", "extra_columns")
-    if plants is None:
-        return hdr.withColumn("row_count", F.lit(0).cast("long")).withColumn("plants", F.lit(""))
-    per_file = plants.groupBy("file_name").agg(
-        F.count(F.lit(1)).alias("row_count"),
-        F.array_join(F.array_sort(F.collect_set("Plant")), ",").alias("plants"))
-    return hdr.join(per_file, "file_name", "left").select(
-        "file_name", "result", "missing_columns", "extra_columns",
-        F.coalesce("row_count", F.lit(0).cast("long")).alias("row_count"),
-        F.coalesce("plants", F.lit("")).alias("plants"))
+    """Every file present: its kind and header result (``unrouted`` and null where the name belongs to no upload), the
+    header's message, data rows and the sorted distinct plant values. Rows are counted by record whatever the header says;
+    plants are read from the column named ``Plant``, wherever it stands, and null without one."""
+    paths = f"{folder.rstrip('/')}/*"
+    files = blocks.listed(spark, paths).select("file_name").withColumn("_route", _csv_name(F.col("file_name")))
+    checked = validate_headers(spark, paths, sep).select("file_name", "result", "message", "missing_columns", "extra_columns")
+    at = header_rows(spark, paths, sep).where("name = 'Plant'").groupBy("file_name").agg(F.min("ordinal").alias("_at"))
+    # all files as lines of one text column: records without line ends inside fields, as read_kind has them
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_name").alias("file_name"))
+    first = blocks.first_lines(spark, paths).select("file_name", F.col("line").alias("_first"))
+    fields = _split_csv_line(F.col("value"), sep)
+    plant = normalize_identifier(F.get(fields, F.col("_at") - 1))
+    rows = lines.where(F.trim("value") != "").join(at, "file_name", "left").select("file_name", plant.alias("plant"))
+    values = rows.groupBy("file_name", "plant").agg(F.count(F.lit(1)).alias("n"))
+    per_file = values.join(first, "file_name", "left").groupBy("file_name").agg(
+        (F.sum("n") - F.max(F.when(F.trim("_first") != "", 1).otherwise(0))).alias("row_count"),
+        F.array_sort(F.collect_set("plant")).alias("_plants")).join(at, "file_name", "left")
+    # the header line itself carries the name of the column
+    plants = F.when(F.col("_at").isNotNull(), F.array_join(F.array_remove("_plants", "Plant"), ","))
+    route = routing(spark).select(F.col("file_name").alias("_route"), "kind")
+    return (files.join(route, "_route", "left").join(checked, "file_name", "left").join(
+        per_file.select("file_name", "row_count", plants.alias("plants")), "file_name", "left").select(
+        "file_name", "kind", F.when(F.col("kind").isNull(), F.lit("unrouted")).otherwise(
+            F.coalesce("result", F.lit("unreadable"))).alias("result"), "message", "missing_columns", "extra_columns",
+        F.coalesce("row_count", F.lit(0).cast("long")).alias("row_count"), F.coalesce("plants", F.lit("")).alias("plants")))

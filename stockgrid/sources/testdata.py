@@ -269,3 +269,21 @@ def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     dup = part.filter(pk % 5 == 4).select(pk.alias("file_id"), F.lit(12).alias("ordinal"),
                                           F.lit("Material").alias("name"))
     return main.unionByName(dup)
+
+
+def kind_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Simulated header rows of every kind, one file per part and kind: last column missing, first one renamed, first two
+    swapped, a second ``Material``, or as the contract has it."""
+    part = read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file_id"))
+    out = None
+    for kind in config.KINDS:
+        names = config.HEADERS_BY_KIND[kind]
+        cells = F.array(*[F.struct(F.lit(i + 1).alias("ord"), F.lit(n).alias("name")) for i, n in enumerate(names)])
+        e = part.select("file_id", F.explode(cells).alias("e")).select("file_id", "e.ord", "e.name")
+        one = e.where(f"NOT (file_id % 5 = 1 AND ord = {len(names)})").selectExpr(
+            f"'{kind}' AS kind", "file_id", "IF(file_id % 5 = 3 AND ord <= 2, 3 - ord, ord) AS ordinal",
+            "IF(file_id % 5 = 2 AND ord = 1, concat(name, ' No.'), name) AS name")
+        twice = part.where("file_id % 5 = 4").selectExpr(f"'{kind}' AS kind", "file_id", f"{len(names) + 1} AS ordinal", "'Material' AS name")
+        one = one.unionByName(twice)
+        out = one if out is None else out.unionByName(one)
+    return out

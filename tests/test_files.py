@@ -60,7 +60,7 @@ def test_load_folder_headers_types_manifest(spark, tmp_dir):
     assert man["2930Customerorders.xlsx"].status == "Error"
     assert man["OR2920.xlsx"].status == "Error" and man["OR2920.xlsx"].violations == "2999"
     assert man["OH20.xlsx"].status == "Valid" and man["OH20.xlsx"].row_count == 3
-    assert len(man["OH20.xlsx"].sha256) == 64
+    assert len(man["OH20.xlsx"].content_hash) == 64 and man["OH20.xlsx"].error is None
     co = out["customer_orders"]
     r = co.filter(F.col("_source_file") == "2910Customerorders.csv").orderBy("_row_id").collect()
     assert [x.Material for x in r] == ["10000", "10001", "10002"]
@@ -110,8 +110,34 @@ def test_inspect_exports(spark, tmp_dir):
     write_uploads(tmp_dir)
     out = {r.file_name: r for r in files.inspect_exports(spark, tmp_dir).collect()}
     assert out["OR2920.csv"].plants == "2920,2999" and out["OR2920.csv"].row_count == 3
-    assert out["2930Customerorders.csv"].result == "reordered" and out["2930Customerorders.csv"].row_count == 0
+    # a bad header changes nothing about the rows and plants that a file holds
+    bad = out["2930Customerorders.csv"]
+    assert bad.result == "reordered" and bad.row_count == 3 and bad.plants == "2930"
     assert "OR2930.csv" not in out
+    with open(os.path.join(tmp_dir, "notes.csv"), "w") as fh:
+        fh.write("Region,Plant,Note\nx,7000.0,\"a, b\"\n\ny,2910,c\n")
+    with open(os.path.join(tmp_dir, "OR2930.csv"), "w") as fh:
+        fh.write("Material,Amount\n1,2\n")
+    open(os.path.join(tmp_dir, "empty.csv"), "w").close()
+    out = {r.file_name: r for r in files.inspect_exports(spark, tmp_dir).collect()}
+    assert (out["notes.csv"].result, out["notes.csv"].row_count, out["notes.csv"].plants) == ("unrouted", 2, "2910,7000")
+    assert out["OR2930.csv"].result == "mismatch" and out["OR2930.csv"].row_count == 1 and out["OR2930.csv"].plants == ""
+    assert "missing columns: ['PO Number'" in out["OR2930.csv"].message and "unexpected columns: ['Amount']" in out["OR2930.csv"].message
+    assert "empty.csv" not in out    # Spark lists no empty files
+
+
+def test_manifest_says_what_is_wrong(spark, tmp_dir):
+    write_uploads(tmp_dir)
+    with open(os.path.join(tmp_dir, "OH2930.csv"), "a") as fh:
+        fh.write("1,2\n")
+    out = files.load_folder(spark, tmp_dir)
+    man = {r.file_name: r for r in out["manifest"].collect()}
+    assert man["OR2930.xlsx"].error is None and man["OR2930.xlsx"].status == "Missing"
+    assert man["2930Customerorders.xlsx"].error == "Columns present but reordered relative to the expected schema."
+    assert man["OR2920.xlsx"].error == "Plant column contains unexpected value(s) ['2999'] for a file mapped to plant 2920."
+    assert man["OH2930.xlsx"].error == "1 row(s) have more or fewer fields than the header." and man["OH2930.xlsx"].malformed_rows == 1
+    kinds = {k: out[k] for k in config.KINDS if k in out}
+    assert [tuple(r) for r in files.plant_violations(spark, kinds).collect()] == [("OR2920.xlsx", "open_orders", "2920", "2999", 1)]
 
 
 def test_missing_upload_is_reported(spark, tmp_dir):
