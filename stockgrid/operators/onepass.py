@@ -173,7 +173,9 @@ def status_with_values(s: Stored) -> DataFrame:
     """``file_status`` with the wrong plant values of a file in one text, as its audit line shows them."""
     values = violations(s).groupBy("kind", F.col("expected_plant").alias("plant")).agg(
         F.array_join(F.array_sort(F.collect_list("observed_plant")), ",").alias("violations"))
-    return file_status(s).join(values, ["kind", "plant"], "left").withColumn(
+    error = F.concat(F.lit(loading.ERROR_PLANT_HEAD + "'"), F.array_join(F.split("violations", ","), "', '"),
+                     F.lit("'" + loading.ERROR_PLANT_TAIL), F.col("plant"), F.lit("."))
+    return file_status(s).join(values, ["kind", "plant"], "left").withColumn("error", error).withColumn(
         "violations", F.coalesce("violations", F.lit("")))
 
 
@@ -220,7 +222,11 @@ def summary(s: Stored, duplicates: DataFrame) -> DataFrame:
     return out
 
 
-REPORT_COLUMNS = "section string, source string, plant string, material string, item string, value double, note string"
+def unmatched_report(s: Stored) -> DataFrame:
+    """Unmatched keys of each kind and master keys without activity, with the reason."""
+    from stockgrid.operators.reports import REASON_MASTER, REASON_SOURCE
+    sources = unmatched(s).select(F.col("kind").alias("Source"), *KEY, F.lit(REASON_SOURCE).alias("Reason"))
+    return sources.unionByName(no_activity(s).select(F.lit("product_master").alias("Source"), *KEY, F.lit(REASON_MASTER).alias("Reason")))
 
 
 def report(s: Stored, duplicates: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from stockgrid import config
 from stockgrid.functions.exact import states, total_sql, with_parts
-from stockgrid.operators import loading, quality
+from stockgrid.operators import quality
 from stockgrid.operators.views import KPI_SUMS
 from stockgrid.session import scratch_path
 
@@ -61,8 +61,6 @@ AUDIT_REFRESHED = "Refreshed: "
 AUDIT_RECONCILIATION = "Reconciliation: "
 AUDIT_PASS = "PASS"
 AUDIT_FAIL = "FAIL"
-AUDIT_PLANT_ERROR_HEAD = " -- Plant column contains unexpected value(s) ["
-AUDIT_PLANT_ERROR_TAIL = "] for a file mapped to plant "
 AUDIT_UNMATCHED_LINE = " material(s) in source not in product master"
 AUDIT_NO_ACTIVITY_HEAD = "  product_master: "
 AUDIT_NO_ACTIVITY_LINE = " material(s) with no current SAP activity"
@@ -134,43 +132,6 @@ def unmatched_report(tagged: DataFrame, target: DataFrame) -> DataFrame:
     return src.unionByName(master)
 
 
-def _section(df: DataFrame, section: str, item: Column, value: Column) -> DataFrame:
-    return df.select(F.lit(section).alias("section"), item.alias("item"), value.cast("double").alias("value"))
-
-
-def reconciliation_summary(spark: SparkSession, tagged: DataFrame, grid: DataFrame, target: DataFrame,
-                           required: DataFrame, per_file: DataFrame,
-                           duplicates: DataFrame, null_columns: dict[str, list[str]]) -> DataFrame:
-    """K3: the whole report bundle as (section, item, value) rows.
-    ``per_file`` is the ``plant_violations`` result of the file rows, ``duplicates`` the D11 counts."""
-    status = loading.load_status(required, per_file=per_file)
-    item_file = F.concat_ws(":", "kind", "plant")
-    variances = quality.reconciliation_variance(tagged, grid)
-    nulls = quality.null_counts(spark, tagged, null_columns).groupBy("kind").agg(
-        F.sum("null_count").alias("n"))
-    unmatched = quality.unmatched_by_source(tagged, target).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-    parts = [
-        _section(status, "row_count", item_file, F.col("row_count")),
-        _section(status, "valid", item_file, (F.col("status") == loading.STATUS_VALID).cast("int")),
-        _section(per_file, "plant_violation_rows",
-                 F.concat_ws(":", "kind", "expected_plant"), F.col("violating_rows")),
-        _section(duplicates, "duplicate_rows", F.col("kind"),
-                 F.col("duplicate_rows")),
-        _section(nulls, "null_values", F.col("kind"), F.col("n")),
-        _section(unmatched, "unmatched_keys", F.col("kind"), F.col("n")),
-        _section(quality.sources_not_in_master(tagged, target).agg(F.count(F.lit(1)).alias("n")),
-                 "keys_not_in_master", F.lit("all"), F.col("n")),
-        _section(quality.master_no_activity(tagged, target).agg(F.count(F.lit(1)).alias("n")),
-                 "master_keys_no_activity", F.lit("all"), F.col("n")),
-        _section(variances, "variance", F.col("metric"), F.col("variance")),
-        _section(quality.reconciliation_gate(variances), "gate", F.lit("passed"), F.col("passed").cast("int")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def _file_name(kind: Column, plant: Column) -> Column:
     """Configured upload file name of a (kind, plant)."""
     expr = None
@@ -189,6 +150,7 @@ def audit_lines(spark: SparkSession, variances: DataFrame, duplicates: DataFrame
                 unmatched_counts: DataFrame, no_activity_count: DataFrame, refreshed: str,
                 workbook_totals: DataFrame | None = None) -> DataFrame:
     """The audit report as ordered (section_no, line_no, line) rows.
+    ``status`` has kind, plant, status and error text of every file.
     ``workbook_totals`` (one row: sheets, formulas, ref_errors) adds the
     workbook-audit section."""
     gate = quality.reconciliation_gate(variances)
@@ -212,10 +174,7 @@ def audit_lines(spark: SparkSession, variances: DataFrame, duplicates: DataFrame
     dup_lines = _lines(duplicates, 2, kind_no + 1, F.concat(
         F.lit("  "), F.col("kind"), F.lit(": "), F.col("duplicate_rows").cast("string")))
     plant_no = F.when(F.col("plant") == "2910", 1).when(F.col("plant") == "2920", 2).otherwise(3)
-    error = F.when(F.col("violations") != "", F.concat(
-        F.lit(AUDIT_PLANT_ERROR_HEAD + "'"),
-        F.array_join(F.split(F.col("violations"), ","), "', '"),
-        F.lit("'" + AUDIT_PLANT_ERROR_TAIL), F.col("plant"), F.lit("."))).otherwise(F.lit(""))
+    error = F.coalesce(F.concat(F.lit(" -- "), F.col("error")), F.lit(""))
     file_lines = _lines(status, 3, kind_no * 3 + plant_no - 2, F.concat(
         F.lit("  "), _file_name(F.col("kind"), F.col("plant")), F.lit(": "), F.col("status"), error))
     unm_lines = _lines(unmatched_counts, 4, kind_no + 1, F.concat(

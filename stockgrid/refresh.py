@@ -4,26 +4,26 @@
 
 Steps (all Spark jobs): load and validate the upload folder, stop unless
 every required upload is valid (``--allow-invalid`` keeps going with the
-valid files), write the tagged sources once, build the target lookup from
-the product-master CSV, build the grid, apply the latest planner overrides,
-reconcile the pre-override grid against the sources and write the gated
-export. Only the validity flag, the gate flag and file names reach the
-driver.
+valid files), write the tagged sources and the key table once, take their
+metrics (``operators.onepass``), apply the latest planner overrides,
+reconcile the pre-override grid against the sources, build the whole
+reconciliation report and write the gated export. Only the validity flag,
+the metrics row and file names reach the driver.
 """
 from __future__ import annotations
 
 import argparse
+import datetime as dt
 import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockgrid import config
-from stockgrid.operators import loading, quality
+from stockgrid.operators import loading, onepass, quality
 from stockgrid.operators.aggregate import tag_sources
-from stockgrid.operators.grid import ordering_grid
 from stockgrid.operators.overrides import apply_overrides
-from stockgrid.operators.reports import materialize
+from stockgrid.operators.reports import audit_lines, materialize
 from stockgrid.operators.target import target_lookup
 from stockgrid.sinks.export import export_bundle
 from stockgrid.sources import files
@@ -41,48 +41,47 @@ def read_master_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MASTER_SCHEMA).option("header", True).option("escape", '"').csv(path)
 
 
+def with_files(spark: SparkSession, tagged: DataFrame) -> DataFrame:
+    """Tagged rows with the plant their file is for and the plant they carry (null for files of no upload)."""
+    route = files.routing(spark).select(F.col("file_name").alias("_route"), F.col("plant").alias("expected_plant"))
+    out = tagged.withColumn("_route", files._csv_name(F.col("_source_file"))).join(F.broadcast(route), "_route", "left")
+    return out.drop("_route").withColumn("observed_plant", F.when(F.col("expected_plant").isNotNull(), F.col("Plant")))
+
+
 def refresh(spark: SparkSession, uploads: str, master: str, out_dir: str | None = None,
             overrides: str | None = None, allow_invalid: bool = False,
             suppliers=config.SUPPLIERS) -> dict:
     loaded = files.load_folder(spark, uploads)
-    manifest = loaded["manifest"]
+    manifest = materialize(spark, loaded["manifest"], "refresh-manifest")    # a row an upload; read for several sections
     all_valid = manifest.agg(F.bool_and(F.col("status") == loading.STATUS_VALID).alias("ok")).first()["ok"]
     if not all_valid and not allow_invalid:
         raise UploadsInvalid("not every required upload is valid; see the manifest")
     kinds = {k: loaded[k] for k in config.KINDS if k in loaded}
-    tagged = tag_sources(kinds.get("customer_orders"), kinds.get("on_hand"), kinds.get("open_orders"))
-    tagged = materialize(spark, tagged, "refresh-sources")  # parsed once; read back with column pruning
+    tagged = with_files(spark, tag_sources(kinds.get("customer_orders"), kinds.get("on_hand"), kinds.get("open_orders")))
+    rows = materialize(spark, tagged, "refresh-sources")  # parsed once; read back with column pruning
     target = target_lookup(read_master_csv(spark, master))
-    grid = ordering_grid(tagged, target)
-    dashboard = grid
+    columns = {k: [config.physical_name(h) for h in config.HEADERS_BY_KIND[k]] for k in kinds}
+
+    def metrics() -> onepass.Stored:
+        keys = materialize(spark, onepass.key_table(rows, target), "refresh-keys")
+        return onepass.store(rows, keys, columns, [(k, p) for k, p in config.UPLOAD_FILE_MAP.values()])
+
+    stored, duplicates = onepass.together(metrics, lambda: quality.duplicate_rows(rows, columns))
+    dashboard = onepass.grid(stored)
     if overrides:
         from stockgrid.streaming.ingest import latest_from_log
-        dashboard = apply_overrides(grid, latest_from_log(spark, overrides))
-    variances = quality.reconciliation_variance(tagged, grid)
-    result = {"manifest": manifest, "grid": dashboard, "variances": variances, "all_valid": bool(all_valid)}
+        dashboard = apply_overrides(dashboard, latest_from_log(spark, overrides))
+    stamp = dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S UTC")
+    result = {"manifest": manifest, "grid": dashboard, "variances": onepass.variances(stored), "all_valid": bool(all_valid),
+              "stored": stored, "duplicates": duplicates, "report": onepass.report(stored, duplicates),
+              "plant_violations": onepass.violations(stored)}
     if out_dir:
-        result["written"] = export_bundle(spark, out_dir, tagged, grid, dashboard, target, kinds,
-                                          audit=audit_report(spark, tagged, grid, target, manifest, kinds),
-                                          suppliers=suppliers)
+        audit = audit_lines(spark, onepass.variances(stored), duplicates, manifest, onepass.unmatched_counts(stored),
+                            stored.metrics.selectExpr("no_activity AS n"), stamp)
+        result["written"] = export_bundle(out_dir, stored, dashboard, duplicates, manifest, audit, stamp, suppliers)
     return result
 
 
-def audit_report(spark: SparkSession, tagged: DataFrame, grid: DataFrame, target: DataFrame,
-                 manifest: DataFrame, kind_frames: dict[str, DataFrame], refreshed: str | None = None) -> DataFrame:
-    """L6 for a refresh: the audit lines from the upload manifest, the
-    sources, the grid and the master."""
-    import datetime as dt
-
-    from stockgrid.operators.reports import audit_lines
-    kinds = spark.createDataFrame([(k,) for k in config.KINDS], "kind string")
-    counts = quality.unmatched_by_source(tagged, target).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-    unmatched = kinds.join(counts, "kind", "left").select("kind", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
-    no_activity = quality.master_no_activity(tagged, target).agg(F.count(F.lit(1)).alias("n"))
-    stamp = refreshed or dt.datetime.now(dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S UTC")
-    return audit_lines(spark, quality.reconciliation_variance(tagged, grid), quality.full_row_duplicates(spark, kind_frames),
-                       manifest.select("kind", "plant", "status", "violations"), unmatched, no_activity, stamp)
-
-
 def main(argv=None) -> int:
     from stockgrid.session import build_session
     p = argparse.ArgumentParser(description=__doc__.split("\n\n")[0])

@@ -98,7 +98,7 @@ def typed_columns(kind: str) -> list:
 
 def read_kind(spark: SparkSession, paths, kind: str, sep: str = ",", multi_line: bool = False) -> DataFrame:
     """A1 + A5-A7: one kind's files as typed rows, source order and
-    duplicates kept, with lineage columns ``_source_file`` / ``_row_id`` and ``_malformed`` (the row has more or fewer
+    duplicates kept, with lineage columns ``_source_file`` / ``_block`` / ``_row_id`` (in this order, the source's) and ``_malformed`` (the row has more or fewer
     fields than its header: the fields that fit are kept). Quotes inside quoted fields are doubled, as
     standard CSV has them; ``multi_line`` allows line ends inside fields, but then a file is read by one task."""
     schema = StructType([*_string_schema(kind).fields, StructField("_corrupt", StringType(), True)])
@@ -107,8 +107,9 @@ def read_kind(spark: SparkSession, paths, kind: str, sep: str = ",", multi_line:
            .option("header", True).option("sep", sep)
            .option("escape", '"').option("multiLine", multi_line).option("mode", "PERMISSIVE").csv(paths)
            .withColumn("_source_file", F.col("_metadata.file_name"))
+           .withColumn("_block", F.col("_metadata.file_block_start"))
            .withColumn("_row_id", F.monotonically_increasing_id()))
-    return raw.select(*typed_columns(kind), "_source_file", "_row_id", F.col("_corrupt").isNotNull().alias("_malformed"))
+    return raw.select(*typed_columns(kind), "_source_file", "_block", "_row_id", F.col("_corrupt").isNotNull().alias("_malformed"))
 
 
 def file_rows_of(kind_frame: DataFrame, spark: SparkSession) -> DataFrame:

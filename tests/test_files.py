@@ -5,11 +5,10 @@ import csv
 import glob
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from stockgrid import config
-from stockgrid.operators import grid as g
-from stockgrid.operators.aggregate import tag_sources
 from stockgrid.sinks.export import ExportBlocked, export_bundle, write_csv
 from stockgrid.sources import files
 
@@ -68,34 +67,98 @@ def test_load_folder_headers_types_manifest(spark, tmp_dir):
     assert r[0].requested_date.year == 2026
 
 
-def test_grid_from_files_and_gated_export(spark, tmp_dir):
-    src = os.path.join(tmp_dir, "in")
-    os.makedirs(src)
-    write_uploads(src)
-    out = files.load_folder(spark, src)
-    tagged = tag_sources(out.get("customer_orders"), out.get("on_hand"), out.get("open_orders"))
-    target = spark.createDataFrame(
-        [("2910", "10000", "Alimentias", "0", "P", 40.0)],
-        "Plant string, Material string, Supplier string, TOL_Material string, Description string, "
-        "Target_Stock double")
-    grid = g.ordering_grid(tagged, target)
-    assert grid.filter((F.col("Plant") == "2910") & (F.col("Material") == "10000")).first().Risk_Status in (
-        "Covered", "At Risk", "Critical")
-    dest = os.path.join(tmp_dir, "export")
-    kinds = {k: out[k] for k in config.KINDS if k in out}
-    written = export_bundle(spark, dest, tagged, grid, grid, target, kinds)
-    assert {"executive_summary", "ordering_dashboard", "suppliers", "reconciliation",
-            "unmatched_materials", "supplier_sections"} <= set(written)
-    assert glob.glob(os.path.join(dest, "suppliers", "Supplier=Alimentias", "*.csv"))
-    assert glob.glob(os.path.join(dest, "raw_on_hand", "Plant=2920", "*.csv"))
-    back = spark.read.option("header", True).csv(os.path.join(dest, "ordering_dashboard"))
-    assert back.count() == grid.count() and "SAP Material" in back.columns
-    corrupt = grid.withColumn("Open_PO_Qty", F.col("Open_PO_Qty") + 1)
+MASTER = ("Supplier,Plant,Material,TOL_Material,Description,Latest_Forecast_Qty,Forecast_Source_Column\n"
+          "Alimentias,2910,10000,0,P,40,Forecast AS400\nCows,2910,10000,0,P,n/a,\n,2920,10001,1,Q,5,\n")
+
+
+def refreshed(spark, folder, **how):
+    from stockgrid.refresh import refresh
+    up, master = os.path.join(folder, "up"), os.path.join(folder, "master.csv")
+    os.makedirs(up)
+    write_uploads(up)
+    # a file of several splits, with doubled quotes, repeated rows and rows of other plants
+    headers = config.HEADERS_BY_KIND["on_hand"]
+    with open(os.path.join(up, "OH2910.csv"), "w", newline="") as fh:
+        w = csv.DictWriter(fh, fieldnames=headers)
+        w.writeheader()
+        for i in range(3000):
+            w.writerow(_row("on_hand", "2910", i % 700) | {"Batch": f"B{i // 2}", "Storage Location": f'say "{i // 2}", twice'})
+    with open(master, "w") as fh:
+        fh.write(MASTER)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40k")
     try:
-        export_bundle(spark, os.path.join(tmp_dir, "blocked"), tagged, corrupt, corrupt, target, kinds)
-        raise AssertionError("export should be blocked")
-    except ExportBlocked:
-        pass
+        return refresh(spark, up, master, os.path.join(folder, "out"), allow_invalid=True, **how)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def read_section(path):
+    """All records of a section in the order of its part files, and its header."""
+    rows, header = [], None
+    for part in sorted(glob.glob(os.path.join(path, "*.csv"))):
+        with open(part, newline="") as fh:
+            records = list(csv.reader(fh))
+        if records:
+            header = records[0]
+            rows += records[1:]
+    return header, rows
+
+
+def test_export_reads_back_row_by_row(spark, tmp_dir):
+    res = refreshed(spark, tmp_dir)
+    written = res["written"]
+    header, rows = read_section(written["On Hand 2910"])
+    assert header == list(config.HEADERS_BY_KIND["on_hand"])
+    with open(os.path.join(tmp_dir, "up", "OH2910.csv"), newline="") as fh:
+        source = list(csv.reader(fh))[1:]
+    at = {h: i for i, h in enumerate(header)}
+    for h in ("Batch", "Storage Location", "Plant"):
+        assert [r[at[h]] for r in rows] == [r[at[h]] for r in source]
+    assert [r[at["Material"]] for r in rows] == [r[at["Material"]].strip()[:-2] for r in source]    # an identifier
+    # every section is there, also without rows: other files' plants, suppliers without a key
+    for label in ("Customer Orders", "On Hand", "Open Orders"):
+        for plant in config.PLANTS:
+            assert read_section(written[f"{label} {plant}"])[0] is not None
+    assert read_section(written["Open Orders 2930"]) == (list(config.HEADERS_BY_KIND["open_orders"]), [])
+    assert all(read_section(written[s])[0][0] == "Supplier" for s in config.SUPPLIERS)
+    assert [r[1:3] for r in read_section(written["Alimentias"])[1]] == [["2910", "10000"]]
+    header, rows = read_section(written["ordering_dashboard"])
+    assert len(rows) == res["grid"].count() and [r[1:3] for r in rows] == sorted(r[1:3] for r in rows)
+    checks = {r[0]: r for r in read_section(written["file_validation"])[1]}
+    assert checks["OR2930.xlsx"][3] == "Missing" and checks["2930Customerorders.xlsx"][5].startswith("Columns present but")
+    assert dict(read_section(written["duplicate_rows"])[1])["on_hand"] == "0"
+    report = read_section(written["reconciliation_report"])[1]
+    assert {r[0] for r in report} >= {"file", "missing_values", "unmatched_key", "not_in_master", "variance", "gate", "plant_violation"}
+    nulls = {(r[1], r[4]): float(r[5]) for r in report if r[0] == "missing_values"}
+    assert nulls["on_hand", "batch"] == 6 and len(nulls) == sum(len(h) for h in config.HEADERS_BY_KIND.values())
+    assert read_section(written["stamp"])[1][0][1].startswith("PASS")
+
+
+def test_export_is_all_or_nothing(spark, tmp_dir):
+    from stockgrid.operators import onepass
+    from stockgrid.sinks.export import current_export
+    out = os.path.join(tmp_dir, "out")
+    assert current_export(spark, out) == {}
+    res = refreshed(spark, tmp_dir)
+    first = current_export(spark, out)
+    assert first == res["written"] and all("run=1" in p for p in first.values())
+    # a section that fails part-way leaves the export before it
+    broken = res["grid"].withColumn("Description", F.raise_error(F.lit("no description")).cast("string"))
+    with pytest.raises(Exception, match="no description"):
+        export_bundle(out, res["stored"], broken, res["duplicates"], res["manifest"])
+    bad_files = res["manifest"].withColumn("error", F.raise_error(F.lit("no file")).cast("string"))
+    with pytest.raises(Exception, match="no file"):
+        export_bundle(out, res["stored"], res["grid"], res["duplicates"], bad_files)
+    assert os.path.exists(os.path.join(out, "run=2")) and current_export(spark, out) == first
+    again = export_bundle(out, res["stored"], res["grid"], res["duplicates"], res["manifest"])
+    assert current_export(spark, out) == again and all("run=2" in p for p in again.values())
+    # the gate
+    s = res["stored"]
+    keys = s.keys.withColumn("Open_PO_Qty", F.col("Open_PO_Qty") + 1)
+    blocked = onepass.store(s.rows, keys, s.columns_by_kind, s.required)
+    with pytest.raises(ExportBlocked):
+        export_bundle(os.path.join(tmp_dir, "blocked"), blocked, res["grid"], res["duplicates"])
     assert not os.path.exists(os.path.join(tmp_dir, "blocked"))
 
 
