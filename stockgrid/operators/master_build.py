@@ -22,7 +22,7 @@ from stockgrid.functions.ranking import top_k_within
 
 SHEET_COLUMNS = ["sheet", "plant_col", "sap_col", "tol_col", "desc_col",
                  "reconstructed_material_from_tol", "forecast_col_count"]
-SHEET_SLICES = 64  # a sheet's rows are dealt to this many join partitions
+SLICE_ROWS = 20_000  # rows of a sheet that one task groups
 MASTER_OUT = ["Supplier", "Plant", "Material", "TOL_Material", "Description",
               "Latest_Forecast_Qty", "Forecast_Source_Column"]
 
@@ -41,13 +41,14 @@ def clean_id(c: Column) -> Column:
     return F.when(out == "", F.lit(None).cast("string")).otherwise(out)
 
 
-def with_sheet(cells: DataFrame, dim: DataFrame, on: list[str]) -> DataFrame:
-    """Join cells to ``dim``, which holds a few rows per sheet. The rows of a sheet are dealt to slices by row number and
-    ``dim`` is repeated for each, so that a sheet with most of the cells is still split over many tasks. The slice stays
-    as ``_slice``: grouping by (sheet, _slice, row_no) then needs no further shuffle."""
-    sliced = cells.withColumn("_slice", F.pmod(F.col("row_no"), F.lit(SHEET_SLICES)))
-    copies = dim.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(SHEET_SLICES - 1))))
-    return sliced.join(copies, [*on, "_slice"])
+def with_sheet(cells: DataFrame, dim: DataFrame) -> DataFrame:
+    """Join cells to ``dim``, a row per sheet with its ``max_row``. A sheet's rows are cut into slices of ``SLICE_ROWS`` rows and
+    ``dim`` is repeated for as many slices as the sheet was measured to have, so a sheet with most of the cells is split over
+    many tasks and a small one is not. The slice stays as ``_slice``: grouping by (sheet, _slice, row_no) then needs no
+    further shuffle."""
+    sliced = cells.withColumn("_slice", (F.col("row_no") / SLICE_ROWS).cast("int"))
+    copies = dim.withColumn("_slice", F.explode(F.sequence(F.lit(0), (F.col("max_row") / SLICE_ROWS).cast("int"))))
+    return sliced.join(copies, ["sheet", "_slice"])
 
 
 def header_cells(cells: DataFrame, header_row: int = config.MASTER_HEADER_ROW) -> DataFrame:
@@ -77,34 +78,53 @@ def sheet_columns(cells: DataFrame, header_row: int = config.MASTER_HEADER_ROW)
     return out.select(*SHEET_COLUMNS)
 
 
-def _row_fields(cells: DataFrame, cols: DataFrame, header_row: int) -> DataFrame:
-    """Pivot each data row's plant / SAP / TOL / description cells."""
-    data = with_sheet(cells.filter(F.col("row_no") > header_row), cols, ["sheet"])
-    pick = lambda c: F.max(F.when(F.col("col_no") == F.col(c), F.col("value")))
+def sheet_roles(cells: DataFrame, header_row: int = config.MASTER_HEADER_ROW) -> DataFrame:
+    """``sheet_columns`` with the sheet's last row and its forecast columns as an array of (col_no, header), which is as long as
+    its header is wide."""
+    forecasts = forecast_columns(cells, header_row).groupBy("sheet").agg(
+        F.array_sort(F.collect_list(F.struct("col_no", "header"))).alias("forecasts"))
+    extent = cells.groupBy("sheet").agg(F.max("row_no").alias("max_row"))
+    return sheet_columns(cells, header_row).join(extent, "sheet").join(forecasts, "sheet", "left")
+
+
+def row_profile(cells: DataFrame, header_row: int = config.MASTER_HEADER_ROW, only_used: bool = False) -> DataFrame:
+    """What every data row says, from one shuffle of the cells: raw plant, SAP, TOL and description cells and the right-most
+    forecast cell that holds a number, with its header. All outputs of the master build read it. ``only_used`` leaves out cells
+    in no used column before the grouping, and with them rows that have nothing else."""
+    data = with_sheet(cells.filter(F.col("row_no") > header_row).select("sheet", "row_no", "col_no", "value"),
+                      sheet_roles(cells, header_row))
+    data = data.withColumn("_f", F.expr("get(filter(forecasts, f -> f.col_no = col_no), 0).header"))
+    if only_used:
+        data = data.filter("col_no IN (plant_col, sap_col, tol_col, desc_col) OR _f IS NOT NULL")
+    number = F.when(F.col("_f").isNotNull() & ~strip_ws("value").isin(*config.ERROR_STRINGS), coerce_numeric("value"))
+    data = data.withColumn("_num", number)
+    picked = [F.expr(f"max(CASE WHEN col_no = {c}_col THEN value END)").alias(f"{c}_raw") for c in ("plant", "sap", "tol", "desc")]
     return data.groupBy("sheet", "_slice", "row_no").agg(
-        pick("plant_col").alias("plant_raw"), pick("sap_col").alias("sap_raw"),
-        pick("tol_col").alias("tol_raw"), pick("desc_col").alias("desc_raw"),
-        F.first("reconstructed_material_from_tol").alias("reconstruct"))
+        *picked, F.first("reconstructed_material_from_tol").alias("reconstruct"),
+        F.expr("max(CASE WHEN _num IS NOT NULL THEN struct(col_no, _num AS num, _f AS header) END)").alias("forecast"))
+
+
+def _classified(rows: DataFrame) -> DataFrame:
+    """M4/M6 over ``row_profile``: cleaned fields and the class of each row."""
+    tol = clean_id(F.col("tol_raw"))
+    fields = rows.select("sheet", "row_no", "forecast", "plant_raw", "tol_raw", "desc_raw", "sap_raw", "reconstruct", tol.alias("TOL_Material"))
+    material = F.when(F.col("reconstruct"), F.concat(F.lit("100"), F.col("TOL_Material"))).otherwise(clean_id(F.col("sap_raw")))
+    fields = fields.withColumn("Material", material)
+    desc = strip_ws("desc_raw")
+    return fields.select(
+        "sheet", "row_no", F.expr("CASE WHEN plant_raw IS NULL AND tol_raw IS NULL AND desc_raw IS NULL THEN 'blank' "
+                                  "WHEN plant_raw IS NULL THEN 'no_plant' WHEN Material IS NULL THEN 'missing_material' "
+                                  "ELSE 'extracted' END").alias("row_class"),
+        clean_id(F.col("plant_raw")).alias("Plant"), "Material", "TOL_Material", F.coalesce(desc, F.lit("")).alias("Description"),
+        F.col("forecast.num").alias("Latest_Forecast_Qty"),
+        F.coalesce(F.col("forecast.header"), F.lit("")).alias("Forecast_Source_Column"))
 
 
 def classify_rows(cells: DataFrame, header_row: int = config.MASTER_HEADER_ROW) -> DataFrame:
     """M4/M6: per data row (that has any cell): cleaned fields and class
     blank / no_plant / missing_material / extracted."""
-    cols = sheet_columns(cells, header_row)
-    rows = _row_fields(cells, cols, header_row)
-    tol = clean_id(F.col("tol_raw"))
-    material = F.when(F.col("reconstruct"), F.when(tol.isNotNull(), F.concat(F.lit("100"), tol))) \
-        .otherwise(clean_id(F.col("sap_raw")))
-    all_blank = F.col("plant_raw").isNull() & F.col("tol_raw").isNull() & F.col("desc_raw").isNull()
-    cls = (F.when(all_blank, F.lit("blank"))
-           .when(F.col("plant_raw").isNull(), F.lit("no_plant"))
-           .when(material.isNull(), F.lit("missing_material"))
-           .otherwise(F.lit("extracted")))
-    return rows.select(
-        "sheet", "row_no", cls.alias("row_class"),
-        clean_id(F.col("plant_raw")).alias("Plant"), material.alias("Material"),
-        tol.alias("TOL_Material"),
-        F.coalesce(F.when(strip_ws("desc_raw") != "", strip_ws("desc_raw")), F.lit("")).alias("Description"))
+    return _classified(row_profile(cells, header_row)).select(
+        "sheet", "row_no", "row_class", "Plant", "Material", "TOL_Material", "Description")
 
 
 def forecast_columns(cells: DataFrame, header_row: int = config.MASTER_HEADER_ROW) -> DataFrame:
@@ -116,36 +136,26 @@ def forecast_columns(cells: DataFrame, header_row: int = config.MASTER_HEADER_RO
 def rightmost_forecast(cells: DataFrame, header_row: int = config.MASTER_HEADER_ROW) -> DataFrame:
     """M5: per data row, the right-most forecast cell holding a number
     (blank, error strings and other text skipped) and its header."""
-    fc = forecast_columns(cells, header_row)
-    vals = (with_sheet(cells.filter(F.col("row_no") > header_row), fc, ["sheet", "col_no"])
-            .withColumn("num", F.when(~strip_ws("value").isin(*config.ERROR_STRINGS), coerce_numeric("value")))
-            .filter(F.col("num").isNotNull()))
-    best = vals.groupBy("sheet", "_slice", "row_no").agg(F.max_by(F.struct("num", "header"), F.col("col_no")).alias("b"))
-    return best.select("sheet", "row_no", F.col("b.num").alias("Latest_Forecast_Qty"),
-                       F.col("b.header").alias("Forecast_Source_Column"))
+    rows = row_profile(cells, header_row, only_used=True).filter("forecast IS NOT NULL")
+    return rows.select("sheet", "row_no", F.col("forecast.num").alias("Latest_Forecast_Qty"),
+                       F.col("forecast.header").alias("Forecast_Source_Column"))
 
 
 def build_master(cells: DataFrame, header_row: int = config.MASTER_HEADER_ROW) -> DataFrame:
     """M7: product-master rows (Supplier = sheet)."""
-    rows = classify_rows(cells, header_row).filter(F.col("row_class") == "extracted")
-    fc = rightmost_forecast(cells, header_row)
-    j = rows.join(fc, ["sheet", "row_no"], "left")
-    return j.select(F.col("sheet").alias("Supplier"), "Plant", "Material", "TOL_Material", "Description",
-                    "Latest_Forecast_Qty",
-                    F.coalesce("Forecast_Source_Column", F.lit("")).alias("Forecast_Source_Column"))
+    rows = _classified(row_profile(cells, header_row, only_used=True)).filter("row_class = 'extracted'")
+    return rows.select(F.col("sheet").alias("Supplier"), *MASTER_OUT[1:])
 
 
 def extraction_audit(cells: DataFrame, header_row: int = config.MASTER_HEADER_ROW) -> DataFrame:
     """M8: per sheet, located columns and row counts. Rows between the
     header and the last used row that carry no plant are 'skipped blank',
     whether or not they have any cell."""
-    cols = sheet_columns(cells, header_row)
-    classes = classify_rows(cells, header_row).groupBy("sheet").agg(
+    cols = sheet_roles(cells, header_row).drop("forecasts")
+    classes = _classified(row_profile(cells, header_row, only_used=True)).groupBy("sheet").agg(
         F.count_if(F.col("row_class") == "extracted").alias("rows_extracted"),
         F.count_if(F.col("row_class") == "missing_material").alias("rows_skipped_missing_material"))
-    extent = cells.groupBy("sheet").agg(F.max("row_no").alias("max_row"))
-    out = cols.join(extent, "sheet").join(classes, "sheet", "left").fillna(
-        0, ["rows_extracted", "rows_skipped_missing_material"])
+    out = cols.join(classes, "sheet", "left").fillna(0, ["rows_extracted", "rows_skipped_missing_material"])
     blank = (F.greatest(F.col("max_row") - header_row, F.lit(0)) - F.col("rows_extracted")
              - F.col("rows_skipped_missing_material"))
     return out.select(*SHEET_COLUMNS, F.lit(header_row).alias("header_row"), "rows_extracted",

@@ -33,7 +33,7 @@ def test_wide_sheet_and_long_formula(spark):
     assert mb.tagged_samples(cells).filter("row_no = 4").count() == 300
 
 
-def test_hot_sheet_is_split(spark):
+def test_hot_sheet_is_split(spark, monkeypatch):
     """One sheet with nine tenths of the cells: no exchange of cells on the sheet alone, results as with plain joins."""
     rows = [(s, 3, c, v, None) for s in ("hot", "cold") for c, v in
             ((1, config.LABEL_PLANT), (2, config.LABEL_SAP), (3, config.LABEL_TOL), (4, "Product"), (5, "Forecast"))]
@@ -42,6 +42,7 @@ def test_hot_sheet_is_split(spark):
             rows += [(s, r, 1, "2910", None), (s, r, 2, f"{r}.0", None), (s, r, 3, str(r), None),
                      (s, r, 4, " x ", None), (s, r, 5, str(r), None)]
     cells = spark.createDataFrame(rows, CELL)
+    monkeypatch.setattr(mb, "SLICE_ROWS", 100)
     master = mb.build_master(cells)
     assert master.groupBy("Supplier").count().orderBy("Supplier").collect() == [("cold", 100), ("hot", 900)]
     assert master.filter("Latest_Forecast_Qty = double(Material) and Plant = '2910' and Description = 'x'").count() == 1000
@@ -49,7 +50,11 @@ def test_hot_sheet_is_split(spark):
     try:
         spark.conf.set("spark.sql.adaptive.enabled", "false")
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-        stored = mb.with_sheet(cells, mb.sheet_columns(cells), ["sheet"])
+        stored = mb.with_sheet(cells, mb.sheet_roles(cells))
+        # the master comes from one shuffle of the cells: the grouping by row keeps the slices
+        plan = mb.build_master(cells.select("*"))._jdf.queryExecution().executedPlan().toString()
+        by_slice = [x for x in plan.split("\n") if "Exchange hashpartitioning(sheet" in x and "_slice" in x]
+        assert len(by_slice) == 2 and "row_no" not in "".join(x.split("hashpartitioning")[1] for x in by_slice)
         sizes = [n for n in stored.rdd.glom().map(len).collect() if n]
         assert max(sizes) < 0.5 * sum(sizes)
     finally:
