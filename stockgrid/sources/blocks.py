@@ -24,6 +24,11 @@ CHUNK = 1 << 16
 SCHEMES = ("file", "hdfs", "s3", "s3a", "gs", "gcs", "abfs", "abfss")
 
 
+def plain(c) -> F.Column:
+    """A file name or path of ``_metadata``, which percent-encodes it, as ``listed`` has it."""
+    return F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+
+
 def listed(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
     """(path, file_name, length) of files, found by Spark; no content is read. The name is percent-decoded, the path too."""
     files = spark.read.format("binaryFile").load(paths).select("path", F.col("length").cast("long").alias("length"))
@@ -80,7 +85,7 @@ def first_lines(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
     if far.isEmpty():
         return near
     text = spark.read.text(paths).select(
-        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"))
+        "value", plain(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_block_start").alias("_block"))
     scanned = text.where("_block = 0").withColumn("_id", F.monotonically_increasing_id()).groupBy("path").agg(
         F.min_by("value", "_id").alias("line"))
     return near.unionByName(far.join(scanned, "path", "left").select("file_name", "line", F.lit(None).cast("long").alias("bytes_read")))

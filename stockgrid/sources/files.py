@@ -204,7 +204,7 @@ def inspect_exports(spark: SparkSession, folder: str, sep: str = ",") -> DataFra
     checked = validate_headers(spark, paths, sep).select("file_name", "result", "message", "missing_columns", "extra_columns")
     at = header_rows(spark, paths, sep).where("name = 'Plant'").groupBy("file_name").agg(F.min("ordinal").alias("_at"))
     # all files as lines of one text column: records without line ends inside fields, as read_kind has them
-    lines = spark.read.text(paths).select("value", F.col("_metadata.file_name").alias("file_name"))
+    lines = spark.read.text(paths).select("value", blocks.plain(F.col("_metadata.file_name")).alias("file_name"))
     first = blocks.first_lines(spark, paths).select("file_name", F.col("line").alias("_first"))
     fields = _split_csv_line(F.col("value"), sep)
     plant = normalize_identifier(F.get(fields, F.col("_at") - 1))

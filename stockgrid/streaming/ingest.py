@@ -87,13 +87,14 @@ def ingest_drop_folder(spark: SparkSession, folder: str, kind: str, table_path:
         paths = _batch_paths(spark, checkpoint, batch_id)  # percent-encoded, as names in _metadata are
         if not paths:
             return
-        listed = spark.createDataFrame([(p.rsplit("/", 1)[-1],) for p in paths], "_source_file string")
+        names = [p.rsplit("/", 1)[-1] for p in paths]
+        listed = spark.createDataFrame([(n, unquote(n)) for n in names], "_source_file string, file_name string")
         checked = header_validation(files.header_rows(spark, [unquote(p) for p in paths], sep), config.HEADERS_BY_KIND[kind],
-                                    file_col="file_name").select(F.col("file_name").alias("_source_file"), "result")
+                                    file_col="file_name").select("file_name", "result")
         counts = batch.groupBy("_source_file").agg(F.count(F.lit(1)).alias("row_count"),
                                                    F.count_if("_malformed").alias("malformed_rows"))
         none = F.lit(0).cast("long")
-        per_file = listed.join(checked, "_source_file", "left").join(counts, "_source_file", "left").select(
+        per_file = listed.join(checked, "file_name", "left").join(counts, "_source_file", "left").select(
             "_source_file", F.coalesce("result", F.lit("unreadable")).alias("header_result"),
             F.coalesce("row_count", none).alias("row_count"), F.coalesce("malformed_rows", none).alias("malformed_rows"))
         whole = per_file.filter("header_result = 'ok' and malformed_rows = 0").select("_source_file")

@@ -177,13 +177,13 @@ def test_inspect_exports(spark, tmp_dir):
     bad = out["2930Customerorders.csv"]
     assert bad.result == "reordered" and bad.row_count == 3 and bad.plants == "2930"
     assert "OR2930.csv" not in out
-    with open(os.path.join(tmp_dir, "notes.csv"), "w") as fh:
+    with open(os.path.join(tmp_dir, "notes 1+1.csv"), "w") as fh:
         fh.write("Region,Plant,Note\nx,7000.0,\"a, b\"\n\ny,2910,c\n")
     with open(os.path.join(tmp_dir, "OR2930.csv"), "w") as fh:
         fh.write("Material,Amount\n1,2\n")
     open(os.path.join(tmp_dir, "empty.csv"), "w").close()
     out = {r.file_name: r for r in files.inspect_exports(spark, tmp_dir).collect()}
-    assert (out["notes.csv"].result, out["notes.csv"].row_count, out["notes.csv"].plants) == ("unrouted", 2, "2910,7000")
+    assert (out["notes 1+1.csv"].result, out["notes 1+1.csv"].row_count, out["notes 1+1.csv"].plants) == ("unrouted", 2, "2910,7000")
     assert out["OR2930.csv"].result == "mismatch" and out["OR2930.csv"].row_count == 1 and out["OR2930.csv"].plants == ""
     assert "missing columns: ['PO Number'" in out["OR2930.csv"].message and "unexpected columns: ['Amount']" in out["OR2930.csv"].message
     assert "empty.csv" not in out    # Spark lists no empty files
