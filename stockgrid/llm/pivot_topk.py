@@ -5,9 +5,13 @@ vector to ``pivots`` pivots are computed once. For a query q and a candidate v t
 pivots bounds their distance from below, hence their inner product (|q|^2 + |v|^2 - d^2) / 2 from above; candidates are
 evaluated in order of that bound until the k-th best score exceeds every bound left, so the result is exact.
 
-Work is dealt as pairs of a query block and a vector block, each of a bounded number of rows, so neither side is ever
-broadcast or gathered; the join key is the pair. Pivots are far-apart vectors of a bounded sample: they only steer the
-bounds, never the result. The k best of each pair are merged by a limited window.
+Elimination works on blocks first. Vectors are grouped in cells by their nearest pivot (of as many as there are blocks to fill; in
+a large cell also by the second nearest), cells are cut into blocks of about ``rows`` rows, and a block keeps the range of its distances to each pivot and
+its largest norm. In a first round each query searches one block of its own cell; its k-th best score there travels with it
+as a threshold. Then the ranges of data blocks and of query blocks are compared, in chunks, and only pairs whose bound
+reaches the least threshold are joined; inside a pair a query skips the block, or ends its search, at its own threshold. The
+data of a dropped pair is never moved. Neither side is broadcast or gathered; cells are counted, at most pivots^2 a vector
+length. Pivots are far-apart vectors of a bounded sample: they only steer the bounds, never the result.
 
 Null vectors and vectors with null or non-finite components, or a null id, take no part. Vectors of different length are
 not compared. Repeated ids: rows stand for themselves, and no row of the query's id is a candidate for it but those of
@@ -69,92 +73,237 @@ def inner(m: np.ndarray, q: np.ndarray) -> np.ndarray | list[int]:
     return np.array([max(-LONG, min(LONG, sum(int(a) * b for a, b in zip(row, whole)))) for row in m], dtype=np.int64)
 
 
+def upper_bounds(gap: np.ndarray, norms: np.ndarray, q_norms) -> np.ndarray:
+    """Bounds of inner products from lower bounds of distances and squared norms, with room for rounding."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        gap = np.maximum(0.0, gap - 1e-6 * (1.0 + gap))                       # rounding of the distances
+        upper = (q_norms + norms - gap * gap) / 2
+        upper = upper + 1.0 + 1e-9 * (np.abs(upper) + norms + q_norms)
+    return np.where(np.isfinite(upper), upper, np.inf)
+
+
+def apart(low: np.ndarray, high: np.ndarray, q_low: np.ndarray, q_high: np.ndarray) -> np.ndarray:
+    """How far two ranges of distances lie apart, at most over the pivots (last axis); 0 where a range is no number."""
+    with np.errstate(invalid="ignore"):
+        gap = np.maximum(low - q_high, q_low - high)
+    return np.maximum(0.0, np.nan_to_num(gap, nan=0.0, posinf=0.0, neginf=0.0).max(axis=-1, initial=0.0))
+
+
 def search(q: np.ndarray, q_id: int, q_twin: int, q_table: np.ndarray, ids: np.ndarray, twins: np.ndarray, m: np.ndarray,
-           table: np.ndarray, norms: np.ndarray, k: int, step: int = 512) -> list[tuple[int, int]]:
-    """The k best (score, id) for one query among the rows of one block, by elimination."""
+           table: np.ndarray, norms: np.ndarray, k: int, step: int = 32, least: float = -np.inf) -> tuple[list[tuple[int, int]], int]:
+    """The k best (score, id) for one query among the rows of one block that reach ``least``, by elimination, and how many
+    candidates were evaluated for it."""
     with np.errstate(over="ignore", invalid="ignore"):
         gap = np.abs(table - q_table).max(axis=1) if table.shape[1] else np.zeros(len(m))
-        gap = np.maximum(0.0, gap - 1e-6 * (1.0 + gap))                       # rounding of the distances
-        upper = (q @ q + norms - gap * gap) / 2
-        upper = upper + 1.0 + 1e-9 * (np.abs(upper) + norms + q @ q)
-    upper[~np.isfinite(upper)] = np.inf
+        upper = upper_bounds(gap, norms, q @ q)
     upper[(ids == q_id) & (twins == q_twin)] = -np.inf                        # the query's own row
-    order = np.argsort(-upper, kind="stable")
+    order = np.flatnonzero((upper >= least) & (upper > -np.inf))
+    order = order[np.argsort(-upper[order], kind="stable")]
     best: list[tuple[int, int]] = []
-    for i in range(0, len(order), step):
+    done, i = 0, 0
+    while i < len(order):
         part = order[i:i + step]
         if len(best) == k and upper[part[0]] < best[-1][0]:
             break
-        part = part[upper[part] > -np.inf]
         scores = inner(m[part], q)
-        if len(best) == k:
-            part, scores = part[scores >= best[-1][0]], scores[scores >= best[-1][0]]
+        i, done, step = i + step, done + len(part), min(2 * step, 512)
+        floor = max(least, best[-1][0]) if len(best) == k else least
+        part, scores = part[scores >= floor], scores[scores >= floor]
         top = np.lexsort((ids[part], -scores))[:k]
         best = sorted(best + [(int(scores[j]), int(ids[part[j]])) for j in top], key=lambda x: (-x[0], x[1]))[:k]
-    return best
+    return best, done
+
+
+def _packed(frame: pd.DataFrame, pivots: np.ndarray) -> dict:
+    """A block's rows with their distances, as bytes, and its ranges."""
+    m = np.array(frame["v"].tolist(), np.float64)
+    table = distances(m, pivots)
+    with np.errstate(over="ignore"):
+        norms = (m * m).sum(axis=1)
+    blobs = {"ids": frame["vec_id"].to_numpy("<i8"), "twins": frame["twin"].to_numpy("<i4"), "m": m, "tab": table, "norms": norms,
+             "low": table.min(axis=0), "high": table.max(axis=0)}
+    return {"dim": int(frame["dim"].iloc[0]), "block": int(frame["block"].iloc[0]), "top_norm": float(norms.max()),
+            **{c: b.tobytes() for c, b in blobs.items()}}
+
+
+class _Rows:
+    """A packed block again as arrays."""
+
+    def __init__(self, r, prefix: str = ""):
+        get = lambda c: getattr(r, prefix + c)
+        self.ids, self.twins = np.frombuffer(get("ids"), "<i8"), np.frombuffer(get("twins"), "<i4")
+        self.m, self.tab = np.frombuffer(get("m")).reshape(len(self.ids), -1), np.frombuffer(get("tab")).reshape(len(self.ids), -1)
+        self.norms, self.low, self.high = (np.frombuffer(get(c)) for c in ("norms", "low", "high"))
+
+
+def _first_round(k: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for r in frame.itertuples(index=False):
+                data, q = None if r.ids is None else _Rows(r), _Rows(r, "q_")
+                found, least = [], np.full(len(q.ids), -np.inf)
+                for i in range(len(q.ids) if data else 0):
+                    best, done = search(q.m[i], q.ids[i], q.twins[i], q.tab[i], data.ids, data.twins, data.m, data.tab, data.norms, k)
+                    found.append({"query_id": int(q.ids[i]), "twin": int(q.twins[i]), "evaluated": done,
+                                  "best": [{"vec_id": v, "score": s} for s, v in best]})
+                    if len(best) == k:
+                        least[i] = best[-1][0]
+                yield pd.DataFrame([{"dim": r.dim, "home": r.block, "least": least.tobytes(), "least_of_all": float(least.min()),
+                                     "found": found}])
+    return run
+
+
+def _kept_pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs of a data block and a query block that may hold a better candidate, from two chunks of ranges."""
+    for frame in frames:
+        for r in frame.itertuples(index=False):
+            low, high = np.array([np.frombuffer(x) for x in r.low]), np.array([np.frombuffer(x) for x in r.high])
+            q_low, q_high = (np.array([np.frombuffer(x) for x in c]) for c in (r.q_low, r.q_high))
+            out = []
+            for j in range(len(r.homes)):
+                upper = upper_bounds(apart(low, high, q_low[j], q_high[j]), np.asarray(r.top_norm, float), r.q_top_norm[j])
+                keep = (upper >= r.least_of_all[j]) & (np.asarray(r.blocks) != r.homes[j])    # the home block is done
+                out += [(r.dim, int(r.blocks[i]), int(r.homes[j])) for i in np.flatnonzero(keep)]
+            yield pd.DataFrame(out, columns=["dim", "block", "home"])
+
+
+def _second_round(k: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for r in frame.itertuples(index=False):
+                data, q, least = _Rows(r), _Rows(r, "q_"), np.frombuffer(r.least)
+                gap = apart(data.low, data.high, q.tab, q.tab)
+                reach = upper_bounds(gap, np.full(len(q.ids), r.top_norm), q.norms) >= least
+                out = []
+                for i in np.flatnonzero(reach):
+                    best, done = search(q.m[i], q.ids[i], q.twins[i], q.tab[i], data.ids, data.twins, data.m, data.tab, data.norms,
+                                        k, least=least[i])
+                    out.append({"query_id": int(q.ids[i]), "twin": int(q.twins[i]), "evaluated": done,
+                                "best": [{"vec_id": v, "score": s} for s, v in best]})
+                yield pd.DataFrame(out, columns=["query_id", "twin", "evaluated", "best"])
+    return run
+
+
+FOUND = "query_id long, twin int, evaluated long, best array<struct<vec_id long, score long>>"
+CHUNK = 256  # blocks whose ranges travel as one row
 
 
-def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, pivots: int = 16, sample: int = 512,
-          rows: int = 4096) -> DataFrame:
-    """``query_id``, ``rank``, ``vec_id``, ``score``: the k best rows for each row whose id is divisible by ``every``.
-    ``sample`` bounds the rows that pivots are chosen from, ``rows`` the rows of a block."""
+def searched(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, pivots: int = 128, sample: int = 2048,
+             rows: int = 2048) -> DataFrame | None:
+    """Both rounds: for each query (``query_id``, ``twin``) and block searched the ``best`` candidates found there and how many
+    were ``evaluated``. ``sample`` bounds the rows that pivots are chosen from, ``rows`` the rows of a block; None without
+    queries."""
     spark = vectors.sparkSession
     # rows that repeat an id are told apart by their number among the id's rows
     twin = F.row_number().over(Window.partitionBy("vec_id").orderBy("v")) - 1
     d = stored(quantised(vectors, scale).withColumn("twin", twin.cast("int")), "topk-vectors")
-    sizes = d.groupBy("dim").agg(F.count("*").alias("n"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("q")).collect()
-    deals = [(r["dim"], -(-r["n"] // rows), -(-r["q"] // rows)) for r in sizes if r["q"]]  # one row a vector length
-    if not deals:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    is_query = F.col("vec_id") % every == 0
+    sizes = d.groupBy("dim").agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).where("q > 0").collect()
+    if not sizes:
+        return None
+    dims = [r["dim"] for r in sizes]    # one row a vector length
+    # as many cells as blocks are needed, around the first pivots, which are the farthest apart; bounds use all pivots
+    centres = {r["dim"]: min(pivots, -(-r["n"] // rows)) for r in sizes}
     chosen = {}
-    for dim, *_ in deals:
+    for dim in dims:
         some = d.where(F.col("dim") == dim).orderBy(F.xxhash64("vec_id", "twin"), "vec_id", "twin").limit(sample).select("v").collect()
         chosen[dim] = choose_pivots(np.array([r["v"] for r in some], np.float64), pivots)
     shared = spark.sparkContext.broadcast(chosen)  # pivots x length numbers for each vector length
-    deal = F.broadcast(spark.createDataFrame(deals, "dim int, n_blocks int, q_blocks int"))
-    d = d.join(deal, "dim")
+
+    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            near = np.zeros((len(frame), 2), np.int32)
+            for dim, at in frame.groupby("dim").indices.items():
+                table = np.nan_to_num(distances(np.array(frame["v"].iloc[at].tolist(), np.float64), shared.value[int(dim)][:centres[int(dim)]]), nan=np.inf)
+                first = table.argmin(axis=1)
+                table[np.arange(len(at)), first] = np.inf
+                near[at, 0], near[at, 1] = first, table.argmin(axis=1)
+            yield frame.assign(near=near[:, 0], second=near[:, 1])
+
+    placed = stored(d.where(F.col("dim").isin(dims)).mapInPandas(
+        place, "vec_id long, v array<double>, dim int, twin int, near int, second int"), "topk-placed")
+    # cells with their blocks: counts of at most pivots^2 cells a vector length
+    counts = placed.groupBy("dim", "near", "second").agg(F.count("*").alias("n")).collect()
+    whole: dict[tuple[int, int], int] = {}
+    for r in counts:
+        whole[r["dim"], r["near"]] = whole.get((r["dim"], r["near"]), 0) + r["n"]
+    start, blocks_of, cells = {}, {}, []
+    for r in sorted(counts, key=lambda r: (r["dim"], r["near"], r["second"])):
+        large = whole[r["dim"], r["near"]] > rows
+        key = (r["dim"], r["near"], r["second"] if large else -1)
+        if key not in start:
+            n_sub = -(-r["n"] // rows) if large else 1
+            start[key] = (blocks_of.get(r["dim"], 0), n_sub)
+            blocks_of[r["dim"]] = start[key][0] + n_sub
+        cells.append((r["dim"], r["near"], r["second"], *start[key]))
+    cells = F.broadcast(spark.createDataFrame(cells, "dim int, near int, second int, start int, n_sub int"))
+    dealt = lambda salt: (F.col("start") + F.pmod(F.xxhash64(F.lit(salt), "vec_id", "twin"), F.col("n_sub"))).cast("int")
+    placed = placed.join(cells, ["dim", "near", "second"]).select("vec_id", "v", "dim", "twin", dealt("v").alias("block"),
+                                                                  dealt("q").alias("home"))
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        m = np.array(frame["v"].tolist(), np.float64)
-        table = distances(m, shared.value[int(frame["dim"].iloc[0])])
-        with np.errstate(over="ignore"):
-            norms = (m * m).sum(axis=1)
-        blobs = [frame["vec_id"].to_numpy("<i8"), frame["twin"].to_numpy("<i4"), m, table, norms]
-        first = frame.iloc[0]
-        return pd.DataFrame([[first["dim"], first["block"], len(m), first["n_blocks"], first["q_blocks"],
-                              *[b.tobytes() for b in blobs]]], columns=COLUMNS)
-
-    schema = "dim int, block int, n int, n_blocks int, q_blocks int, ids binary, twins binary, m binary, tab binary, norms binary"
-    block = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "vec_id", "twin"), F.col(n)).cast("int")
-    data = stored(d.withColumn("block", block("n_blocks", "v")).groupBy("dim", "block").applyInPandas(pack, schema), "topk-blocks")
-    queries = stored(d.where(F.col("vec_id") % every == 0).withColumn("block", block("q_blocks", "q")).groupBy(
-        "dim", "block").applyInPandas(pack, schema), "topk-queries")
-    blobs = ["ids", "twins", "m", "tab", "norms"]
-    left = data.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1))).select(
-        "dim", F.col("block").alias("b"), "q", *blobs)
-    right = queries.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(
-        "dim", "b", F.col("block").alias("q"), *[F.col(c).alias(f"q_{c}") for c in blobs])
-    pairs = left.hint("shuffle_hash").join(right, ["dim", "b", "q"])
+        return pd.DataFrame([_packed(frame, shared.value[int(frame["dim"].iloc[0])])])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for r in frame.itertuples(index=False):
-                out = []
-                ids, twins, norms = np.frombuffer(r.ids, "<i8"), np.frombuffer(r.twins, "<i4"), np.frombuffer(r.norms)
-                m, tab = np.frombuffer(r.m).reshape(len(ids), -1), np.frombuffer(r.tab).reshape(len(ids), -1)
-                q_ids, q_twins = np.frombuffer(r.q_ids, "<i8"), np.frombuffer(r.q_twins, "<i4")
-                q, q_tab = np.frombuffer(r.q_m).reshape(len(q_ids), -1), np.frombuffer(r.q_tab).reshape(len(q_ids), -1)
-                for i in range(len(q_ids)):
-                    found = search(q[i], q_ids[i], q_twins[i], q_tab[i], ids, twins, m, tab, norms, k)
-                    out += [(q_ids[i], q_twins[i], v, s) for s, v in found]
-                yield pd.DataFrame(out, columns=["query_id", "twin", "vec_id", "score"])
-
-    found = pairs.mapInPandas(run, "query_id long, twin int, vec_id long, score long")
+    data = stored(placed.groupBy("dim", "block").applyInPandas(pack, PACKED), "topk-blocks")
+    queries = stored(placed.where(is_query).drop("block").withColumnRenamed("home", "block").groupBy("dim", "block").applyInPandas(
+        pack, PACKED), "topk-queries")
+    blobs = ["ids", "twins", "m", "tab", "norms", "low", "high"]
+    as_query = [F.col(c).alias(f"q_{c}") for c in blobs]
+    # a small block may have got no row: its queries go on without a threshold
+    home = queries.select("dim", "block", *as_query).join(data, ["dim", "block"], "left")
+    first = stored(home.mapInPandas(_first_round(k), f"dim int, home int, least binary, least_of_all double, found array<struct<{FOUND}>>"),
+                   "topk-first")
+
+    # ranges of data blocks against ranges of query blocks, a chunk of each at a time
+    n_chunks = spark.createDataFrame([(d_, -(-n // CHUNK)) for d_, n in blocks_of.items()], "dim int, n_chunks int")
+    chunk = (F.col("block") / CHUNK).cast("int")
+    left = _chunked(data.select("dim", chunk.alias("dc"), F.struct("block", "low", "high", "top_norm").alias("s")), "dc",
+                    {"block": "blocks", "low": "low", "high": "high", "top_norm": "top_norm"})
+    asked = queries.join(first.select("dim", F.col("home").alias("block"), "least_of_all"), ["dim", "block"])
+    right = _chunked(asked.select("dim", chunk.alias("qc"), F.struct("block", "low", "high", "top_norm", "least_of_all").alias("s")), "qc",
+                     {"block": "homes", "low": "q_low", "high": "q_high", "top_norm": "q_top_norm", "least_of_all": "least_of_all"})
+    all_chunks = lambda name: F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias(name)
+    small = F.broadcast(n_chunks)  # one row a vector length
+    left = left.join(small, "dim").select("dim", "dc", "blocks", "low", "high", "top_norm", all_chunks("qc"))
+    right = right.join(small, "dim").select("dim", "qc", "homes", "q_low", "q_high", "q_top_norm", "least_of_all", all_chunks("dc"))
+    pairs = left.join(right, ["dim", "dc", "qc"]).mapInPandas(_kept_pairs, "dim int, block int, home int")
+    pairs = stored(pairs, "topk-pairs")
+
+    asking = queries.select("dim", F.col("block").alias("home"), *as_query).join(first.select("dim", "home", "least"), ["dim", "home"])
+    second = pairs.join(data, ["dim", "block"]).join(asking, ["dim", "home"]).mapInPandas(_second_round(k), FOUND)
+    return first.select(F.inline("found")).unionByName(second)
+
+
+def _chunked(df: DataFrame, chunk: str, names: dict[str, str]) -> DataFrame:
+    """Structs ``s`` of a chunk as parallel arrays; a chunk holds ``CHUNK`` of them at most."""
+    packed = df.groupBy("dim", chunk).agg(F.collect_list("s").alias("s"))
+    return packed.select("dim", chunk, *[F.col(f"s.{c}").alias(a) for c, a in names.items()])
+
+
+def top_k(vectors: DataFrame, k: int = 5, **how) -> DataFrame:
+    """``query_id``, ``rank``, ``vec_id``, ``score``: the k best rows for each row whose id is divisible by ``every``. For the
+    other parameters see ``searched``."""
+    found = searched(vectors, k, **how)
+    if found is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    found = found.select("query_id", "twin", F.inline("best"))
     rank = F.row_number().over(Window.partitionBy("query_id", "twin").orderBy(F.col("score").desc(), "vec_id")).cast("int")
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-COLUMNS = ["dim", "block", "n", "n_blocks", "q_blocks", "ids", "twins", "m", "tab", "norms"]
+def evaluated_share(vectors: DataFrame, k: int = 5, every: int = 50, **how) -> float:
+    """The share of all (query, candidate) pairs whose score was computed."""
+    found = searched(vectors, k, every, **how)
+    if found is None:
+        return 0.0
+    sizes = quantised(vectors, how.get("scale", 256)).groupBy("dim").agg(
+        F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q"))
+    pairs = sizes.agg(F.sum(F.col("q") * (F.col("n") - 1))).first()[0]
+    return found.agg(F.sum("evaluated")).first()[0] / pairs if pairs else 0.0
+
+
+PACKED = ("dim int, block int, top_norm double, ids binary, twins binary, m binary, tab binary, norms binary, low binary, "
+          "high binary")
 
 TOP_K_SQL = """
 with v as (

@@ -533,6 +533,32 @@ def test_topk_equals_brute_force(spark, block):
     assert keyed(out, "query_id", "rank", "vec_id", "score") == plain_top(rows)
 
 
+def clustered(rng, n, dim=16, centres=40):
+    at = rng.normal(0, 1, (centres, dim))
+    at = 4 * at / np.linalg.norm(at, axis=1)[:, None]
+    return [(i, (at[i % centres] + rng.normal(0, 0.05, dim)).astype(np.float32).tolist()) for i in range(n)]
+
+
+def test_topk_eliminates_on_clustered_vectors(spark):
+    """Most candidates are never evaluated, and most pairs of blocks are dropped before the join; the rows are exact."""
+    rows = clustered(np.random.default_rng(1), 3000)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    how = dict(rows=100, pivots=48)
+    assert keyed(rows_of(pivot_topk.top_k(df, **how)), "query_id", "rank", "vec_id", "score") == plain_top(rows)
+    assert pivot_topk.evaluated_share(df, **how) < 0.25
+    found = rows_of(pivot_topk.searched(df, **how))
+    queries, blocks = 60, 3000 / 100
+    assert len(found) < 0.5 * queries * blocks
+
+
+def test_topk_with_one_hot_vector_and_few_neighbours(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, [1.0, 2.0, 3.0, 4.0]) for i in range(900)] + [(1000 + i, rng.normal(0, 2, 4).astype(np.float32).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for how in (dict(rows=50, pivots=8), dict(rows=1, pivots=300), dict(rows=64, pivots=1)):
+        assert keyed(rows_of(pivot_topk.top_k(df, **how)), "query_id", "rank", "vec_id", "score") == plain_top(rows)
+
+
 # --- empty tables, whatever the operator
 def test_empty_tables(spark, ranks, pieces):
     none = frame(spark).limit(0)
