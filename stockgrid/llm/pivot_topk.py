@@ -8,9 +8,9 @@ evaluated in order of that bound until the k-th best score exceeds every bound l
 Elimination works on blocks first. Vectors are grouped in cells by their nearest pivot (of as many as there are blocks to fill; in
 a large cell also by the second nearest), cells are cut into blocks of about ``rows`` rows, and a block keeps the range of its distances to each pivot and
 its largest norm. In a first round each query searches one block of its own cell; its k-th best score there travels with it
-as a threshold. Then the ranges of data blocks and of query blocks are compared, in chunks, and only pairs whose bound
-reaches the least threshold are joined; inside a pair a query skips the block, or ends its search, at its own threshold. The
-data of a dropped pair is never moved. Neither side is broadcast or gathered; cells are counted, at most pivots^2 a vector
+as a threshold. Then the queries of neighbouring homes are grouped, the ranges of data blocks and of query groups are compared,
+in chunks, and only pairs whose bound reaches the least threshold are joined; inside a pair a query skips the block, or ends
+its search, at its own threshold. The data of a dropped pair is never moved. Neither side is broadcast or gathered; cells are counted, at most pivots^2 a vector
 length. Pivots are far-apart vectors of a bounded sample: they only steer the bounds, never the result.
 
 Null vectors and vectors with null or non-finite components, or a null id, take no part. Vectors of different length are
@@ -153,18 +153,29 @@ def _first_round(k: int):
     return run
 
 
+def _regrouped(frame: pd.DataFrame) -> pd.DataFrame:
+    """Packed query blocks as one, with each query's threshold and home."""
+    parts = [_Rows(r) for r in frame.itertuples(index=False)]
+    least = np.concatenate([np.frombuffer(x) for x in frame["least"]])
+    homes = np.repeat(frame["block"].to_numpy("<i4"), [len(p.ids) for p in parts])
+    blobs = {c: np.concatenate([getattr(p, c) for p in parts]) for c in ("ids", "twins", "m", "tab", "norms")}
+    low, high = np.min([p.low for p in parts], axis=0), np.max([p.high for p in parts], axis=0)
+    return pd.DataFrame([{"dim": frame["dim"].iloc[0], "group": frame["group"].iloc[0], "q_top_norm": float(frame["top_norm"].max()),
+                          **{f"q_{c}": b.tobytes() for c, b in blobs.items()}, "q_low": low.tobytes(), "q_high": high.tobytes(),
+                          "least": least.tobytes(), "homes_of": homes.tobytes(), "least_of_all": float(least.min())}])
+
+
 def _kept_pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of a data block and a query block that may hold a better candidate, from two chunks of ranges."""
+    """Pairs of a data block and a query group that may hold a better candidate, from two chunks of ranges."""
     for frame in frames:
         for r in frame.itertuples(index=False):
             low, high = np.array([np.frombuffer(x) for x in r.low]), np.array([np.frombuffer(x) for x in r.high])
-            q_low, q_high = (np.array([np.frombuffer(x) for x in c]) for c in (r.q_low, r.q_high))
             out = []
-            for j in range(len(r.homes)):
-                upper = upper_bounds(apart(low, high, q_low[j], q_high[j]), np.asarray(r.top_norm, float), r.q_top_norm[j])
-                keep = (upper >= r.least_of_all[j]) & (np.asarray(r.blocks) != r.homes[j])    # the home block is done
-                out += [(r.dim, int(r.blocks[i]), int(r.homes[j])) for i in np.flatnonzero(keep)]
-            yield pd.DataFrame(out, columns=["dim", "block", "home"])
+            for j, group in enumerate(r.groups):
+                gap = apart(low, high, np.frombuffer(r.q_low[j]), np.frombuffer(r.q_high[j]))
+                keep = upper_bounds(gap, np.asarray(r.top_norm, float), r.q_top_norm[j]) >= r.least_of_all[j]
+                out += [(r.dim, int(r.blocks[i]), int(group)) for i in np.flatnonzero(keep)]
+            yield pd.DataFrame(out, columns=["dim", "block", "group"])
 
 
 def _second_round(k: int):
@@ -174,6 +185,7 @@ def _second_round(k: int):
                 data, q, least = _Rows(r), _Rows(r, "q_"), np.frombuffer(r.least)
                 gap = apart(data.low, data.high, q.tab, q.tab)
                 reach = upper_bounds(gap, np.full(len(q.ids), r.top_norm), q.norms) >= least
+                reach &= np.frombuffer(r.homes_of, "<i4") != r.block    # searched in the first round
                 out = []
                 for i in np.flatnonzero(reach):
                     best, done = search(q.m[i], q.ids[i], q.twins[i], q.tab[i], data.ids, data.twins, data.m, data.tab, data.norms,
@@ -184,8 +196,11 @@ def _second_round(k: int):
     return run
 
 
+GROUPED = ("dim int, group int, q_top_norm double, q_ids binary, q_twins binary, q_m binary, q_tab binary, q_norms binary, "
+           "q_low binary, q_high binary, least binary, homes_of binary, least_of_all double")
 FOUND = "query_id long, twin int, evaluated long, best array<struct<vec_id long, score long>>"
 CHUNK = 256  # blocks whose ranges travel as one row
+LARGE = 8  # cells of more blocks are divided by the second nearest pivot before they are cut by hash
 
 
 def searched(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, pivots: int = 128, sample: int = 2048,
@@ -229,10 +244,10 @@ def searched(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256,
         whole[r["dim"], r["near"]] = whole.get((r["dim"], r["near"]), 0) + r["n"]
     start, blocks_of, cells = {}, {}, []
     for r in sorted(counts, key=lambda r: (r["dim"], r["near"], r["second"])):
-        large = whole[r["dim"], r["near"]] > rows
+        large = whole[r["dim"], r["near"]] > LARGE * rows
         key = (r["dim"], r["near"], r["second"] if large else -1)
         if key not in start:
-            n_sub = -(-r["n"] // rows) if large else 1
+            n_sub = -(-(r["n"] if large else whole[r["dim"], r["near"]]) // rows)
             start[key] = (blocks_of.get(r["dim"], 0), n_sub)
             blocks_of[r["dim"]] = start[key][0] + n_sub
         cells.append((r["dim"], r["near"], r["second"], *start[key]))
@@ -254,23 +269,25 @@ def searched(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256,
     first = stored(home.mapInPandas(_first_round(k), f"dim int, home int, least binary, least_of_all double, found array<struct<{FOUND}>>"),
                    "topk-first")
 
-    # ranges of data blocks against ranges of query blocks, a chunk of each at a time
-    n_chunks = spark.createDataFrame([(d_, -(-n // CHUNK)) for d_, n in blocks_of.items()], "dim int, n_chunks int")
-    chunk = (F.col("block") / CHUNK).cast("int")
-    left = _chunked(data.select("dim", chunk.alias("dc"), F.struct("block", "low", "high", "top_norm").alias("s")), "dc",
-                    {"block": "blocks", "low": "low", "high": "high", "top_norm": "top_norm"})
-    asked = queries.join(first.select("dim", F.col("home").alias("block"), "least_of_all"), ["dim", "block"])
-    right = _chunked(asked.select("dim", chunk.alias("qc"), F.struct("block", "low", "high", "top_norm", "least_of_all").alias("s")), "qc",
-                     {"block": "homes", "low": "q_low", "high": "q_high", "top_norm": "q_top_norm", "least_of_all": "least_of_all"})
+    # neighbouring homes' queries together, about a block full, so that a data block is moved once for all of them
+    per_group = spark.createDataFrame([(r["dim"], max(1, r["n"] // r["q"]), -(-blocks_of[r["dim"]] // CHUNK)) for r in sizes],
+                                      "dim int, homes int, n_chunks int")
+    small = F.broadcast(per_group)  # one row a vector length
+    with_least = queries.join(first.select("dim", F.col("home").alias("block"), "least"), ["dim", "block"]).join(small, "dim")
+    grouped = stored(with_least.withColumn("group", (F.col("block") / F.col("homes")).cast("int")).groupBy("dim", "group").applyInPandas(
+        _regrouped, GROUPED), "topk-groups")
+
+    # ranges of data blocks against ranges of query groups, a chunk of each at a time
+    left = _chunked(data.select("dim", (F.col("block") / CHUNK).cast("int").alias("dc"), F.struct("block", "low", "high", "top_norm").alias("s")),
+                    "dc", {"block": "blocks", "low": "low", "high": "high", "top_norm": "top_norm"})
+    right = _chunked(grouped.select("dim", (F.col("group") / CHUNK).cast("int").alias("qc"),
+                                    F.struct("group", "q_low", "q_high", "q_top_norm", "least_of_all").alias("s")), "qc",
+                     {c: c for c in ("q_low", "q_high", "q_top_norm", "least_of_all")} | {"group": "groups"})
     all_chunks = lambda name: F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias(name)
-    small = F.broadcast(n_chunks)  # one row a vector length
     left = left.join(small, "dim").select("dim", "dc", "blocks", "low", "high", "top_norm", all_chunks("qc"))
-    right = right.join(small, "dim").select("dim", "qc", "homes", "q_low", "q_high", "q_top_norm", "least_of_all", all_chunks("dc"))
-    pairs = left.join(right, ["dim", "dc", "qc"]).mapInPandas(_kept_pairs, "dim int, block int, home int")
-    pairs = stored(pairs, "topk-pairs")
-
-    asking = queries.select("dim", F.col("block").alias("home"), *as_query).join(first.select("dim", "home", "least"), ["dim", "home"])
-    second = pairs.join(data, ["dim", "block"]).join(asking, ["dim", "home"]).mapInPandas(_second_round(k), FOUND)
+    right = right.join(small, "dim").select("dim", "qc", "groups", "q_low", "q_high", "q_top_norm", "least_of_all", all_chunks("dc"))
+    pairs = stored(left.join(right, ["dim", "dc", "qc"]).mapInPandas(_kept_pairs, "dim int, block int, group int"), "topk-pairs")
+    second = pairs.join(data, ["dim", "block"]).join(grouped, ["dim", "group"]).mapInPandas(_second_round(k), FOUND)
     return first.select(F.inline("found")).unionByName(second)
 
 
