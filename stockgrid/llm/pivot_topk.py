@@ -287,7 +287,11 @@ def searched(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256,
     left = left.join(small, "dim").select("dim", "dc", "blocks", "low", "high", "top_norm", all_chunks("qc"))
     right = right.join(small, "dim").select("dim", "qc", "groups", "q_low", "q_high", "q_top_norm", "least_of_all", all_chunks("dc"))
     pairs = stored(left.join(right, ["dim", "dc", "qc"]).mapInPandas(_kept_pairs, "dim int, block int, group int"), "topk-pairs")
-    second = pairs.join(data, ["dim", "block"]).join(grouped, ["dim", "group"]).mapInPandas(_second_round(k), FOUND)
+    # both sides are dealt by pair, so that neither many blocks of one group nor many groups of one block share a task
+    asked = lambda by, other: pairs.groupBy("dim", by).agg(F.collect_list(other).alias("to"))
+    left = data.join(asked("block", "group"), ["dim", "block"]).withColumn("group", F.explode("to")).drop("to")
+    right = grouped.join(asked("group", "block"), ["dim", "group"]).withColumn("block", F.explode("to")).drop("to")
+    second = left.hint("shuffle_hash").join(right, ["dim", "block", "group"]).mapInPandas(_second_round(k), FOUND)
     return first.select(F.inline("found")).unionByName(second)
 
 
