@@ -8,7 +8,8 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from stockgrid.functions import exact_sum, exact_total
+from stockgrid.functions import exact, exact_sum, exact_total
+from stockgrid.functions.exact import with_parts
 from stockgrid.operators import quality
 from stockgrid.sinks.export import CSV_OPTIONS, write_csv
 
@@ -29,6 +30,19 @@ def test_totals(spark, values, want):
     assert total(spark, values) == want
 
 
+def test_far_values_add_up_in_any_order(spark):
+    """Totals of values from 2^60 on, with small ones beside them, don't depend on the order of rows or partitions."""
+    values = [2.0 ** 61 + 512, -(2.0 ** 61), 0.1, 1e25, -1e25, 3.0 * 2.0 ** 70, 7.0, -3.0 * 2.0 ** 70, 2.0 ** 60, -(2.0 ** 60), 0.2] * 7
+    want = total(spark, values)
+    assert want == 7 * 512 + 7 * 7 + 2.1
+    for seed in range(3):
+        df = spark.createDataFrame([(v,) for v in values], "x double").repartition(5).sortWithinPartitions(F.rand(seed))
+        assert df.agg(exact_total("x").alias("t")).first()["t"] == want
+    states = with_parts(spark.createDataFrame([(v, i % 4) for i, v in enumerate(values)], "x double, g int"), {"t": "x"}).groupBy("g").agg(
+        *exact.states(["t"]))
+    assert states.agg(*exact.merged(["t"])).selectExpr(exact.total_sql("t") + " AS t").first()["t"] == want
+
+
 def test_infinite_totals_stay_infinite(spark):
     assert total(spark, [float("inf"), 1]) == math.inf
 
