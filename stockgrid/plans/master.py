@@ -28,7 +28,7 @@ def _num(x: str) -> str:
 
 
 _SHOWN = "coalesce(formula, value)"
-_ERRORS = ", ".join(f"'{e}'" for e in config.ERROR_STRINGS)
+_ERRORS = "'#REF!', '#N/A', '#VALUE!', '#DIV/0!', '#NAME?', '#NULL!', '#NUM!'"
 _TEXT = (f"{_SHOWN} is not null and {_trim(_SHOWN)} <> '' and not starts_with({_SHOWN}, '=') "
          f"and {_num(_SHOWN)} is null")
 _TAGS = "concat_ws(',', " + ", ".join(
@@ -38,17 +38,17 @@ M_VIEWS = {
     "m_hdr": f"select sheet, col_no, {_trim(_SHOWN)} as label from cells where row_no = {HR}",
     "m_first": f"""
 select sheet,
-  min(case when label = '{config.LABEL_PLANT}' then col_no end) as plant_col,
-  min(case when label = '{config.LABEL_SAP}' then col_no end) as sap_col0,
-  min(case when label = '{config.LABEL_TOL}' then col_no end) as tol_col,
-  cast(count(*) filter (where regexp_matches(label, '{config.FORECAST_HEADER_PATTERN}')) as int) as forecast_col_count
+  min(case when label = 'Plant #' then col_no end) as plant_col,
+  min(case when label = 'SAP #' then col_no end) as sap_col0,
+  min(case when label = 'TOL #' then col_no end) as tol_col,
+  cast(count(*) filter (where regexp_matches(label, '(?i)forecast|fcst')) as int) as forecast_col_count
 from m_hdr group by sheet""",
     "m_cols": f"""
 select f.sheet, f.plant_col,
-  case when f.tol_col is not null and abs(f.sap_col0 - f.tol_col) > {config.SAP_MAX_DISTANCE_FROM_TOL}
+  case when f.tol_col is not null and abs(f.sap_col0 - f.tol_col) > 3
        then null else f.sap_col0 end as sap_col,
   f.tol_col, d.desc_col,
-  (case when f.tol_col is not null and abs(f.sap_col0 - f.tol_col) > {config.SAP_MAX_DISTANCE_FROM_TOL}
+  (case when f.tol_col is not null and abs(f.sap_col0 - f.tol_col) > 3
        then null else f.sap_col0 end) is null as reconstructed_material_from_tol,
   f.forecast_col_count
 from m_first f left join (
@@ -77,7 +77,7 @@ select sheet, row_no, num as Latest_Forecast_Qty, header as Forecast_Source_Colu
     select c.sheet, c.row_no, c.col_no, h.label as header,
       case when {_trim('c.value')} not in ({_ERRORS}) then {_num('c.value')} end as num
     from cells c join m_hdr h on c.sheet = h.sheet and c.col_no = h.col_no
-    where c.row_no > {HR} and regexp_matches(h.label, '{config.FORECAST_HEADER_PATTERN}')) v
+    where c.row_no > {HR} and regexp_matches(h.label, '(?i)forecast|fcst')) v
   where num is not null) r
 where rn = 1""",
     "m_master": """

@@ -32,9 +32,14 @@ def q_duplicate_rows(spark, sf_dir):
     return quality.duplicate_rows(td.resent_rows(spark, sf_dir), td.KIND_COLUMNS)
 
 
+_SOURCE_COLUMNS = {
+    "customer_orders": "Plant Material sales_order order_qty confirmed_qty requested_date",
+    "on_hand": "Plant Material batch unrestricted quality blocked expiry",
+    "open_orders": "Plant Material po_number open_po_qty po_qty po_request_qty inbound_qty delivery_date",
+}
 _NULL_SQL = " union all ".join(
     f"select '{k}' as kind, '{c}' as \"column\", count(*) filter (where {c} is null) as null_count from {k}"
-    for k in config.KINDS for c in td.KIND_COLUMNS[k])
+    for k, columns in _SOURCE_COLUMNS.items() for c in columns.split())
 
 
 @query("null_counts", "D12", with_views(_NULL_SQL, *config.KINDS))
@@ -110,8 +115,10 @@ def q_reconciliation_gate(spark, sf_dir):
 
 # --- load / files / headers ---------------------------------------------------
 
-_EXP_VALUES = ", ".join(f"('{n}')" for n in config.ON_HAND_HEADERS)
-_EXP_LIST = "[" + ", ".join(f"'{n}'" for n in config.ON_HAND_HEADERS) + "]"
+_ON_HAND = ("Material", "Material Description", "Plant", "Plant Name", "Storage Location", "Stock in Quality Inspection",
+            "Unrestricted Stock", "Batch", "Blocked Stock", "Production Date", "Shelf Life Expiration Date")
+_EXP_VALUES = ", ".join(f"('{n}')" for n in _ON_HAND)
+_EXP_LIST = "[" + ", ".join(f"'{n}'" for n in _ON_HAND) + "]"
 _HEADER_SQL = f"""
 select f.file_id,
   coalesce(m.v, '') as missing_columns, coalesce(x.v, '') as extra_columns,

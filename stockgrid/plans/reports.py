@@ -37,7 +37,26 @@ def _stored(spark, sf_dir, lists: bool = False):
     return onepass.together(metrics, lambda: quality.duplicate_rows(td.resent(rows), td.KIND_COLUMNS))
 
 
-_EXPORT_SQL = ", ".join(f'{c} as "{label}"' for c, label in reports.EXPORT_COLUMNS)
+_EXPORT_SQL = """Supplier as "Supplier",
+  Plant as "Plant",
+  Material as "SAP Material",
+  TOL_Material as "TOL Material",
+  Description as "Description",
+  Target_Stock as "Target Stock (Forecast Baseline)",
+  Customer_Order_Qty as "Customer Order Qty",
+  Confirmed_Qty as "Confirmed Qty",
+  Unconfirmed_Qty as "Unconfirmed Qty",
+  Unrestricted_On_Hand as "Unrestricted On Hand",
+  Open_PO_Qty as "Open PO Qty",
+  Allocation_Qty as "Allocation Qty (plant policy)",
+  Inbound_Delivery_Qty as "Inbound Delivery Qty",
+  Available_Plus_Incoming as "Available + Incoming",
+  Projected_Balance as "Projected Balance",
+  Suggested_Order_Qty as "Suggested Order Qty",
+  Risk_Status as "Risk / Status",
+  Next_PO_Delivery_Date as "Next PO Delivery Date",
+  Earliest_Expiry_Date as "Earliest Expiry Date"
+"""
 
 
 @query("export_grid", "L3", with_views(f"select {_EXPORT_SQL} from grid_ovr", "grid_ovr"))
@@ -45,10 +64,20 @@ def q_export_grid(spark, sf_dir):
     return reports.export_grid(dashboard_grid(spark, sf_dir))
 
 
+_KPIS = (
+    ("active_materials", "Active materials"),
+    ("total_unrestricted_on_hand", "Total unrestricted on-hand"),
+    ("total_open_po_qty", "Total open PO quantity"),
+    ("total_customer_order_qty", "Total customer-order quantity"),
+    ("total_confirmed_qty", "Total confirmed customer-order quantity"),
+    ("total_unconfirmed_qty", "Unconfirmed quantity"),
+    ("materials_at_risk", "Materials at risk (Critical + At Risk)"),
+    ("total_suggested_order_qty", "Suggested order quantity (total)"),
+)
 _EXEC_SQL = "select 'KPI' as section, ordinal, label, value from (" + " union all ".join(
     f"select {i} as ordinal, '{label}' as label, cast({c} as double) as value from ({_KPI_SQL}) k"
-    for i, (c, label) in enumerate(reports.KPI_LABELS)) + ") x union all " + \
-    f"select '{reports.STATUS_SECTION}', 0, Risk_Status, cast(count(*) as double) from grid_ovr group by Risk_Status"
+    for i, (c, label) in enumerate(_KPIS)) + ") x union all " + \
+    f"select 'Materials by Risk / Status', 0, Risk_Status, cast(count(*) as double) from grid_ovr group by Risk_Status"
 
 
 @query("executive_summary", "L4", with_views(_EXEC_SQL, "grid_ovr"))
@@ -72,9 +101,9 @@ _MASTER_NO_ACT_SQL = f"select Plant, Material from target except select Plant, M
 
 
 @query("unmatched_report", "I2", with_views(f"""
-select kind as Source, Plant, Material, '{reports.REASON_SOURCE}' as Reason from ({_UNMATCHED_SQL}) u
+select kind as Source, Plant, Material, 'In SAP source, not in product master' as Reason from ({_UNMATCHED_SQL}) u
 union all
-select 'product_master', Plant, Material, '{reports.REASON_MASTER}' from ({_MASTER_NO_ACT_SQL}) m
+select 'product_master', Plant, Material, 'In product master, no current SAP activity' from ({_MASTER_NO_ACT_SQL}) m
 """, *config.KINDS, "target"))
 def q_unmatched_report(spark, sf_dir):
     # both parts read the distinct source keys: checkpoint that key-level set
@@ -150,18 +179,18 @@ left join (select kind, count(*) as n from ({_UNMATCHED_SQL}) x group by kind) u
 """
 
 _AUDIT_SQL = f"""
-select 0 as section_no, 0 as line_no, '{reports.AUDIT_TITLE}' as line
-union all select 0, 1, '{reports.AUDIT_REFRESHED}{REFRESHED}'
-union all select 0, 2, '{reports.AUDIT_RECONCILIATION}' || case when coalesce(bool_and(abs(variance) < 1e-6), true)
-  then '{reports.AUDIT_PASS}' else '{reports.AUDIT_FAIL}' end from ({_VARIANCE_SQL}) v
+select 0 as section_no, 0 as line_no, 'ORDERING DASHBOARD -- AUDIT REPORT' as line
+union all select 0, 1, 'Refreshed: {REFRESHED}'
+union all select 0, 2, 'Reconciliation: ' || case when coalesce(bool_and(abs(variance) < 1e-6), true)
+  then 'PASS' else 'FAIL' end from ({_VARIANCE_SQL}) v
 union all select 0, 3, ''
-union all select 1, 0, '{reports.AUDIT_VARIANCES}'
+union all select 1, 0, '-- Grand total variances --'
 union all select 2, 0, ''
-union all select 2, 1, '{reports.AUDIT_DUPLICATES}'
+union all select 2, 1, '-- Duplicate row counts (preserved, not deleted) --'
 union all select 3, 0, ''
-union all select 3, 1, '{reports.AUDIT_FILES}'
+union all select 3, 1, '-- File / schema validation --'
 union all select 4, 0, ''
-union all select 4, 1, '{reports.AUDIT_UNMATCHED}'
+union all select 4, 1, '-- Unmatched materials --'
 union all select 1, {_METRIC_NO_SQL}, '  ' || metric || ': source=' || {_fmt('source_total')}
   || ' dashboard=' || {_fmt('dashboard_total')} || ' variance=' || {_fmt('variance')} from ({_VARIANCE_SQL}) w
 union all select 2, {_KIND_NO_SQL} + 1, '  ' || kind || ': ' || cast(duplicate_rows as varchar) from ({_DUP_SQL}) d
@@ -170,14 +199,14 @@ union all select 3, {_KIND_NO_SQL} * 3 + case plant when '2910' then 1 when '292
   ' -- Plant column contains unexpected value(s) [''' || replace(violations, ',', ''', ''') ||
   '''] for a file mapped to plant ' || plant || '.' else '' end from ({_LOAD_SQL}) l
 union all select 4, {_KIND_NO_SQL} + 1, '  ' || kind || ': ' || cast(n as varchar)
-  || '{reports.AUDIT_UNMATCHED_LINE}' from ({_UNMATCHED_COUNTS_SQL}) u
-union all select 4, 5, '{reports.AUDIT_NO_ACTIVITY_HEAD}' || cast(count(*) as varchar)
-  || '{reports.AUDIT_NO_ACTIVITY_LINE}' from ({_MASTER_NO_ACT_SQL}) m
+  || ' material(s) in source not in product master' from ({_UNMATCHED_COUNTS_SQL}) u
+union all select 4, 5, '  product_master: ' || cast(count(*) as varchar)
+  || ' material(s) with no current SAP activity' from ({_MASTER_NO_ACT_SQL}) m
 union all select 5, 0, ''
-union all select 5, 1, '{reports.AUDIT_WORKBOOK}'
-union all select 5, 2, '{reports.AUDIT_WB_SHEETS}' || cast(count(distinct sheet) as varchar) from cells
-union all select 5, 3, '{reports.AUDIT_WB_FORMULAS}' || cast(count(*) filter (where starts_with(coalesce(formula, value), '=')) as varchar) from cells
-union all select 5, 4, '{reports.AUDIT_WB_REF}' || cast(count(*) filter (where starts_with(coalesce(formula, value), '=')
+union all select 5, 1, '-- Reference workbook audit --'
+union all select 5, 2, '  Sheets: ' || cast(count(distinct sheet) as varchar) from cells
+union all select 5, 3, '  Formulas: ' || cast(count(*) filter (where starts_with(coalesce(formula, value), '=')) as varchar) from cells
+union all select 5, 4, '  #REF! error formulas (never translated into dashboard logic): ' || cast(count(*) filter (where starts_with(coalesce(formula, value), '=')
   and contains(coalesce(formula, value), '#REF!')) as varchar) from cells
 """
 

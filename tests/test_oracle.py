@@ -5,7 +5,7 @@ import pytest
 from conftest import SF_SMALL
 
 from stockgrid.plans import catalog
-from stockgrid.plans.compare import compare, duck
+from compare import compare, duck
 
 NAMES = sorted(catalog.REGISTRY)
 
