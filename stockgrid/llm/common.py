@@ -12,14 +12,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def pick(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, found by exact spelling first, so that further columns (also ones that
-    differ in case alone) never clash with what an operator adds."""
+def _places(df: DataFrame) -> dict[str, int]:
     at = {}
     for i, c in enumerate(df.columns):
         at.setdefault(c, i)
     for i, c in enumerate(df.columns):
         at.setdefault(c.lower(), i)
+    return at
+
+
+def position(df: DataFrame, name: str) -> int | None:
+    """Place of the named column as ``pick`` finds it; None if there is none."""
+    return _places(df).get(name)
+
+
+def pick(df: DataFrame, *names: str) -> DataFrame:
+    """Only the named columns, found by exact spelling first, so that further columns (also ones that
+    differ in case alone) never clash with what an operator adds."""
+    at = _places(df)
     plain = df.toDF(*[f"__c{i}" for i in range(len(df.columns))])
     return plain.select(*[F.col(f"__c{at[n]}").alias(n) for n in names])
 

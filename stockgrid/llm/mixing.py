@@ -11,6 +11,11 @@
   their shards; the leaves say how many blocks of each source a shard gets. Blocks are then dealt in permuted order, so
   shards hold disjoint blocks, and documents are shuffled inside the shard by a random key.
 
+Scale: blocks are ordered by distributed prefix sums over slices of the hash order, a window a slice of some thousand
+blocks and one over a source's slices. Blocks grow where there would be more than ``MOST_BLOCKS``, so that every
+hypergeometric draw stays within its generator's exact range. A shard of ``mixed`` is a run of whole partitions, as many as
+the input's splits ask for.
+
 What reaches the driver: one row per source (name, words, blocks), never documents or blocks. Per document the result is
 an array of copies (at most ``ceil(most)``), so nothing is exploded until ``mixed``.
 
@@ -25,9 +30,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from stockgrid.llm.common import pick, stored
+from stockgrid.llm.common import pick, position, split_count, stored
 
 WEIGHTS = (5.0, 2.0, 1.0)
+MOST_BLOCKS = 400_000_000   # taken blocks of all passes together; numpy draws exactly below 10^9
+SLICE_BLOCKS = 10_000       # blocks of a source that one window orders, about
 
 
 def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> list[float]:
@@ -75,19 +82,31 @@ def splitting_tree(quotas: list[int], shards: int, seed: int = 11) -> np.ndarray
 
 
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
-    if not good or not draws:
-        return 0
-    if good + bad < 10 ** 9:
-        return int(rng.hypergeometric(good, bad, draws))
-    p = good / (good + bad)  # beyond the generator's range: the normal limit, held to what is possible
-    sd = math.sqrt(max(0.0, draws * p * (1 - p) * (good + bad - draws) / (good + bad - 1)))
-    return min(good, draws, max(0, draws - bad, round(rng.normal(draws * p, sd))))
+    return int(rng.hypergeometric(good, bad, draws)) if good and draws else 0
 
 
 def _unit(*cols: Column) -> Column:
     return F.xxhash64(*cols)
 
 
+def _small(known: DataFrame, rows: int) -> DataFrame:
+    """A table of ``rows`` rows a source: broadcast while it is known to be small, else left to a shuffled join."""
+    return F.broadcast(known) if rows <= 100_000 else known
+
+
+def _before(df: DataFrame, by: list[str], order: list[str], value: Column, out: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over the rows before each one in ``by``, ordered by ``slice``, then ``order``. No
+    window holds more than a slice, or one row for each slice of a group."""
+    sums = df.groupBy(*by, "slice").agg(F.sum(value).alias("s_sum"))
+    ahead = Window.partitionBy(*by).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*[F.col(c).alias(f"s_{c}") for c in [*by, "slice"]],
+                       F.coalesce(F.sum("s_sum").over(ahead), F.lit(0)).alias("s_before"))
+    inside = Window.partitionBy(*by, "slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = df.withColumn("s_own", F.sum(value).over(inside) - value)
+    same = [F.col(c) == F.col(f"s_{c}") for c in [*by, "slice"]]
+    return own.join(sums, same).withColumn(out, F.col("s_before") + F.col("s_own")).drop(*sums.columns, "s_own")
+
+
 def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, shards: int = 16,
          block_words: int = 100_000) -> DataFrame:
     """One row a row of ``docs``: ``doc_id``, ``text_hash``, ``source``, ``size``, ``source_size``, ``target`` and
@@ -102,31 +121,36 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1
     sources.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     goal = targets([r["n"] for r in sources], weights, share, most)
     passes = math.ceil(most)
+    words = sum(r["n"] for r in sources)
+    block_words = max(block_words, math.ceil(words * passes / MOST_BLOCKS))
     blocks = [max(1, math.ceil(r["n"] / block_words)) for r in sources]
+    bits = max(1, (max(blocks, default=0) // SLICE_BLOCKS).bit_length())
     schema = StructType([StructField("s", StringType()), StructField("sid", IntegerType()),
                          StructField("source_size", LongType()), StructField("target", DoubleType()),
                          StructField("blocks", LongType())])
     known = spark.createDataFrame([(r["source"], i, r["n"], goal[i], blocks[i]) for i, r in enumerate(sources)], schema)
-    placed = rows.join(F.broadcast(known), rows.source.eqNullSafe(known.s)).drop("s")  # as many rows as sources
+    placed = rows.join(_small(known, len(sources)), rows.source.eqNullSafe(known.s)).drop("s")
     placed = placed.withColumn("block", F.pmod(_unit(F.lit("block"), "doc_id", "text_hash"), F.col("blocks")))
     # the passes of each block: words before it in the pass's order, words it may give
-    heaps = placed.groupBy("sid", "block").agg(F.sum("size").alias("words"), F.first("target").alias("target"),
-                                               F.first("source_size").alias("n"))
+    heaps = stored(placed.groupBy("sid", "block").agg(F.sum("size").alias("words"), F.first("target").alias("target"),
+                                                      F.first("source_size").alias("n")), "mix-heaps")
     each = heaps.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1)))).withColumn(
         "order", _unit(F.lit("pass"), "pass", "sid", "block"))
-    in_order = Window.partitionBy("sid", "pass").orderBy("order", "block")
-    before = F.sum("words").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("words")
+    half = 1 << (bits - 1)  # the first bits of the order, as slices that rise with pass and order
+    each = each.withColumn("slice", F.col("pass").cast("long") * (2 * half) + F.shiftright("order", 64 - bits) + half)
+    each = _before(each, ["sid", "pass"], ["order", "block"], F.col("words"), "before")
     want = F.least(F.greatest(F.col("target") - F.col("pass") * F.col("n"), F.lit(0.0)), F.col("n").cast("double"))
-    each = each.withColumn("give", F.least(F.round(want) - before, F.col("words").cast("double"))).where(
+    each = each.withColumn("give", F.least(F.round(want) - F.col("before"), F.col("words").cast("double"))).where(
         (F.col("give") > 0) & (F.col("words") > 0))
-    taken = stored(each.select("sid", "block", "pass", "order", F.col("give").cast("long").alias("give"), "words"), "mix-blocks")
+    taken = stored(each.select("sid", "block", "pass", "order", "slice", F.col("give").cast("long").alias("give"), "words"),
+                   "mix-blocks")
     quota = {r["sid"]: r["q"] for r in taken.groupBy("sid").agg(F.count("*").alias("q")).collect()}
     tree = splitting_tree([quota.get(i, 0) for i in range(len(sources))], shards)
     ends = np.cumsum(tree, axis=0)
     deal = spark.createDataFrame([(i, [int(x) for x in ends[:, i]]) for i in range(len(sources))], "sid int, ends array<long>")
-    number = F.row_number().over(Window.partitionBy("sid").orderBy("pass", "order", "block")) - 1
     shard = F.size(F.filter("ends", lambda x: x <= F.col("number"))).cast("int")
-    dealt = taken.withColumn("number", number).join(F.broadcast(deal), "sid").select(
+    numbered = _before(taken, ["sid"], ["order", "block"], F.lit(1), "number")
+    dealt = numbered.join(_small(deal, len(sources) * shards), "sid").select(
         "sid", "block", F.struct("pass", shard.alias("shard"), "give", (F.col("give") < F.col("words")).alias("part")).alias("t"))
     by_block = dealt.groupBy("sid", "block").agg(F.array_sort(F.collect_list("t")).alias("t"))  # one for each pass
     full = placed.join(by_block.select(F.col("sid").alias("s"), F.col("block").alias("b"), "t"),
@@ -158,18 +182,24 @@ def mix_report(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame, shards: int = 16, **options) -> DataFrame:
-    """The mix itself: every column of ``docs``, a row for each copy taken, dealt to ``shards`` tasks and shuffled inside
-    each. Repeated rows are told apart by their place among equals, which the plan keeps in number."""
+    """The mix itself: every column of ``docs``, a row for each copy taken. A shard is a run of whole partitions, so written
+    files follow the shards in order, and its documents lie in the order of their random keys. The number of partitions
+    is a multiple of ``shards`` and grows with the input's splits. Repeated rows are told apart by their place among
+    equals, which the plan keeps in number."""
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    plain = plain.withColumn("d_id", F.col(f"c{names.index('doc_id')}").cast("long")).withColumn(
-        "d_hash", F.xxhash64(F.coalesce(F.col(f"c{names.index('text')}"), F.lit(""))))
+    plain = plain.withColumn("d_id", F.col(f"c{position(docs, 'doc_id')}").cast("long")).withColumn(
+        "d_hash", F.xxhash64(F.coalesce(F.col(f"c{position(docs, 'text')}"), F.lit(""))))
     same = Window.partitionBy("d_id", "d_hash").orderBy(F.lit(0))
     plain = plain.withColumn("d_twin", F.row_number().over(same))
     rows = plan(docs, shards=shards, **options).select("doc_id", "text_hash", "copies")
     rows = rows.withColumn("twin", F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy("copies")))
     key = plain.d_id.eqNullSafe(rows.doc_id) & (plain.d_hash == rows.text_hash) & (plain.d_twin == rows.twin)
     out = plain.join(rows.where("size(copies) > 0"), key).withColumn("copy", F.explode("copies"))
-    out = out.repartition(shards, F.col("copy.shard"), F.pmod(F.col("copy.key"), F.lit(4))).sortWithinPartitions(
-        "copy.shard", "copy.key")
+    # equal parts of a shard by the first bits of the key, a hash that the place among equals is mixed into
+    each = -(-split_count(docs) // shards)
+    place = F.shiftrightunsigned(F.xxhash64("copy.key", "twin"), 1)
+    part = F.shiftright(F.shiftright(place, 32) * F.lit(each).cast("long"), 31)
+    out = out.withColumn("place", place).repartitionById(shards * each, (F.col("copy.shard") * each + part).cast("int"))
+    out = out.sortWithinPartitions("copy.shard", "place")
     return out.select(*plain.columns[:len(names)]).toDF(*names)
