@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from stockgrid.llm.common import pick, remainder, slices, small_batches
+from stockgrid.llm.common import pick, position, remainder, slices, small_batches
 
 LETTERS = re.compile(r"[^\W\d_]+")  # runs of letters and, rarely, of numerals that are no digits: see letter_words
 SLOTS = 1 << 16
@@ -400,8 +400,8 @@ def keep_identified(docs: DataFrame, model: LangModel) -> DataFrame:
     """The rows of ``docs``, all columns, whose text has letters. The score is no ground to drop a text: in a code-switched
     one it is about the winner's share of the words, however sure the model is of each word. The columns travel through
     the same single pass."""
-    names = docs.columns
-    unique = [n if n == "text" else f"__{i}" for i, n in enumerate(names)]
+    names, at = docs.columns, position(docs, "text")
+    unique = ["text" if i == at else f"__{i}" for i in range(len(names))]
     passed = predict(docs.toDF(*unique), model, whole=True)
     passed = passed.where(F.col("lang_pred") != UNDETERMINED)
     return passed.select(*unique).toDF(*names)

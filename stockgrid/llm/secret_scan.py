@@ -28,8 +28,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StringType
 
-from stockgrid.llm.common import documents, slices, stored
+from stockgrid.llm.common import documents, position, slices, small_batches, stored
 
 KINDS = ["assign", "access", "hex", "ident", "opaque", "endpoint", "token"]
 BASE = 3
@@ -192,29 +193,43 @@ def secret_scan(docs: DataFrame) -> DataFrame:
     return report(docs).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", spans.alias("spans"))
 
 
+@F.arrow_udf(StringType())
+def _without(texts: pa.Array, starts: pa.Array, kinds: pa.Array, ends: pa.Array) -> pa.Array:
+    """Texts with their spans (by start) replaced, in one walk from left to right; null where there are no spans."""
+    out = []
+    for text, spans in zip(texts, zip(starts.to_pylist(), kinds.to_pylist(), ends.to_pylist())):
+        if spans[0] is None:
+            out.append(None)
+            continue
+        text, at, pieces = text.as_py(), 0, []
+        for start, kind, end in zip(*spans):
+            if end > at:
+                pieces += [text[at:max(at, start)], "<", KINDS[kind], ">"]
+                at = end
+        out.append("".join(pieces) + text[at:])
+    return pa.array(out, pa.string())
+
+
 def mask(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """The rows of ``docs``, all columns, with every reported span of ``text`` replaced by ``<kind>`` and ``n_chars``,
-    if there is such a column, counted anew. Null texts stay null; overlapping spans become one replacement."""
+    if there is such a column, counted anew. Null texts stay null; of overlapping spans each hides what is left of it.
+
+    Only texts with spans go to a Python task, where each is walked once. The spans are stored first, so that Spark knows
+    their size and broadcasts them while it is small; beyond that the join shuffles the texts."""
     names = docs.columns
-    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    text = f"c{names.index('text')}"
-    plain = plain.withColumn("d_id", F.col(f"c{names.index('doc_id')}").cast("long")).withColumn(
+    plain = small_batches(docs).toDF(*[f"c{i}" for i in range(len(names))])
+    text = f"c{position(docs, 'text')}"
+    plain = plain.withColumn("d_id", F.col(f"c{position(docs, 'doc_id')}").cast("long")).withColumn(
         "d_hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    spans = report(docs, scope).where("size(found) > 0").select("doc_id", "text_hash", "found").dropDuplicates(
-        ["doc_id", "text_hash"])
-    joined = plain.join(spans, plain.d_id.eqNullSafe(spans.doc_id) & (plain.d_hash == spans.text_hash), "left")
-    # pieces of the text between the spans, merged left to right
-    step = F.aggregate(
-        F.coalesce("found", F.expr("array()").cast("array<struct<start:long,kind:int,end:long>>")),
-        F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
-        lambda acc, p: F.when(p.end <= acc["at"], acc).otherwise(F.struct(
-            F.concat(acc["out"], F.substring(F.col(text), (acc["at"] + 1).cast("int"), F.greatest(
-                p.start - acc["at"], F.lit(0)).cast("int")), F.lit("<"), F.array(*[F.lit(k) for k in KINDS])[p.kind],
-                F.lit(">")).alias("out"), p.end.alias("at"))),
-        lambda acc: F.concat(acc["out"], F.substring(F.col(text), (acc["at"] + 1).cast("int"), F.length(F.col(text)))))
-    joined = joined.withColumn(text, F.when(F.col("found").isNull(), F.col(text)).otherwise(step))
-    if "n_chars" in names:
-        n = f"c{names.index('n_chars')}"
-        joined = joined.withColumn(n, F.when(F.col("found").isNull(), F.col(n)).otherwise(
-            F.length(F.col(text)).cast(docs.schema["n_chars"].dataType)))
+    spans = report(docs, scope).where("size(found) > 0").select(
+        F.coalesce("doc_id", F.lit(0)).alias("s_id"), F.col("doc_id").isNull().alias("s_none"), "text_hash", "found")
+    spans = stored(spans.dropDuplicates(["s_id", "s_none", "text_hash"]), "secret-spans")
+    same = (F.coalesce("d_id", F.lit(0)) == spans.s_id) & (plain.d_id.isNull() == spans.s_none) & (
+        plain.d_hash == spans.text_hash)
+    joined = plain.join(spans, same, "left")
+    hidden = _without(F.when(F.col("found").isNotNull(), F.col(text)), "found.start", "found.kind", "found.end")
+    joined = joined.withColumn(text, F.coalesce(hidden, F.col(text)))
+    if (n := position(docs, "n_chars")) is not None:
+        counted = F.length(F.col(text)).cast(docs.schema.fields[n].dataType)
+        joined = joined.withColumn(f"c{n}", F.when(F.col("found").isNull(), F.col(f"c{n}")).otherwise(counted))
     return joined.select(*plain.columns[:len(names)]).toDF(*names)

@@ -6,12 +6,14 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from llm.edge import LONG, ROWS, frame, texts
 from stockgrid.llm import (byte_bpe, fingerprints, langid_crf, lattice_lm, mixing, pivot_topk, quality_knn, secret_scan,
@@ -120,6 +122,21 @@ def test_mask_keeps_rows_and_hides_secrets(spark):
     assert got[10]["n_chars"] == len(got[10]["text"]) and got[1]["text"] == ROWS[0][1] and got[12]["text"] == "secret: abc"
 
 
+def test_mask_walks_a_text_once(spark):
+    one = "password = hunter2222 and more words "
+    t0 = time.perf_counter()
+    out = rows_of(secret_scan.mask(frame(spark, [(1, one * 40_000, "en", "a"), (2, "plain", "en", "a"), (None, one, "en", "a")])))
+    got = {r["doc_id"]: r["text"] for r in out}
+    assert got == {1: "<assign> and more words " * 40_000, 2: "plain", None: "<assign> and more words "}
+    assert time.perf_counter() - t0 < 40  # a copy of the text for each span took minutes
+
+
+def test_columns_are_found_by_other_spelling(spark):
+    df = spark.createDataFrame([(i, t, s) for i, t, _, s in ROWS], "DOC_ID long, Text string, Source string")
+    for out in (secret_scan.mask(df), mixing.mixed(df), simhash.keep_one(df)):
+        assert out.columns == df.columns and out.count() > 0
+
+
 # --- 2: fingerprints
 def shingles(text):
     ws = text.encode().lower().split()
@@ -321,6 +338,82 @@ def test_mix_meets_its_targets(spark):
     assert whole.count() == sum(len(r["copies"]) for r in out) and whole.columns == df.columns
 
 
+def spark_hash(*values):
+    """xxhash64 of a string, long (int here) or int (numpy int32) chain."""
+    h = 42
+    for v in values:
+        b = v.encode() if isinstance(v, str) else np.asarray(v).tobytes()
+        h = xxhash.xxh64_intdigest(b, h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def plain_mix(rows, block_words, shards=16):
+    """(doc_id, pass, shard) of every copy, from plain sorted lists."""
+    i32 = np.int32
+    docs = [(i, spark_hash(t or ""), s, len((t or "").split())) for i, t, _, s in rows]
+    names = sorted({d[2] for d in docs}, key=lambda s: (s is None, s or ""))
+    sizes = [sum(d[3] for d in docs if d[2] == s) for s in names]
+    goal = mixing.targets(sizes)
+    taken, heaps = [], {}
+    for sid, name in enumerate(names):
+        blocks = max(1, math.ceil(sizes[sid] / block_words))
+        for i, h, s, n in docs:
+            if s == name:
+                heaps.setdefault((sid, spark_hash("block", i, h) % blocks), []).append((i, h, n))
+        mine = []
+        for p in range(2):
+            want, before = math.floor(min(max(goal[sid] - p * sizes[sid], 0), sizes[sid]) + 0.5), 0
+            for _, b in sorted((spark_hash("pass", i32(p), i32(sid), b), b) for k, b in heaps if k == sid):
+                words = sum(n for *_, n in heaps[sid, b])
+                if min(want - before, words) > 0:
+                    mine.append((p, b, min(want - before, words), words))
+                before += words
+        taken.append(mine)
+    tree = mixing.splitting_tree([len(m) for m in taken], shards)
+    out = []
+    for sid, mine in enumerate(taken):
+        dealt = [shard for shard in range(shards) for _ in range(tree[shard, sid])]
+        for shard, (p, b, give, words) in zip(dealt, mine, strict=True):
+            before = 0
+            for _, i, h, n in sorted((spark_hash("doc", i32(p), i, h), i, h, n) for i, h, n in heaps[sid, b]):
+                if n and (give == words or 2 * before + n <= 2 * give):
+                    out.append((i, p, shard))
+                before += n
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block_words", [25, 400])
+def test_mix_equals_plain_lists(spark, monkeypatch, block_words):
+    monkeypatch.setattr(mixing, "SLICE_BLOCKS", 3)
+    rng = random.Random(block_words)
+    rows = [(i, f"{i} " + "w " * rng.randint(0, 40), "en", rng.choice("aaaabc")) for i in range(500)] + [
+        (500 + i, t, "en", "a") for i, t in enumerate(["", None, " ", "w " * 900])]
+    out = rows_of(mixing.plan(frame(spark, rows), block_words=block_words))
+    assert sorted((r["doc_id"], c["pass"], c["shard"]) for r in out for c in r["copies"]) == plain_mix(rows, block_words)
+
+
+def test_shards_of_the_mix_are_runs_of_partitions(spark):
+    rng = random.Random(4)
+    rows = [(i, f"{i} " + "w " * rng.randint(1, 30), "en", "ab"[i % 2]) for i in range(400)]
+    df = frame(spark, rows)
+    shard_of = {(r["doc_id"], c["pass"]): c["shard"] for r in rows_of(mixing.plan(df, block_words=200)) for c in r["copies"]}
+    both = {}
+    for (i, _), s in shard_of.items():
+        both.setdefault(i, set()).add(s)
+    mix = mixing.mixed(df, block_words=200).select("doc_id", F.spark_partition_id().alias("p"))
+    assert mix.rdd.getNumPartitions() == 32  # two a shard at the least number of splits
+    got = rows_of(mix)
+    assert all(r["p"] // 2 in both[r["doc_id"]] for r in got) and len(got) == len(shard_of)
+    assert len({r["p"] for r in got}) > 24
+
+
+def test_blocks_stay_within_exact_draws(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 8)
+    rows = [(i, f"{i} " + "w " * 30, "en", "ab"[i % 2]) for i in range(300)]
+    out = rows_of(mixing.plan(frame(spark, rows), block_words=10))
+    assert sorted((r["doc_id"], c["pass"], c["shard"]) for r in out for c in r["copies"]) == plain_mix(rows, 31 * 300 * 2 / 8)
+
+
 # --- 7: SimHash
 def plain_fingerprint(text):
     ws = text.encode().lower().split()
