@@ -229,6 +229,23 @@ def test_fixed_capacity_is_kept(spark):
     assert len(out) == 400 and max(full.values()) <= 1000 and len(full) <= sum(full.values()) // 1000 + 2
 
 
+def test_groups_find_their_run_among_many(spark):
+    rng = random.Random(8)
+    runs, want, free = [], {}, Counter()
+    for shard in range(20_000):  # two classes in many runs, one class in one long run between short ones
+        size, n = rng.choice([(5, 1), (7, rng.randint(1, 4))])
+        if shard == 9_000:
+            size, n = 5, 30_000
+        want.update({(size, free[size] + i): shard for i in range(n)})
+        runs.append((size, shard, n))
+        free[size] += n
+    rows = spark.createDataFrame(list(want), "class long, number long")
+    t0 = time.perf_counter()
+    got = rows_of(sharding._in_runs(rows, runs))
+    assert len(got) == len(want) and all(want[r["class"], r["number"]] == r["shard"] for r in got)
+    assert time.perf_counter() - t0 < 60
+
+
 # --- 4: lattice
 def test_lattice_sums_all_segmentations():
     rng = random.Random(2)
