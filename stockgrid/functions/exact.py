@@ -34,9 +34,12 @@ _FAR = (f"CASE WHEN ABS({{x}}) >= {_LIMIT} AND ABS({{x}}) < DOUBLE('Infinity') T
 _SUMS = {"wu": "SUM(SHIFTRIGHT({w}, 20))", "wl": "SUM({w} & 1048575)", "pu": "SUM(SHIFTRIGHT({p}, 20))",
          "pl": "SUM({p} & 1048575)", "far": "SUM({far})"}
 _JOINED = "(CAST({u} AS DECIMAL(38,0)) * 1048576 + CAST({l} AS DECIMAL(38,0)))"
-_NEAR = (f"CAST(CAST({_JOINED.replace('{u}', '{wu}').replace('{l}', '{wl}')} AS DECIMAL(38,6)) + "
-         f"CAST({_JOINED.replace('{u}', '{pu}').replace('{l}', '{pl}')} / 1099511627776 AS DECIMAL(38,6)) AS DOUBLE)")
+_NEAR = (f"CAST({_JOINED.replace('{u}', '{wu}').replace('{l}', '{wl}')} + "
+         f"{_JOINED.replace('{u}', '{pu}').replace('{l}', '{pl}')} / 1099511627776 AS DOUBLE)")
 _TOTAL = f"(COALESCE({_NEAR}, CASE WHEN {{far}} IS NOT NULL THEN 0.0D END) + COALESCE({{far}}, 0.0D))"
+# 0 where there is no value; as short as it can be, since Java compiles no method of over 8,000 bytes of code and the grid takes
+# nine totals in one
+_TOTAL_OR_ZERO = f"(COALESCE({_NEAR}, 0.0D) + COALESCE({{far}}, 0.0D))"
 
 
 def _fill(template: str, values: Mapping[str, str]) -> str:
@@ -77,8 +80,7 @@ def merged(sums: Mapping[str, str] | Sequence[str]) -> list[Column]:
 
 def total_sql(out: str, zero: bool = True) -> str:
     """The total of a state, as SQL; without a value it is 0 or (``zero`` off) null."""
-    total = _fill(_TOTAL, {s: f"`{out}__{s}`" for s in STATE})
-    return f"COALESCE({total}, 0.0D)" if zero else total
+    return _fill(_TOTAL_OR_ZERO if zero else _TOTAL, {s: f"`{out}__{s}`" for s in STATE})
 
 
 def grouped(df: DataFrame, keys: Sequence[str], sums: Mapping[str, str], more: Mapping[str, str] | None = None) -> DataFrame:

@@ -20,11 +20,11 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark import InheritableThread
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockgrid import config
-from stockgrid.functions.exact import states, total_sql, with_parts
+from stockgrid.functions.exact import merged, states, total_sql, with_parts
 from stockgrid.operators import grid as g
 from stockgrid.operators import loading
 from stockgrid.operators.aggregate import (
@@ -56,17 +56,30 @@ def _null_name(kind: str, column: str) -> str:
 
 def source_metrics(rows: DataFrame, columns_by_kind: Mapping[str, Sequence[str]],
                    required: Sequence[tuple[str, str]]) -> DataFrame:
-    """One row over the tagged rows (with ``FILE_COLUMNS``)."""
+    """One row over the tagged rows (with ``FILE_COLUMNS``).
+
+    Rows are first counted by kind and required plant (others count as null), so a row meets each column once and not once
+    per kind, column and file; the few groups, bounded by the contracts, then give the one row."""
     numbers = {f.name for f in rows.schema.fields if f.dataType.typeName() in ("double", "float")}
     wrong = F.col("observed_plant").isNotNull() & (F.col("observed_plant") != F.col("expected_plant"))
-    metrics = [F.count(F.lit(1)).alias("n_rows"), *states(_SOURCE)]
-    for kind, columns in columns_by_kind.items():
-        of_kind = F.col("kind") == kind
-        metrics += [F.count_if(of_kind & missing(c, c in numbers)).alias(_null_name(kind, c)) for c in columns]
+    columns = sorted({c for cs in columns_by_kind.values() for c in cs})
+    kinds, plants = sorted({*columns_by_kind, *(k for k, _ in required)}), sorted({p for _, p in required})
+    counts = with_parts(rows, _SOURCE).groupBy(
+        F.when(F.col("kind").isin(kinds), F.col("kind")).alias("_kind"),
+        F.when(F.col("expected_plant").isin(plants), F.col("expected_plant")).alias("_plant")).agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if(wrong).alias("_wrong"),
+        *[F.count_if(missing(c, c in numbers)).alias(f"_null_{c}") for c in columns], *states(_SOURCE))
+
+    def total(c: str, of: Column | None = None) -> Column:
+        return F.coalesce(F.sum(c if of is None else F.when(of, F.col(c))), F.lit(0).cast("long"))
+
+    metrics = [total("_n").alias("n_rows"), *merged(_SOURCE)]
+    for kind, own in columns_by_kind.items():
+        metrics += [total(f"_null_{c}", F.col("_kind") == kind).alias(_null_name(kind, c)) for c in own]
     for kind, plant in required:
-        of_file = (F.col("kind") == kind) & (F.col("expected_plant") == plant)
-        metrics += [F.count_if(of_file).alias(f"rows_{kind}_{plant}"), F.count_if(of_file & wrong).alias(f"wrong_{kind}_{plant}")]
-    return with_parts(rows, _SOURCE).agg(*metrics)
+        of_file = (F.col("_kind") == kind) & (F.col("_plant") == plant)
+        metrics += [total("_n", of_file).alias(f"rows_{kind}_{plant}"), total("_wrong", of_file).alias(f"wrong_{kind}_{plant}")]
+    return counts.coalesce(1).agg(*metrics)
 
 
 def key_table(rows: DataFrame, target: DataFrame, field_by_plant: dict[str, str] | None = None,

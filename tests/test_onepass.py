@@ -84,6 +84,18 @@ def test_edge_rows(spark):
     assert {r.status for r in onepass.file_status(empty).collect()} == {"Missing"}
 
 
+def test_rows_outside_the_contracts_count_in_all(spark):
+    """Rows of another or no kind, or of a plant no file is required for, are in the number of rows and in no file."""
+    names = [c.split()[0] for c in ROW.split(", ")]
+    some = [dict(kind="on_hand", Plant="2910", Material="m", unrestricted=2.5, expected_plant="1", observed_plant="2"),
+            dict(kind="on_hand", Material="m", unrestricted=0.25, expected_plant="2910", observed_plant="2"),
+            dict(kind="returns", Plant="2910", expected_plant="2910"), dict(Plant="2910")]
+    rows = spark.createDataFrame([tuple(r.get(n) for n in names) for r in some], ROW)
+    m = onepass.source_metrics(rows, COLUMNS, [("on_hand", "2910")]).first()
+    assert (m.n_rows, m.rows_on_hand_2910, m.wrong_on_hand_2910, m.null_on_hand_Plant, m.null_open_orders_Plant) == (4, 1, 1, 1, 0)
+    assert onepass.source_metrics(rows.where("false"), COLUMNS, []).first().n_rows == 0
+
+
 def test_duplicates_survive_hash_collisions(spark):
     """With every hash equal, and with a hash that only knows one column, whole rows still decide."""
     data = [("on_hand", "p", str(i % 40), float(i % 3)) for i in range(200)] + [("open_orders", "p", None, 1.0), ("open_orders", "p", None, 1.0),

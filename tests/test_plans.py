@@ -90,3 +90,20 @@ def test_supplier_pages_share_one_slice(spark):
     for page in pages.values():
         plan = page._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and plan.count("FileScan") == 1
+
+
+def longest_method(df) -> int:
+    """Bytes of the longest method Spark generates for the plan; from 8,000 on, Java runs it without compiling it."""
+    import re
+    said = df._jdf.queryExecution().explainString(df._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen"))
+    return max(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", said))
+
+
+def test_report_jobs_are_compiled(at_scale):
+    from stockgrid.operators import onepass
+    from stockgrid.plans.core import load_target
+    from stockgrid.plans.reports import REQUIRED
+    from stockgrid.sources import testdata as td
+    rows = td.rows_with_files(td.lines(at_scale, SF_SMALL))
+    assert longest_method(onepass.source_metrics(rows, td.KIND_COLUMNS, REQUIRED)) < 8000
+    assert longest_method(onepass.key_table(rows, load_target(at_scale, SF_SMALL))) < 8000
