@@ -109,7 +109,7 @@ def test_report_jobs_are_compiled(at_scale):
     assert longest_method(onepass.key_table(rows, load_target(at_scale, SF_SMALL))) < 8000
 
 
-@pytest.mark.parametrize("name", ["projected_position"])
+@pytest.mark.parametrize("name", ["projected_position", "risk_status"])
 def test_lines_are_not_sorted_for_their_orders(at_scale, name):
     """The task that sums by key holds the narrow orders of its shard beside its sums, no sorted lines."""
     plan = catalog.REGISTRY[name].build(at_scale, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
