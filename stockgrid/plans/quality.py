@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from stockgrid import config
 from stockgrid.functions import coerce_numeric, coerce_timestamp, normalize_identifier
 from stockgrid.operators import loading, quality
+from stockgrid.operators.reports import materialize
 from stockgrid.plans.core import load_grid, load_target
 from stockgrid.plans.oracle_base import with_views, xsum
 from stockgrid.plans.registry import query
@@ -29,7 +30,9 @@ select kind, cast(coalesce(sum(case when n > 1 then n end), 0) as bigint) as dup
 
 @query("duplicate_rows", "D11", with_views(_DUP_SQL, *config.KINDS))
 def q_duplicate_rows(spark, sf_dir):
-    return quality.duplicate_rows(td.resent_rows(spark, sf_dir), td.KIND_COLUMNS)
+    """The rows are read twice, for their hashes and for the comparison: the join that gives them is written once."""
+    lines = materialize(spark, td.lines(spark, sf_dir).drop("l_partkey", "l_suppkey"), "duplicate-lines")
+    return quality.duplicate_rows(td.resent(td.source_rows_from(lines)), td.KIND_COLUMNS)
 
 
 _SOURCE_COLUMNS = {

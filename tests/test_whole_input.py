@@ -130,6 +130,16 @@ def test_duplicates_are_whole_rows(spark):
     assert set(plain.values()) == {0} and all(n > 0 and n % 2 == 0 for n in twins.values()) and len(twins) == 3
 
 
+def test_duplicates_join_the_lines_once(spark):
+    """Both passes, hashes and whole rows, read the stored join and no source table."""
+    from stockgrid.plans.catalog import REGISTRY
+    from stockgrid.sources import testdata as td
+    read = REGISTRY["duplicate_rows"].build(spark, SF_SMALL)
+    assert not [f for f in read.inputFiles() if "lineitem" in f or "orders" in f]
+    want = quality.duplicate_rows(td.resent_rows(spark, SF_SMALL), td.KIND_COLUMNS)
+    assert sorted(map(tuple, read.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_master_without_activity_is_exercised(spark):
     from stockgrid.plans.catalog import REGISTRY
     assert REGISTRY["master_no_activity"].build(spark, SF_SMALL).count() > 0
