@@ -12,6 +12,7 @@ The per-kind frames are filters of the same join.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -162,14 +163,17 @@ def resent(rows: DataFrame) -> DataFrame:
 def product_master(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Master rows: every sized part at three plants, an alternate
     supplier for every seventh part at plant 2910 (duplicate keys), and a
-    discontinued material, which no source has, for every 20th part."""
+    discontinued material, which no source has, for every 20th part.
+
+    Each plant reads the parts in tasks of its own: the target lookup sorts what a scan task gives before it combines it, and
+    that is one row a part here, where a part exploded to its plants gave three."""
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")
-    plants = "array(" + ", ".join(f"'{p}'" for p in config.PLANTS) + ")"
-    main = part.filter("p_size % 10 <> 0").selectExpr(
-        f"explode({plants}) AS Plant", "concat('100', CAST(p_partkey AS STRING)) AS Material",
+    sized = part.filter("p_size % 10 <> 0")
+    main = [sized.selectExpr(
+        f"'{plant}' AS Plant", "concat('100', CAST(p_partkey AS STRING)) AS Material",
         "p_brand AS Supplier", "CAST(p_partkey AS STRING) AS TOL_Material", "p_name AS Description",
         "CASE WHEN p_size % 10 = 1 THEN CAST(NULL AS DOUBLE) ELSE CAST(p_size * 4.5D AS DOUBLE) END"
-        " AS Latest_Forecast_Qty")
+        " AS Latest_Forecast_Qty") for plant in config.PLANTS]
     alt = part.filter("p_partkey % 7 = 0").selectExpr(
         "'2910' AS Plant", "concat('100', CAST(p_partkey AS STRING)) AS Material", "'Brand#ALT' AS Supplier",
         "CAST(p_partkey AS STRING) AS TOL_Material", "p_name AS Description",
@@ -178,7 +182,7 @@ def product_master(spark: SparkSession, sf_dir: str) -> DataFrame:
         "'2930' AS Plant", "concat('900', CAST(p_partkey AS STRING)) AS Material", "p_brand AS Supplier",
         "CAST(p_partkey AS STRING) AS TOL_Material", "p_name AS Description",
         "CAST(p_size * 2.0D AS DOUBLE) AS Latest_Forecast_Qty")
-    return main.unionByName(alt).unionByName(gone)
+    return reduce(DataFrame.unionByName, [*main, alt, gone])
 
 
 def override_log(spark: SparkSession, sf_dir: str) -> DataFrame:

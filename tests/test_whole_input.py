@@ -143,3 +143,22 @@ def test_duplicates_join_the_lines_once(spark):
 def test_master_without_activity_is_exercised(spark):
     from stockgrid.plans.catalog import REGISTRY
     assert REGISTRY["master_no_activity"].build(spark, SF_SMALL).count() > 0
+
+
+def test_master_reads_each_plant_by_itself(spark, tmp_dir):
+    """What the target lookup sorts in a scan task is at most one row a part, and the rows are those of parts exploded to plants."""
+    from stockgrid.sources import testdata as td
+    parts = [(k, f"name {k}", f"Brand#{k % 5}", k % 50) for k in range(1, 400)]
+    parts += [(7, "again", "Brand#1", 8), (7, "again", "Brand#1", 8), (None, "no key", "Brand#2", 3), (21, None, None, None), (40, None, None, 5)]
+    part = spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_size int")
+    part.coalesce(1).write.parquet(f"{tmp_dir}/part.parquet")
+    got = td.product_master(spark, tmp_dir)
+    assert max(r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()) <= len(parts)
+    cols = ("concat('{m}', CAST(p_partkey AS STRING)) AS Material", "{s} AS Supplier", "CAST(p_partkey AS STRING) AS TOL_Material",
+            "p_name AS Description", "CAST({f} AS DOUBLE) AS Latest_Forecast_Qty")
+    want = [part.filter(where).selectExpr(f"{plant} AS Plant", *[c.format(m=m, s=s, f=f) for c in cols]) for where, plant, m, s, f in (
+        ("p_size % 10 <> 0", "explode(array('2910', '2920', '2930'))", "100", "p_brand", "IF(p_size % 10 = 1, NULL, p_size * 4.5)"),
+        ("p_partkey % 7 = 0", "'2910'", "100", "'Brand#ALT'", "p_size * 3.0"),
+        ("p_partkey % 20 = 0", "'2930'", "900", "p_brand", "p_size * 2.0"))]
+    want = want[0].unionByName(want[1]).unionByName(want[2])
+    assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
